@@ -11,12 +11,14 @@ from basisline.llm.html_extraction import op5_composite_text_density
 from basisline.llm.line_dedup import op8_site_spread_lines
 from basisline.llm.near_duplicates import op7_bayesian_jaccard_join
 from basisline.llm.packing import op1_minimum_bin_slack
+from basisline.llm.quality_classifier import op2_nonnegative_pu
 from basisline.llm.quality_rules import op6_risk_controlled_rules
 from basisline.llm.sharding import op3_virtual_slot_sharding
 from basisline.llm.warc import op10_warc_derivatives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minimum_bin_slack": op1_minimum_bin_slack,
+    "op2_nonnegative_pu": op2_nonnegative_pu,
     "op3_virtual_slot_sharding": op3_virtual_slot_sharding,
     "op4_benchmark_windows": op4_benchmark_windows,
     "op5_composite_text_density": op5_composite_text_density,
