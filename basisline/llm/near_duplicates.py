@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from basisline.llm import shingles as sh
 from basisline.llm.common import checked_join, stored, table
 from basisline.llm.components import components
+from basisline.llm.grouped import runs
 
 THRESHOLD = 0.8
 TOLERANCE = 1e-5  # a pair goes when its posterior chance of reaching the threshold is below this
@@ -103,35 +104,6 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def runs(batches: Iterator[pa.RecordBatch], n_keys: int, least_rows: int = 4096) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Rows sorted by their first columns, in tables of whole groups, with the groups' bounds."""
-    held: list[pa.RecordBatch] = []
-    rows = 0
-
-    def bounds(t: pa.Table) -> np.ndarray:
-        new = np.zeros(t.num_rows, bool)
-        new[:1] = True
-        for c in range(n_keys):
-            col = t.column(c).combine_chunks()
-            if t.num_rows > 1:
-                new[1:] |= ~np.asarray(pa.compute.equal(col[1:], col[:-1]).to_numpy(zero_copy_only=False), bool)
-        return np.append(np.flatnonzero(new), t.num_rows)
-
-    for batch in batches:
-        held.append(batch)
-        rows += batch.num_rows
-        if rows >= least_rows:
-            t = pa.Table.from_batches(held)
-            b = bounds(t)
-            if len(b) > 2:
-                yield t.slice(0, b[-2]), b[:-1]
-                held = t.slice(b[-2]).to_batches()
-                rows = sum(x.num_rows for x in held)
-    if rows:
-        t = pa.Table.from_batches(held)
-        yield t, bounds(t)
-
-
 def in_blocks(rows: DataFrame, group: list[str], sizes: DataFrame, node: str = "node", block: int = BLOCK) -> DataFrame:
     """Deal rows of groups of n rows (joined from `sizes`) into block pairs: adds ci <= cj and the row's own block c.
 

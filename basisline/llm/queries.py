@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from basisline.llm.decontamination import op4_benchmark_windows
 from basisline.llm.html_extraction import op5_composite_text_density
+from basisline.llm.language_model import op9_deleted_interpolation
 from basisline.llm.line_dedup import op8_site_spread_lines
 from basisline.llm.near_duplicates import op7_bayesian_jaccard_join
 from basisline.llm.packing import op1_minimum_bin_slack
@@ -25,7 +27,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_risk_controlled_rules": op6_risk_controlled_rules,
     "op7_bayesian_jaccard_join": op7_bayesian_jaccard_join,
     "op8_site_spread_lines": op8_site_spread_lines,
+    "op9_deleted_interpolation": op9_deleted_interpolation,
     "op10_warc_derivatives": op10_warc_derivatives,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {}
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
