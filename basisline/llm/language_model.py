@@ -44,6 +44,17 @@ def pair_keys(words: np.ndarray) -> np.ndarray:
     return mix(np.append(END, words[:-1]) * np.uint64(0x9E3779B97F4A7C15) ^ (words * np.uint64(0xC2B2AE3D27D4EB4F)))
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    """Unsigned integers by byte planes, compressed: small numbers cost little whatever their width."""
+    planes = np.ascontiguousarray(values).view("u1").reshape(len(values), values.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unsqueezed(blob: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "u1").reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def packed(vocab: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, roles: np.ndarray) -> bytes:
     head = np.asarray([len(vocab), len(tokens), len(lengths)], "<i8").tobytes()
     return zstandard.ZstdCompressor(level=1).compress(head + vocab.astype("<u8").tobytes() + tokens.astype("<u4").tobytes() + lengths.astype("<i8").tobytes() + roles.astype("u1").tobytes())
@@ -127,7 +138,8 @@ def sent(rows: DataFrame, bits: int) -> DataFrame:
                     cuts = np.searchsorted(keys, np.arange(1, 1 << bits, dtype="uint64") << np.uint64(64 - bits)) if bits else []
                     at = np.concatenate([[0], cuts, [len(keys)]]).astype("int64")
                     full = np.flatnonzero(np.diff(at))
-                    parts = [(keys[at[p] : at[p + 1]].tobytes(), counts[at[p] : at[p + 1]].tobytes()) for p in full.tolist()]
+                    # Keys are sorted: their differences within a range leave the high bytes empty.
+                    parts = [(squeezed(np.diff(keys[at[p] : at[p + 1]], prepend=np.uint64(0)).astype("<u8")), squeezed(counts[at[p] : at[p + 1]])) for p in full.tolist()]
                     n = len(full)
                     cols = [pa.array(full, pa.int32()), pa.array([kind] * n), pa.array([block.as_py()] * n, pa.binary()), pa.array([tune.as_py()] * n)]
                     yield pa.RecordBatch.from_arrays([*cols, pa.array([k for k, _ in parts], pa.binary()), pa.array([c for _, c in parts], pa.binary())], names=["part", "kind", "block", "tune", "keys", "counts"])
@@ -143,20 +155,22 @@ def replies(slices: DataFrame) -> DataFrame:
         for t, bounds in runs(batches, 2, 1):
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 g = t.slice(lo, hi - lo)
-                raw = g.column("keys").to_pylist()
-                keys = np.frombuffer(b"".join(raw), "<u8")
-                counts = np.frombuffer(b"".join(g.column("counts").to_pylist()), "<u4")
-                size = np.asarray([len(x) // 8 for x in raw])
-                tune = np.repeat(np.asarray(g.column("tune").to_pylist()), size)
+                raw = [np.cumsum(unsqueezed(x, "<u8"), dtype="u8") for x in g.column("keys").to_pylist()]
+                keys = np.concatenate(raw)
+                counts = np.concatenate([unsqueezed(x, "<u4") for x in g.column("counts").to_pylist()])
+                size = np.asarray([len(x) for x in raw])
+                tunes = g.column("tune").to_pylist()
+                tune = np.repeat(np.asarray(tunes), size)
                 distinct, place = np.unique(keys, return_inverse=True)
                 total = np.bincount(place, counts, len(distinct)).astype("<u4")
                 tuned = np.bincount(place[tune], counts[tune], len(distinct)).astype("<u4")
                 a, b, at = total[place], tuned[place], np.append(0, np.cumsum(size)).tolist()
-                out = [a[at[k] : at[k + 1]].tobytes() for k in range(len(raw))], [b[at[k] : at[k + 1]].tobytes() for k in range(len(raw))]
+                # Only blocks that tune the weights need the deleted counts.
+                out = [squeezed(a[at[k] : at[k + 1]]) for k in range(len(raw))], [squeezed(b[at[k] : at[k + 1]]) if tunes[k] else None for k in range(len(raw))]
                 block, kind, part = g.column("block").to_pylist(), g.column("kind")[0].as_py(), g.column("part")[0].as_py()
                 if kind == "u":
                     sums = np.asarray([total.sum(dtype="i8"), (total > 0).sum(), tuned.sum(dtype="i8"), (total > tuned).sum()], "<i8")
-                    block.append(None), out[0].append(sums.tobytes()), out[1].append(b"")
+                    block.append(None), out[0].append(sums.tobytes()), out[1].append(None)
                 n = len(block)
                 yield pa.RecordBatch.from_arrays([pa.array(block, pa.binary()), pa.array([kind] * n), pa.array([part] * n, pa.int32()), pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary())], names=["block", "kind", "part", "total", "tuned"])
 
@@ -180,7 +194,7 @@ def counted(t: pa.Table, lo: int, hi: int):
     out = {}
     for k, (_, place) in kinds.items():
         at = [i for i, x in enumerate(kind) if x == k]
-        out[k] = tuple(np.frombuffer(b"".join(col[i] for i in at), "<u4")[place].astype("float64") for col in (payload, tuned))
+        out[k] = tuple(np.concatenate([unsqueezed(col[i], "<u4") for i in at])[place].astype("float64") if col[at[0]] is not None else None for col in (payload, tuned))
     return lengths, role, out
 
 
