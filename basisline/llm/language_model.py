@@ -29,7 +29,7 @@ from basisline.llm.common import crc_text, stored, table
 from basisline.llm.grouped import runs
 from basisline.llm.shingles import _LOWER, hash_runs, mix, text_chunks
 
-BLOCK_BYTES = 12 << 20  # text of one block
+BLOCK_BYTES = 6 << 20  # text of one block
 RANGE_TOKENS = 500_000  # tokens behind one key range
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 TRAIN, TUNE, HELD = 0, 1, 2
