@@ -76,7 +76,7 @@ def month_label(label: Column) -> Column:
     key = month_key(label)
     year = F.floor((key - 1) / 12).cast("int")
     name = month_name(key - year * 12)
-    return F.coalesce(F.when(year >= NO_YEAR, name).otherwise(F.concat_ws(" ", name, year.cast("string"))), normalize_text(label))
+    return F.coalesce(F.when(year >= NO_YEAR, name).otherwise(F.concat(name, F.lit(" "), year.cast("string"))), normalize_text(label))
 
 
 def period_key(label: Column) -> Column:

@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-CARRY = F.expr("INTERVAL '24' HOUR")
-
 
 def is_weekday(at: Column) -> Column:
     return F.weekday(at) < 5
