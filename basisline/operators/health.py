@@ -19,7 +19,7 @@ def confidence(failures: Column, latency_ms: Column) -> Column:
 def minutes_since(then: Column, now: Column) -> Column:
     """Whole minutes, at least 0; null for never."""
     seconds = F.unix_timestamp(now) - F.unix_timestamp(then)
-    return F.greatest(F.lit(0), F.floor(seconds / 60)).cast("long")
+    return F.when(seconds.isNotNull(), F.greatest(F.lit(0), F.floor(seconds / 60))).cast("long")
 
 
 def stale(last_success: Column, poll_minutes: Column, now: Column) -> Column:

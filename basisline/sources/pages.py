@@ -93,7 +93,8 @@ def tables(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFr
 def header_score(cells: Column) -> Column:
     """How many wanted headers a row of cells names."""
     low = F.transform(cells, lambda c: F.lower(c))
-    return sum((F.exists(low, lambda c, h=h: c.contains(h)).cast("int") for h in BID_HEADERS), F.lit(0))
+    named = lambda header: F.exists(low, lambda c: c.contains(header)).cast("int")
+    return sum((named(h) for h in BID_HEADERS), F.lit(0))
 
 
 def bid_tables(rows: DataFrame, key: str = "page_id", least: int = 3) -> DataFrame:
@@ -109,7 +110,8 @@ def cell(names: Sequence[str], headers: str = "headers", cells: str = "cells") -
     """Cell under the first header that equals one of the names, else under the first that contains one; null for none."""
     low = F.transform(headers, lambda h: F.trim(F.rtrim(F.lower(h), F.lit("* "))))
     found = [F.nullif(F.array_position(low, n.lower()), F.lit(0)) for n in names]
-    partly = [F.nullif(F.array_position(F.transform(low, lambda h, n=n: h.contains(n.lower())), True), F.lit(0)) for n in names]
+    holding = lambda name: F.transform(low, lambda h: h.contains(name.lower()))
+    partly = [F.nullif(F.array_position(holding(n), True), F.lit(0)) for n in names]
     at = F.coalesce(*found, *partly)
     return F.when(at.isNotNull(), F.get(cells, (at - 1).cast("int")))
 
@@ -221,7 +223,7 @@ _CALL = (
 
 def call_bids(pages: DataFrame, quote_rows: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """Bids that a page writes by calls of writeBidRow, each under the last heading before it, with its quote."""
-    marks = F.regexp_extract_all(F.col(html), F.lit(rf"(?i)(<h4[^>]*>[^<]+</h4>|{_CALL.replace('(?:', '(?:').replace('([', '(?:[').replace('(' + chr(92) + 'd', '(?:' + chr(92) + 'd')})"), F.lit(1))
+    marks = F.regexp_extract_all(F.col(html), F.lit(rf"(?i)(<h4[^>]*>[^<]+</h4>|{_CALL})"), F.lit(1))
     rows = pages.select(key, F.posexplode(marks).alias("position", "mark"))
     rows = rows.withColumn("place", F.when(F.col("mark").startswith("<"), text.strip_html(F.col("mark"))))
     now = W.partitionBy(key).orderBy("position").rowsBetween(W.unboundedPreceding, W.currentRow)
