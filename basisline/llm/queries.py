@@ -12,6 +12,7 @@ from basisline.llm.html_extraction import op5_composite_text_density
 from basisline.llm.language_model import op9_deleted_interpolation
 from basisline.llm.line_dedup import op8_site_spread_lines
 from basisline.llm.near_duplicates import op7_bayesian_jaccard_join
+from basisline.llm.oracles import SQL
 from basisline.llm.packing import op1_minimum_bin_slack
 from basisline.llm.quality_classifier import op2_nonnegative_pu
 from basisline.llm.quality_rules import op6_risk_controlled_rules
@@ -32,6 +33,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(SQL)
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

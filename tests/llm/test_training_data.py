@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import brute as B
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from basisline.llm import decontamination, html_extraction, language_model, line_dedup, near_duplicates, packing, quality_classifier, quality_rules, sharding, warc
-from basisline.llm.queries import QUERIES
+from basisline.llm.queries import ORACLE_SQL, QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, k string"
 
@@ -305,3 +306,15 @@ def test_pipeline_stages(spark, sf, docs):
     assert set(clean.doc_id) == {d for d, v in hit.items() if not v[4]} and list(clean.columns) == list(docs.columns)
     out = corpus_pipeline.run(spark, sf).toPandas()
     assert set(out.doc_id) == set(clean.doc_id) and out.groupby("sequence_id").length.sum().max() <= 2048
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_equals_oracle(spark, sf, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "labels"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    got, want = QUERIES[name](spark, sf).toPandas(), con.execute(ORACLE_SQL[name]).df()
+    cols = sorted(got.columns)
+    assert cols == sorted(want.columns)
+    got, want = (x[cols].sort_values(cols).reset_index(drop=True) for x in (got, want))
+    pd.testing.assert_frame_equal(got, want)
