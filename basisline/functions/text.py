@@ -63,6 +63,42 @@ LOCATION_ALIASES = {
 }
 LOCATION_COMPANY = {"prescott": "Port of Prescott", "cardinal": "Ingredion", "johnstown": "Greenfield Global", "embrun": "Embrun Co-op (GLG)"}
 REGION_OF_SOURCE = {"eastern ontario cash bids": "Eastern Ontario", "ontario cash bids": "Ontario"}
+# Ordered: the first company of which any text occurs.
+OPERATOR_TEXTS = {
+    "The Andersons": ("andersons", "thompsons"),
+    "Great Lakes Grain": ("great lakes grain",),
+    "London Agricultural Commodities": ("london agricultural commodities",),
+    "Hensall Co-operative": ("hensall",),
+    "Ingredion": ("ingredion",),
+    "Oakwood-Sunderland Co-op": ("oakwood-sunderland", "sunderland co-operative", "sunderland co operative"),
+    "Toledo Elevator": ("toledo elevator",),
+    "North Gower Grains": ("north gower grains",),
+    "Greenfield Global": ("greenfield global",),
+    "BroadGrain Commodities": ("broadgrain",),
+    "Parrish & Heimbecker": ("parrish", "p&h"),
+    "Richardson International": ("richardson",),
+    "Wilson Farm Grain": ("wilson farm grain",),
+    "ADM": ("adm",),
+}
+HENSALL_TEXTS = ("hdc", "co-op", "co operative")
+# Ordered: these parents win over every other text.
+PARENT_TEXTS = {
+    "Great Lakes Grain": ("central ontario fs", "agris co-operative", "agris cooperative", "agris / great lakes grain"),
+    "The Andersons": ("thompsons", "the andersons", "andersons"),
+    "Huron Bay Co-operative": ("huron bay co-operative", "huron bay cooperative", "varna grain"),
+}
+SEVERAL_TEXTS = (" or ", "; ", " and ", "/")
+PARENT_CANDIDATES = {
+    "Great Lakes Grain": ("great lakes grain", "agris", "central ontario fs"),
+    "The Andersons": ("thompsons", "andersons"),
+    "Huron Bay Co-operative": ("huron bay co-operative", "huron bay cooperative", "varna grain"),
+    "Cargill": ("cargill",),
+    "ADM": ("adm",),
+    "Parrish & Heimbecker": ("parrish", "p&h"),
+    "Snobelen Farms": ("snobelen",),
+    "BroadGrain Commodities": ("broadgrain",),
+    "Haggerty Creek Ltd.": ("haggerty creek",),
+}
 AGGREGATORS = ("agricharts",)
 HIDDEN_COMMODITIES = ("mixed daily file",)
 INVALID_COMMODITIES = ("mixed daily file", "ontario daily file", "ontario cash bids", "eastern ontario daily file", "eastern ontario cash bids")
@@ -188,8 +224,40 @@ def escape_html(text: Column) -> Column:
 
 
 def plain_punctuation(text: Column) -> Column:
-    """Typographic quotes, dashes and blanks as ASCII."""
-    return F.trim(F.regexp_replace(F.translate(text, "‘’“”–— ", "''\"\"-- "), " +", " "))
+    """Typographic quotes, dashes and blanks as ASCII, blanks collapsed."""
+    plain = F.translate(text, "\u2018\u2019\u201c\u201d\u2013\u2014\u2010\u2011\u202f\u00a0", "''\"\"----  ")
+    return F.trim(F.regexp_replace(plain, r"\s+", " "))
+
+
+def _any_of(words: Column, texts: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for t in texts:
+        out = out | words.contains(t)
+    return out
+
+
+def operator_company(operator: Column, location: Column) -> Column:
+    """Company that an operator's free text stands for, else the text itself."""
+    said, place = F.lower(plain_punctuation(operator)), F.lower(plain_punctuation(location))
+    out = plain_punctuation(operator)
+    for company, texts in reversed(OPERATOR_TEXTS.items()):
+        here = _any_of(said, texts)
+        if company == "Hensall Co-operative":
+            here = here & _any_of(said, HENSALL_TEXTS)
+        if company == "Oakwood-Sunderland Co-op":
+            here = here | (place.contains("oakwood") & place.contains("sunderland"))
+        out = F.when(here, company).otherwise(out)
+    return out
+
+
+def parent_company(operator: Column, location: Column, evidence: Column) -> Column:
+    """The one parent company that a tentative row points to; null where several operators or none are named."""
+    said = F.lower(F.concat_ws(" ", operator, location, F.coalesce(evidence, F.lit(""))))
+    named = F.array_compact(F.array(*[F.when(_any_of(said, texts), F.lit(company)) for company, texts in PARENT_CANDIDATES.items()]))
+    out = F.when(~_any_of(said, SEVERAL_TEXTS) & (F.size(named) == 1), F.get(named, F.lit(0)))
+    for company, texts in reversed(PARENT_TEXTS.items()):
+        out = F.when(_any_of(said, texts), company).otherwise(out)
+    return out
 
 
 def spreadsheet_safe(text: Column) -> Column:

@@ -21,6 +21,7 @@ from basisline.functions import periods, prices, text
 # Headers of a bid table, and words that name a crop.
 BID_HEADERS = ("name", "delivery", "delivery end", "futures month", "futures price", "change", "basis", "cash price")
 CROP_WORDS = {"corn": "Corn", "soy": "Soybeans", "bean": "Soybeans", "wheat": "Wheat"}
+CROPS_BY_PLACE = ("Corn", "Soybeans", "White Wheat", "Soft Red Wheat")
 # End of fixed values.
 
 BID_COLUMNS = ("Location", "Name", "Delivery", "Delivery End", "Futures Month", "Futures Price", "Change", "Basis", "Bushel Cash Price", "MT Cash Price", "Source")
@@ -61,6 +62,8 @@ class _Tables(HTMLParser):
         elif tag in ("h1", "h2", "h3", "h4", "h5", "caption") and self.title is not None:
             self.heading = " ".join("".join(self.title).split())
             self.title = None
+            if tag == "caption" and self.open:
+                self.tables[self.open[-1]] = (self.heading, self.tables[self.open[-1]][1])
 
     def handle_data(self, data: str) -> None:
         if self.title is not None:
@@ -137,7 +140,8 @@ class Adapter:
     source: str
     columns: Mapping[str, Sequence[str]] = field(default_factory=dict)
     required: Sequence[str] = ("Delivery",)
-    crop: str = "name"  # "name": the Name cell; "heading": the heading above the table; "symbol": the futures code
+    crop: str = "name"  # "name": the Name cell; "heading": the heading above the table; "symbol": the futures code; "place": the table's place on the page
+    transposed: bool = False  # one row a metric and one column a period
 
 
 _COMMON = {
@@ -153,16 +157,26 @@ _COMMON = {
     "MT Cash Price": ("mt cash price", "cash price (tonne)", "price / (tonnes)", "tonne"),
 }
 
+#: Metrics of a transposed table by the words of their row labels; the first that a label contains.
+_METRICS = {
+    "Futures Month": ("futures month",),
+    "Change": ("futures change", "change"),
+    "MT Cash Price": ("converted price",),
+    "Basis": ("basis",),
+    "Bushel Cash Price": ("cash price", "cdn cash"),
+    "Futures Price": ("futures price", "futures"),
+}
+
 #: Adapters by key. Pages that differ only in wording share one reader.
 ADAPTERS: dict[str, Adapter] = {
     "agricharts": Adapter("Agricharts", _COMMON, ("Delivery", "Basis")),
-    "andersons": Adapter("The Andersons", _COMMON, ("Delivery", "Bushel Cash Price"), "heading"),
+    "andersons": Adapter("The Andersons", {}, ("Delivery",), "place", True),
     "bunge": Adapter("Bunge", _COMMON, ("Delivery",), "heading"),
     "dg_global": Adapter("DG Global", _COMMON, ("Delivery",)),
     "glg": Adapter("GLG", _COMMON, ("Futures Month",), "symbol"),
     "hensall": Adapter("Hensall", _COMMON, ("Delivery", "Basis")),
     "lac": Adapter("LAC", _COMMON, ("Delivery",), "symbol"),
-    "snobelen": Adapter("Snobelen", _COMMON, ("Delivery",), "heading"),
+    "snobelen": Adapter("Snobelen", {}, ("Delivery",), "heading", True),
     "wanstead": Adapter("Wanstead", _COMMON, ("Delivery", "Basis"), "heading"),
     "us_dtn": Adapter("US DTN", _COMMON, ("Delivery", "Basis")),
 }
@@ -175,14 +189,54 @@ def adapter(name: str) -> Adapter:
     return ADAPTERS[name]
 
 
-def page_bids(pages: DataFrame, name: str, key: str = "page_id", html: str = "html") -> DataFrame:
-    """Bid rows of an adapter's pages in the wire columns (all text); repeats of a row's identity go, the first stays."""
+def transposed_bids(rows: DataFrame, by_place: bool, key: str = "page_id") -> DataFrame:
+    """Bids of tables with one row a metric and one column a period (named in the first row): one row a period.
+
+    Only tables with a futures-month row count. Their crop is the one of their heading, or with `by_place` that of their
+    place among the page's tables; tables beyond the known places go. A label means the most telling metric it contains
+    ("Futures Change" is a change, not a price), and the first row of a metric stands for it.
+    """
+    label = F.lower(F.get("cells", F.lit(0)))
+    metric = F.lit(None).cast("string")
+    for name, words in reversed(_METRICS.items()):
+        for w in words:
+            metric = F.when(label.contains(w), name).otherwise(metric)
+    table_of = [key, "table_no"]
+    head = rows.groupBy(table_of).agg(F.min("row_no").alias("head_no"), F.min_by("cells", "row_no").alias("periods"), F.max("heading").alias("heading"), F.max(label.contains("futures month")).alias("counts"))
+    head = head.where(F.col("counts") & (F.size("periods") > 1))
+    if by_place:
+        place = F.row_number().over(W.partitionBy(key).orderBy("table_no"))
+        head = head.withColumn("crop", F.get(F.array(*map(F.lit, CROPS_BY_PLACE)), place - 1)).where("crop is not null")
+    else:
+        head = head.withColumn("crop", F.coalesce(crop_in(F.col("heading")), F.nullif("heading", F.lit(""))))
+    cells = rows.drop("heading").join(head, table_of).where(F.col("row_no") > F.col("head_no")).withColumn("metric", metric)
+    cells = cells.select(*table_of, "row_no", "periods", "crop", "metric", F.posexplode(F.slice("cells", 2, F.size("periods") - 1)).alias("at", "value"))
+    value = F.nullif(F.trim("value"), F.lit(""))
+    out = cells.groupBy(*table_of, "at").agg(
+        F.first("periods").alias("periods"), F.first("crop").alias("Name"), *[F.min_by(value, F.when(F.col("metric") == m, F.col("row_no"))).alias(m) for m in _METRICS]
+    )
+    delivery = F.nullif(F.trim(F.get("periods", F.col("at") + 1)), F.lit(""))
+    return out.select(*table_of, F.col("at").alias("row_no"), "Name", delivery.alias("Delivery"), F.lit(None).cast("string").alias("Location"), F.lit(None).cast("string").alias("Delivery End"), *_METRICS)
+
+
+def page_bids(pages: DataFrame, name: str, key: str = "page_id", html: str = "html", place: str | None = None) -> DataFrame:
+    """Bid rows of an adapter's pages in the wire columns (all text); repeats of a row's identity go, the first stays.
+
+    `place` names a column of the pages that stands in where a row names no location.
+    """
     how = adapter(name)
-    rows = bid_tables(tables(pages, key, html), key)
-    found = rows.select(key, "table_no", "row_no", "heading", *[F.nullif(F.trim(cell(names)), F.lit("")).alias(c) for c, names in how.columns.items()])
-    crop = {"name": text.canonical_commodity(F.col("Name")), "heading": F.coalesce(crop_in(F.col("heading")), text.canonical_commodity(F.col("Name"))), "symbol": crop_of_symbol(F.col("Futures Month"))}[how.crop]
-    found = found.withColumn("Name", F.coalesce(crop, text.canonical_commodity(F.col("Name")))).withColumn("Source", F.lit(how.source))
-    cash = F.coalesce(prices.tick_price(F.col("Bushel Cash Price")), F.lit(None))
+    if how.transposed:
+        found = transposed_bids(tables(pages, key, html), how.crop == "place", key)
+    else:
+        rows = bid_tables(tables(pages, key, html), key)
+        found = rows.select(key, "table_no", "row_no", "heading", *[F.nullif(F.trim(cell(names)), F.lit("")).alias(c) for c, names in how.columns.items()])
+        own = text.canonical_commodity(F.col("Name"))
+        crop = {"name": own, "heading": F.coalesce(crop_in(F.col("heading")), own), "symbol": crop_of_symbol(F.col("Futures Month"))}[how.crop]
+        found = found.withColumn("Name", F.coalesce(crop, own))
+    if place:
+        found = found.join(pages.select(key, F.col(place).alias("__place")), key).withColumn("Location", F.coalesce("Location", "__place"))
+    found = found.withColumn("Source", F.lit(how.source))
+    cash = prices.tick_price(F.col("Bushel Cash Price"))
     found = found.withColumn("MT Cash Price", F.coalesce("MT Cash Price", prices.adapter_per_tonne(F.col("Name"), cash.cast("double")).cast("string")))
     for c in how.required:
         found = found.where(F.col(f"`{c}`").isNotNull() & ~F.lower(f"`{c}`").isin(c.lower()))

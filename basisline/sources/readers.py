@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import csv
 import io
+import tomllib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TABLE_SUFFIXES = {"csv", "parquet", "json", "orc"}
 
@@ -98,3 +100,17 @@ def newest_file(spark: SparkSession, folder: str) -> str | None:
 def payload_field(payload: Column, name: str) -> Column:
     """Text of one field of a JSON payload."""
     return F.get_json_object(payload, f"$.{name}")
+
+
+def read_settings(spark: SparkSession, path: str) -> dict:
+    """Settings of one TOML file, read by Spark so that any store will do."""
+    return tomllib.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
+def setting_rows(spark: SparkSession, settings: dict, name: str, schema: str) -> DataFrame:
+    """An array of tables in the settings (dotted name) as rows; fields that a table leaves out are null, others are ignored."""
+    found = settings
+    for part in name.split("."):
+        found = found.get(part, {})
+    kept = T.StructType.fromDDL(schema).names
+    return spark.createDataFrame([tuple(row.get(c) for c in kept) for row in found or []], schema)
