@@ -71,6 +71,19 @@ def month_key(label: Column) -> Column:
     return F.coalesce(with_day, month_year, harvest, contract, bare).cast("int")
 
 
+def display_key(label: Column) -> Column:
+    """Month key by which boards order labels: harvests and futures codes are read before month names, the first number of
+    two to four digits after a name is its year, and a name without one has year 0."""
+    text = F.lower(F.trim(label))
+    key = lambda year, month: year * 12 + month
+    harvest = key(full_year(_part(text, r"\bharvest\b[^0-9]*(\d{2,4})?", 1)), F.lit(10))
+    code = r"\b([fghjkmnquvxz])(?:c|s|w)?(\d{1,2})\b"
+    contract = key(full_year(_part(text, code, 2)), code_number(_part(text, code, 1)))
+    named = rf"\b({_NAMES})\b[^0-9]*(\d{{2,4}})?"
+    bare = key(F.coalesce(full_year(_part(text, named, 2)), F.lit(0)), month_number(_part(text, named, 1)))
+    return F.coalesce(harvest, contract, bare).cast("int")
+
+
 def month_label(label: Column) -> Column:
     """'Month YYYY' (or 'Month' without a year) of a period, the cleaned label itself if it names none."""
     key = month_key(label)

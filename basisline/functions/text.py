@@ -99,6 +99,7 @@ PARENT_CANDIDATES = {
     "BroadGrain Commodities": ("broadgrain",),
     "Haggerty Creek Ltd.": ("haggerty creek",),
 }
+EASTERN_PLACES = ("brinston", "cardinal", "chesterville", "dalkeith", "embrun", "johnstown", "kars", "lansdowne", "north gower", "prescott", "vankleek hill", "winchester")
 AGGREGATORS = ("agricharts",)
 HIDDEN_COMMODITIES = ("mixed daily file",)
 INVALID_COMMODITIES = ("mixed daily file", "ontario daily file", "ontario cash bids", "eastern ontario daily file", "eastern ontario cash bids")
@@ -260,6 +261,18 @@ def parent_company(operator: Column, location: Column, evidence: Column) -> Colu
     return out
 
 
+def eastern_key(location: Column) -> Column:
+    """Key of a place in the eastern list: without source prefix, plant owner, bracketed note, crop and kind of site."""
+    out = F.trim(F.regexp_replace(F.coalesce(location, F.lit("")), r"\s+", " "))
+    for pattern in (r"^LAC\s*-\s*", r"^Ingredion\s+", r"\s+\([^)]*\)\s*$", r"\s+(corn|soybeans?|wheat|hrw new crop wheat|hrw old crop wheat)$", r"\s+(transfer|ethanol|elevator)$"):
+        out = F.trim(F.regexp_replace(out, f"(?i){pattern}", ""))
+    return F.lower(out)
+
+
+def in_eastern_ontario(location: Column) -> Column:
+    return eastern_key(location).isin(*EASTERN_PLACES)
+
+
 def spreadsheet_safe(text: Column) -> Column:
     """Cells that a spreadsheet would run as a formula get a leading apostrophe."""
     return F.when(text.rlike(r"^[=+\-@]"), F.concat(F.lit("'"), text)).otherwise(text)

@@ -91,6 +91,11 @@ def winner_rates(df: DataFrame, source: str, canonical: Column) -> DataFrame:
     return df.groupBy(source).agg(F.count(F.lit(1)).alias("row_count"), F.sum(canonical.cast("long")).alias("canonical_count")).withColumn("winner_rate", F.col("canonical_count") / F.col("row_count"))
 
 
+def candidate_order(by_rate: bool = False, policy: str = "policy_rank", rows: str = "row_count", rate: str = "winner_rate", source: str = "source") -> list[Column]:
+    """Order in which sources are proposed: policy, (with `by_rate`) how often they win, rows, name."""
+    return [F.col(policy), *([F.col(rate).desc_nulls_last()] if by_rate else []), F.col(rows).desc_nulls_last(), F.col(source)]
+
+
 def seeded_priority(candidates: DataFrame, company: str, source: str, own_key: Column, aggregator: Column) -> DataFrame:
     """Ordered rank of each company's sources: its own name first, aggregators last, names in between."""
     policy = F.when(F.col(source) == own_key, 0).when(aggregator, 2).otherwise(1)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from basisline.operators.diagnostics import blank, file_quality, latest_runs
+
 SLOW_MS = 60_000
 
 
@@ -57,6 +59,54 @@ def service_levels(sources: DataFrame, now: Column) -> DataFrame:
     return sources.agg(F.count(F.lit(1)).alias("sources"), F.count_if(~is_stale).alias("fresh"), F.count_if(is_stale).alias("stale"), F.count_if(failing).alias("failing"))
 
 
+def with_health(sources: DataFrame, runs: DataFrame, now: Column, pilots: list[str], scanned: int = 2000) -> DataFrame:
+    """Sources with their age, staleness, latest run (among the last `scanned`), completed runs and promotion stage.
+
+    Runs carry source_name, id, started_at, status, parse_success_rate and rejected_row_count; they meet sources by name.
+    """
+    latest = latest_runs(runs, "source_name", "started_at", "id", scanned)
+    latest = latest.select(F.col("source_name").alias("name"), F.col("status").alias("latest_run_status"), F.col("parse_success_rate").alias("latest_parse_success_rate"), F.col("rejected_row_count").alias("latest_rejected_row_count"))
+    done = runs.where("status = 'completed'").groupBy(F.col("source_name").alias("name")).agg(F.count(F.lit(1)).alias("done"))
+    poll = F.coalesce("polling_interval_minutes", F.lit(15))
+    successes = F.coalesce("done", F.lit(0))
+    out = sources.join(latest, "name", "left").join(done, "name", "left")
+    return out.withColumns(
+        {
+            "stale_age_minutes": minutes_since(F.col("last_success_at"), now),
+            "is_stale": stale(F.col("last_success_at"), poll, now),
+            "successful_run_count": successes,
+            "promotion_status": promotion(F.col("source_type"), F.coalesce(F.col("adapter_key").isin(*pilots), F.lit(False)), F.col("is_active"), successes),
+            "can_refresh": F.col("source_type") == "automated",
+        }
+    ).drop("done")
+
+
+def logical_sources(sources: DataFrame, snapshots: DataFrame, rows: DataFrame, now: Column) -> DataFrame:
+    """The sources inside each file source's latest snapshot, listed as sources of their own below it.
+
+    `rows` has snapshot_id, source_name, key and reasons; unnamed rows are left to their file.
+    """
+    latest = snapshots.groupBy("source_id").agg(F.max_by("id", F.struct("captured_at", "id")).alias("snapshot_id"), F.max("captured_at").alias("last_success_at"))
+    files = sources.where("source_type = 'file'").drop("last_success_at").join(latest, F.col("id") == F.col("source_id")).drop("source_id")
+    named = rows.where(~blank(F.col("source_name"))).join(latest.select("snapshot_id"), "snapshot_id", "left_semi")
+    groups = file_quality(named.withColumn("__group", F.struct("snapshot_id", "source_name")), "__group", "key", "reasons")
+    groups = groups.select("__group.snapshot_id", F.col("__group.source_name").alias("logical"), F.col("raw_rows").alias("logical_row_count"), F.col("success_rate").alias("latest_parse_success_rate"), F.col("rejected_rows").alias("latest_rejected_row_count"))
+    out = files.withColumnRenamed("name", "logical_parent_source_name").join(groups, "snapshot_id").drop("snapshot_id")
+    return out.withColumns(
+        {
+            "id": F.concat_ws(":", F.col("id").cast("string"), "logical"),
+            "name": F.col("logical"),
+            "source_type": F.lit("file_logical"),
+            "latest_run_status": F.lit("completed"),
+            "stale_age_minutes": minutes_since(F.col("last_success_at"), now),
+            "is_stale": stale(F.col("last_success_at"), F.coalesce("polling_interval_minutes", F.lit(15)), now),
+            "successful_run_count": F.lit(1).cast("long"),
+            "promotion_status": F.lit("n/a"),
+            "can_refresh": F.lit(False),
+        }
+    ).drop("logical")
+
+
 def due(sources: DataFrame, now: Column, pilots: list[str]) -> DataFrame:
     """Active automated pilot sources whose next poll has come."""
     ready = F.col("next_poll_at").isNull() | (F.col("next_poll_at") <= now)

@@ -106,6 +106,22 @@ def order_of(mode: str, *, at: str = "captured_at", kind: str = "source_type", t
     return [*named.get(mode, [*rest, F.col("location").asc_nulls_last(), F.col("commodity_name").asc_nulls_last()]), *[F.col(c).asc_nulls_last() for c in tie]]
 
 
+def crop_rank(commodity: Column) -> Column:
+    """Place of a crop on a board: corn, soybeans, the wheats by class, other wheat, the rest."""
+    name = F.lower(F.trim(F.coalesce(commodity, F.lit(""))))
+    out = F.when(name == "corn", 1).when(name.isin("soybean", "soybeans"), 2)
+    for place, word in enumerate(("srw", "hrw", "hrs", "wheat"), 3):
+        out = out.when(name.contains(word), place)
+    return out.otherwise(99)
+
+
+def display_order(*, location: str = "location", commodity: str = "commodity_name", company: str = "company_name", delivery: str = "delivery_label", futures: str = "futures_month", tie: tuple[str, ...] = ("id",)) -> list[Column]:
+    """Board order: place, crop, company, delivery and futures month; labels without a month come last."""
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    months = [periods.display_key(F.col(c)).asc_nulls_last() for c in (delivery, futures)]
+    return [low(location), crop_rank(F.col(commodity)), low(commodity), low(company), *months, *[F.col(c).asc_nulls_last() for c in tie]]
+
+
 def first_of_each(df: DataFrame, key: list[Column | str], order: list[Column]) -> DataFrame:
     """The first row of each key in the order; ties must be broken by it."""
     return df.withColumn("__n", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where("__n = 1").drop("__n")

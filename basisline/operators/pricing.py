@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from basisline.functions import periods, prices
+from basisline.functions import periods, prices, text
 
 # Harvest months and new-crop contract month by crop.
 HARVEST_MONTHS = {"corn": (10, 11, 12), "soybeans": (9, 10, 11)}
@@ -145,5 +145,29 @@ def top_bids(df: DataFrame, group: str, order: list[Column], n: int = 3) -> Data
     return df.withColumn("place", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("place") <= n)
 
 
+def report_text(sections: DataFrame, tops: DataFrame, crops: list[str], subject: str, url: str, as_of: str) -> DataFrame:
+    """One row, `body`: the plain-text report. Crops stand in the given order; those without bids say so.
+
+    `sections` has crop, market_count, median_cash and cash_spread; `tops` has crop, place, label, cash, basis, period:
+    a few rows a crop, so the one row that joins them is small whatever the history.
+    """
+    line = F.concat(F.lit("* "), "label", F.lit(" - "), prices.show_cash(F.col("cash")), F.lit("; basis "), prices.show_basis(F.col("basis")), F.lit("; "), F.coalesce("period", F.lit("-")))
+    listed = tops.groupBy("crop").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x.line).alias("lines"))
+    wanted = sections.sparkSession.createDataFrame([(i, c) for i, c in enumerate(crops)], "at int, crop string")
+    rows = wanted.join(sections, "crop", "left").join(listed, "crop", "left")
+    foot = F.concat(F.lit("Markets: "), F.col("market_count").cast("string"), F.lit("; median cash "), prices.show_cash(F.col("median_cash")), F.lit("; range "), prices.show_cash(F.col("cash_spread")), F.lit(" before freight."))
+    block = F.concat_ws("\n", F.col("crop"), F.when(F.col("lines").isNull(), "No current bids.").otherwise(F.concat_ws("\n", F.array_join("lines", "\n"), foot)))
+    body = rows.agg(F.array_sort(F.collect_list(F.struct("at", block.alias("block")))).alias("b"))
+    head, tail = f"{subject}\n\nData as of: {as_of}", f"Current bids: {url.rstrip('/')}\nPosted bids only; freight is not included."
+    return body.select(F.concat_ws("\n\n", F.lit(head), F.array_join(F.transform("b", lambda x: x.block), "\n\n"), F.lit(tail)).alias("body"))
+
+
+def report_html(body: Column) -> Column:
+    """The text report as a page: escaped, first line as heading, blank lines between paragraphs."""
+    parts = F.split(text.escape_html(body), "\n\n")
+    rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.concat(F.lit("<p>"), F.replace(p, F.lit("\n"), F.lit("<br>")), F.lit("</p>")))
+    return F.concat(F.lit("<!doctype html><html><body><h1>"), F.get(parts, F.lit(0)), F.lit("</h1>"), F.array_join(rest, ""), F.lit("</body></html>"))
+
+
 def next_contract(delivery: Column) -> Column:
     return periods.next_month(delivery)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from basisline.functions import keys, periods, prices, text
@@ -671,3 +672,63 @@ def changed_rows_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = c.where("id % 100 <> 0").withColumn("c_acctbal", F.greatest("c_acctbal", F.lit(0.0)))
     return history.changed_only(stored, c, "id", ["c_acctbal"])
 
+
+# ---------------------------------------------------------------- boards and listings
+
+
+@query(
+    r"""WITH l AS (SELECT c_custkey, ['LAC - Brinston Corn', 'Ingredion  Cardinal (plant)', 'Prescott Transfer', 'Toronto Wheat', 'north gower  elevator'][CAST(c_custkey % 5 AS INT) + 1] AS place FROM customer),
+ k AS (SELECT c_custkey, lower(trim(regexp_replace(trim(regexp_replace(trim(regexp_replace(trim(regexp_replace(trim(regexp_replace(trim(regexp_replace(place, '\s+', ' ', 'g')), '(?i)^LAC\s*-\s*', '')), '(?i)^Ingredion\s+', '')), '\s+\([^)]*\)\s*$', '')), '(?i)\s+(corn|soybeans?|wheat|hrw new crop wheat|hrw old crop wheat)$', '')), '(?i)\s+(transfer|ethanol|elevator)$', ''))) AS key FROM l)
+ SELECT c_custkey, key FROM k WHERE key IN ('brinston', 'cardinal', 'chesterville', 'dalkeith', 'embrun', 'johnstown', 'kars', 'lansdowne', 'north gower', 'prescott', 'vankleek hill', 'winchester')"""
+)
+def eastern_place_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = F.array(*map(F.lit, ("LAC - Brinston Corn", "Ingredion  Cardinal (plant)", "Prescott Transfer", "Toronto Wheat", "north gower  elevator")))
+    c = table(spark, sf_dir, "customer").withColumn("place", F.get(places, (F.col("c_custkey") % 5).cast("int")))
+    return c.where(text.in_eastern_ontario(F.col("place"))).select("c_custkey", text.eastern_key(F.col("place")).alias("key"))
+
+
+_BOARD = f"""SELECT o_orderkey, o_orderpriority AS location, ['Corn', 'soybeans', 'SRW Wheat', 'HRW', 'Wheat', 'Oats', NULL][CAST(o_orderkey % 7 AS INT) + 1] AS crop, o_orderstatus AS company,
+ CASE o_orderkey % 3 WHEN 0 THEN {_MONTH_NAMES}[month(o_orderdate)] || ' ' || year(o_orderdate) WHEN 1 THEN 'Harvest ' || lpad(CAST(year(o_orderdate) % 100 AS VARCHAR), 2, '0') END AS delivery, o_orderdate FROM orders"""
+
+
+@query(
+    f"""WITH b AS (SELECT *, CASE o_orderkey % 3 WHEN 0 THEN year(o_orderdate) * 12 + month(o_orderdate) WHEN 1 THEN (2000 + year(o_orderdate) % 100) * 12 + 10 END AS k, CASE o_orderkey % 7 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 WHEN 4 THEN 6 ELSE 99 END AS r FROM ({_BOARD}))
+ SELECT o_orderkey, row_number() OVER (PARTITION BY location ORDER BY r, lower(coalesce(crop, '')), lower(coalesce(company, '')), k NULLS LAST, o_orderkey) AS place FROM b"""
+)
+def board_display_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, kind = table(spark, sf_dir, "orders"), F.col("o_orderkey") % 3
+    crops = F.array(*map(F.lit, ("Corn", "soybeans", "SRW Wheat", "HRW", "Wheat", "Oats", None)))
+    year = F.year("o_orderdate")
+    delivery = F.when(kind == 0, F.concat_ws(" ", periods.month_name(F.month("o_orderdate")), year.cast("string"))).when(kind == 1, F.concat_ws(" ", F.lit("Harvest"), F.lpad((year % 100).cast("string"), 2, "0")))
+    o = o.select("o_orderkey", F.col("o_orderpriority").alias("location"), F.get(crops, (F.col("o_orderkey") % 7).cast("int")).alias("crop"), F.col("o_orderstatus").alias("company"), delivery.alias("delivery"))
+    order = market.display_order(commodity="crop", company="company", delivery="delivery", futures="delivery", tie=("o_orderkey",))
+    return o.select("o_orderkey", F.row_number().over(W.partitionBy("location").orderBy(*order)).cast("long").alias("place"))
+
+
+@query(
+    """WITH c AS (SELECT o_custkey AS company, o_orderpriority AS source, count(*) AS row_count, count(*) FILTER (o_orderstatus = 'F') / count(*) AS winner_rate FROM orders GROUP BY ALL)
+ SELECT company, source, row_number() OVER (PARTITION BY company ORDER BY CASE WHEN source LIKE '5%' THEN 2 ELSE 1 END, winner_rate DESC, row_count DESC, source) AS place FROM c"""
+)
+def candidate_proposal_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("company"), F.col("o_orderpriority").alias("source"))
+    c = o.agg(F.count(F.lit(1)).alias("row_count"), (F.count_if(F.col("o_orderstatus") == "F") / F.count(F.lit(1))).alias("winner_rate"))
+    c = c.withColumn("policy_rank", F.when(F.col("source").startswith("5"), 2).otherwise(1))
+    return c.select("company", "source", F.row_number().over(W.partitionBy("company").orderBy(*canonical.candidate_order(by_rate=True))).cast("long").alias("place"))
+
+
+@query(
+    """WITH r AS (SELECT event_id AS id, event_type AS name, user_id % 40 AS shard, ts, CASE WHEN user_id % 3 = 0 THEN 'failed' ELSE 'completed' END AS status FROM events), s AS (SELECT name || '-' || shard AS name, max(ts) FILTER (status = 'completed') AS ok, count(*) FILTER (status = 'completed') AS done FROM r GROUP BY ALL),
+ t AS (SELECT name || '-' || shard AS name, status FROM (SELECT * FROM r ORDER BY ts DESC, id DESC LIMIT 2000) QUALIFY row_number() OVER (PARTITION BY name || '-' || shard ORDER BY ts DESC, id DESC) = 1), m AS (SELECT max(ts) AS now FROM events)
+ SELECT s.name, t.status AS latest_run_status, done AS successful_run_count, CAST(floor((floor(epoch(now)) - floor(epoch(ok))) / 60) AS BIGINT) AS stale_age_minutes, ok IS NULL OR floor((floor(epoch(now)) - floor(epoch(ok))) / 60) > 240 AS is_stale,
+ CASE WHEN done >= 3 THEN 'promoted' ELSE 'pilot' END AS promotion_status FROM s LEFT JOIN t ON t.name = s.name CROSS JOIN m"""
+)
+def sources_with_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    now = F.lit(e.agg(F.max("ts")).first()[0])
+    name = F.concat_ws("-", "event_type", (F.col("user_id") % 40).cast("string"))
+    nothing = F.lit(None).cast("double")
+    runs = e.select(F.col("event_id").alias("id"), name.alias("source_name"), F.col("ts").alias("started_at"), F.when(F.col("user_id") % 3 == 0, "failed").otherwise("completed").alias("status"), nothing.alias("parse_success_rate"), nothing.alias("rejected_row_count"))
+    ok = F.max(F.when(F.col("status") == "completed", F.col("started_at")))
+    s = runs.groupBy(F.col("source_name").alias("name")).agg(ok.alias("last_success_at"))
+    s = s.select("name", "last_success_at", F.lit(120).alias("polling_interval_minutes"), F.lit("automated").alias("source_type"), F.lit("k").alias("adapter_key"), F.lit(True).alias("is_active"))
+    return health.with_health(s, runs, now, ["k"]).select("name", "latest_run_status", "successful_run_count", "stale_age_minutes", "is_stale", "promotion_status")
