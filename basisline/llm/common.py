@@ -8,8 +8,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only when its counted rows stay within this bound; beyond it Spark joins by shuffle.
+#: A side is broadcast only when its counted rows and then its measured bytes stay within these bounds; beyond them Spark
+#: joins by shuffle.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 
 #: `[^\x20\x09-\x0D]+` words are what remains between runs of these separators.
 BLANKS = r"[ \x09-\x0D]+"
@@ -40,9 +42,18 @@ def bind(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
     return df.select(*keep, packed).select(*keep, *[F.col(f"__b.{n}").alias(n) for n in columns])
 
 
+def is_small(df: DataFrame, bound: int = BROADCAST_ROWS, limit: int = BROADCAST_BYTES) -> bool:
+    """Do a stored table's rows and bytes stay within the bounds? Bytes (of the rows as JSON, which is wider than they are)
+    are measured only once the rows are known to be few."""
+    if df.count() > bound:
+        return False
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("long"))).first()[0]
+    return (size or 0) <= limit
+
+
 def checked_join(left: DataFrame, right: DataFrame, on: Column | list[str], how: str, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with a stored right side: broadcast when its counted rows are within `bound`, else shuffled by Spark."""
-    return left.join(F.broadcast(right) if right.count() <= bound else right, on, how)
+    """Join with a stored right side: broadcast when it is small by count and bytes, else shuffled by Spark."""
+    return left.join(F.broadcast(right) if is_small(right, bound) else right, on, how)
 
 
 def crc_text(col: Column) -> Column:

@@ -2,7 +2,7 @@
 
 Benchmark items become windows of `size` consecutive words (shorter items one window of all their words). Their hashes
 fill a small bitmap; each document's windows are tested against it in the row, the few survivors meet the broadcast
-n-gram table (by shuffle when its counted rows pass a bound) and are verified word by word. A document word inside any
+n-gram table (by shuffle when its counted rows or bytes pass a bound) and are verified word by word. A document word inside any
 occurrence is hit.
 
 Edge cases: null and empty texts have no words and no hits; items without words give no window; windows shared by items
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basisline.llm.common import BROADCAST_ROWS, bind, checked_join, lower_ascii, stored, table
+from basisline.llm.common import BROADCAST_ROWS, bind, checked_join, is_small, lower_ascii, stored, table
 
 #: Everything that is not part of a word, once A-Z are lower-cased.
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -77,7 +77,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, key: str = "doc_
     found = F.concat(*[survivors(k) for k in lengths]) if lengths else F.expr("cast(array() as array<struct<i:int,len:int,g:bigint,gram:string>>)")
     d = bind(d, ["doc_id", "row", "n_words"], c=found)
     d = d.select("doc_id", "row", "n_words", F.explode_outer("c").alias("c")).select("doc_id", "row", "n_words", F.col("c.i").alias("i"), F.col("c.len").alias("len"), F.col("c.g").alias("g"), F.col("c.gram").alias("gram"))
-    d = d.join(F.broadcast(grams) if n <= bound else grams, ["len", "g", "gram"], "left")
+    d = d.join(F.broadcast(grams) if is_small(grams, bound) else grams, ["len", "g", "gram"], "left")
     hit = F.col("items").isNotNull()
     d = d.groupBy("doc_id", "row").agg(
         F.first("n_words").cast("long").alias("n_words"),

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from basisline.llm import decontamination, html_extraction, language_model, line_dedup, near_duplicates, packing, quality_classifier, quality_rules, sharding, warc
+from basisline.llm import common, decontamination, html_extraction, language_model, line_dedup, near_duplicates, packing, quality_classifier, quality_rules, sharding, warc
 from basisline.llm.queries import ORACLE_SQL, QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, k string"
@@ -318,3 +318,9 @@ def test_query_equals_oracle(spark, sf, name):
     assert cols == sorted(want.columns)
     got, want = (x[cols].sort_values(cols).reset_index(drop=True) for x in (got, want))
     pd.testing.assert_frame_equal(got, want)
+
+
+def test_broadcast_needs_few_rows_and_bytes(spark):
+    df = spark.createDataFrame([(1, ["x" * 50] * 3), (None, None)], "k long, v array<string>")
+    assert common.is_small(df) and not common.is_small(df, bound=1) and not common.is_small(df, limit=100)
+    assert common.is_small(df.where("false"), limit=0)
