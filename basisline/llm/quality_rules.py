@@ -4,11 +4,13 @@ Fixed base rules reject very short and very repetitive texts. Further rules comp
 holdout documents certify: for every stratum (language) and rule, cutoffs are tried from the loosest to the strictest,
 and the strictest is taken for which the exact (Clopper-Pearson) upper bound on the false rejection rate of good
 documents stays within the rule's share of the allowed risk. Trying in a fixed order and stopping at the first failure
-needs no correction within a rule; a Bonferroni share of the error level covers rules and strata. Without enough
-labelled documents no cutoff is certified and the rule rejects nothing.
+needs no correction within a rule; a Bonferroni share of the error level covers rules and strata. A stratum so small that
+even no false rejection at all would not certify anything follows the pooled cutoffs, which keep the risk over all
+languages together but not in it alone. Without enough labelled documents at all no cutoff is certified and the rules
+reject nothing.
 
-Edge cases: null and empty texts have no words and fail the base rules; null languages form a stratum; strata with few
-labelled documents use the pooled cutoffs, certified separately; an empty table gives an empty result; repeated rows are
+Edge cases: null and empty texts have no words and fail the base rules; null languages form a stratum; strata too
+small for the bound use the pooled cutoffs, certified separately; an empty table gives an empty result; repeated rows are
 judged alike; extra columns are kept by `keep_good` and ignored by `judge`.
 """
 
@@ -34,7 +36,10 @@ RULES = {
 
 @dataclass(frozen=True)
 class RiskBudget:
-    """At most `max_false_rejection` of a stratum's good documents may go, with confidence 1 - `error`."""
+    """At most `max_false_rejection` of a stratum's good documents may go, with confidence 1 - `error`.
+
+    `min_stratum` is the size from which the oracle SQL gives a stratum cutoffs of its own; here the bound itself decides.
+    """
 
     max_false_rejection: float = 0.02
     error: float = 0.05
@@ -111,18 +116,27 @@ def certified(k: int, n: int, risk: float, error: float) -> bool:
     return n > 0 and k < n and binomial_tail(k, n, risk) <= error
 
 
+def own_strata(sizes: dict[str, int], risk: float, error: float) -> list[str]:
+    """The strata that can be certified alone, as many as possible: without any false rejection their bound would hold
+    at the level `error` / (strata + 1). Only sizes count, so the choice costs no confidence."""
+    names = sorted(sizes, key=lambda s: (-sizes[s], s))
+    return next((names[:m] for m in range(len(names), 0, -1) if certified(0, sizes[names[m - 1]], risk, error / (m + 1))), [])
+
+
 def learn_cutoffs(metrics: DataFrame, labels: DataFrame, budget: RiskBudget, stratum: str = "lang", key: str = "doc_id") -> dict[str | None, dict[str, float]]:
     """Cutoffs by stratum, '*' for the pooled rest. One narrow aggregation; only bounded counts reach the driver."""
     good = labels.where(F.col("quality") == 1).select(F.col(key).alias("__k")).distinct()
     held = metrics.where(~F.col("base_failed")).join(good, F.col(key) == F.col("__k"), "left_semi")
     sums = [F.count(F.lit(1)).alias("n")] + [F.sum((F.col(m) > c).cast("int")).alias(f"{m}_{i}") for m, cuts in RULES.items() for i, c in enumerate(cuts)]
     by = held.groupBy(F.coalesce(F.col(stratum), F.lit("")).alias("s")).agg(*sums)
-    big = by.where(F.col("n") >= budget.min_stratum).collect()  # at most labelled rows / min_stratum
+    risk, error = budget.max_false_rejection / len(RULES), budget.error / len(RULES)
+    least = math.floor(math.log(error / 2) / math.log1p(-risk))  # no smaller stratum can be certified
+    found = {r["s"]: r for r in by.where(F.col("n") >= least).collect()}  # at most labelled rows / least
+    own = own_strata({s: r["n"] for s, r in found.items()}, risk, error)
     pooled = held.agg(*sums).first()
-    risk = budget.max_false_rejection / len(RULES)
-    level = budget.error / (len(RULES) * (len(big) + 1))
+    level = error / (len(own) + 1)
     out: dict[str | None, dict[str, float]] = {}
-    for name, row in [("*", pooled), *[(r["s"], r) for r in big]]:
+    for name, row in [("*", pooled), *[(s, found[s]) for s in own]]:
         out[name] = {}
         for m, cuts in RULES.items():
             for i, c in enumerate(cuts):

@@ -194,6 +194,20 @@ def test_certified_cutoffs_are_exact():
     assert quality_rules.certified(0, 1000, 0.004, 0.05) and not quality_rules.certified(0, 100, 0.004, 0.05) and not quality_rules.certified(5, 1000, 0.004, 0.05)
 
 
+def test_strata_follow_the_bound(spark):
+    """A language of 600 good rows, too few for the bound alone, is filtered like one of 400; larger ones stand alone."""
+    assert quality_rules.own_strata({"a": 1321}, 0.004, 0.01) == [] and quality_rules.own_strata({"a": 1322}, 0.004, 0.01) == ["a"]
+    assert quality_rules.own_strata({"a": 9000, "b": 1400, "c": 1400}, 0.004, 0.01) == ["a"] and quality_rules.own_strata({}, 0.004, 0.01) == []
+    sizes = [("en", 3000), ("fr", 600), ("de", 400), ("es", 2000)]
+    rest = [m for m in quality_rules.RULES if m != "upper_ratio"]
+    rows = [(f"{s}{i}", s, 0.99 if s == "es" and i < 100 else 0.0) for s, n in sizes for i in range(n)]
+    metrics = spark.createDataFrame(rows, "doc_id string, lang string, upper_ratio double").selectExpr("*", "false AS base_failed", *[f"CAST(0 AS DOUBLE) AS {m}" for m in rest])
+    cuts = quality_rules.learn_cutoffs(metrics, metrics.selectExpr("doc_id", "1 AS quality"), quality_rules.RiskBudget())
+    assert set(cuts) == {"*", "en", "es"} and "upper_ratio" not in cuts["es"] and "upper_ratio" not in cuts["*"]
+    bad = spark.createDataFrame([(s,) for s, _ in sizes], "lang string").selectExpr("*", "CAST(0 AS DOUBLE) AS upper_ratio", *[f"CAST(9 AS DOUBLE) AS {m}" for m in rest])
+    assert {r.lang for r in bad.where(quality_rules.over_cutoff(cuts, F.col("lang"))).collect()} == {"en", "fr", "de", "es"}
+
+
 def test_near_duplicates(spark, sf, docs):
     out = QUERIES["op7_bayesian_jaccard_join"](spark, sf).toPandas()
     assert {r.doc_id: (r.class_id, r.class_size, r.n_links) for r in out.itertuples()} == B.jaccard_classes(pairs(docs))
