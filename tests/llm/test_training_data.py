@@ -1,6 +1,7 @@
 """The training-data operators against brute force on small tables, and their edge cases."""
 
 import gzip
+import itertools
 import random
 import zlib
 from collections import Counter
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from basisline.llm import common, decontamination, html_extraction, language_model, line_dedup, near_duplicates, packing, quality_classifier, quality_rules, sharding, warc
+from basisline.llm import common, components, decontamination, html_extraction, language_model, line_dedup, near_duplicates, packing, quality_classifier, quality_rules, sharding, warc
 from basisline.llm.queries import ORACLE_SQL, QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, k string"
@@ -208,6 +209,17 @@ def test_strata_follow_the_bound(spark):
     assert {r.lang for r in bad.where(quality_rules.over_cutoff(cuts, F.col("lang"))).collect()} == {"en", "fr", "de", "es"}
 
 
+def test_components_of_any_length(spark):
+    """A chain of random ids, far beyond 60 hops, beside a star of small leaves and a ring."""
+    rng = random.Random(8)
+    ids = rng.sample(range(10_000, 10**9), 3000)
+    edges = list(itertools.pairwise(ids)) + [(5000, k) for k in range(50)] + [(6000 + k, 6000 + (k + 1) % 40) for k in range(40)] + [(7000, 7000)]
+    rng.shuffle(edges)
+    got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == dict.fromkeys(ids, min(ids)) | dict.fromkeys([5000, *range(50)], 0) | {6000 + k: 6000 for k in range(40)}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_near_duplicates(spark, sf, docs):
     out = QUERIES["op7_bayesian_jaccard_join"](spark, sf).toPandas()
     assert {r.doc_id: (r.class_id, r.class_size, r.n_links) for r in out.itertuples()} == B.jaccard_classes(pairs(docs))
