@@ -53,22 +53,35 @@ class _Words(dict):
 
 
 class ByteBpe:
-    """Byte-level BPE of a tokenizers JSON file; special strings in a text are ordinary text."""
+    """Byte-level BPE of a tokenizers JSON file; its added tokens have their own ids wherever a text holds them."""
 
     def __init__(self, path: str):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            file = json.load(f)
+        vocab = file["model"]["vocab"]
+        self.added = {t["content"]: np.asarray([t["id"]], "<u4").tobytes() for t in file.get("added_tokens") or []}
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in file.get("added_tokens") or []):
+            raise ValueError(f"added tokens that take in what is beside them: {path}")
+        self.split = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) or r"(?!)")
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
-        ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if all(c in byte_of for c in token) and token != "<|endoftext|>"}
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if all(c in byte_of for c in token) and token not in self.added}
         self.encode = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.first, self.later = _Words(self.encode, ""), _Words(self.encode, " ")
         self.newline = np.asarray(self.encode("\n"), "<u4").tobytes()
 
     def id_bytes(self, text: str) -> bytes:
         """All ids of the text as little-endian unsigned 32-bit integers."""
+        out, at = [], 0
+        for m in self.split.finditer(text):
+            out += [self.plain_bytes(text[at : m.start()]), self.added[m[0]]]
+            at = m.end()
+        return b"".join([*out, self.plain_bytes(text[at:])]) if out else self.plain_bytes(text)
+
+    def plain_bytes(self, text: str) -> bytes:
+        """The ids of a text without added tokens."""
         if not text or UNEVEN_BLANKS.search(text):
             return np.asarray(self.encode(text), "<u4").tobytes()
         out = []

@@ -59,6 +59,20 @@ def test_packing(spark, sf, docs):
     assert out.sequence_id.nunique() <= -(-out.length.sum() // 2048) * 1.02 + 1
 
 
+def test_packing_added_tokens():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    t, bpe = Tokenizer.from_file(path), packing.ByteBpe(path)
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, end * 3, f"{end}\n", f" {end}  {end} x", f"a\n\n{end}b", f"<|{end}|>", "<|endoftext|", f"ab  {end}\n word's", f"\u00e9{end}\u6587", ""]
+    rng = random.Random(4)
+    texts += ["".join(rng.choice(["a", " ", "\n", "b c", end, "<|", "|>", "\u00e9", "1", "\t"]) for _ in range(rng.randrange(12))) for _ in range(300)]
+    assert [np.frombuffer(bpe.id_bytes(x), "<u4").tolist() for x in texts] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert np.frombuffer(bpe.id_bytes(f"a {end} b"), "<u4").tolist() == [64, 220, 50256, 275]
+
+
 def test_packing_plan_is_exact_and_full():
     rng = random.Random(3)
     counts = Counter(rng.randint(1, 64) for _ in range(500))
