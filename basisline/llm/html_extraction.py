@@ -7,7 +7,8 @@ sum is the core of the page; the smallest density on its path up to the body is
 reaches the threshold gives the element of largest density sum inside it.
 
 Densities alone can't tell a long notice or reader comment from the article, so elements that HTML names as something else
-(navigation, footers, asides, forms; classes, ids and roles such as "ad", "cookie" or "comments") leave the tree first.
+(navigation, footers, asides, forms; classes, ids and roles such as "ad", "cookie" or "comments") leave the tree first,
+unless they hold most of the page's paragraph text or all its articles.
 
 Edge cases: null and empty pages give an empty text; broken nesting, unclosed tags and pages of any length are parsed
 whole; repeated rows are extracted each; an empty table gives an empty result; extra columns are ignored.
@@ -36,6 +37,20 @@ OTHER_NAMES = re.compile(
 CONTAINERS = frozenset("html body main article section div td center blockquote details figure table tbody ul ol dl".split())
 
 
+#: Class words that tell what a wrapper has or lacks, and headers that belong to an article.
+ABOUT = re.compile(r"(?:with|without|has|no)[-_]|(?:article|post|entry|story|content)[-_]+header\Z")
+#: Text of readers stays apart however long it is.
+READERS = re.compile(r"(?<![a-z])(?:comments?|respond|replies|disqus)(?![a-z])")
+
+
+def inside(node: Node) -> bool:
+    """Does the element stand in an article or main?"""
+    up = node.parent
+    while up is not None and up.tag not in ("article", "main"):
+        up = up.parent
+    return up is not None
+
+
 def is_other(node: Node) -> bool:
     """Is the element something else than article text, by its tag, class, id or role?"""
     if node.tag in OTHER_TAGS:
@@ -43,20 +58,41 @@ def is_other(node: Node) -> bool:
     if node.tag in ("body", "html", "main", "article"):
         return False
     if node.tag == "header":
-        up = node.parent
-        while up is not None and up.tag not in ("article", "main"):
-            up = up.parent
-        return up is None
-    return bool(node.names) and bool(OTHER_NAMES.search(node.names))
+        return not inside(node)
+    found = [m[0] for name in node.names.split() if not ABOUT.match(name) for m in OTHER_NAMES.finditer(name)]
+    return bool(found) and not (set(found) == {"header"} and inside(node))
+
+
+def holdings(root: Node) -> dict[Node, list[int]]:
+    """Of each element: its characters in paragraphs outside links, and the articles and mains below it."""
+    out: dict[Node, list[int]] = {}
+    todo = [(root, False, False)]
+    while todo:
+        n, p, link = todo.pop()
+        p, link = p or n.tag == "p", link or n.tag == "a"
+        out[n] = [sum(len(x.strip()) for x in n.items if isinstance(x, str)) if p and not link else 0, 0]
+        todo.extend((x, p, link) for x in n.items if isinstance(x, Node) and x.tag not in RAW)
+    for n in reversed(out):
+        if n is not root:
+            up = out[n.parent]
+            up[0], up[1] = up[0] + out[n][0], up[1] + out[n][1] + (n.tag in ("article", "main"))
+    return out
 
 
 def order(root: Node) -> list[Node]:
-    """The elements that may hold article text, parents before children."""
-    out, todo = [], [root]
+    """The elements that may hold article text, parents before children.
+
+    A form or an element of another name stays if it holds most of the page's paragraph text or all its articles.
+    """
+    out, todo, held = [], [root], None
     while todo:
         n = todo.pop()
         if n is not root and is_other(n):
-            continue
+            if n.tag in OTHER_TAGS and n.tag != "form" or n.tag == "header" or READERS.search(n.names):
+                continue
+            held = held or holdings(root)
+            if 2 * held[n][0] <= held[root][0] and not 0 < held[n][1] == held[root][1]:
+                continue
         out.append(n)
         todo.extend(x for x in reversed(n.items) if isinstance(x, Node))
     return out
@@ -96,6 +132,7 @@ def main_text(html: str | None) -> str:
         if parent[k] >= 0:
             up = count[parent[k]]
             up[0], up[1], up[2], up[3] = up[0] + c[0], up[1] + c[1] + 1, up[2] + c[2], up[3] + c[3]
+    other = lambda n: n not in place
     body = next((k for k, n in enumerate(nodes) if n.tag == "body"), 0)
     body_links = count[body][2] / (count[body][0] or 1)
     dense = [composite_density(c, body_links) for c in count]
@@ -117,18 +154,18 @@ def main_text(html: str | None) -> str:
         path.append(k)
     for k in path:  # an enclosing article is wanted whole
         if nodes[k].tag in ("article", "main") and count[k][0]:
-            return "\n".join(blocks(nodes[k], is_other))
+            return "\n".join(blocks(nodes[k], other))
     floor, above = min(dense[k] for k in path), set(path[1:])
     out, todo = [], [nodes[body]]
     while todo:
         n = todo.pop()
         k = place[n]
         if k == core:
-            out += blocks(n, is_other)
+            out += blocks(n, other)
         elif k in above:
             todo.extend(x for x in reversed(n.items) if isinstance(x, Node) and x in place)
         elif n.tag in BLOCKS and count[k][0] and dense[k] >= floor:
-            out += blocks(n, is_other)
+            out += blocks(n, other)
     return "\n".join(out)
 
 

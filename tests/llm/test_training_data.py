@@ -192,6 +192,19 @@ def test_html_extraction(spark):
     assert html_extraction.extract(pages).count() == 6 and html_extraction.extract(pages.limit(0)).count() == 0
 
 
+def test_html_wrappers_that_hold_the_article():
+    p = "<p>" + "A sentence of the article, with enough words to count as text. " * 6 + "</p>"
+    side = '<div class="comments"><p>Nice one, thanks for it.</p></div><div class="ad">Buy this now.</div><form><input> search</form>'
+    for open_, close in [("<form action=x>", "</form>"), *[(f"<div class='{c}'>", "</div>") for c in ("layout with-sidebar", "site no-sidebar", "has-footer", "content social", "search-results")]]:
+        for body in (p * 3, f"<article>{p * 3}</article>"):
+            text = html_extraction.main_text(f"<body>{open_}{body}{close}{side}</body>")
+            assert text.count("A sentence") == 18 and "Nice" not in text and "Buy" not in text and "search" not in text
+    for name in ("article-header", "post-header", "entry-header", "header"):
+        assert html_extraction.main_text(f'<body><article><div class="{name}"><h1>Title</h1></div>{p}</article></body>').startswith("Title\n")
+    readers = html_extraction.main_text(f'<body><div id="x">{p * 2}</div><ol class="comment-list"><article>{p.replace("A sentence", "Reader") * 9}</article></ol></body>')
+    assert readers.count("A sentence") == 12 and "Reader" not in readers
+
+
 def test_quality_counts(spark, sf, docs, odd):
     out = QUERIES["op6_risk_controlled_rules"](spark, sf).toPandas()
     assert {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in out.itertuples()} == {d: B.quality(t) for d, t in pairs(docs)}
