@@ -4,7 +4,8 @@ Every element of the page tree gets its characters, tags, link characters and li
 number of characters per tag, lowered where links carry the text (relative to the whole body). The density sum of an
 element is the sum of its children's densities (its own loose text counts as a child). The element of the largest density
 sum is the core of the page; the smallest density on its path up to the body is the threshold, and every subtree that
-reaches the threshold gives the element of largest density sum inside it.
+reaches the threshold gives the element of largest density sum inside it. Loose and inline texts of the path elements are
+blocks of their own; headings and blocks without links stay when only such stand between them and text that stays.
 
 Densities alone can't tell a long notice or reader comment from the article, so elements that HTML names as something else
 (navigation, footers, asides, forms; classes, ids and roles such as "ad", "cookie" or "comments") leave the tree first,
@@ -35,6 +36,7 @@ OTHER_NAMES = re.compile(
 
 #: Elements that can be the core of a page; paragraphs, headings and inline elements are parts of one.
 CONTAINERS = frozenset("html body main article section div td center blockquote details figure table tbody ul ol dl".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 #: Class words that tell what a wrapper has or lacks, and headers that belong to an article.
@@ -156,17 +158,57 @@ def main_text(html: str | None) -> str:
         if nodes[k].tag in ("article", "main") and count[k][0]:
             return "\n".join(blocks(nodes[k], other))
     floor, above = min(dense[k] for k in path), set(path[1:])
-    out, todo = [], [nodes[body]]
+    parts, todo = [], [nodes[body]]  # kept, may stay beside kept ones, is a heading, lines
     while todo:
         n = todo.pop()
+        if isinstance(n, list):  # loose and inline texts of a path element, a block of their own
+            run = Node("span", None)
+            run.items = n
+            links = sum(count[place[x]][2] for x in n if isinstance(x, Node))
+            chars = sum(len(x.strip()) if isinstance(x, str) else count[place[x]][0] for x in n)
+            if chars:
+                parts.append((False, 2 * links < chars, False, blocks(run, other)))
+            continue
         k = place[n]
         if k == core:
-            out += blocks(n, other)
+            parts.append((True, True, False, blocks(n, other)))
         elif k in above:
-            todo.extend(x for x in reversed(n.items) if isinstance(x, Node) and x in place)
-        elif n.tag in BLOCKS and count[k][0] and dense[k] >= floor:
-            out += blocks(n, other)
-    return "\n".join(out)
+            todo.extend(reversed(grouped(n, place, {core} | above)))
+        elif count[k][0]:
+            heading = n.tag in HEADINGS
+            parts.append((dense[k] >= floor, heading or not count[k][3], heading, blocks(n, other)))
+    return "\n".join(beside(parts))
+
+
+def grouped(node: Node, place: dict[Node, int], path: set[int]) -> list:
+    """The node's blocks and path elements, and lists of the loose and inline texts between them, in page order."""
+    out: list = []
+    for x in node.items:
+        if isinstance(x, Node) and x not in place:
+            continue
+        if isinstance(x, Node) and (x.tag in BLOCKS and x.tag != "br" or place[x] in path):
+            out.append(x)
+        elif out and isinstance(out[-1], list):
+            out[-1].append(x)
+        else:
+            out.append([x])
+    return out
+
+
+def beside(parts: list[tuple[bool, bool, bool, list[str]]]) -> list[str]:
+    """Lines of the kept parts and of those that may stay in one run with them; a heading needs a part after it."""
+    out: list[str] = []
+    run: list[tuple[bool, bool, bool, list[str]]] = []
+    for part in [*parts, (False, False, False, [])]:
+        if part[0] or part[1]:
+            run.append(part)
+            continue
+        if any(x[0] for x in run):
+            while run[-1][2] and not run[-1][0]:
+                run.pop()
+            out += [line for x in run for line in x[3]]
+        run = []
+    return out
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:

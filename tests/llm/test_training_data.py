@@ -205,6 +205,17 @@ def test_html_wrappers_that_hold_the_article():
     assert readers.count("A sentence") == 12 and "Reader" not in readers
 
 
+def test_html_text_beside_the_core():
+    long = "A sentence of the article, with enough words to count as text. " * 80
+    links = '<ul><li><a href="/a">One more page</a></li><li><a href="/b">Another page</a></li></ul>'
+    got = html_extraction.main_text(f"<body>{links}<h1>Title</h1><div><p>{long}</p><p>{long}</p></div><h2>Part</h2><p>Short end.</p><h2>More</h2>{links}</body>")
+    assert got.split("\n") == ["Title", long.strip(), long.strip(), "Part", "Short end."]
+    got = html_extraction.main_text(f"<body>first text<br>second <b>bold</b> text<div>{long}</div>last <i>words</i></body>")
+    assert got.split("\n") == ["first text", "second bold text", long.strip(), "last words"]
+    got = html_extraction.main_text(f"<body><a href='/'>Home</a> | <a href='/x'>All</a><hr><div><div><p>{long}</p></div></div></body>")
+    assert got == long.strip()
+
+
 def test_quality_counts(spark, sf, docs, odd):
     out = QUERIES["op6_risk_controlled_rules"](spark, sf).toPandas()
     assert {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in out.itertuples()} == {d: B.quality(t) for d, t in pairs(docs)}
