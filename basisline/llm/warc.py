@@ -16,6 +16,7 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +27,7 @@ from basisline.llm.dom import visible_text
 
 VERSION = b"WARC/1.1"
 SPACE = uuid.UUID("5f6c0f0e-8d0f-5b53-9b7e-0c3a5a1d2b11")
-HREF = re.compile(r"<a\s[^>]*?href\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", re.I)
+HREF = re.compile(r"<a(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?<![^\s\"'/])href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*))", re.I)
 TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.I | re.S)
 CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 
@@ -121,7 +122,7 @@ def derivatives(headers: dict[str, str], block: bytes) -> list[tuple[str, str, b
     fields = [("http-status", status.partition(" ")[2].partition(" ")[0]), *((f"http-header-{k.lower()}", v) for k, v in http), ("payload-digest", digest(body)), ("payload-length", str(len(body)))]
     fields += [("source-block-digest", headers.get("warc-block-digest") or digest(block))]
     fields += [("title", " ".join(title[1].split()))] if title else []
-    fields += [("outlink", a or b) for a, b in HREF.findall(html)]
+    fields += [("outlink", re.sub(r"[\t\r\n]", "", unescape(a or b or c))) for a, b, c in HREF.findall(html)]
     out = []
     blocks_of = (("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in fields)), ("conversion", "text/plain; charset=utf-8", plain_text(html)))
     ids = {kind: record_id(kind.encode(), source.encode(), text.encode("utf-8", "replace")) for kind, _, text in blocks_of}

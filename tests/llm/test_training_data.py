@@ -343,6 +343,13 @@ def test_warc_round_trip(spark):
     assert warc.derive(made.limit(0), "page_id", "warc").count() == 0
 
 
+def test_warc_outlinks():
+    page = """<a href=/x>1</a><A class=c HREF = 'y?a=1&amp;b=2'>2</A><a title="a > b" href="/z">3</a><a data-href="/no">4</a><a href=/w/>5</a><abbr href=/no>"""
+    (headers, block), = warc.read_records(warc.response_record("http://a/", page, "2024-01-01T00:00:00Z", "1"))
+    meta = warc.derivatives(headers, block)[0][2].decode().split("\r\n")
+    assert [x for x in meta if x.startswith("outlink")] == ["outlink: /x", "outlink: y?a=1&b=2", "outlink: /z", "outlink: /w/"]
+
+
 def test_warc_reads_gzip_and_chunked():
     body = b"<p>hi</p>"
     http = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nContent-Encoding: gzip\r\n\r\n"
