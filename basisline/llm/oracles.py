@@ -6,7 +6,7 @@ Rows are told apart by a row number, so repeated keys are no special case. The S
 from __future__ import annotations
 
 from basisline.llm.line_dedup import MIN_SITES
-from basisline.llm.quality_rules import RULES, RiskBudget
+from basisline.llm.quality_rules import N_SETTINGS, RULES, RiskBudget
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -33,7 +33,7 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
 FROM docs LEFT JOIN covered USING (rid) LEFT JOIN named USING (rid)"""
 
 _B = RiskBudget()
-_CUTS = ", ".join(f"('{rule}', {i}, CAST({c} AS DOUBLE))" for rule, cuts in RULES.items() for i, c in enumerate(cuts))
+_SETTING = f"least({', '.join('CASE ' + ' '.join(f'WHEN {rule} > {c} THEN {j}' for j, c in enumerate(cuts)) + f' ELSE {N_SETTINGS} END' for rule, cuts in RULES.items())})"
 
 OP6 = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents),
@@ -51,20 +51,18 @@ judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base
  coalesce(CAST(n_symbols AS DOUBLE) / nullif(word_chars, 0), 0) AS symbol_ratio, coalesce(CAST(n_upper AS DOUBLE) / nullif(word_chars, 0), 0) AS upper_ratio,
  coalesce(CAST(n_exclaim AS DOUBLE) / nullif(n_words, 0), 0) AS exclaim_ratio, coalesce(CAST(n_dup_lines AS DOUBLE) / nullif(n_lines, 0), 0) AS dup_line_ratio,
  coalesce(CAST(n_repeat_words AS DOUBLE) / nullif(n_words, 0), 0) AS repeat_word_ratio FROM counts),
-ratios AS (SELECT rid, doc_id, lang, base_failed, rule, ratio FROM judged UNPIVOT (ratio FOR rule IN ({", ".join(RULES)}))),
-cuts(rule, i, cut) AS (VALUES {_CUTS}),
-held AS (SELECT * FROM ratios WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
-tried AS (SELECT s, rule, i, cut, count(*) AS n, count(*) FILTER (WHERE ratio > cut) AS k
- FROM (SELECT lang AS s, * FROM held UNION ALL SELECT '*' AS s, * FROM held) JOIN cuts USING (rule) GROUP BY ALL),
-strata AS (SELECT * FROM tried WHERE s = '*' OR n >= {_B.min_stratum}),
-levels AS (SELECT {_B.error} / ({len(RULES)} * count(DISTINCT s)) AS level, {_B.max_false_rejection} / {len(RULES)} AS p FROM strata),
-tails AS (SELECT s, rule, i, cut, n, k, level,
- list_sum([exp(lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + x * ln(p) + (n - x) * ln(1 - p)) FOR x IN range(0, k + 1)]) AS tail FROM strata CROSS JOIN levels),
-stops AS (SELECT s, rule, i, cut, bool_and(k < n AND tail <= level) OVER (PARTITION BY s, rule ORDER BY i) AS good FROM tails),
-chosen AS (SELECT s, rule, max_by(cut, i) FILTER (WHERE good) AS cut FROM stops GROUP BY s, rule),
-over AS (SELECT rid FROM ratios r LEFT JOIN chosen own ON own.s = r.lang AND own.rule = r.rule LEFT JOIN chosen pool ON pool.s = '*' AND pool.rule = r.rule
- WHERE r.ratio > CASE WHEN own.s IS NOT NULL THEN own.cut ELSE pool.cut END)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rid NOT IN (SELECT rid FROM over) AS kept FROM judged"""
+placed AS (SELECT *, {_SETTING} AS setting FROM judged),
+held AS (SELECT lang, setting FROM placed WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+sizes AS (SELECT lang, count(*) AS n FROM held GROUP BY lang),
+ranks AS (SELECT lang, n, row_number() OVER (ORDER BY n DESC, lang) AS r FROM sizes),
+tried AS (SELECT lang, n, j, {_B.error} / (r * (r + 1)) AS level, (SELECT count(*) FROM held h WHERE h.lang = ranks.lang AND h.setting <= j) AS k
+ FROM ranks CROSS JOIN (SELECT unnest(range(0, {N_SETTINGS})) AS j)),
+tails AS (SELECT lang, n, j, k, level,
+ list_sum([exp(lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + x * ln({_B.max_false_rejection}) + (n - x) * ln(1 - {_B.max_false_rejection})) FOR x IN range(0, k + 1)]) AS tail FROM tried),
+stops AS (SELECT lang, j, bool_and(k < n AND tail <= level) OVER (PARTITION BY lang ORDER BY j) AS good FROM tails),
+chosen AS (SELECT lang, max(j) AS j FROM stops WHERE good GROUP BY lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND setting > coalesce(chosen.j, -1) AS kept
+FROM placed LEFT JOIN chosen USING (lang)"""
 
 OP7 = f"""
 WITH RECURSIVE docs AS (SELECT row_number() OVER () AS rid, doc_id, {_words("text")} AS words FROM documents),

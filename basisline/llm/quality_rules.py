@@ -1,17 +1,18 @@
 """Quality rules with risk-controlled thresholds.
 
-Fixed base rules reject very short and very repetitive texts. Further rules compare a ratio with a cutoff that labelled
-holdout documents certify: for every stratum (language) and rule, cutoffs are tried from the loosest to the strictest,
-and the strictest is taken for which the exact (Clopper-Pearson) upper bound on the false rejection rate of good
-documents stays within the rule's share of the allowed risk. Trying in a fixed order and stopping at the first failure
-needs no correction within a rule; a Bonferroni share of the error level covers rules and strata. A stratum so small that
-even no false rejection at all would not certify anything follows the pooled cutoffs, which keep the risk over all
-languages together but not in it alone. Without enough labelled documents at all no cutoff is certified and the rules
-reject nothing.
-
-Edge cases: null and empty texts have no words and fail the base rules; null languages form a stratum; strata too
-small for the bound use the pooled cutoffs, certified separately; an empty table gives an empty result; repeated rows are
-judged alike; extra columns are kept by `keep_good` and ignored by `judge`.
+Fixed base rules reject very short and very repetitive texts. Further rules compare ratios with cutoffs that labelled
+holdout documents certify. The rules tighten together along one fixed sequence of settings; a setting rejects a document if
+any ratio is over that rule's cutoff. Every stratum (language) walks the sequence from the loosest setting on and keeps the
+last one before the first for which the exact (Clopper-Pearson) upper bound on its own false rejection rate of good
+documents exceeds the allowed risk. Walking in a fixed order and stopping at the first failure needs no correction within a
+stratum; over strata the error level is divided by rank: the r-th largest stratum (by labelled good documents) tests at
+error / (r (r + 1)), and these shares sum to at most the error for any number of strata, so a further stratum takes nothing
+from the larger ones. A stratum with too few labels to certify the loosest setting (`needed` says how many that are)
+rejects nothing beyond the base rules: no stratum borrows the cutoffs of another.
+
+Edge cases: null and empty texts have no words and fail the base rules; null languages form a stratum; without labels the
+base rules alone decide; an empty table gives an empty result; repeated rows are judged alike; extra columns are kept by
+`keep_good` and ignored by `judge`.
 """
 
 from __future__ import annotations
@@ -24,28 +25,24 @@ from pyspark.sql import functions as F
 
 from basisline.llm.common import BLANKS, bind, stored, table
 
-#: Rule name -> cutoffs from the loosest to the strictest; a document is rejected if its ratio is over the cutoff.
+#: Rule name -> its cutoff in each setting, from the loosest to the strictest; a ratio over it rejects.
 RULES = {
     "symbol_ratio": (0.50, 0.40, 0.30, 0.25, 0.20, 0.16, 0.13, 0.10, 0.08, 0.06, 0.05, 0.04),
-    "upper_ratio": (0.95, 0.90, 0.80, 0.70, 0.60, 0.50, 0.40, 0.30, 0.20),
-    "exclaim_ratio": (1.50, 1.00, 0.70, 0.50, 0.40, 0.30, 0.20, 0.15, 0.10),
-    "dup_line_ratio": (0.90, 0.80, 0.70, 0.60, 0.50, 0.40, 0.30, 0.20),
-    "repeat_word_ratio": (0.50, 0.45, 0.40, 0.35, 0.30, 0.25, 0.20, 0.15, 0.10),
+    "upper_ratio": (0.95, 0.90, 0.80, 0.70, 0.60, 0.50, 0.45, 0.40, 0.35, 0.30, 0.25, 0.20),
+    "exclaim_ratio": (1.50, 1.00, 0.70, 0.50, 0.40, 0.30, 0.25, 0.20, 0.175, 0.15, 0.125, 0.10),
+    "dup_line_ratio": (0.90, 0.80, 0.70, 0.60, 0.55, 0.50, 0.45, 0.40, 0.35, 0.30, 0.25, 0.20),
+    "repeat_word_ratio": (0.50, 0.45, 0.40, 0.375, 0.35, 0.325, 0.30, 0.25, 0.225, 0.20, 0.15, 0.10),
 }
+N_SETTINGS = 12
 
 
 @dataclass(frozen=True)
 class RiskBudget:
-    """At most `max_false_rejection` of a stratum's good documents may go, with confidence 1 - `error`.
-
-    `min_stratum` is the size from which the oracle SQL gives a stratum cutoffs of its own; here the bound itself decides.
-    """
+    """At most `max_false_rejection` of each stratum's good documents may go beyond the base rules; with confidence
+    1 - `error` this holds in all strata at once."""
 
     max_false_rejection: float = 0.02
     error: float = 0.05
-    min_stratum: int = 500
-
-
 
 
 def measured(docs: DataFrame, keep: list[str], text: Column) -> DataFrame:
@@ -90,7 +87,7 @@ def measured(docs: DataFrame, keep: list[str], text: Column) -> DataFrame:
     )
     ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
     w = bind(w, [*keep, *counts], n_repeat_words=covered)
-    return w.select(
+    w = w.select(
         *keep,
         *[F.col(c).cast("long").alias(c) for c in (*counts, "n_repeat_words")],
         ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
@@ -100,6 +97,18 @@ def measured(docs: DataFrame, keep: list[str], text: Column) -> DataFrame:
         ratio("n_dup_lines", "n_lines").alias("dup_line_ratio"),
         ratio("n_repeat_words", "n_words").alias("repeat_word_ratio"),
     )
+    return w.withColumn("setting", first_rejecting())
+
+
+def first_rejecting() -> Column:
+    """The loosest setting that rejects the document, N_SETTINGS if none does. Settings only tighten, so all later ones do."""
+    by_rule = []
+    for rule, cuts in RULES.items():
+        place = F.lit(N_SETTINGS)
+        for i in range(N_SETTINGS - 1, -1, -1):
+            place = F.when(F.col(rule) > cuts[i], i).otherwise(place)
+        by_rule.append(place)
+    return F.least(*by_rule)
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
@@ -116,46 +125,38 @@ def certified(k: int, n: int, risk: float, error: float) -> bool:
     return n > 0 and k < n and binomial_tail(k, n, risk) <= error
 
 
-def own_strata(sizes: dict[str, int], risk: float, error: float) -> list[str]:
-    """The strata that can be certified alone, as many as possible: without any false rejection their bound would hold
-    at the level `error` / (strata + 1). Only sizes count, so the choice costs no confidence."""
-    names = sorted(sizes, key=lambda s: (-sizes[s], s))
-    return next((names[:m] for m in range(len(names), 0, -1) if certified(0, sizes[names[m - 1]], risk, error / (m + 1))), [])
+def needed(risk: float, error: float) -> int:
+    """The fewest labelled good documents that certify anything at this level: those of no false rejection at all."""
+    return math.ceil(math.log(error) / math.log1p(-risk))
+
+
+def last_certified(rejected: list[int], n: int, risk: float, error: float) -> int:
+    """Of settings that falsely reject `rejected[j]` of n good documents: the last one certified before the first that is
+    not, -1 if none is."""
+    return next((j - 1 for j, k in enumerate(rejected) if not certified(k, n, risk, error)), len(rejected) - 1)
 
 
-def learn_cutoffs(metrics: DataFrame, labels: DataFrame, budget: RiskBudget, stratum: str = "lang", key: str = "doc_id") -> dict[str | None, dict[str, float]]:
-    """Cutoffs by stratum, '*' for the pooled rest. One narrow aggregation; only bounded counts reach the driver."""
+def learn_settings(metrics: DataFrame, labels: DataFrame, budget: RiskBudget, stratum: str = "lang", key: str = "doc_id") -> dict[str, int]:
+    """The certified setting of each stratum that has one. Only a histogram of settings reaches the driver, and only of
+    strata large enough to be certified at rank one: at most N_SETTINGS + 1 rows for every `needed` labelled documents."""
     good = labels.where(F.col("quality") == 1).select(F.col(key).alias("__k")).distinct()
     held = metrics.where(~F.col("base_failed")).join(good, F.col(key) == F.col("__k"), "left_semi")
-    sums = [F.count(F.lit(1)).alias("n")] + [F.sum((F.col(m) > c).cast("int")).alias(f"{m}_{i}") for m, cuts in RULES.items() for i, c in enumerate(cuts)]
-    by = held.groupBy(F.coalesce(F.col(stratum), F.lit("")).alias("s")).agg(*sums)
-    risk, error = budget.max_false_rejection / len(RULES), budget.error / len(RULES)
-    least = math.floor(math.log(error / 2) / math.log1p(-risk))  # no smaller stratum can be certified
-    found = {r["s"]: r for r in by.where(F.col("n") >= least).collect()}  # at most labelled rows / least
-    own = own_strata({s: r["n"] for s, r in found.items()}, risk, error)
-    pooled = held.agg(*sums).first()
-    level = error / (len(own) + 1)
-    out: dict[str | None, dict[str, float]] = {}
-    for name, row in [("*", pooled), *[(s, found[s]) for s in own]]:
-        out[name] = {}
-        for m, cuts in RULES.items():
-            for i, c in enumerate(cuts):
-                if not certified(row[f"{m}_{i}"] or 0, row["n"], risk, level):
-                    break
-                out[name][m] = c
+    by = held.groupBy(F.coalesce(F.col(stratum), F.lit("")).alias("s")).agg(F.count(F.lit(1)).alias("n"), *[F.count(F.when(F.col("setting") <= j, 1)).alias(f"k{j}") for j in range(N_SETTINGS)])
+    rows = by.where(F.col("n") >= needed(budget.max_false_rejection, budget.error / 2)).collect()
+    out = {}
+    for r, row in enumerate(sorted(rows, key=lambda x: (-x["n"], x["s"])), 1):
+        j = last_certified([row[f"k{j}"] for j in range(N_SETTINGS)], row["n"], budget.max_false_rejection, budget.error / (r * (r + 1)))
+        if j >= 0:
+            out[row["s"]] = j
     return out
 
 
-def over_cutoff(cutoffs: dict[str | None, dict[str, float]], stratum: Column) -> Column:
-    """True where any rule's ratio is over the stratum's certified cutoff."""
+def over_cutoff(settings: dict[str, int], stratum: Column) -> Column:
+    """True where a ratio is over its cutoff in the stratum's certified setting."""
     s = F.coalesce(stratum, F.lit(""))
     verdict = F.lit(False)
-    for m in RULES:
-        cut = F.lit(cutoffs["*"].get(m, math.inf))
-        for name, cuts in sorted(cutoffs.items()):
-            if name != "*":
-                cut = F.when(s == name, cuts.get(m, math.inf)).otherwise(cut)
-        verdict = verdict | (F.col(m) > cut)
+    for name, j in sorted(settings.items()):
+        verdict = verdict | ((s == name) & (F.col("setting") <= j))
     return verdict
 
 
@@ -163,16 +164,16 @@ def judge(docs: DataFrame, labels: DataFrame, budget: RiskBudget | None = None)
     """One row per document: doc_id, base counts, base_failed and kept."""
     narrow = docs.select("doc_id", "lang", "text")
     metrics = stored(measured(narrow, ["doc_id", "lang"], F.col("text")), "quality-metrics")
-    cutoffs = learn_cutoffs(metrics, labels, budget or RiskBudget())
-    return metrics.withColumn("kept", ~F.col("base_failed") & ~over_cutoff(cutoffs, F.col("lang")))
+    settings = learn_settings(metrics, labels, budget or RiskBudget())
+    return metrics.withColumn("kept", ~F.col("base_failed") & ~over_cutoff(settings, F.col("lang")))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, budget: RiskBudget | None = None) -> DataFrame:
     """The documents that the rules keep, with all their columns unchanged."""
     packed = docs.select(F.struct("*").alias("__row"), F.col("doc_id"), F.col("lang"), F.col("text"))
     metrics = stored(measured(packed, ["__row", "doc_id", "lang"], F.col("text")), "quality-rows")
-    cutoffs = learn_cutoffs(metrics, labels, budget or RiskBudget())
-    return metrics.where(~F.col("base_failed") & ~over_cutoff(cutoffs, F.col("lang"))).select("__row.*")
+    settings = learn_settings(metrics, labels, budget or RiskBudget())
+    return metrics.where(~F.col("base_failed") & ~over_cutoff(settings, F.col("lang"))).select("__row.*")
 
 
 def op6_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -233,18 +233,44 @@ def test_certified_cutoffs_are_exact():
     assert quality_rules.certified(0, 1000, 0.004, 0.05) and not quality_rules.certified(0, 100, 0.004, 0.05) and not quality_rules.certified(5, 1000, 0.004, 0.05)
 
 
-def test_strata_follow_the_bound(spark):
-    """A language of 600 good rows, too few for the bound alone, is filtered like one of 400; larger ones stand alone."""
-    assert quality_rules.own_strata({"a": 1321}, 0.004, 0.01) == [] and quality_rules.own_strata({"a": 1322}, 0.004, 0.01) == ["a"]
-    assert quality_rules.own_strata({"a": 9000, "b": 1400, "c": 1400}, 0.004, 0.01) == ["a"] and quality_rules.own_strata({}, 0.004, 0.01) == []
-    sizes = [("en", 3000), ("fr", 600), ("de", 400), ("es", 2000)]
-    rest = [m for m in quality_rules.RULES if m != "upper_ratio"]
-    rows = [(f"{s}{i}", s, 0.99 if s == "es" and i < 100 else 0.0) for s, n in sizes for i in range(n)]
-    metrics = spark.createDataFrame(rows, "doc_id string, lang string, upper_ratio double").selectExpr("*", "false AS base_failed", *[f"CAST(0 AS DOUBLE) AS {m}" for m in rest])
-    cuts = quality_rules.learn_cutoffs(metrics, metrics.selectExpr("doc_id", "1 AS quality"), quality_rules.RiskBudget())
-    assert set(cuts) == {"*", "en", "es"} and "upper_ratio" not in cuts["es"] and "upper_ratio" not in cuts["*"]
-    bad = spark.createDataFrame([(s,) for s, _ in sizes], "lang string").selectExpr("*", "CAST(0 AS DOUBLE) AS upper_ratio", *[f"CAST(9 AS DOUBLE) AS {m}" for m in rest])
-    assert {r.lang for r in bad.where(quality_rules.over_cutoff(cuts, F.col("lang"))).collect()} == {"en", "fr", "de", "es"}
+def test_each_stratum_certifies_its_own_setting(spark):
+    """A stratum's own good documents decide; small strata reject nothing; more labels never lose a setting."""
+    n = quality_rules.N_SETTINGS
+    sizes = [("en", 3000, 0), ("es", 2000, 100), ("fr", 600, 0), ("de", 296, 0), ("it", 150, 0)]  # falsely rejected from setting 5 on
+    rows = [(f"{s}{i}", s, 5 if i < bad else n) for s, size, bad in sizes for i in range(size)]
+    metrics = spark.createDataFrame(rows, "doc_id string, lang string, setting int").selectExpr("*", "false AS base_failed")
+    found = quality_rules.learn_settings(metrics, metrics.selectExpr("doc_id", "1 AS quality"), quality_rules.RiskBudget())
+    # Rank 4 tests at 0.05 / 20 and needs 297 documents, rank 5 even more.
+    assert found == {"en": n - 1, "es": 4, "fr": n - 1} and quality_rules.needed(0.02, 0.05 / 20) == 297
+    bad = spark.createDataFrame([(s, j) for s, *_ in sizes for j in (4, 5)] + [(None, 0)], "lang string, setting int")
+    gone = {(r.lang, r.setting) for r in bad.where(quality_rules.over_cutoff(found, F.col("lang"))).collect()}
+    assert gone == {("en", 4), ("en", 5), ("es", 4), ("fr", 4), ("fr", 5)}
+    for size in range(1, 2000, 37):
+        assert quality_rules.last_certified([0] * n, size, 0.02, 0.01) <= quality_rules.last_certified([0] * n, size + 37, 0.02, 0.01)
+
+
+def test_false_rejections_stay_within_the_risk():
+    """Simulated labels: all strata keep the risk at once in all but about `error` of the draws."""
+    rng, budget = np.random.default_rng(11), quality_rules.RiskBudget()
+    rate = np.asarray([0.001, 0.004, 0.01, 0.019, 0.022, 0.03, 0.05, 0.1])  # true false rejection by setting
+    broken, used = 0, 0
+    for _ in range(1000):
+        worst = 0.0
+        for r, n in enumerate((2000, 700, 400), 1):
+            place = np.searchsorted(rate, rng.random(n), "left")
+            j = quality_rules.last_certified([int((place <= k).sum()) for k in range(len(rate))], n, budget.max_false_rejection, budget.error / (r * (r + 1)))
+            worst, used = max(worst, rate[j] if j >= 0 else 0.0), used + (j >= 0)
+        broken += worst > budget.max_false_rejection
+    assert broken <= 1000 * budget.error * 1.4 and used > 2000
+
+
+def test_cutoffs_reject_beyond_the_base_rules(spark):
+    """On tables with enough labels the method itself rejects, not the base rules alone (English at this size)."""
+    sf = "/root/testdata/sf0.01"
+    out, labels = QUERIES["op6_risk_controlled_rules"](spark, sf).toPandas(), pd.read_parquet(f"{sf}/labels.parquet")
+    quality = dict(zip(labels.doc_id, labels.quality, strict=True))
+    gone = out[~out.kept & ~out.base_failed].doc_id.map(quality)
+    assert (gone == 0).sum() >= 10 and (gone == 1).sum() <= 0.02 * (labels.quality == 1).sum()
 
 
 def test_components_of_any_length(spark):
