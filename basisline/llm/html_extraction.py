@@ -3,16 +3,19 @@
 Every element of the page tree gets its characters, tags, link characters and link tags. Its composite density is the
 number of characters per tag, lowered where links carry the text (relative to the whole body). The density sum of an
 element is the sum of its children's densities (its own loose text counts as a child). The element of the largest density
-sum is the core of the page; the smallest density on its path up to the body is the threshold, and every subtree that
-reaches the threshold gives the element of largest density sum inside it. Loose and inline texts of the path elements are
-blocks of their own; headings and blocks without links stay when only such stand between them and text that stays.
+sum is the core of the page; the smallest density on its path up to the body is the threshold, and every block beside the
+path that reaches it stays. Loose and inline texts of the path elements are blocks of their own; headings and blocks without
+links stay when only such stand between them and text that stays. Where the core lies in an `article` or `main`, only
+blocks of that element can stay, and there a block with few links may stay like one without.
 
 Densities alone can't tell a long notice or reader comment from the article, so elements that HTML names as something else
 (navigation, footers, asides, forms; classes, ids and roles such as "ad", "cookie" or "comments") leave the tree first,
-unless they hold most of the page's paragraph text or all its articles.
+unless they hold most of the page's paragraph text or all its articles. Names are read class by class: a name that only
+tells what a wrapper has, lacks or does ("has-sidebar", "comments-open", "header-fixed") says nothing about its content.
+If nothing is left although the body has text, the names are ignored, and then the forms too.
 
 Edge cases: null and empty pages give an empty text; broken nesting, unclosed tags and pages of any length are parsed
-whole; repeated rows are extracted each; an empty table gives an empty result; extra columns are ignored.
+whole; repeated rows are extracted each; an empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,20 +32,25 @@ from basisline.llm.common import table
 from basisline.llm.dom import BLOCKS, RAW, Node, blocks, parse
 
 OTHER_TAGS = frozenset("head nav footer aside form button select datalist dialog menu object embed canvas svg math audio video map input label".split()) | frozenset(RAW)
-OTHER_NAMES = re.compile(
-    r"(?<![a-z])(?:ads?|adverts?|advertisement|advertising|banner|promo|promotion|sponsor(?:ed)?|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|"
-    r"masthead|topbar|toolbar|header|footer|sidebar|aside|rail|widgets?|related|recommended|recommendations|trending|share|sharing|social|comments?|comment-list|respond|replies|disqus|search|complementary|contentinfo|skip-link|copyright|disclaimer)(?![a-z])"
+#: Parts of a class, id or role that name something else than the article, as its first or its last part.
+OTHER_PARTS = frozenset(
+    "ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login navbar navigation breadcrumb breadcrumbs pagination pager "
+    "masthead topbar toolbar widget widgets related recommended recommendations trending share sharing social comment comments commentlist respond replies disqus complementary contentinfo copyright disclaimer".split()
 )
+#: Parts of the page's frame: they name an element only as the last part ("site-header", not "header-fixed").
+FRAME_PARTS = frozenset("nav menu header footer sidebar aside rail search".split())
+#: First and last parts of names that tell what a wrapper has, lacks or does.
+MODIFIERS = frozenset("with without has no is not hide show".split())
+STATES = frozenset("open opened closed close fixed sticky enabled disabled visible hidden active on off free page layout results".split())
+#: Parts that make a header one of the article.
+ARTICLE_PARTS = frozenset("article post entry story content".split())
+#: Text of readers stays apart however long it is.
+READERS = frozenset("comment comments commentlist respond replies disqus".split())
 
 #: Elements that can be the core of a page; paragraphs, headings and inline elements are parts of one.
 CONTAINERS = frozenset("html body main article section div td center blockquote details figure table tbody ul ol dl".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-
-
-#: Class words that tell what a wrapper has or lacks, and headers that belong to an article.
-ABOUT = re.compile(r"(?:with|without|has|no)[-_]|(?:article|post|entry|story|content)[-_]+header\Z")
-#: Text of readers stays apart however long it is.
-READERS = re.compile(r"(?<![a-z])(?:comments?|respond|replies|disqus)(?![a-z])")
+PARTS = re.compile(r"[-_]+")
 
 
 def inside(node: Node) -> bool:
@@ -53,16 +61,31 @@ def inside(node: Node) -> bool:
     return up is not None
 
 
-def is_other(node: Node) -> bool:
-    """Is the element something else than article text, by its tag, class, id or role?"""
+def named(node: Node) -> set[str]:
+    """The parts of its class, id and role that name the element as something else than article text."""
+    found = set()
+    for name in node.names.split():
+        parts = [x for x in PARTS.split(name) if x]
+        if not parts or parts[0] in MODIFIERS or len(parts) > 1 and parts[-1] in STATES:
+            continue
+        if parts[-1] == "header" and ARTICLE_PARTS & set(parts):
+            continue
+        found |= {x for x in (parts[0], parts[-1]) if x in OTHER_PARTS}
+        if parts[-1] in FRAME_PARTS or parts[:2] == ["skip", "link"]:
+            found.add(parts[-1])
+    return found
+
+
+def is_other(node: Node, names: bool = True) -> bool:
+    """Is the element something else than article text, by its tag or (if asked for) its class, id or role?"""
     if node.tag in OTHER_TAGS:
         return True
     if node.tag in ("body", "html", "main", "article"):
         return False
     if node.tag == "header":
         return not inside(node)
-    found = [m[0] for name in node.names.split() if not ABOUT.match(name) for m in OTHER_NAMES.finditer(name)]
-    return bool(found) and not (set(found) == {"header"} and inside(node))
+    found = named(node) if names and node.names else set()
+    return bool(found) and not (found == {"header"} and inside(node))
 
 
 def holdings(root: Node) -> dict[Node, list[int]]:
@@ -81,7 +104,7 @@ def holdings(root: Node) -> dict[Node, list[int]]:
     return out
 
 
-def order(root: Node) -> list[Node]:
+def order(root: Node, names: bool = True, forms: bool = False) -> list[Node]:
     """The elements that may hold article text, parents before children.
 
     A form or an element of another name stays if it holds most of the page's paragraph text or all its articles.
@@ -89,8 +112,8 @@ def order(root: Node) -> list[Node]:
     out, todo, held = [], [root], None
     while todo:
         n = todo.pop()
-        if n is not root and is_other(n):
-            if n.tag in OTHER_TAGS and n.tag != "form" or n.tag == "header" or READERS.search(n.names):
+        if n is not root and is_other(n, names) and not (forms and n.tag == "form"):
+            if n.tag in OTHER_TAGS and n.tag != "form" or n.tag == "header" or named(n) & READERS:
                 continue
             held = held or holdings(root)
             if 2 * held[n][0] <= held[root][0] and not 0 < held[n][1] == held[root][1]:
@@ -115,50 +138,66 @@ def composite_density(c: list[int], body_links: float) -> float:
     return chars / tags * max(math.log(free), 0.0) / math.log(base)
 
 
+class Densities:
+    """Counts, composite densities and density sums of the elements of a page, all by their place in `nodes`."""
+
+    def __init__(self, nodes: list[Node]):
+        self.place = {n: k for k, n in enumerate(nodes)}
+        self.parent = [self.place.get(n.parent, -1) for n in nodes]
+        self.count = [[0, 0, 0, 0] for _ in nodes]  # characters, tags, link characters, link tags
+        loose = [0] * len(nodes)
+        for k in range(len(nodes) - 1, -1, -1):
+            n, c = nodes[k], self.count[k]
+            loose[k] = sum(len(x.strip()) for x in n.items if isinstance(x, str))
+            c[0] += loose[k]
+            if n.tag == "a":
+                c[2], c[3] = c[0], c[3] + 1
+            if self.parent[k] >= 0:
+                up = self.count[self.parent[k]]
+                up[0], up[1], up[2], up[3] = up[0] + c[0], up[1] + c[1] + 1, up[2] + c[2], up[3] + c[3]
+        self.body = next((k for k, n in enumerate(nodes) if n.tag == "body"), 0)
+        links = self.count[self.body][2] / (self.count[self.body][0] or 1)
+        self.dense = [composite_density(c, links) for c in self.count]
+        self.total = [composite_density([x, 0, 0, 0], links) if x else 0.0 for x in loose]
+        best = list(range(len(nodes)))  # of each subtree: the container of largest density sum
+        for k in range(len(nodes) - 1, -1, -1):
+            if nodes[k].tag in CONTAINERS and (best[k] == k or self.total[k] >= self.total[best[k]] or nodes[best[k]].tag not in CONTAINERS):
+                best[k] = k
+            p = self.parent[k]
+            if p >= 0:
+                self.total[p] += self.dense[k]
+                b = best[k]
+                if nodes[b].tag in CONTAINERS and (best[p] == p or self.total[b] > self.total[best[p]]):
+                    best[p] = b
+        self.core = best[self.body]
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks, one a line."""
     if not html:
         return ""
     root = parse(html)
-    nodes = order(root)
-    place = {n: k for k, n in enumerate(nodes)}
-    parent = [place.get(n.parent, -1) for n in nodes]
-    count = [[0, 0, 0, 0] for _ in nodes]  # characters, tags, link characters, link tags
-    loose = [0] * len(nodes)
-    for k in range(len(nodes) - 1, -1, -1):
-        n, c = nodes[k], count[k]
-        loose[k] = sum(len(x.strip()) for x in n.items if isinstance(x, str))
-        c[0] += loose[k]
-        if n.tag == "a":
-            c[2], c[3] = c[0], c[3] + 1
-        if parent[k] >= 0:
-            up = count[parent[k]]
-            up[0], up[1], up[2], up[3] = up[0] + c[0], up[1] + c[1] + 1, up[2] + c[2], up[3] + c[3]
+    for names, forms in ((True, False), (False, False), (False, True)):
+        if lines := article_lines(order(root, names, forms)):
+            return "\n".join(lines)
+    return ""
+
+
+def article_lines(nodes: list[Node]) -> list[str]:
+    """The blocks that the densities of these elements keep, in page order."""
+    d = Densities(nodes)
+    place, count = d.place, d.count
     other = lambda n: n not in place
-    body = next((k for k, n in enumerate(nodes) if n.tag == "body"), 0)
-    body_links = count[body][2] / (count[body][0] or 1)
-    dense = [composite_density(c, body_links) for c in count]
-    total = [composite_density([x, 0, 0, 0], body_links) if x else 0.0 for x in loose]
-    best = list(range(len(nodes)))  # of each subtree: the container of largest density sum
-    for k in range(len(nodes) - 1, -1, -1):
-        if nodes[k].tag in CONTAINERS and (best[k] == k or total[k] >= total[best[k]] or nodes[best[k]].tag not in CONTAINERS):
-            best[k] = k
-        p = parent[k]
-        if p >= 0:
-            total[p] += dense[k]
-            b = best[k]
-            if nodes[b].tag in CONTAINERS and (best[p] == p or total[b] > total[best[p]]):
-                best[p] = b
-    core = best[body]
-    path, k = [core], core
-    while k != body and parent[k] >= 0:
-        k = parent[k]
+    path, k = [d.core], d.core
+    while k != d.body and d.parent[k] >= 0:
+        k = d.parent[k]
         path.append(k)
-    for k in path:  # an enclosing article is wanted whole
-        if nodes[k].tag in ("article", "main") and count[k][0]:
-            return "\n".join(blocks(nodes[k], other))
-    floor, above = min(dense[k] for k in path), set(path[1:])
-    parts, todo = [], [nodes[body]]  # kept, may stay beside kept ones, is a heading, lines
+    floor = min(d.dense[k] for k in path)
+    scope = next((k for k in path if nodes[k].tag in ("article", "main") and count[k][0]), None)
+    if scope is not None:
+        path = path[: path.index(scope) + 1]
+    above = set(path[1:])
+    parts, todo = [], [nodes[path[-1]]]  # kept, may stay beside kept ones, is a heading, lines
     while todo:
         n = todo.pop()
         if isinstance(n, list):  # loose and inline texts of a path element, a block of their own
@@ -170,14 +209,15 @@ def main_text(html: str | None) -> str:
                 parts.append((False, 2 * links < chars, False, blocks(run, other)))
             continue
         k = place[n]
-        if k == core:
+        if k == d.core:
             parts.append((True, True, False, blocks(n, other)))
         elif k in above:
-            todo.extend(reversed(grouped(n, place, {core} | above)))
+            todo.extend(reversed(grouped(n, place, {d.core} | above)))
         elif count[k][0]:
             heading = n.tag in HEADINGS
-            parts.append((dense[k] >= floor, heading or not count[k][3], heading, blocks(n, other)))
-    return "\n".join(beside(parts))
+            few = not count[k][3] or scope is not None and 2 * count[k][2] < count[k][0]
+            parts.append((d.dense[k] >= floor, heading or few, heading, blocks(n, other)))
+    return beside(parts)
 
 
 def grouped(node: Node, place: dict[Node, int], path: set[int]) -> list:

@@ -120,3 +120,12 @@ def unigram_base(docs, held):
         ts = tokens(text)
         out[d] = len(ts), sum(c[t] > 0 for t in ts), n, sum(math.log10((c[t] + 1) / (n + 1 * (v + 1))) for t in ts)
     return out
+
+
+def text_density(chars, tags, link_chars, link_tags, body_links):
+    """Composite text density of one element, from the published formula with the shifted base."""
+    if chars == 0:
+        return 0.0
+    tags, links, link_tags = max(tags, 1), max(link_chars, 1), max(link_tags, 1)
+    base = math.log(chars / max(chars - link_chars, 1) * link_chars + body_links * chars + math.e) + math.e - 1
+    return chars / tags * max(0.0, math.log((chars / links) * (tags / link_tags), base))

@@ -216,6 +216,62 @@ def test_html_text_beside_the_core():
     assert got == long.strip()
 
 
+def test_html_density_sums_equal_brute_force():
+    """Counts, densities and density sums of all elements against a plain recursion over the tree."""
+    rng = random.Random(6)
+
+    def made(depth):
+        inner = "".join(rng.choice(["words of a text ", "x", "", made(depth - 1) if depth else "end"]) for _ in range(rng.randrange(1, 6)))
+        tag = rng.choice(["div", "section", "a", "b", "ul", "span"])
+        return f"<{tag}>{inner}</{tag}>"
+
+    for _ in range(40):
+        root = html_extraction.parse(f"<body>{made(5)}{made(4)}</body>")
+        nodes = html_extraction.order(root)
+        d = html_extraction.Densities(nodes)
+        children = lambda n: [x for x in n.items if not isinstance(x, str)]
+        below = lambda n: [y for x in children(n) for y in [x, *below(x)]]
+        own = lambda n: sum(len(x.strip()) for x in n.items if isinstance(x, str))
+        chars = lambda n: own(n) + sum(map(own, below(n)))
+        links = lambda n: chars(n) if n.tag == "a" else sum(map(links, children(n)))
+        tags = lambda n: sum(x.tag == "a" for x in [n, *below(n)])
+        body = nodes[d.body]
+        share = links(body) / (chars(body) or 1)
+        dense = lambda n: B.text_density(chars(n), len(below(n)), links(n), tags(n), share)
+        for n, k in d.place.items():
+            assert d.count[k] == [chars(n), len(below(n)), links(n), tags(n)] and d.dense[k] == pytest.approx(dense(n))
+            assert d.total[k] == pytest.approx(sum(map(dense, children(n))) + B.text_density(own(n), 0, 0, 0, share))
+        held = [k for n, k in d.place.items() if n.tag in html_extraction.CONTAINERS and (n is body or n in below(body))]
+        assert d.total[d.core] == pytest.approx(max(d.total[k] for k in held))
+
+
+def test_html_names_are_read_class_by_class():
+    p = "<p>" + "A sentence of the article, with enough words to count as text. " * 6 + "</p>"
+    for open_, close in [('<div class="layout has-sidebar">', "</div>"), ('<div id="page" class="header-fixed">', "</div>"), ('<section class="post comments-open">', "</section>"), ('<div class="social">', "</div>"), ("<form>", "</form>")]:
+        for inner in (p, p * 3, f'<div class="site-sidebar"><p>Elsewhere.</p></div>{p * 2}'):
+            text = html_extraction.main_text(f"<body>{open_}{inner}{close}<footer>End</footer></body>")
+            assert text.count("A sentence") == inner.count("A sentence") and "Elsewhere" not in text and "End" not in text
+    assert html_extraction.main_text(f'<body><article><div class="entry-header"><h1>The Title</h1></div>{p}</article></body>').startswith("The Title\n")
+    for name in ("cookie-notice", "ad", "page-footer", "comments", "comment-list", "newsletter_box", "main-nav"):
+        assert "Gone" not in html_extraction.main_text(f'<body><div class="{name}"><p>Gone one.</p></div><div>{p * 2}</div></body>')
+    only = html_extraction.main_text('<body><div class="notice">All the text there is.</div></body>')
+    assert only == "All the text there is."
+
+
+def test_html_sections_of_one_article():
+    """The core is the longest section; the article's other blocks stay, also with a link, and nothing outside it does."""
+    s = "Some words that make a sentence of this part. "
+    page = f'<body><div>Loose notice of no name.</div><article><h1>Head</h1><div><p>{s * 2}<a href="/x">one link</a></p></div><div>{"".join(f"<p>{s * 4}</p>" for _ in range(5))}</div><p>{s}</p></article><div>After it.</div></body>'
+    got = html_extraction.main_text(page).split("\n")
+    assert got[0] == "Head" and got[1].endswith("one link") and len(got) == 8 and "notice" not in str(got) and "After" not in str(got)
+
+
+def test_html_clashing_columns_and_blank_pages(spark):
+    pages = spark.createDataFrame([(1, "u", PAGE, "t", 5), (2, None, "<html><body></body></html>", None, None), (3, "u", " \n ", "", 0)], "page_id long, url string, html string, text string, n_chars int")
+    out = {r.page_id: r for r in html_extraction.extract(pages).collect()}
+    assert out[1].text.startswith("A & B") and (out[2].text, out[2].n_chars, out[3].text) == ("", 0, "")
+
+
 def test_quality_counts(spark, sf, docs, odd):
     out = QUERIES["op6_risk_controlled_rules"](spark, sf).toPandas()
     assert {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in out.itertuples()} == {d: B.quality(t) for d, t in pairs(docs)}
