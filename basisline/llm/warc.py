@@ -5,16 +5,24 @@ outlinks) and a `conversion` record (the page as plain text). Both refer to the
 target URI, date and digests; their own ids and block digests follow from their contents, so a rerun gives equal records.
 
 Edge cases: null urls leave the target URI out; null and empty pages give an empty text; repeated rows give equal records;
-bodies of any length are kept whole; an empty table gives an empty result; extra columns are ignored.
+bodies of any length are kept whole; an empty table gives an empty result; extra columns are ignored. What archives get wrong
+never stops a job: an unknown or unusable charset is read as UTF-8; a gzip or deflate body that is none is kept as it came,
+one that is cut gives what was readable; any other content encoding (br, zstd) has an empty conversion; each of these is named
+in the metadata field `payload-note`. A missing, negative or unreadable record length lasts up to the next record or the end,
+and a gzip archive that is cut gives its readable records.
+
+One row of `derive` is one archive and one task reads it whole (Spark's 2 GB limit of a value holds; crawls write files of
+1 GB): archives of more than that have to be cut at record boundaries first.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
+import codecs
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from html import unescape
 
@@ -46,10 +54,26 @@ def write_record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def inflated(data: bytes, wbits: int = 31) -> tuple[bytes, str]:
+    """All members of a gzip (or, by wbits, deflate) stream as far as they can be read, and "" or what was wrong."""
+    out, note = [], ""
+    while data:
+        z = zlib.decompressobj(wbits)
+        try:
+            out += [z.decompress(data), z.flush()]
+        except zlib.error:
+            note = "damaged" if out else "not compressed as said"
+            break
+        if not z.eof:
+            note = "cut"
+        data = z.unused_data.lstrip(b"\0")
+    return b"".join(out), note
+
+
 def read_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (names in lower case; continued lines joined) and block of each record; gzip members are unpacked."""
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+        data = readable(data)
     pos = 0
     while (pos := data.find(b"WARC/", pos)) >= 0:
         end = data.find(b"\r\n\r\n", pos)
@@ -58,15 +82,34 @@ def read_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         headers: dict[str, str] = {}
         name = ""
         for line in data[pos:end].split(b"\r\n")[1:]:
-            if line[:1] in b" \t" and name:
+            if line[:1] in (b" ", b"\t") and name:
                 headers[name] += " " + line.strip().decode("utf-8", "replace")
             else:
                 k, _, v = line.partition(b":")
                 name = k.strip().lower().decode("utf-8", "replace")
                 headers[name] = v.strip().decode("utf-8", "replace")
-        size = int(headers.get("content-length", 0))
-        yield headers, data[end + 4 : end + 4 + size]
-        pos = end + 4 + size
+        size = headers.get("content-length", "")
+        if size.isascii() and size.isdigit():
+            stop = end + 4 + int(size)
+        else:
+            stop = data.find(b"\r\n\r\nWARC/", end + 2)
+            stop = len(data) if stop < 0 else max(stop, end + 4)
+        yield headers, data[end + 4 : stop]
+        pos = stop
+
+
+def readable(data: bytes) -> bytes:
+    """A gzip archive's records as far as they can be read; every record is a member, so a damaged one costs no other."""
+    out, note = inflated(data)
+    while note == "damaged" or note == "not compressed as said":
+        data = data[1:]
+        nxt = data.find(b"\x1f\x8b\x08", 1) if data else -1
+        if nxt < 0:
+            break
+        data = data[nxt:]
+        more, note = inflated(data)
+        out += more
+    return out
 
 
 def response_record(url: str | None, html: str | None, date: str, page: str) -> bytes:
@@ -79,27 +122,50 @@ def response_record(url: str | None, html: str | None, date: str, page: str) ->
     return write_record(headers, http)
 
 
-def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
-    """Status line, headers and payload of an HTTP response; chunked bodies are joined, gzip bodies unpacked."""
+def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes, str]:
+    """Status line, headers, payload and "" or a note on it; chunked bodies are joined, gzip and deflate ones unpacked."""
     head, _, body = block.partition(b"\r\n\r\n")
     lines = head.decode("latin-1").split("\r\n")
     headers = [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines[1:]) if k]
     named = {k.lower(): v.lower() for k, v in headers}
     if named.get("transfer-encoding") == "chunked":
-        parts, pos = [], 0
-        while (end := body.find(b"\r\n", pos)) >= 0:
-            try:
-                size = int(body[pos:end].split(b";")[0], 16)
-            except ValueError:
-                break
-            if not size:
-                break
-            parts.append(body[end + 2 : end + 2 + size])
-            pos = end + 4 + size
-        body = b"".join(parts)
-    if named.get("content-encoding") == "gzip":
-        body = gzip.decompress(body)
-    return lines[0], headers, body
+        body = joined_chunks(body)
+    note = ""
+    for coding in reversed([x.strip() for x in named.get("content-encoding", "").split(",")]):
+        if coding in ("gzip", "x-gzip", "deflate") and body:
+            wbits = 31 if coding != "deflate" else 15 if body[0] & 15 == 8 and int.from_bytes(body[:2]) % 31 == 0 else -15
+            plain, note = inflated(body, wbits)
+            body = plain if plain or not note else body
+        elif coding not in ("", "identity", "gzip", "x-gzip", "deflate"):
+            return lines[0], headers, body, f"content encoding {coding} not read"
+    return lines[0], headers, body, f"body {note}" if note else ""
+
+
+def joined_chunks(body: bytes) -> bytes:
+    """The chunks of a chunked body up to its end or the first that has no length; a body without any is kept as it came."""
+    parts, pos = [], 0
+    while (end := body.find(b"\r\n", pos)) >= 0:
+        size = body[pos:end].split(b";")[0].strip()
+        if not size or any(c not in b"0123456789abcdefABCDEF" for c in size):
+            break
+        n = int(size, 16)
+        if not n:
+            return b"".join(parts)
+        parts.append(body[end + 2 : end + 2 + n])
+        pos = end + 4 + n
+    return b"".join(parts) if parts else body
+
+
+def decoded(body: bytes, content_type: str) -> tuple[str, str]:
+    """The text of a body by the charset it names, UTF-8 where that can't be used, and a note if so."""
+    found = CHARSET.search(content_type) or CHARSET.search(body[:2048].decode("latin-1"))
+    try:
+        info = codecs.lookup(found[1] if found else "utf-8")
+        if info._is_text_encoding and info.name not in ("idna", "punycode", "undefined", "unicode_escape", "raw_unicode_escape"):
+            return body.decode(info.name, "replace"), ""
+    except (LookupError, UnicodeError, ValueError):
+        pass
+    return body.decode("utf-8", "replace"), f"charset {found[1]} not known" if found else ""
 
 
 def plain_text(html: str) -> str:
@@ -109,19 +175,16 @@ def plain_text(html: str) -> str:
 
 def derivatives(headers: dict[str, str], block: bytes) -> list[tuple[str, str, bytes, bytes]]:
     """(type, record id, block, whole record) of the metadata and the conversion record of a response."""
-    status, http, body = split_http(block)
+    status, http, body, note = split_http(block)
     named = {k.lower(): v for k, v in http}
-    found = CHARSET.search(named.get("content-type", "")) or CHARSET.search(body[:2048].decode("latin-1"))
-    try:
-        html = body.decode(found[1] if found else "utf-8", "replace")
-    except LookupError:
-        html = body.decode("utf-8", "replace")
+    html, charset_note = ("", "") if note.endswith("not read") else decoded(body, named.get("content-type", ""))
     source = headers.get("warc-record-id", "")
     shared = [(k, headers[k.lower()]) for k in ("WARC-Target-URI", "WARC-Date", "WARC-Payload-Digest") if k.lower() in headers]
     title = TITLE.search(html)
     fields = [("http-status", status.partition(" ")[2].partition(" ")[0]), *((f"http-header-{k.lower()}", v) for k, v in http), ("payload-digest", digest(body)), ("payload-length", str(len(body)))]
     fields += [("source-block-digest", headers.get("warc-block-digest") or digest(block))]
-    fields += [("title", " ".join(title[1].split()))] if title else []
+    fields += [("payload-note", x) for x in (note, charset_note) if x]
+    fields += [("title", " ".join(unescape(title[1]).split()))] if title else []
     fields += [("outlink", re.sub(r"[\t\r\n]", "", unescape(a or b or c))) for a, b, c in HREF.findall(html)]
     out = []
     blocks_of = (("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in fields)), ("conversion", "text/plain; charset=utf-8", plain_text(html)))

@@ -6,6 +6,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 UPPER = {c: c + 32 for c in range(65, 91)}
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -129,3 +130,40 @@ def text_density(chars, tags, link_chars, link_tags, body_links):
     tags, links, link_tags = max(tags, 1), max(link_chars, 1), max(link_tags, 1)
     base = math.log(chars / max(chars - link_chars, 1) * link_chars + body_links * chars + math.e) + math.e - 1
     return chars / tags * max(0.0, math.log((chars / links) * (tags / link_tags), base))
+
+
+class _Page(HTMLParser):
+    """Lines of visible text, links and title of a page, event by event."""
+
+    BREAKS = set("html head body p div br h1 h2 h3 article nav footer ul li meta".split())
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.lines, self.links, self.title, self.inside = [""], [], "", []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.BREAKS:
+            self.lines.append("")
+        if tag in ("script", "style", "title"):
+            self.inside.append(tag)
+        if tag == "a" and dict(attrs).get("href") is not None:
+            self.links.append(dict(attrs)["href"])
+
+    def handle_endtag(self, tag):
+        if tag in self.BREAKS:
+            self.lines.append("")
+        if self.inside and self.inside[-1] == tag:
+            self.inside.pop()
+
+    def handle_data(self, data):
+        if "title" in self.inside:
+            self.title += data
+        if not self.inside:
+            self.lines[-1] += data
+
+
+def page_lines(html):
+    page = _Page()
+    page.feed(html)
+    page.close()
+    return [x for x in (" ".join(x.split()) for x in page.lines) if x], page.links, " ".join(page.title.split())

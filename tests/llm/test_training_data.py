@@ -442,6 +442,67 @@ def test_warc_reads_gzip_and_chunked():
     assert warc.split_http(block)[2] == body and warc.derivatives(headers, block)[1][2] == b"hi"
 
 
+def http_response(body, *headers):
+    return warc.write_record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>")], b"\r\n".join([b"HTTP/1.1 200 OK", *headers]) + b"\r\n\r\n" + body)
+
+
+def test_warc_survives_bad_input(spark):
+    """Charsets, encodings and lengths that are wrong: defined texts and notes, and no failure."""
+    page = b"<p>hi</p>" * 50
+    text, zipped, raw = "\n".join(["hi"] * 50), gzip.compress(page), zlib.compress(page)
+    cases = [
+        (http_response(b'<meta charset="undefined"><p>hi</p>'), "hi", "charset undefined not known"),
+        (http_response(b"<p>hi</p>", b"Content-Type: text/html; charset=idna"), "hi", "charset idna not known"),
+        (http_response(b"<p>hi</p>", b"Content-Type: text/html; charset=base64"), "hi", "charset base64 not known"),
+        (http_response(b"<p>hi</p>", b"Content-Type: text/html; charset=no-such"), "hi", "charset no-such not known"),
+        (http_response(b"<p>h\xe9</p>", b"Content-Type: text/html; charset=latin-1"), "h\u00e9", None),
+        (http_response(page, b"Content-Encoding: gzip"), text, "body not compressed as said"),
+        (http_response(zipped[:-9], b"Content-Encoding: gzip"), None, "body cut"),
+        (http_response(raw, b"Content-Encoding: deflate"), text, None),
+        (http_response(raw[2:-4], b"Content-Encoding: deflate"), text, None),
+        (http_response(b"\x01\x02", b"Content-Encoding: br"), "", "content encoding br not read"),
+        (http_response(b"<p>hi</p>", b"Transfer-Encoding: chunked"), "hi", None),
+        (http_response(b"zz\r\n<p>hi</p>\r\n", b"Transfer-Encoding: chunked"), "zz\nhi", None),
+        (http_response(b""), "", None),
+        (http_response("<p>x</p>".encode() * 100_000), "\n".join("x" * 100_000), None),
+        (http_response(b"<p>hi</p>").replace(b"Content-Length: 28", b"Content-Length: lots"), "hi", None),
+        (http_response(b"<p>hi</p>").replace(b"Content-Length: 28", b"Content-Length: -5"), "hi", None),
+        (http_response(b"<p>hi</p>").replace(b"Content-Length: 28", b"Content-Length: 99999"), "hi", None),
+    ]
+    data = spark.createDataFrame([(k, d, "b", 1) for k, (d, _, _) in enumerate(cases)], "k int, warc binary, block string, record int")
+    rows = warc.derive(data, "k", "warc").collect()
+    assert len(rows) == 2 * len(cases)
+    for r in rows:
+        _, want, note = cases[r.k]
+        if r.warc_type == "conversion":
+            assert want is None or r.block == want
+        else:
+            assert [x.partition(": ")[2] for x in r.block.split("\r\n") if x.startswith("payload-note")] == ([note] if note else [])
+    assert warc.derive(spark.createDataFrame([(1, b"junk"), (2, None), (3, b"\x1f\x8bjunk"), (4, b"WARC/1.1\r\nno end")], "k int, warc binary"), "k", "warc").count() == 0
+
+
+def test_warc_archives_that_are_damaged():
+    """Every record is a gzip member: a cut or damaged one costs no other."""
+    members = [gzip.compress(http_response(b"<p>%d</p>" % k)) for k in range(4)]
+    assert [h["content-length"] for h, _ in warc.read_records(b"".join(members))] == ["27"] * 4
+    broken = members[0] + members[1][:20] + b"\xff" * 9 + members[1][29:] + members[2] + members[3][:-12]
+    texts = [warc.derivatives(h, b)[1][2] for h, b in warc.read_records(broken)]
+    assert b"0" in texts and b"2" in texts
+
+
+def test_warc_equals_brute_force(spark, sf):
+    """Metadata and conversion of whole pages against a plain reading of the same response with other tools."""
+    pages = pd.read_parquet(f"{sf}/pages.parquet").head(40)
+    rows = {(r.page_id, r.warc_type): r for r in warc.op10_warc_derivatives(spark, sf).collect()}
+    assert len(rows) == 2 * pd.read_parquet(f"{sf}/pages.parquet").page_id.nunique()
+    for p in pages.itertuples():
+        lines, links, title = B.page_lines(p.html)
+        meta = rows[p.page_id, "metadata"].block.split("\r\n")
+        assert rows[p.page_id, "conversion"].block.split("\n") == lines
+        assert [x.partition(": ")[2] for x in meta if x.startswith("outlink: ")] == links and f"title: {title}" in meta
+        assert f"payload-length: {len(p.html.encode())}" in meta and rows[p.page_id, "metadata"].target_uri == p.url
+
+
 def test_pipeline_stages(spark, sf, docs):
     """Every stage against brute force on what the stage before kept."""
     items = pd.read_parquet(f"{sf}/benchmark.parquet")
