@@ -22,14 +22,13 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from basisline.llm.common import checked_join, stored, table
+from basisline.llm.common import table
+from basisline.llm.ranks import ranked, with_row_ids
 
 CAPACITY = 2048
 END_ID = 0
-GROUP_ROWS = 1000  # rows of one length ranked together
 CACHED_WORDS = 400_000  # per Python worker
 
 #: Split pattern of the tokenizer file (fixed value).
@@ -172,21 +171,9 @@ def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndar
     return np.asarray(sorted(entries), "int64").reshape(-1, 5), bins
 
 
-def ranked(rows: DataFrame, counts: dict[int, int]) -> DataFrame:
-    """Add `rank`: a gapless number from 0 within each length, by salted groups of bounded size."""
-    salts = F.split(F.lit(",".join(str(-(-counts.get(n, 0) // GROUP_ROWS)) for n in range(max(counts, default=0) + 1))), ",").cast("array<bigint>")
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.greatest(F.lit(1), salts[F.col("length").cast("int")])))
-    sizes = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
-    shift = F.sum("n").over(W.partitionBy("length").orderBy("salt")) - F.col("n")
-    offsets = stored(sizes.select("length", "salt", shift.alias("shift")), "length-offsets")
-    place = F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "piece"))
-    numbered = salted.withColumn("place", place)
-    return checked_join(numbered, offsets, ["length", "salt"], "inner").withColumn("rank", F.col("shift") + F.col("place") - 1).drop("salt", "place", "shift")
-
-
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    rows = stored(pieces(docs, path or default_tokenizer(), capacity, key, text), "pieces")
+    rows = with_row_ids(pieces(docs, path or default_tokenizer(), capacity, key, text), "pieces")
     counts = {r[0]: r[1] for r in rows.groupBy("length").count().collect()}  # at most `capacity` rows
     entries, _ = plan_bins(counts, capacity)
 
@@ -202,7 +189,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, key
             )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return ranked(rows, counts).mapInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked(rows, "length", counts).mapInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op1_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:

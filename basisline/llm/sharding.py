@@ -1,25 +1,29 @@
 """Sharding by fixed virtual slots.
 
 Records hash into a fixed number of virtual slots, bytes are summed per slot, and a versioned slot-to-shard map
-assigns slots to shards. Rebalancing or adding a shard edits the map and writes it as a new version; records never
-rehash, so a record moves only if its slot does.
+assigns slots to shards. The first version deals the slots in turn; every run reads the latest version, edits it by
+moving slots from full shards to empty ones, and stores the edit as the next version. Records never rehash, so a record
+moves only if its slot does.
 
-Edge cases: null texts count no bytes (only the fixed overhead); null keys hash like any value; repeated rows share a
-slot and get separate places; an empty table yields an empty result; extra columns are ignored.
+Edge cases: null texts count no bytes (only the fixed overhead); null keys hash like any value and, like any key however
+often repeated, stay in one slot, whose rows are numbered over many tasks; repeated rows share a slot and get separate
+places; an empty table yields an empty result and leaves the map as it is; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import heapq
+import bisect
 import uuid
 from dataclasses import dataclass, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from basisline.llm.common import shared_dir, stored, table
+from basisline.llm.common import shared_dir, table
+from basisline.llm.ranks import ranked, with_row_ids
 
+CLOSE = 1000  # loads that differ by less than this part of the mean are equal enough
 N_SLOTS = 8192  # fixed for the life of a dataset: what the driver holds is bounded by it
 
 
@@ -31,19 +35,27 @@ class SlotMap:
     n_shards: int
     shards: tuple[int, ...]
 
+    @staticmethod
+    def dealt(n_shards: int, n_slots: int = N_SLOTS) -> SlotMap:
+        """The first version, before any bytes are known: slots in turn."""
+        return SlotMap(0, n_shards, tuple(s % n_shards for s in range(n_slots)))
+
     def save(self, spark: SparkSession, path: str) -> None:
-        """Append this version to the stored map."""
-        rows = spark.range(0, len(self.shards), 1, 1).select(
-            F.lit(self.version).alias("version"), F.lit(self.n_shards).alias("n_shards"), F.col("id").cast("int").alias("slot"), self.shard_of(F.col("id")).alias("shard")
-        )
-        rows.write.mode("append").parquet(path)
+        """Store this version; one that is stored already is refused, never doubled or replaced."""
+        rows = spark.range(0, len(self.shards), 1, 1).select(F.lit(self.n_shards).alias("n_shards"), F.col("id").cast("int").alias("slot"), self.shard_of(F.col("id")).alias("shard"))
+        rows.write.mode("error").parquet(f"{path}/version={self.version}")
 
     @staticmethod
-    def load(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
-        """Read one version, by default the latest."""
-        maps = spark.read.parquet(path)
+    def load(spark: SparkSession, path: str, version: int | None = None) -> SlotMap | None:
+        """Read one version, by default the latest; None where no map is stored."""
+        try:
+            maps = spark.read.parquet(path)
+        except AnalysisException as e:
+            if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                return None
+            raise
         version = maps.agg(F.max("version")).first()[0] if version is None else version
-        rows = sorted(maps.where(F.col("version") == version).select("slot", "shard", "n_shards").collect())
+        rows = sorted(maps.where(F.col("version") == version).select("slot", "shard", "n_shards").collect())  # one row a slot
         return SlotMap(version, rows[0][2], tuple(r[1] for r in rows))
 
     def shard_of(self, slot: Column) -> Column:
@@ -59,19 +71,23 @@ def record_size(text: Column, overhead: int = 8) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + overhead).cast("long")
 
 
-def balanced_map(slot_bytes: dict[int, int], n_shards: int, n_slots: int = N_SLOTS, version: int = 0) -> SlotMap:
-    """First map: slots, largest first, each to the shard with the fewest bytes so far."""
-    loads = [(0, s) for s in range(n_shards)]
-    shards = [0] * n_slots
-    for slot in sorted(range(n_slots), key=lambda s: (-slot_bytes.get(s, 0), s)):
-        load, shard = heapq.heappop(loads)
-        shards[slot] = shard
-        heapq.heappush(loads, (load + slot_bytes.get(slot, 0), shard))
-    return SlotMap(version, n_shards, tuple(shards))
+def better(full: list[tuple[int, int]], empty: list[tuple[int, int]], gap: int) -> tuple[tuple[int, int], tuple[int, int] | None] | None:
+    """The slot to move from the full to the empty shard and the one to give back for it (None: none), whose sizes differ by
+    the most nearly half of the gap; a move comes before an exchange, and None if neither narrows the gap."""
+    fits = [x for x in full if 0 < x[0] < gap]
+    if fits:
+        return min(fits, key=lambda x: (abs(gap - 2 * x[0]), x[1])), None
+    back = sorted(empty)
+    found = []
+    for x in full:
+        k = bisect.bisect(back, (x[0] - gap // 2, -1))
+        found += [(abs(gap - 2 * (x[0] - y[0])), x, y) for y in back[max(k - 1, 0) : k + 1] if 0 < x[0] - y[0] < gap]
+    return min(found)[1:] if found else None
 
 
 def rebalanced(old: SlotMap, slot_bytes: dict[int, int], n_shards: int | None = None) -> SlotMap:
-    """Next version: edit the old map, moving slots only from shards over the mean to the emptiest shard while it helps."""
+    """Next version: edit the old map, moving slots from the fullest shard to the emptiest one, or exchanging two of theirs,
+    while it helps and the loads differ by more than the mean / CLOSE."""
     n = n_shards or old.n_shards
     shards = [s if s < n else -1 for s in old.shards]
     loads, held = [0] * n, [[] for _ in range(n)]
@@ -87,16 +103,20 @@ def rebalanced(old: SlotMap, slot_bytes: dict[int, int], n_shards: int | None =
         shard = min(range(n), key=lambda s: (loads[s], s))
         shards[slot], loads[shard] = shard, loads[shard] + size
         held[shard].append((size, slot))
-    for _ in range(len(shards)):
-        src, dst = max(range(n), key=lambda s: (loads[s], s)), min(range(n), key=lambda s: (loads[s], s))
-        gap = loads[src] - loads[dst]
-        fits = [x for x in held[src] if 0 < x[0] < gap]
-        if not fits:
+    while True:  # every step lowers the sum of the squared loads, so this ends
+        order = sorted(range(n), key=lambda s: (loads[s], s))
+        if (loads[order[-1]] - loads[order[0]]) * n * CLOSE <= sum(loads):
+            break
+        # The fullest shard gives to the emptiest that can take, else the emptiest takes from the fullest that can give.
+        pairs = [(order[-1], dst) for dst in order[:-1]] + [(src, order[0]) for src in reversed(order[1:-1])]
+        steps = ((src, dst, better(held[src], held[dst], loads[src] - loads[dst])) for src, dst in pairs)
+        src, dst, step = next((x for x in steps if x[2]), (0, 0, None))
+        if step is None:
             break
-        size, slot = min(fits, key=lambda x: (abs(gap - 2 * x[0]), x[1]))
-        held[src].remove((size, slot))
-        held[dst].append((size, slot))
-        shards[slot], loads[src], loads[dst] = dst, loads[src] - size, loads[dst] + size
+        for (size, slot), a, b in [(step[0], src, dst)] + ([(step[1], dst, src)] if step[1] else []):
+            held[a].remove((size, slot))
+            held[b].append((size, slot))
+            shards[slot], loads[a], loads[b] = b, loads[a] - size, loads[b] + size
     return replace(old, version=old.version + 1, n_shards=n, shards=tuple(shards))
 
 
@@ -107,11 +127,12 @@ def bytes_per_slot(records: DataFrame, slot: str = "virtual_slot", size: str = "
 def shard_documents(docs: DataFrame, n_shards: int, key: str = "doc_id", text: str = "text", n_slots: int = N_SLOTS, map_path: str | None = None) -> DataFrame:
     """One row per record: key, size, text_crc32, virtual_slot, shard and a gapless place in the shard.
 
-    Only narrow rows are shuffled, by virtual slot; a slot's rows are numbered in its task and the slot's first place
-    comes from the bounded per-slot counts, so no task ever holds a whole shard.
+    The map at `map_path` (a new one by default) is read, rebalanced for these bytes and stored again if that moved a slot.
+    Only narrow rows are shuffled, by virtual slot and salt; a slot's first place comes from the bounded per-slot counts, so
+    no task ever holds a whole shard or a whole hot slot.
     """
     spark = docs.sparkSession
-    rows = stored(
+    rows = with_row_ids(
         docs.select(
             F.col(key).alias("key"),
             record_size(F.col(text)).alias("size"),
@@ -121,16 +142,22 @@ def shard_documents(docs: DataFrame, n_shards: int, key: str = "doc_id", text: s
         "shard-rows",
     )
     sums = {r[0]: (r[1], r[2]) for r in bytes_per_slot(rows).collect()}  # at most n_slots rows
-    slots = balanced_map({s: b for s, (b, _) in sums.items()}, n_shards, n_slots)
-    slots.save(spark, map_path or f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}")
+    path = map_path or f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+    old = SlotMap.load(spark, path)
+    if old is None:
+        old = SlotMap.dealt(n_shards, n_slots)
+        old.save(spark, path)
+    slots = rebalanced(old, {s: b for s, (b, _) in sums.items()}, n_shards)
+    if slots.shards != old.shards or slots.n_shards != old.n_shards:
+        slots.save(spark, path)
     first, filled = [0] * n_slots, [0] * n_shards
     for s in range(n_slots):
         shard = slots.shards[s]
         first[s] = filled[shard]
         filled[shard] += sums.get(s, (0, 0))[1]
     starts = F.split(F.lit(",".join(map(str, first))), ",").cast("array<bigint>")
-    place = F.row_number().over(W.partitionBy("virtual_slot").orderBy("key", "text_crc32", "size"))
-    return rows.select("key", "size", "text_crc32", "virtual_slot", slots.shard_of(F.col("virtual_slot")).alias("shard"), (starts[F.col("virtual_slot")] + place - 1).alias("place"))
+    placed = ranked(rows, "virtual_slot", {s: n for s, (_, n) in sums.items()})
+    return placed.select("key", "size", "text_crc32", "virtual_slot", slots.shard_of(F.col("virtual_slot")).alias("shard"), (starts[F.col("virtual_slot")] + F.col("rank")).alias("place"))
 
 
 def op3_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -126,20 +127,44 @@ def test_non_negative_risk_prior():
     assert abs(quality_classifier.estimated_prior(p * 100, u * 100) - 0.5) < 0.1
 
 
-def test_sharding(spark, sf, docs):
+def slot_of(key):
+    return xxhash.xxh64(int(key).to_bytes(8, "little", signed=True), seed=42).intdigest() % sharding.N_SLOTS
+
+
+def test_sharding(spark, docs, sf):
     out = QUERIES["op3_virtual_slot_sharding"](spark, sf).toPandas().set_index("doc_id")
     for d, t in pairs(docs):
         raw = (t or "").encode()
-        assert (out.loc[d, "size"], out.loc[d, "text_crc32"]) == (len(raw) + 8, zlib.crc32(raw))
+        assert (out.loc[d, "size"], out.loc[d, "text_crc32"], out.loc[d, "virtual_slot"]) == (len(raw) + 8, zlib.crc32(raw), slot_of(d))
     assert all(sorted(g.slot) == list(range(len(g))) for _, g in out.groupby("shard")) and out.shard.between(0, 23).all()
-
-
-def test_slot_map_versions(spark, tmp_path):
+    assert (out.groupby("virtual_slot").shard.nunique() == 1).all()
+    loads = out.groupby("shard")["size"].sum()
+    assert loads.max() - loads.min() <= 0.02 * loads.mean()
+
+
+def test_slot_map_is_edited(spark, tmp_path):
+    """Runs on one stored map: each reads the latest version and stores its edit; equal bytes store none."""
+    path = f"file://{tmp_path}/m"
+    docs = frame(spark, [(i, "x" * (1 + i * 7 % 90), "en", "a") for i in range(3000)])
+    assert sharding.SlotMap.load(spark, path) is None
+    first = sharding.shard_documents(docs, 8, map_path=path).toPandas()
+    assert sharding.SlotMap.load(spark, path, 0) == sharding.SlotMap.dealt(8) and sharding.SlotMap.load(spark, path).version == 1
+    again = sharding.shard_documents(docs, 8, map_path=path).toPandas()
+    assert sharding.SlotMap.load(spark, path).version == 1 and dict(zip(again.key, again.shard, strict=True)) == dict(zip(first.key, first.shard, strict=True))
+    grown = sharding.shard_documents(docs, 9, map_path=path).toPandas()
+    latest = sharding.SlotMap.load(spark, path)
+    assert latest.version == 2 and all(latest.shards[slot_of(k)] == s for k, s in zip(grown.key, grown.shard, strict=True))
+    moved = {k for k, s in zip(grown.key, grown.shard, strict=True) if dict(zip(first.key, first.shard, strict=True))[k] != s}
+    assert len(moved) <= 0.2 * len(docs.toPandas()) and grown.groupby("shard")["size"].sum().pipe(lambda x: x.max() <= 1.01 * x.min())
+    with pytest.raises(Exception, match="(?i)exist"):
+        latest.save(spark, path)
+    assert sharding.shard_documents(docs.limit(0), 9, map_path=path).count() == 0 and sharding.SlotMap.load(spark, path) == latest
+
+
+def test_slot_map_rebalancing():
     sizes = {s: 10 + s % 7 for s in range(sharding.N_SLOTS)}
-    first = sharding.balanced_map(sizes, 8)
+    first = sharding.SlotMap.dealt(8)
     second = sharding.rebalanced(first, sizes, 9)
-    first.save(spark, f"{tmp_path}/m"), second.save(spark, f"{tmp_path}/m")
-    assert sharding.SlotMap.load(spark, f"{tmp_path}/m") == second and sharding.SlotMap.load(spark, f"{tmp_path}/m", 0) == first
     moved = [s for s in range(sharding.N_SLOTS) if first.shards[s] != second.shards[s]]
     loads = Counter()
     for s, shard in enumerate(second.shards):
@@ -147,6 +172,8 @@ def test_slot_map_versions(spark, tmp_path):
     # The new shard fills from the others; few slots move elsewhere, and loads differ by less than one slot.
     assert sum(second.shards[s] == 8 for s in moved) >= 0.95 * len(moved) and len(moved) <= 1.05 * sharding.N_SLOTS / 9
     assert len(loads) == 9 and max(loads.values()) - min(loads.values()) <= max(sizes.values())
+    gone = sharding.rebalanced(second, sizes, 4)
+    assert set(gone.shards) == set(range(4)) and gone.version == second.version + 1
 
 
 def test_sharding_odd_rows(spark, odd):
@@ -154,6 +181,9 @@ def test_sharding_odd_rows(spark, odd):
     assert len(out) == 10 and out[out.key == 1]["size"].tolist() == [8]
     assert all(sorted(g.place) == list(range(len(g))) for _, g in out.groupby("shard"))
     assert sharding.shard_documents(odd.limit(0), 3).count() == 0
+    same = frame(spark, [(None, "one", "en", "a")] * 5000 + [(1, "two", "en", "a")] * 3000).repartition(5)  # hot slots over several salts
+    hot = sharding.shard_documents(same, 2).toPandas()
+    assert len(hot) == 8000 and all(sorted(g.place) == list(range(len(g))) for _, g in hot.groupby("shard"))
 
 
 def test_decontamination(spark, sf, docs):
