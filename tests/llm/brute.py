@@ -167,3 +167,55 @@ def page_lines(html):
     page.feed(html)
     page.close()
     return [x for x in (" ".join(x.split()) for x in page.lines) if x], page.links, " ".join(page.title.split())
+
+
+class Trigrams:
+    """A trigram model of some texts, counted token by token."""
+
+    def __init__(self, texts):
+        self.grams, self.contexts = Counter(), Counter()
+        for text in texts:
+            for a, b, w in self.events(text):
+                self.grams.update([(w,), (b, w), (a, b, w)])
+                self.contexts.update([(b,), (a, b)])
+        self.n, self.v = sum(c for g, c in self.grams.items() if len(g) == 1), sum(len(g) == 1 for g in self.grams)
+
+    def without(self, text):
+        """The same model with the counts of one of its texts deleted; its distinct words stay."""
+        out, own = Trigrams([]), Trigrams([text])
+        out.grams, out.contexts, out.n, out.v = self.grams - own.grams, self.contexts - own.contexts, self.n - own.n, self.v
+        return out
+
+    @staticmethod
+    def events(text):
+        ts = [None, None, *tokens(text)]
+        return zip(ts, ts[1:], ts[2:], strict=False)
+
+    def parts(self, a, b, w):
+        """(level, bucket) of the longest context seen, and the four estimates."""
+        c3, c2 = self.contexts[a, b], self.contexts[(b,)]
+        level, c = (2, c3) if c3 else (1, c2) if c2 else (0, 0)
+        f = [self.grams[a, b, w] / c3 if c3 else 0, self.grams[b, w] / c2 if c2 else 0, self.grams[(w,)] / max(self.n, 1), 1 / (self.v + 1)]
+        return (level, c if c <= 4 else 1 + c.bit_length()), f
+
+    def p(self, a, b, w, weights):
+        where, f = self.parts(a, b, w)
+        return sum(x * y for x, y in zip(weights(*where), f, strict=True))
+
+    def score(self, text, weights):
+        return sum(math.log10(self.p(a, b, w, weights)) for a, b, w in self.events(text))
+
+    def learned(self, texts, rounds=100):
+        events = [self.parts(*e) for t in texts for e in self.events(t)]
+        may = lambda level: [level == 2, level >= 1, True, True]
+        w = defaultdict(list)
+        for where, _ in events:
+            w[where] = [x / sum(may(where[0])) for x in may(where[0])]
+        for _ in range(rounds):
+            new = {where: [0.1 * x for x in may(where[0])] for where in w}
+            for where, f in events:
+                share = [x * y for x, y in zip(w[where], f, strict=True)]
+                for j in range(4):
+                    new[where][j] += share[j] / sum(share)
+            w = {k: [x / sum(v) for x in v] for k, v in new.items()}
+        return lambda level, size: w[level, size]

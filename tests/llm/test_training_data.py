@@ -419,15 +419,54 @@ def test_language_model(spark, sf, docs):
     assert held.score.sum() > held.base_score.sum() and (out.score < 0).all()
 
 
-def test_language_model_sums_to_one(spark):
-    """The probabilities of all words after a context, the unknown one included, sum to one."""
-    train = [(i, "a b a c", "en", "s") for i in range(20)]
-    probes = [(100 + k, f"a {w}", "en", "s") for k, w in enumerate(["a", "b", "c", "zzz", ""])]
-    role = F.when(F.col("doc_id") >= 100, language_model.HELD).when(F.col("doc_id") % 5 == 0, language_model.TUNE).otherwise(language_model.TRAIN)
-    got = {r.doc_id: r for r in language_model.score_documents(frame(spark, train + probes), role).collect()}
-    # "a <w> end" scores p(a|end) p(w|a) p(end|w); "a end" scores p(a|end) p(end|a).
-    assert got[103].n_known == 2 and got[101].score > got[103].score and all(r.score < 0 for r in got.values())
-    assert got[0].train_tokens == 100
+def test_language_model_scores_equal_brute_force(spark, sf, docs):
+    """Scores against plain counting with the same weights; weights against exact expectation-maximisation; sums to one."""
+    some = docs.head(60)
+    fold = {d: B.fold(d, 7) for d in some.doc_id}
+    role = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, language_model.HELD).when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 3, language_model.TUNE).otherwise(language_model.TRAIN)
+    m = language_model.fitted(spark.createDataFrame(some), role, range_tokens=3000)
+    got = {r.doc_id: (r.score, r.left_out_score) for r in language_model.scored(m.rows, m.answers, m.bits, m.n, m.v, m.weights).collect()}
+    every = B.Trigrams([t for d, t in pairs(some) if fold[d] != 2])
+    weights = lambda level, size: m.weights[:, level * language_model.BUCKETS + size]
+    assert (m.n, m.v) == (every.n, every.v)
+    for d, t in pairs(some):
+        left = every.without(t) if fold[d] != 2 else every
+        assert got[d] == pytest.approx((every.score(t, weights), left.score(t, weights)), rel=1e-9)
+    words = [*{w for d, t in pairs(some) if fold[d] != 2 for w in B.tokens(t)}, "an unknown one"]
+    for context in [(None, None), (None, "the"), B.tokens(some.text[1])[:2], ("zzz", "the"), ("zzz", "zzz")]:
+        assert sum(every.p(*context, w, weights) for w in words) == pytest.approx(1)
+    rest = B.Trigrams([t for d, t in pairs(some) if fold[d] not in (2, 3)])
+    tune = [t for d, t in pairs(some) if fold[d] == 3]
+    exact = rest.learned(tune)
+    likelihood = lambda w: sum(rest.score(t, w) for t in tune)
+    assert likelihood(weights) == pytest.approx(likelihood(exact), rel=0.005)
+
+
+def test_language_model_counts_beyond_32_bits(spark):
+    """Totals of a key range are exact past 2**32, and so are the sums over ranges."""
+    keys = np.asarray([5, 9], "<u8")
+    part = [language_model.squeezed(np.diff(keys, prepend=np.uint64(0)))] * 3
+    rows = [(0, bytes([k]), False, part, [language_model.squeezed(np.asarray([3_000_000_000, 2**40 + k], "<u8"))] * 3) for k in range(2)]
+    out = language_model.replies(spark.createDataFrame(rows, "part int, block binary, tune boolean, keys array<binary>, counts array<binary>")).collect()
+    for r in out:
+        if r.block is None:
+            assert (r.n_tokens, r.n_words, r.n_left) == (6_000_000_000 + 2**41 + 1, 2, 2)
+        else:
+            assert [language_model.unsqueezed(bytes(x)).tolist() for x in r.total] == [[6_000_000_000, 2**41 + 1]] * 3
+    assert language_model.exact_sums(np.asarray([0, 0]), np.asarray([2**53, 1], "<u8"), 1).tolist() == [2**53 + 1]
+
+
+def test_language_model_tells_copies_apart(spark):
+    """Documents that stand twice score higher a token than those that stand once, once their own counts are left out."""
+    rng = random.Random(2)
+    text = lambda: " ".join(f"w{int(rng.paretovariate(0.7)) % 3000}" for _ in range(150))
+    once, twice = [text() for _ in range(300)], [text() for _ in range(60)]
+    rows = [(i, t, "en", "a") for i, t in enumerate(once + twice + twice)]
+    role = F.when(F.col("doc_id") % 7 == 2, language_model.HELD).when(F.col("doc_id") % 7 == 3, language_model.TUNE).otherwise(language_model.TRAIN)
+    out = language_model.score_documents(frame(spark, rows), role).toPandas()
+    a_token = out.left_out_score / out.n_tokens
+    assert (a_token[out.doc_id >= 300] > a_token[out.doc_id < 300].quantile(0.9)).mean() > 0.8
+    assert (out.score == out.left_out_score)[out.held_out].all()
 
 
 def test_language_model_odd_rows(spark, odd):
