@@ -14,7 +14,7 @@ Words are told apart by 64 bits, pairs and triples by 20 bits more than number t
 key in a million shares its count with another at any corpus size. Counts have 64 bits.
 
 Sizes: a task holds one block or one key range, so BLOCK_BYTES and RANGE_TOKENS follow the memory of a Python worker (the
-defaults need some 300 MB). A block sends one row to each range it has a key of: up to about a terabyte of text the rows are
+defaults need some 200 MB). A block sends one row to each range it has a key of: up to about a terabyte of text the rows are
 long; beyond it both constants should grow with the executors, since a row of less than a hundred keys costs more than they do.
 
 Edge cases: null and empty texts are the end token alone; unknown words share one unknown type; repeated rows are learned
@@ -39,8 +39,8 @@ from basisline.llm.common import crc_text, stored, table
 from basisline.llm.grouped import runs
 from basisline.llm.shingles import _LOWER, hash_runs, mix, text_chunks
 
-BLOCK_BYTES = 5 << 20  # text of one block
-RANGE_TOKENS = 1_500_000  # tokens behind one key range
+BLOCK_BYTES = 3 << 20  # text of one block
+RANGE_TOKENS = 1_000_000  # tokens behind one key range
 SPARE_BITS = 20  # of pair and triple keys beyond those that number the tokens
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 TRAIN, TUNE, HELD = 0, 1, 2
@@ -306,11 +306,13 @@ def scored(rows: DataFrame, answers: DataFrame, bits: int, n: int, v: int, weigh
         for t, bounds in runs(batches, 1, 1):
             for lo, hi in itertools.pairwise(bounds.tolist()):
                 lengths, role, counts, places = counted(t, lo, hi, bits, False)
-                seen = (role != HELD).astype("float64")
-                rest = [c - seen * own_counts(place, lengths) for c, place in zip(counts, places, strict=True)]
-                p, q = mixed(*estimates(lengths, counts, n)), mixed(*estimates(lengths, rest, n - seen * np.repeat(lengths, lengths)))
                 at, word = np.cumsum(lengths) - lengths, counts[0]
-                cols = [lengths, np.add.reduceat((word > 0).astype("int64"), at), np.full(len(at), n, "int64"), np.add.reduceat(np.log10((word + 1) / (n + v + 1)), at), np.add.reduceat(np.log10(p), at), np.add.reduceat(np.log10(q), at)]
+                cols = [lengths, np.add.reduceat((word > 0).astype("int64"), at), np.full(len(at), n, "int64"), np.add.reduceat(np.log10((word + 1) / (n + v + 1)), at)]
+                cols.append(np.add.reduceat(np.log10(mixed(*estimates(lengths, counts, n))), at))
+                seen = (role != HELD).astype("float64")
+                for c, place in zip(counts, places, strict=True):
+                    c -= seen * own_counts(place, lengths)
+                cols.append(np.add.reduceat(np.log10(mixed(*estimates(lengths, counts, n - seen * np.repeat(lengths, lengths)))), at))
                 ids = t.column("doc_ids").slice(lo, 1).combine_chunks().flatten()
                 yield pa.RecordBatch.from_arrays([ids, pa.array(role[at] == HELD), *map(pa.array, cols)], names=names)
 
