@@ -1,10 +1,13 @@
 """Quality classifier by non-negative positive-unlabelled learning.
 
-A linear model over style features of the whole text is fitted to trusted positives and unlabelled text: the non-negative
-unbiased risk with squared loss, `pi R_p(+1) + max(0, R_u(-1) - pi R_p(-1))`, needs the data only through first and second
-feature moments of the two samples. One distributed pass sums them over all rows, so the fit on the driver has the same
-small size for any corpus. The class prior is estimated from score tails (negatives run out among the highest scores) and
-scores are turned into probabilities by Bayes' rule on bounded score histograms, made monotone.
+A linear model over features of the whole text (style, repetition, and hashed words and word pairs) is fitted to trusted
+positives and unlabelled text: the non-negative unbiased risk with squared loss,
+`pi R_p(+1) + max(0, R_u(-1) - pi R_p(-1))`, needs the data only through first and second feature moments of the two samples.
+One distributed pass sums them by fold over all rows that are not held out, so the fit on the driver has the same small size
+for any corpus, and the ridge is chosen by cross-validation on the folds' moments: for each candidate the model of the other
+folds is judged by its risk on the fold left out. The class prior is estimated from score tails (negatives run out among the
+highest scores) and scores are turned into probabilities by Bayes' rule on bounded score histograms, made monotone; both
+use each row's score under the model fitted without its fold. Held-out rows have no part in any of this.
 
 Edge cases: null and empty texts get the features of an empty text and a score like any other; documents with several
 labels count once for each; without positives every score is the prior guess 0.5; repeated rows score alike; an empty table
@@ -21,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basisline.llm.common import crc_text, stored, table
-from basisline.llm.shingles import hash_runs, text_chunks
+from basisline.llm.shingles import hash_runs, mix, text_chunks
 
 CUTS = (0.002, 0.01, 0.03, 0.06, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9)
 #: Byte classes: their shares of the text are features.
@@ -31,10 +34,12 @@ for _k, _set in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrst
 _CLASS[128:] = 8
 N_CLASSES = 10
 SHARES = N_CLASSES + 7
-N_BASE = SHARES + 3
-#: Ridge of the fit: a floor, and a part that weighs like so many rows against the trusted positives. Chosen by
-#: cross-validation inside the training rows; held-out rows had no part in it.
-RIDGE, RIDGE_ROWS = 1e-3, 60
+N_STYLE = SHARES + 3
+HASHED = 64  # signed sums of hashed words and word pairs
+N_BASE = N_STYLE + HASHED
+#: Ridges that cross-validation over the training rows chooses from, and its folds.
+RIDGES = (1e-3, 1e-2, 3e-2, 1e-1, 3e-1, 1.0, 3.0, 10.0, 30.0)
+FOLDS = 4
 BINS = 400
 
 
@@ -43,7 +48,7 @@ def _distinct(values: np.ndarray) -> int:
 
 
 def base_features(column: pa.Array) -> np.ndarray:
-    """One row of N_BASE numbers a text: byte class shares, word and line repetition, logarithms of sizes."""
+    """One row of N_BASE numbers a text: byte class shares, word and line repetition, logarithms of sizes, hashed words and pairs."""
     out = np.zeros((len(column), N_BASE), "float32")
     for row, data, bounds in text_chunks(column):
         n = len(bounds) - 1
@@ -71,15 +76,18 @@ def base_features(column: pa.Array) -> np.ndarray:
                 letters = classes[i, 0] + classes[i, 1] + classes[i, 8]
                 x[k + 5] = min(1.0, letters / m / 16)
                 x[k + 6] = min(1.0, len(ln) / m)
-            x[SHARES:] = np.log1p(size[i]), np.log1p(m), np.log1p(len(ln))
+                grams = np.concatenate([w, mix(pairs)])
+                sign = 1.0 - 2.0 * (grams >> np.uint64(63)).astype("float64")
+                x[N_STYLE:] = np.bincount((grams & np.uint64(HASHED - 1)).astype("int64"), sign, HASHED) / np.sqrt(len(grams))
+            x[SHARES:N_STYLE] = np.log1p(size[i]), np.log1p(m), np.log1p(len(ln))
     return out
 
 
 def expanded(base: np.ndarray) -> np.ndarray:
     """Model inputs: a constant, the base features, and steps of the shares and sizes."""
-    share, logs = base[:, :SHARES], base[:, SHARES:]
+    share, logs, words = base[:, :SHARES], base[:, SHARES:N_STYLE], base[:, N_STYLE:]
     steps = [share > c for c in CUTS] + [logs > c for c in (1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0)]
-    return np.hstack([np.ones((len(base), 1)), share, logs / 10, *steps]).astype("float64")
+    return np.hstack([np.ones((len(base), 1)), share, logs / 10, words / 10, *steps]).astype("float64")
 
 
 def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -98,28 +106,40 @@ def unpack(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "float32").reshape(-1, N_BASE)
 
 
-def summed(rows: DataFrame, stat: Callable[[np.ndarray], np.ndarray]) -> dict[str, np.ndarray]:
-    """Sum of `stat` over the rows of each group in columns (grp, x), with the row count first. Bounded vectors only."""
+def summed(rows: DataFrame, stat: Callable[[np.ndarray, int], np.ndarray]) -> dict[tuple[str, int], np.ndarray]:
+    """Sum of `stat(x, fold)` over the rows of each group and fold in columns (grp, fold, x), with the row count first.
+    Bounded vectors only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, np.ndarray] = {}
+        total: dict[tuple[str, int], np.ndarray] = {}
         for b in batches:
-            x, grp = unpack(b.column(1)), np.asarray(b.column(0).to_pylist(), object)
-            for g in dict.fromkeys(grp.tolist()):
-                part = np.append(float((grp == g).sum()), stat(x[grp == g]))
+            grp, fold, x = b.column(0).to_pylist(), b.column(1).to_pylist(), unpack(b.column(2))
+            keys = list(zip(grp, fold, strict=True))
+            for g in dict.fromkeys(keys):
+                mine = np.asarray([k == g for k in keys])
+                part = np.append(float(mine.sum()), stat(x[mine], g[1]))
                 total[g] = total[g] + part if g in total else part
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], names=["grp", "v"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([g for g, _ in total], pa.string()), pa.array([f for _, f in total], pa.int32()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], names=["grp", "fold", "v"]
+        )
 
-    parts = rows.select("grp", "x").mapInArrow(run, "grp string, v array<double>")
+    parts = rows.select("grp", "fold", "x").mapInArrow(run, "grp string, fold int, v array<double>")
     # Added up in a tree of fixed fan-in, so that no task and not the driver meets a vector of every input task.
-    parts = parts.select("grp", F.posexplode("v").alias("i", "v")).groupBy("grp", "i").agg(F.sum("v").alias("v"))
-    out: dict[str, np.ndarray] = {}
-    for g, i, v in sorted(parts.collect()):  # groups x statistics, a fixed number
-        out[g] = np.append(out.get(g, np.zeros(0)), v)
-    return out
+    parts = parts.select("grp", "fold", F.posexplode("v").alias("i", "v")).groupBy("grp", "fold", "i").agg(F.sum("v").alias("v"))
+    t = parts.toArrow().sort_by([("grp", "ascending"), ("fold", "ascending"), ("i", "ascending")])  # groups x folds x statistics, a fixed number
+    out: dict[tuple[str, int], list] = {}
+    for g, f, v in zip(*(t.column(c).to_pylist() for c in ("grp", "fold", "v")), strict=True):
+        out.setdefault((g, f), []).append(v)
+    return {k: np.asarray(v) for k, v in out.items()}
+
+
+def over_folds(sums: dict[tuple[str, int], np.ndarray], grp: str, but: int | None = None) -> np.ndarray | None:
+    """The sums of a group over all folds, or over all but one."""
+    found = [v for (g, f), v in sums.items() if g == grp and f != but]
+    return sum(found[1:], found[0]) if found else None
 
 
-def moments(base: np.ndarray) -> np.ndarray:
+def moments(base: np.ndarray, fold: int = 0) -> np.ndarray:
     x = expanded(base)
     return np.concatenate([x.sum(axis=0), (x.T @ x)[np.triu_indices(x.shape[1])]])
 
@@ -132,7 +152,7 @@ def unpacked_moments(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return m, s + np.triu(s, 1).T
 
 
-def non_negative_fit(m_p: np.ndarray, s_p: np.ndarray, m_u: np.ndarray, s_u: np.ndarray, prior: float, ridge: float = RIDGE, steps: int = 2000) -> np.ndarray:
+def non_negative_fit(m_p: np.ndarray, s_p: np.ndarray, m_u: np.ndarray, s_u: np.ndarray, prior: float, ridge: float, steps: int = 2000) -> np.ndarray:
     """Weights that minimise the non-negative unbiased risk under squared loss (1 - z)**2 / 4.
 
     The unbiased risk has a closed minimum. Where its negative part has gone below zero there, gradient steps follow the
@@ -154,9 +174,33 @@ def non_negative_fit(m_p: np.ndarray, s_p: np.ndarray, m_u: np.ndarray, s_u: np.
     return w
 
 
-def bins_of(w: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
-    def count(base: np.ndarray) -> np.ndarray:
-        z = np.clip((expanded(base) @ w + 2) / 4 * BINS, 0, BINS - 1).astype("int64")
+def risk(w: np.ndarray, m_p: np.ndarray, s_p: np.ndarray, m_u: np.ndarray, s_u: np.ndarray, prior: float) -> float:
+    """The non-negative risk of weights on a sample given by its moments."""
+    positive = prior * (1 - 2 * w @ m_p + w @ s_p @ w) / 4
+    negative = (1 + 2 * w @ m_u + w @ s_u @ w) / 4 - prior * (1 + 2 * w @ m_p + w @ s_p @ w) / 4
+    return float(positive + max(0.0, negative))
+
+
+def chosen_ridge(sums: dict[tuple[str, int], np.ndarray], prior: float) -> tuple[float, dict[int, np.ndarray]]:
+    """The ridge of least mean risk on the folds left out, and for each fold the weights fitted without it.
+
+    Folds that lack a group are skipped; without any two of both groups the largest ridge is taken.
+    """
+    folds = [f for f in range(FOLDS) if all((g, f) in sums and over_folds(sums, g, f) is not None for g in "pu")]
+    best: tuple[float, float, dict[int, np.ndarray]] | None = None
+    for ridge in RIDGES:
+        fits = {f: non_negative_fit(*unpacked_moments(over_folds(sums, "p", f)), *unpacked_moments(over_folds(sums, "u", f)), prior, ridge, 200) for f in folds}
+        mean = sum(risk(w, *unpacked_moments(sums["p", f]), *unpacked_moments(sums["u", f]), prior) for f, w in fits.items()) / max(len(folds), 1)
+        if best is None or mean <= best[0]:
+            best = (mean, ridge, fits)
+    return best[1], best[2]
+
+
+def bins_of(weights: dict[int, np.ndarray], otherwise: np.ndarray) -> Callable[[np.ndarray, int], np.ndarray]:
+    """Score histogram of rows under the weights of their fold."""
+
+    def count(base: np.ndarray, fold: int) -> np.ndarray:
+        z = np.clip((expanded(base) @ weights.get(fold, otherwise) + 2) / 4 * BINS, 0, BINS - 1).astype("int64")
         return np.bincount(z, minlength=BINS).astype("float64")
 
     return count
@@ -204,19 +248,20 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: Column, prior: float
     """doc_id, held_out and score of every document; labels are learnt only where `held_out` (of doc_id) is false."""
     rows = stored(features(docs).withColumn("held_out", held_out), "quality-features")
     good = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("k")).distinct()
-    learn = rows.where(~F.col("held_out"))
-    trusted = learn.join(good, F.col("doc_id") == F.col("k"), "left_semi").select(F.lit("p").alias("grp"), "x")
-    both = stored(trusted.unionByName(learn.select(F.lit("u").alias("grp"), "x")), "pu-rows")
+    fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold")
+    learn = rows.where(~F.coalesce(F.col("held_out"), F.lit(False)))
+    trusted = learn.join(good, F.col("doc_id") == F.col("k"), "left_semi").select(F.lit("p").alias("grp"), fold, "x")
+    both = stored(trusted.unionByName(learn.select(F.lit("u").alias("grp"), fold, "x")), "pu-rows")
     sums = summed(both, moments)
-    if "p" not in sums or "u" not in sums:
+    p_sums, u_sums = over_folds(sums, "p"), over_folds(sums, "u")
+    if p_sums is None or u_sums is None:
         return rows.select("doc_id", "held_out", F.lit(0.5).alias("score"))
-    m_p, s_p = unpacked_moments(sums["p"])
-    m_u, s_u = unpacked_moments(sums["u"])
-    guess, ridge = 0.5 if prior is None else prior, RIDGE + RIDGE_ROWS / sums["p"][0]
+    guess = 0.5 if prior is None else prior
     for _ in range(1 if prior is not None else 2):
-        w = non_negative_fit(m_p, s_p, m_u, s_u, guess, ridge)
-        hist = summed(both, bins_of(w))
-        p, u = hist["p"][1:], hist["u"][1:]
+        ridge, fits = chosen_ridge(sums, guess)
+        w = non_negative_fit(*unpacked_moments(p_sums), *unpacked_moments(u_sums), guess, ridge)
+        hist = summed(both, bins_of(fits, w))
+        p, u = over_folds(hist, "p")[1:], over_folds(hist, "u")[1:]
         guess = estimated_prior(p, u) if prior is None else prior
     return score_with(rows, w, calibration(p, u, guess))
 

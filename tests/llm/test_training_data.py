@@ -121,6 +121,48 @@ def test_classifier_odd_rows(spark, odd):
     assert out.count() == 10 and out.where("score is null or score < 0 or score > 1").count() == 0
 
 
+def test_classifier_empty_table(spark, odd):
+    labels = spark.createDataFrame([(5, 1)], "doc_id long, quality int")
+    assert quality_classifier.classify(odd.limit(0), labels, F.col("doc_id") % 5 == 0).count() == 0
+    assert quality_classifier.classify(odd, labels.limit(0), F.col("doc_id") % 5 == 0).count() == 10
+
+
+def test_classifier_held_out_accuracy(spark):
+    """On rows it never learned from, the labelled good ones rank above the bad ones and pass the threshold."""
+    sf = "/root/testdata/sf0.01"
+    out = quality_classifier.op2_nonnegative_pu(spark, sf).toPandas().merge(pd.read_parquet(f"{sf}/labels.parquet"), on="doc_id")
+    held = out[out.held_out]
+    good, bad = held[held.quality == 1].score, held[held.quality == 0].score
+    assert (good.to_numpy()[:, None] > bad.to_numpy()[None, :]).mean() > 0.97 and (good >= 0.3).mean() > 0.85 and (bad < 0.3).mean() > 0.85
+
+
+def test_non_negative_fit_equals_brute_force():
+    """Moments, risk and fit against plain sums over rows: no step from the fit lowers the regularised risk."""
+    rng = np.random.default_rng(3)
+    base = rng.random((300, quality_classifier.N_BASE)).astype("float32")
+    p, u = base[:120] * 0.8, base[100:]
+    stats = []
+    for x in (p, u):
+        v = quality_classifier.moments(x)
+        m, s = quality_classifier.unpacked_moments(np.append(float(len(x)), v))
+        wide = quality_classifier.expanded(x)
+        assert np.allclose(m, wide.mean(axis=0)) and np.allclose(s, np.mean([np.outer(r, r) for r in wide], axis=0))
+        stats += [m, s]
+    square = lambda x, y, w: np.mean((1 - y * (quality_classifier.expanded(x) @ w)) ** 2) / 4
+    for prior in (0.2, 0.5):
+        w = quality_classifier.non_negative_fit(*stats, prior, 0.03, 20_000)
+        negative = square(u, -1, w) - prior * square(p, -1, w)
+        assert quality_classifier.risk(w, *stats, prior) == pytest.approx(prior * square(p, 1, w) + max(0, negative))
+        scale = 0.03 * np.maximum(np.diag(stats[3]), 1e-6)
+        full = lambda z: prior * square(p, 1, z) + square(u, -1, z) - prior * square(p, -1, z) + z @ (scale * z)
+        if negative > 1e-3:  # not at the bound: a stationary point of the unbiased risk
+            for k in rng.choice(len(w), 25, replace=False):
+                step = np.zeros(len(w))
+                step[k] = 1e-3
+                assert min(full(w + step), full(w - step)) >= full(w) - 1e-9
+        assert negative > -1e-3
+
+
 def test_non_negative_risk_prior():
     p, u = np.zeros(400), np.zeros(400)
     p[300:], u[300:], u[:100] = 10, 5, 5
