@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,13 +31,41 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_written: list[str] = []  # folders of intermediates that have not been deleted
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once to the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _written.remove(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a stored table that nothing reads any more."""
+    names = {file.rsplit("/", 2)[1] for file in df.inputFiles()}
+    for path in [p for p in _written if p.rsplit("/", 1)[1] in names]:
+        _delete(df.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediates that are stored inside are deleted at the end; write or collect the results before it."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        for path in [p for p in _written if p not in before]:
+            _delete(spark, path)
+
+
 def bind(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
     """Add columns that are computed exactly once, however often later expressions (lambdas too) use them."""
     packed = F.explode_outer(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("__b")
@@ -56,6 +86,15 @@ def checked_join(left: DataFrame, right: DataFrame, on: Column | list[str], how:
     return left.join(F.broadcast(right) if is_small(right, bound) else right, on, how)
 
 
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], salt: Column, salts: int = 16) -> DataFrame:
+    """Inner join with a stored right side that has each key once: broadcast when it is small, else every right row stands
+    under `salts` keys and the left rows are dealt over them, so a hot left key never meets in one task."""
+    if is_small(right):
+        return left.join(F.broadcast(right), on)
+    copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.withColumn("__salt", F.pmod(F.xxhash64(salt), F.lit(salts)).cast("int")).join(copies, [*on, "__salt"]).drop("__salt")
+
+
 def crc_text(col: Column) -> Column:
     """crc32 of a value written as text; null counts as the empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary"))

@@ -1,9 +1,10 @@
 """Benchmark decontamination: windows of benchmark words found in training documents.
 
 Benchmark items become windows of `size` consecutive words (shorter items one window of all their words). Their hashes
-fill a small bitmap; each document's windows are tested against it in the row, the few survivors meet the broadcast
+fill a Bloom filter; each document's windows are tested against it in the row, the few survivors meet the broadcast
 n-gram table (by shuffle when its counted rows or bytes pass a bound) and are verified word by word. A document word inside any
-occurrence is hit.
+occurrence is hit. The filter has 32 bits a window until it reaches 2 MB (half a million windows); beyond that the share of
+other windows that pass it rises smoothly (0.2 % at a million, 2 % at two, 16 % at four), and all that pass are verified.
 
 Edge cases: null and empty texts have no words and no hits; items without words give no window; windows shared by items
 count for each; repeated document rows are reported separately; an empty benchmark leaves every document clean; extra
@@ -12,6 +13,11 @@ columns are ignored by `scan` and kept by `clean`.
 
 from __future__ import annotations
 
+import functools
+import math
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +28,7 @@ NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A word as it stands in the text (A-Z not yet lowered) with the separators after it.
 WORD_AND_GAP = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
 LEAD_GAP = r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
-MAX_BITMAP_BITS = 1 << 22
+MAX_FILTER_BITS = 1 << 24
 
 
 def words_of(text: Column) -> Column:
@@ -44,17 +50,26 @@ def gram_table(benchmark: DataFrame, size: int, item: str = "item_id", text: str
     return b.groupBy("len", "g", "gram").agg(F.collect_set("item").alias("items"))
 
 
-def bitmap(grams: DataFrame, n: int) -> tuple[Column, int] | None:
-    """A constant bitmap over gram hashes (64 bits a gram), or None beyond the bound."""
-    bits = 1 << max(12, (64 * n - 1).bit_length())
-    if bits > MAX_BITMAP_BITS:
-        return None
-    place = F.col("g").bitwiseAND(F.lit(bits - 1))
-    held = grams.groupBy(F.shiftright(place, 6).alias("k")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((g & {bits - 1}L) & 63 as int))")).alias("v"))
-    words = [0] * (bits // 64)
-    for k, v in held.collect():  # at most bits / 64 rows
-        words[k] = v
-    return F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>"), bits
+def bloom_filter(grams: DataFrame, n: int) -> Callable[[Column], Column]:
+    """A test of window hashes against a constant Bloom filter of the stored n windows."""
+    bits = min(MAX_FILTER_BITS, 1 << max(12, (32 * n - 1).bit_length()))
+    probes = max(1, min(4, round(math.log(2) * bits / max(n, 1))))
+
+    def places(g: Column) -> list[Column]:
+        again = F.xxhash64(g)
+        return [F.call_function("shiftright", x, F.lit(shift)).bitwiseAND(F.lit(bits - 1)) for x, shift in ((g, 0), (g, 32), (again, 0), (again, 32))][:probes]
+
+    ones = grams.select(F.explode(F.array(*places(F.col("g")))).alias("place"))
+    held = ones.groupBy(F.shiftright("place", 6).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("v")).toArrow()  # at most bits / 64 rows
+    words = np.zeros(bits // 64, "int64")
+    words[held.column("k").to_numpy()] = held.column("v").to_numpy()
+    filled = F.split(F.lit(",".join(map(str, words.tolist()))), ",").cast("array<bigint>")
+
+    def passes(g: Column) -> Column:
+        hit = [F.call_function("shiftright", filled[F.call_function("shiftright", p, F.lit(6)).cast("int")], p.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1 for p in places(g)]
+        return functools.reduce(Column.__and__, hit)
+
+    return passes
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, key: str = "doc_id", text: str = "text", bound: int = BROADCAST_ROWS) -> DataFrame:
@@ -62,16 +77,14 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, key: str = "doc_
     grams = stored(gram_table(benchmark, size), "benchmark-grams")
     n = grams.count()
     lengths = sorted(r[0] for r in grams.select("len").distinct().collect())  # at most `size` values
-    marks = bitmap(grams, n)
+    passes = bloom_filter(grams, n)
     d = docs.select(F.col(key).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("t"))
     d = bind(d, ["doc_id", "row"], words=words_of(F.col("t")))
     d = bind(d, ["doc_id", "row", "words"], wh=F.transform("words", lambda x: F.xxhash64(x)), n_words=F.size("words"))
 
     def survivors(length: int) -> Column:
         hashed = F.transform(windows(F.col("n_words"), length), lambda i: F.struct(i.alias("i"), F.xxhash64(F.slice("wh", i + 1, length)).alias("g")))
-        if marks:
-            held, bits = marks
-            hashed = F.filter(hashed, lambda c: F.call_function("shiftright", held[F.shiftright(c.g.bitwiseAND(F.lit(bits - 1)), 6).cast("int")], c.g.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1)
+        hashed = F.filter(hashed, lambda c: passes(c.g))
         return F.transform(hashed, lambda c: F.struct(c.i.alias("i"), F.lit(length).alias("len"), c.g.alias("g"), F.array_join(F.slice("words", c.i + 1, length), " ").alias("gram")))
 
     found = F.concat(*[survivors(k) for k in lengths]) if lengths else F.expr("cast(array() as array<struct<i:int,len:int,g:bigint,gram:string>>)")

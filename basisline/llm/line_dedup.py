@@ -5,7 +5,7 @@ estimate is within the sketch's error of the threshold get an exact distinct cou
 cross-site boilerplate: they stay in one document (smallest key) and go everywhere else.
 
 Lines seen on one site only never reach a sketch: a cheap first aggregation (count, smallest and largest site hash)
-drops them. Hot lines are pre-aggregated before each shuffle.
+drops them. Hot lines are pre-aggregated to one row a site, or salted, before each shuffle by line.
 
 Edge cases: null texts have no lines and stay null; blank lines are never removed; null sites are one site of their own;
 repeats of a line inside a document go with it (the keeping document keeps its own); an empty table gives an empty
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basisline.llm.common import checked_join, stored, table
+from basisline.llm.common import checked_join, is_small, salted_join, stored, table
 
 #: Relative standard error of an HLL sketch with 2**lg_k buckets is about 1.04 / sqrt(2**lg_k); the band is four of them.
 LG_K = 10
@@ -38,19 +38,26 @@ def site_rows(docs: DataFrame, key: str, text: str, site: str) -> DataFrame:
     return lines.where(has_word(F.col("line"))).select("k", "site", line_hash(F.col("line")).alias("l"))
 
 
+def sites_of(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """Rows (line, site) of the given lines. Few lines are broadcast; beside many, each line meets them once a site."""
+    if is_small(lines):
+        return rows.join(F.broadcast(lines), ["a", "b"])
+    return rows.select("a", "b", "site").distinct().join(lines, ["a", "b"])
+
+
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, key: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
     """One row per boilerplate line: its hash `l` (a, b), `keeper` (the key that keeps it), and n_sites (estimated or exact)."""
     rows = site_rows(docs, key, text, site).select(F.col("l.a").alias("a"), F.col("l.b").alias("b"), "k", "site")
     wide = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("site").alias("lo"), F.max("site").alias("hi"), F.min("k").alias("keeper"))
     wide = stored(wide.where((F.col("n") >= min_sites) & (F.col("lo") != F.col("hi"))).select("a", "b", "keeper"), "wide-lines")
-    spread = checked_join(rows, wide, ["a", "b"], "inner")
+    spread = sites_of(rows, wide)
     sketched = spread.groupBy("a", "b", "keeper").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("est"))
     sketched = stored(sketched, "line-sketches")
     band = max(1.0, 4 * 1.04 / 2 ** (lg_k / 2) * min_sites)
     near = (F.col("est") >= min_sites - band) & (F.col("est") <= min_sites + band)
     sure = sketched.where((F.col("est") > min_sites + band)).select("a", "b", "keeper", F.col("est").alias("n_sites"))
     unsure = stored(sketched.where(near).select("a", "b", "keeper"), "near-lines")
-    exact = checked_join(rows, unsure, ["a", "b"], "inner").select("a", "b", "keeper", "site").distinct()
+    exact = sites_of(rows, unsure).select("a", "b", "keeper", "site").distinct()
     exact = exact.groupBy("a", "b", "keeper").agg(F.count(F.lit(1)).alias("n_sites")).where(F.col("n_sites") >= min_sites)
     return sure.unionByName(exact)
 
@@ -59,7 +66,7 @@ def removals(docs: DataFrame, lines: DataFrame, key: str = "doc_id", text: str =
     """One row per document (key, text hash) that loses lines: the hashes that go."""
     own = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.explode(F.array_distinct(F.split(text, "\n"))).alias("line"))
     own = own.where(has_word(F.col("line"))).select("k", "h", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(7), F.col("line")).alias("b"))
-    gone = checked_join(own, lines, ["a", "b"], "inner").where(~F.col("k").eqNullSafe(F.col("keeper")))
+    gone = salted_join(own, lines, ["a", "b"], F.col("h")).where(~F.col("k").eqNullSafe(F.col("keeper")))
     return gone.groupBy("k", "h").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
 
 

@@ -8,7 +8,9 @@
    again in blocks), where all pairs are verified exactly. Out come link counts and a spanning forest of true links.
 4. Components of the true links are the classes.
 
-Cost: linear but for the comparisons inside one bucket or cluster, which are counted in tasks of bounded size.
+Cost: linear but for the comparisons inside one bucket or cluster, which are counted in tasks of bounded size. Links are
+counted exactly, so a cluster of n different texts that are all alike costs its n (n - 1) / 2 comparisons, and each of its sets
+goes to n / BLOCK tasks; copies of one text cost nothing, whatever their number.
 
 Edge cases: texts of fewer than five words are one shingle of all their words; null, empty and wordless texts have no
 shingle, are linked to nothing and form a class each; repeated rows are copies of one node; null keys are allowed; empty
@@ -243,16 +245,12 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     named = nodes.select("node", "rep", "docs").join(classes, "node", "left").join(counts, "node", "left").withColumn("label", F.coalesce("label", "node"))
     by_class = named.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("docs").alias("class_size"))
     named = stored(named.join(by_class, "label").select("node", "class_id", "class_size", "docs", "linked", "texts"), "classes")
-    out = checked_join(own.select("doc_id", "h", "node"), named, ["node"], "left")
-    alone = F.col("node").isNull()
-    return out.select(
-        "doc_id",
-        "h",
-        F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(alone, 1).otherwise(F.col("class_size")).cast("long").alias("class_size"),
-        F.when(alone, 0).otherwise(F.col("docs") - 1 + F.coalesce("linked", F.lit(0))).cast("long").alias("n_links"),
-        F.coalesce("texts", F.lit(0)).cast("long").alias("n_text_links"),
-    )
+    out = checked_join(own.where("node is not null").select("doc_id", "h", "node"), named, ["node"], "inner")
+    links = (F.col("docs") - 1 + F.coalesce("linked", F.lit(0))).cast("long").alias("n_links")
+    out = out.select("doc_id", "h", "class_id", F.col("class_size").cast("long").alias("class_size"), links, F.coalesce("texts", F.lit(0)).cast("long").alias("n_text_links"))
+    none = F.lit(0).cast("long")
+    alone = own.where("node is null").select("doc_id", "h", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), none.alias("n_links"), none.alias("n_text_links"))
+    return out.unionByName(alone)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import gzip
 import itertools
+import os
 import random
 import zlib
 from collections import Counter
@@ -137,30 +138,33 @@ def test_classifier_held_out_accuracy(spark):
 
 
 def test_non_negative_fit_equals_brute_force():
-    """Moments, risk and fit against plain sums over rows: no step from the fit lowers the regularised risk."""
+    """Moments, risk and fit against plain sums over rows: the fit is a stationary point of the regularised risk, and where
+    the negative part would fall below zero it beats the unbiased minimum."""
     rng = np.random.default_rng(3)
-    base = rng.random((300, quality_classifier.N_BASE)).astype("float32")
-    p, u = base[:120] * 0.8, base[100:]
+    good, bad = (rng.random((n, quality_classifier.N_BASE)).astype("float32") * f for n, f in ((600, 0.9), (300, 0.6)))
+    p, u = good[:300], np.concatenate([good[300:], bad])
     stats = []
     for x in (p, u):
-        v = quality_classifier.moments(x)
-        m, s = quality_classifier.unpacked_moments(np.append(float(len(x)), v))
+        m, s = quality_classifier.unpacked_moments(np.append(float(len(x)), quality_classifier.moments(x)))
         wide = quality_classifier.expanded(x)
         assert np.allclose(m, wide.mean(axis=0)) and np.allclose(s, np.mean([np.outer(r, r) for r in wide], axis=0))
         stats += [m, s]
     square = lambda x, y, w: np.mean((1 - y * (quality_classifier.expanded(x) @ w)) ** 2) / 4
-    for prior in (0.2, 0.5):
-        w = quality_classifier.non_negative_fit(*stats, prior, 0.03, 20_000)
-        negative = square(u, -1, w) - prior * square(p, -1, w)
-        assert quality_classifier.risk(w, *stats, prior) == pytest.approx(prior * square(p, 1, w) + max(0, negative))
-        scale = 0.03 * np.maximum(np.diag(stats[3]), 1e-6)
-        full = lambda z: prior * square(p, 1, z) + square(u, -1, z) - prior * square(p, -1, z) + z @ (scale * z)
-        if negative > 1e-3:  # not at the bound: a stationary point of the unbiased risk
+    bound = []
+    for prior, ridge in ((0.3, 10.0), (0.5, 0.1), (0.66, 30.0)):
+        w = quality_classifier.non_negative_fit(*stats, prior, ridge)
+        scale = ridge * np.maximum(np.diag(stats[3]), 1e-6)
+        negative = lambda z: square(u, -1, z) - prior * square(p, -1, z)  # noqa: B023, E731
+        full = lambda z: prior * square(p, 1, z) + max(0.0, negative(z)) + z @ (scale * z)  # noqa: B023, E731
+        assert quality_classifier.risk(w, *stats, prior) == pytest.approx(prior * square(p, 1, w) + max(0.0, negative(w)))
+        unbiased = np.linalg.solve(stats[3] + 4 * np.diag(scale), 2 * prior * stats[0] - stats[2])
+        assert full(w) <= full(unbiased) + 1e-12
+        bound.append(negative(unbiased) < 0)
+        if not bound[-1]:
             for k in rng.choice(len(w), 25, replace=False):
-                step = np.zeros(len(w))
-                step[k] = 1e-3
+                step = np.eye(len(w))[k] * 1e-3
                 assert min(full(w + step), full(w - step)) >= full(w) - 1e-9
-        assert negative > -1e-3
+    assert len(set(bound)) == 2
 
 
 def test_non_negative_risk_prior():
@@ -249,6 +253,19 @@ def test_decontamination_short_items_and_spans(spark, odd):
     assert shuffled == out
 
 
+def test_decontamination_with_a_full_filter(spark, odd, monkeypatch):
+    """A filter far too small for its windows lets more pass, and the result is the same."""
+    bench = spark.createDataFrame([(i, " ".join(f"b{i}x{j}" for j in range(40))) for i in range(200)] + [(999, "brown fox jumps over the lazy dog while seven wizards mix")], "item_id long, text string")
+    want = {(r.doc_id, r.n_hit, tuple(r["items"])) for r in decontamination.scan(odd, bench).collect()}
+    monkeypatch.setattr(decontamination, "MAX_FILTER_BITS", 1 << 12)
+    assert {(r.doc_id, r.n_hit, tuple(r["items"])) for r in decontamination.scan(odd, bench).collect()} == want and (5, 11, ("999",)) in want
+    grams = common.stored(decontamination.gram_table(bench, 10), "grams")
+    monkeypatch.undo()
+    passes = decontamination.bloom_filter(grams, grams.count())
+    assert grams.where(~passes(F.col("g"))).isEmpty()
+    assert spark.range(100_000).where(passes(F.xxhash64("id", F.lit(3)))).count() < 300
+
+
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body><nav><a href="/">Home</a> <a href="/x">All</a></nav>
 <div id="cookie-notice">We use cookies to make this site better for everyone who visits it.</div>
 <div class="main"><h1>A &amp; B</h1><p>First   paragraph of the article with many words in it.<br>Second line &eacute;.</p><p>Last one, also long enough to count as text.</p></div>
@@ -452,6 +469,27 @@ def test_line_dedup(spark, sf, docs, odd):
     assert line_dedup.without_boilerplate(many.limit(0)).count() == 0 and line_dedup.clean_lines(odd).count() == 10
 
 
+def test_line_dedup_beside_many_lines(spark, monkeypatch):
+    """Line tables too large to broadcast: hot lines are joined once a site and by salt, with equal results."""
+    many = frame(spark, [(i, f"shared line\nown {i}\nother {i % 3}", "en", f"s{i % 12}") for i in range(300)])
+    want = B.without_lines([(r.doc_id, r.source, r.text) for r in many.collect()])
+    monkeypatch.setattr(line_dedup, "is_small", lambda *_: False)
+    monkeypatch.setattr(common, "is_small", lambda *_: False)
+    assert {r["row"].doc_id: r.text for r in line_dedup.clean_lines(many).collect()} == want
+
+
+def test_intermediates_are_deleted(spark):
+    before = set(common._written)
+    with common.scratch(spark):
+        components.components(spark.createDataFrame([(k, k + 1) for k in range(60)], "a long, b long")).collect()
+        rounds = [p for p in common._written if "/cc-" in p and p not in before]
+        assert len(rounds) == 1  # only the labels are left of all rounds
+        kept = common.stored(spark.range(3), "kept")
+        folder = common._written[-1].removeprefix("file://")
+        assert os.path.isdir(folder) and kept.count() == 3
+    assert not os.path.exists(folder) and not any(os.path.exists(p.removeprefix("file://")) for p in rounds) and not any("/kept-" in p for p in common._written)
+
+
 def test_language_model(spark, sf, docs):
     out = QUERIES["op9_deleted_interpolation"](spark, sf).toPandas()
     want = B.unigram_base(pairs(docs), lambda d: B.fold(d, 7) == 2)
