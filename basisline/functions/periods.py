@@ -13,13 +13,19 @@ from basisline.functions.text import lookup, normalize_text
 # Month names, abbreviations and exchange month codes.
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 MONTH_CODES = "FGHJKMNQUVXZ"
+_NUMBER = {m.lower(): i + 1 for i, m in enumerate(MONTHS)} | {m[:3].lower(): i + 1 for i, m in enumerate(MONTHS)} | {"sept": 9}
+_NAMES = "|".join(sorted(_NUMBER, key=len, reverse=True))
+_FULL = "|".join(m.lower() for m in MONTHS)
+# Readings of a period label.
+DATED = rf"\b({_NAMES})\b\s+(\d{{1,2}})(?:st|nd|rd|th)?(?:\s*,\s*|\s+)(\d{{4}})\b"
+MONTH_AND_DIGITS = rf"\b({_NAMES})\b\s*([-/\s])\s*(\d{{2,4}})(?!\s*,\s*\d{{4}})\b"
+HARVEST = r"\bharvest\b[^0-9]*(\d{2,4})?"
+CONTRACT = r"\b([fghjkmnquvxz])(?:c|s|w)?(\d{1,2})\b"
+NAMED = rf"\b({_NAMES})\b[^0-9]*(\d{{2,4}})?"
 # End of fixed values.
 
 #: Month of a year-less label: after every dated one.
 NO_YEAR = 9999
-_NUMBER = {m.lower(): i + 1 for i, m in enumerate(MONTHS)} | {m[:3].lower(): i + 1 for i, m in enumerate(MONTHS)} | {"sept": 9}
-_NAMES = "|".join(sorted(_NUMBER, key=len, reverse=True))
-_FULL = "|".join(m.lower() for m in MONTHS)
 
 
 def month_number(name: Column) -> Column:
@@ -55,19 +61,15 @@ def month_key(label: Column) -> Column:
     """
     text = F.lower(normalize_text(label))
     key = lambda year, month: year * 12 + month
-    dated = rf"\b({_NAMES})\b\s+(\d{{1,2}})(?:st|nd|rd|th)?(?:\s*,\s*|\s+)(\d{{4}})\b"
-    with_day = key(full_year(_part(text, dated, 3)), month_number(_part(text, dated, 1)))
-    short = rf"\b({_NAMES})\b\s*([-/\s])\s*(\d{{2,4}})(?!\s*,\s*\d{{4}})\b"
-    digits = F.regexp_extract(text, short, 3)
-    day_like = F.regexp_extract(text, short, 2).rlike(r"^\s$") & (F.length(digits) <= 2) & (digits.try_cast("int") <= 31)
-    month_year = F.when(~day_like, key(full_year(_part(text, short, 3)), month_number(_part(text, short, 1))))
-    harvest = key(full_year(_part(text, r"\bharvest\b[^0-9]*(\d{2,4})?", 1)), F.lit(10))
-    code = r"\b([fghjkmnquvxz])(?:c|s|w)?(\d{1,2})\b"
-    contract = key(full_year(_part(text, code, 2)), code_number(_part(text, code, 1)))
-    named = rf"\b({_NAMES})\b[^0-9]*(\d{{2,4}})?"
-    token = _part(text, named, 2)
+    with_day = key(full_year(_part(text, DATED, 3)), month_number(_part(text, DATED, 1)))
+    digits = F.regexp_extract(text, MONTH_AND_DIGITS, 3)
+    day_like = F.regexp_extract(text, MONTH_AND_DIGITS, 2).rlike(r"^\s$") & (F.length(digits) <= 2) & (digits.try_cast("int") <= 31)
+    month_year = F.when(~day_like, key(full_year(_part(text, MONTH_AND_DIGITS, 3)), month_number(_part(text, MONTH_AND_DIGITS, 1))))
+    harvest = key(full_year(_part(text, HARVEST, 1)), F.lit(10))
+    contract = key(full_year(_part(text, CONTRACT, 2)), code_number(_part(text, CONTRACT, 1)))
+    token = _part(text, NAMED, 2)
     has_year = token.isNotNull() & ((F.length(token) == 4) | (token.try_cast("int") > 31))
-    bare = key(F.when(has_year, full_year(token)).otherwise(NO_YEAR), month_number(_part(text, named, 1)))
+    bare = key(F.when(has_year, full_year(token)).otherwise(NO_YEAR), month_number(_part(text, NAMED, 1)))
     return F.coalesce(with_day, month_year, harvest, contract, bare).cast("int")
 
 
@@ -76,11 +78,9 @@ def display_key(label: Column) -> Column:
     two to four digits after a name is its year, and a name without one has year 0."""
     text = F.lower(F.trim(label))
     key = lambda year, month: year * 12 + month
-    harvest = key(full_year(_part(text, r"\bharvest\b[^0-9]*(\d{2,4})?", 1)), F.lit(10))
-    code = r"\b([fghjkmnquvxz])(?:c|s|w)?(\d{1,2})\b"
-    contract = key(full_year(_part(text, code, 2)), code_number(_part(text, code, 1)))
-    named = rf"\b({_NAMES})\b[^0-9]*(\d{{2,4}})?"
-    bare = key(F.coalesce(full_year(_part(text, named, 2)), F.lit(0)), month_number(_part(text, named, 1)))
+    harvest = key(full_year(_part(text, HARVEST, 1)), F.lit(10))
+    contract = key(full_year(_part(text, CONTRACT, 2)), code_number(_part(text, CONTRACT, 1)))
+    bare = key(F.coalesce(full_year(_part(text, NAMED, 2)), F.lit(0)), month_number(_part(text, NAMED, 1)))
     return F.coalesce(harvest, contract, bare).cast("int")
 
 

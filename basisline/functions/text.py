@@ -104,6 +104,11 @@ AGGREGATORS = ("agricharts",)
 HIDDEN_COMMODITIES = ("mixed daily file",)
 INVALID_COMMODITIES = ("mixed daily file", "ontario daily file", "ontario cash bids", "eastern ontario daily file", "eastern ontario cash bids")
 INVALID_COMMODITY_TOKENS = ("daily file", "cash bids", "source sheet")
+PLACE_CROP = r"(?i)\s+(corn|soybeans?|wheat|barley|oats|milo)$"
+PLACE_WET_CORN = r"(?i)\bwet\s+corn$"
+PLACE_COMPANY = r"(?i),\s*(glg|g\.l\.g\.|agricharts|andersons|the andersons|hensall|snobelen|wanstead)$"
+PLACE_ANY_BRANCH = r"(?i)^any\s+(.+?)\s+branch$"
+EASTERN_CUTS = (r"^LAC\s*-\s*", r"^Ingredion\s+", r"\s+\([^)]*\)\s*$", r"\s+(corn|soybeans?|wheat|hrw new crop wheat|hrw old crop wheat)$", r"\s+(transfer|ethanol|elevator)$")
 # End of fixed values.
 
 
@@ -142,10 +147,10 @@ def display_commodity(value: Column) -> Column:
 def canonical_location(value: Column) -> Column:
     """One label for a market place: no commodity or company suffix, no 'Any ... Branch', known variants merged."""
     place = F.trim(F.regexp_replace(normalize_text(value), r"\s*/\s*", " / "))
-    bare = F.trim(F.regexp_replace(place, r"(?i)\s+(corn|soybeans?|wheat|barley|oats|milo)$", ""))
-    place = F.when(place.rlike(r"(?i)\bwet\s+corn$"), place).otherwise(bare)
-    place = F.trim(F.regexp_replace(place, r"(?i),\s*(glg|g\.l\.g\.|agricharts|andersons|the andersons|hensall|snobelen|wanstead)$", ""))
-    place = normalize_text(F.regexp_replace(place, r"(?i)^any\s+(.+?)\s+branch$", "$1 Branch"))
+    bare = F.trim(F.regexp_replace(place, PLACE_CROP, ""))
+    place = F.when(place.rlike(PLACE_WET_CORN), place).otherwise(bare)
+    place = F.trim(F.regexp_replace(place, PLACE_COMPANY, ""))
+    place = normalize_text(F.regexp_replace(place, PLACE_ANY_BRANCH, "$1 Branch"))
     return F.coalesce(lookup(LOCATION_ALIASES, F.lower(place)), place)
 
 
@@ -264,7 +269,7 @@ def parent_company(operator: Column, location: Column, evidence: Column) -> Colu
 def eastern_key(location: Column) -> Column:
     """Key of a place in the eastern list: without source prefix, plant owner, bracketed note, crop and kind of site."""
     out = F.trim(F.regexp_replace(F.coalesce(location, F.lit("")), r"\s+", " "))
-    for pattern in (r"^LAC\s*-\s*", r"^Ingredion\s+", r"\s+\([^)]*\)\s*$", r"\s+(corn|soybeans?|wheat|hrw new crop wheat|hrw old crop wheat)$", r"\s+(transfer|ethanol|elevator)$"):
+    for pattern in EASTERN_CUTS:
         out = F.trim(F.regexp_replace(out, f"(?i){pattern}", ""))
     return F.lower(out)
 

@@ -1,8 +1,8 @@
 """Alerts: rules matched against new rows, without repeats of what is still open.
 
 Rows are turned to one line per metric and meet the rules on it (an equi-join), the other conditions filter the pairs.
-Rules are few and are broadcast once counted; beyond the bound both sides are dealt over salts, so no metric's rows and
-rules meet in one task.
+Rules are few and are broadcast once their rows and bytes are measured; beyond the bounds both sides are dealt over salts,
+so no metric's rows and rules meet in one task.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basisline.operators.sizes import is_small
+
 METRICS = ("basis", "basis_change", "cash_price_bu", "cash_price_mt", "cash_price_bu_change", "cash_price_mt_change")
 STATUSES = ("new", "open", "pending", "acknowledged", "resolved")
 OPEN = ("new", "open", "pending")
@@ -46,6 +48,12 @@ def saved_filter(filters: Column, row: DataFrame) -> Column:
     return out
 
 
+def rule_totals(rules: DataFrame, alerts: DataFrame) -> DataFrame:
+    """One row: active rules and open alerts."""
+    active = rules.agg(F.count_if(F.col("is_active")).alias("active_rules"))
+    return active.join(alerts.agg(F.count_if(F.col("status").isin(*OPEN)).alias("open_alerts")), F.lit(True))  # two single rows
+
+
 def by_metric(rows: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFrame:
     """One line per row and metric that has a value."""
     there = [m for m in metrics if m in rows.columns]
@@ -58,7 +66,7 @@ def triggered(rows: DataFrame, rules: DataFrame, condition: Column | None = None
     columns of both sides."""
     lines = by_metric(rows)
     named = rules.withColumn("metric", F.lower(F.trim("rule_type")))
-    if rules.count() <= few:
+    if is_small(named, few):
         pairs = lines.join(F.broadcast(named), "metric")
     else:
         dealt = named.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -115,8 +115,24 @@ def cycle_totals(runs: DataFrame) -> DataFrame:
     return runs.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "completed").alias("completed"), F.count_if(F.col("status") == "failed").alias("failed"))
 
 
-def latest_runs(runs: DataFrame, source: str, at: str, tie: str, scanned: int = 2000) -> DataFrame:
-    """Latest run of each source among the last `scanned` runs (the window that the listing shows)."""
-    head = runs.orderBy(F.col(at).desc(), F.col(tie).desc()).limit(scanned)
-    w = W.partitionBy(source).orderBy(F.col(at).desc(), F.col(tie).desc())
-    return head.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+def latest_runs(runs: DataFrame, source: str, at: str, tie: str, scanned: int | None = 2000) -> DataFrame:
+    """Latest run of each source among the last `scanned` runs (the window that the listing shows); None: among all."""
+    head = runs if scanned is None else runs.orderBy(F.col(at).desc(), F.col(tie).desc()).limit(scanned)
+    last = head.groupBy(F.col(source).alias("__s")).agg(F.max_by(F.struct(*runs.columns), F.struct(at, tie)).alias("__r"))
+    return last.select("__r.*")
+
+
+def snapshot_counts(rows: DataFrame, history: DataFrame, key: list[str], canonical: Column, company: Column) -> DataFrame:
+    """One row about a snapshot: its rows, canonical and other ones, market keys, how many of these have several rows in
+    the whole history (which holds the snapshot too), and companies."""
+    own = rows.agg(F.count(F.lit(1)).alias("row_count"), F.count_if(canonical).alias("canonical_row_count"), F.count_if(~canonical).alias("non_canonical_row_count"), F.count_distinct(company).alias("company_count"))
+    touched = rows.select(*key).distinct()
+    markets = history.select(*key).join(touched, key, "left_semi").groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    markets = markets.agg(F.count(F.lit(1)).alias("impacted_market_key_count"), F.count_if(F.col("n") > 1).alias("duplicate_market_key_count"))
+    return own.join(markets, F.lit(True))  # two single rows
+
+
+def active_counts(rows: DataFrame, at: str, place: str) -> DataFrame:
+    """Rows of each place at the latest capture."""
+    latest = rows.agg(F.max(at).alias(at))
+    return rows.join(F.broadcast(latest), at, "left_semi").groupBy(place).agg(F.count(F.lit(1)).alias("row_count"))

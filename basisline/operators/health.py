@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from basisline.operators.diagnostics import blank, file_quality, latest_runs
@@ -40,16 +39,14 @@ def promotion(kind: Column, pilot: Column, active: Column, successes: Column, ne
 def failures_now(runs: DataFrame, source: str, at: str, tie: str, ok: Column) -> DataFrame:
     """By source: runs failed since its last success, that success, and the last run's time.
 
-    One aggregation: the last success is found first as an aggregate, failures after it are counted against it.
+    Two aggregations that combine before they shuffle: the last success of each source, then the failures after it.
     """
-    marked = runs.withColumn("__ok", ok)
-    w = W.partitionBy(source)
-    last_ok = F.max(F.when(F.col("__ok"), F.struct(at, tie))).over(w)
-    marked = marked.withColumn("__last", last_ok)
-    after = F.col("__last").isNull() | (F.struct(at, tie) > F.col("__last"))
-    return marked.groupBy(source).agg(
-        F.count_if(~F.col("__ok") & after).alias("consecutive_failures"), F.max(F.when(F.col("__ok"), F.col(at))).alias("last_success_at"), F.max(at).alias("last_run_at")
-    )
+    marked = runs.select(F.col(source).alias("__s"), F.struct(at, tie).alias("at"), ok.alias("ok"))
+    ends = marked.groupBy("__s").agg(F.max(F.when(F.col("ok"), F.col("at"))).alias("success"), F.max(f"at.{at}").alias("last_run_at"))
+    failed = marked.where(~F.col("ok")).select("__s", "at").join(ends.select("__s", "success"), "__s")
+    failed = failed.where(F.col("success").isNull() | (F.col("at") > F.col("success"))).groupBy("__s").agg(F.count(F.lit(1)).alias("n"))
+    out = ends.join(failed, "__s", "left")
+    return out.select(F.col("__s").alias(source), F.coalesce("n", F.lit(0)).alias("consecutive_failures"), F.col(f"success.{at}").alias("last_success_at"), "last_run_at")
 
 
 def service_levels(sources: DataFrame, now: Column) -> DataFrame:
@@ -59,8 +56,8 @@ def service_levels(sources: DataFrame, now: Column) -> DataFrame:
     return sources.agg(F.count(F.lit(1)).alias("sources"), F.count_if(~is_stale).alias("fresh"), F.count_if(is_stale).alias("stale"), F.count_if(failing).alias("failing"))
 
 
-def with_health(sources: DataFrame, runs: DataFrame, now: Column, pilots: list[str], scanned: int = 2000) -> DataFrame:
-    """Sources with their age, staleness, latest run (among the last `scanned`), completed runs and promotion stage.
+def with_health(sources: DataFrame, runs: DataFrame, now: Column, pilots: list[str], scanned: int | None = 2000) -> DataFrame:
+    """Sources with their age, staleness, latest run (among the last `scanned`; None: of all), completed runs and promotion stage.
 
     Runs carry source_name, id, started_at, status, parse_success_rate and rejected_row_count; they meet sources by name.
     """

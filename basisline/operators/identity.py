@@ -22,6 +22,48 @@ def with_members(facts: DataFrame, dimension: DataFrame, name: str, key: str = "
     return facts.join(found, text.canonical_key(F.col(name)) == F.col("__key"), "left").drop("__key")
 
 
+def location_backfill(locations: DataFrame, seen: DataFrame) -> DataFrame:
+    """Locations (canonical_key, company, region) after an ingest: a company on file that is trusted stays; else the one of
+    the first row (by `position`) that names a company takes its place; a missing region is filled the same way.
+
+    `seen` has canonical_key, position, company (null for sources that name none) and region.
+    """
+    first = first_known(seen, "canonical_key", ["position"], "company", "region")
+    first = first.select(F.col("canonical_key").alias("__k"), F.col("company").alias("__company"), text.normalize_text(F.col("region")).alias("__region"))
+    both = locations.join(first, F.col("canonical_key") == F.col("__k"), "left")
+    company = F.coalesce(F.when(text.creates_company(F.col("company")), F.col("company")), F.col("__company"))
+    return both.select("canonical_key", company.alias("company"), F.coalesce("region", "__region").alias("region"))
+
+
+def desired_company(source: Column, current: Column, of_location: Column) -> Column:
+    """Company a stored row should have: that of its source if the source is a company, else its place's.
+
+    A current company of the same name stays as it is spelled. `of_location` is the trusted company of the place.
+    """
+    own = text.canonical_key(text.canonical_source(source))
+    same = text.canonical_key(text.canonical_source(current)) == own
+    return F.when(text.creates_company(source), F.when(text.creates_company(current) & same, current).otherwise(text.canonical_source(source))).otherwise(of_location)
+
+
+def company_backfill(rows: DataFrame, locations: DataFrame, location: str = "location", company: str = "company", source: str = "source") -> DataFrame:
+    """All rows with `desired` (their company after a backfill) and `changed`. Locations have location and company.
+
+    Places first: a trusted company on file stays; else the only company that rows of company sources name there; else none.
+    """
+    named = rows.where(text.creates_company(F.col(source))).select(location, text.trusted_company(F.col(company)).alias("__c"))
+    known = locations.select(location, F.col("company").alias("__now"))
+    found = inferred_owner(named.join(known, location, "right"), location, "__c", "__now").select(location, F.col("company").alias("__owner"))
+    out = rows.join(found, location, "left").withColumn("desired", desired_company(F.col(source), F.col(company), F.col("__owner"))).drop("__owner")
+    return out.withColumn("changed", ~F.col("desired").eqNullSafe(F.col(company)))
+
+
+def impacted_markets(backfilled: DataFrame, key: list[str], company: str = "company") -> DataFrame:
+    """Market keys that a backfill touches, before and after it: `key` holds the company column and others."""
+    changed = backfilled.where("changed")
+    after = changed.select(*[F.col("desired").alias(company) if c == company else F.col(c) for c in key])
+    return changed.select(*key).unionByName(after).distinct()
+
+
 def linked(facts: DataFrame, dimension: DataFrame, on: str, column: str) -> DataFrame:
     """Fill missing foreign keys from a dimension (on, column); keys that are set stay."""
     found = dimension.select(F.col(on), F.col(column).alias("__new"))

@@ -6,6 +6,10 @@ pattern: `%` and `_` in it match anything.
 
 from __future__ import annotations
 
+import functools
+import re
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,6 +47,27 @@ def on_day(at: Column, day: str) -> Column:
     return (at >= start) & (at < F.date_add(start, 1))
 
 
+UUID = r"(?i)^\{?[0-9a-f]{8}-?([0-9a-f]{4}-?){3}[0-9a-f]{12}\}?$"
+
+
+def saved_search(df: DataFrame, filters: Mapping[str, str | None], months: Sequence[str] = ()) -> Column:
+    """A saved search as a filter: texts by part (the region too looks into the source name), ids by equality, any month
+    token within the delivery label or the futures month. Empty texts and tokens don't filter, nor do ids that are none."""
+    text_of = {"commodity_name": "commodity_name", "location": "location", "source_name": "source_name", "region": "source_name"}
+    out = F.lit(True)
+    for name, column in text_of.items():
+        out = out & contains(df[column], filters.get(name))
+    for name in ("location_id", "company_id"):
+        wanted = (filters.get(name) or "").strip()
+        if re.match(UUID, wanted):
+            bare = re.sub(r"[^0-9a-f]", "", wanted.lower())
+            out = out & F.coalesce(F.regexp_replace(F.lower(df[name]), "-", "") == bare, F.lit(False))
+    tokens = [m.strip().lower() for m in months if m and m.strip()]
+    if tokens:
+        out = out & functools.reduce(Column.__or__, [contains(df[c], t) for t in tokens for c in ("delivery_label", "futures_month")])
+    return out
+
+
 def filled(column: Column) -> Column:
     return F.length(F.trim(F.coalesce(column, F.lit("")))) > 0
 
@@ -139,13 +164,33 @@ def preview(df: DataFrame, key: list[Column | str], order: list[Column], limit:
 def grouped_top(df: DataFrame, group: Column, order: list[Column], n: int, top: str = "cash_price_bu") -> DataFrame:
     """Groups (a label, else 'Unspecified') in period order, their sizes, top price and first n rows.
 
-    Adds label, row_count, top_price and place; groups sort by month key, undated ones last.
+    Adds label, row_count, top_price and place; groups sort by month key, undated ones last. The ranking stands alone in
+    its plan, so Spark cuts each partition to n rows a group before the shuffle; sizes come from an aggregate beside it.
     """
-    by = W.partitionBy("label")
     out = df.withColumn("label", F.coalesce(F.nullif(group, F.lit("")), F.lit("Unspecified")))
-    out = out.withColumns({"place": F.row_number().over(by.orderBy(*order)), "row_count": F.count(F.lit(1)).over(by)})
-    out = out.where(F.col("place") <= n).withColumn("top_price", F.first(top).over(by.orderBy("place").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    return out.withColumn("group_key", periods.month_key(F.col("label")))
+    sizes = out.groupBy("label").agg(F.count(F.lit(1)).alias("row_count"))
+    kept = out.withColumn("place", F.row_number().over(W.partitionBy("label").orderBy(*order))).where(F.col("place") <= n)
+    first = F.first(top).over(W.partitionBy("label").orderBy("place").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    return kept.withColumn("top_price", first).join(sizes, "label").withColumn("group_key", periods.month_key(F.col("label")))
+
+
+def placed(df: DataFrame, group: list[str], leading: dict[str, Column], tie: list[Column]) -> DataFrame:
+    """Add `place`, from 1 within each group in the order of the leading columns and then of `tie`, nulls last.
+
+    Rows are counted by group and leading values first; places before each such value come from those counts, and only
+    rows that agree in all of them are numbered together, so no task sorts a whole group.
+    """
+    named = df.withColumns({f"__l{i}": c for i, c in enumerate(leading.values())})
+    cols = [f"__l{i}" for i in range(len(leading))]
+    sizes = named.groupBy(*group, *cols).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(W.partitionBy(*group).orderBy(*[F.col(c).asc_nulls_last() for c in cols])) - F.col("__n")
+    keys = [*group, *cols]
+    starts = sizes.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)], before.alias("__before"))
+    same = F.lit(True)
+    for i, c in enumerate(keys):
+        same = same & F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    numbered = named.withColumn("__r", F.row_number().over(W.partitionBy(*keys).orderBy(*tie)))
+    return numbered.join(starts, same).withColumn("place", F.col("__before") + F.col("__r")).select(*df.columns, "place")
 
 
 def movers(df: DataFrame, change: str, at: str, tie: str, limit: int) -> DataFrame:

@@ -28,18 +28,60 @@ class BidPolicy:
     max_down: float = 5.0
 
 
+def ranked_values(df: DataFrame, group: list[str], value: str, parts: int = 256) -> DataFrame:
+    """Distinct values of each group with `n` (how often), `start` (rows with smaller values) and `total` (rows of the group).
+
+    Equal values are counted before anything is sorted, and the distinct ones are dealt over `parts` ranges between the
+    group's ends, so neither a hot group nor a hot value is ever sorted in one task. Groups with null keys count too.
+    """
+    v = F.col("__v")
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("n"))
+    ends = counts.groupBy(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)]).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("n").alias("total"))
+    same = F.lit(True)
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"__g{i}"))
+    span = (F.col("__hi") - F.col("__lo")).cast("double")
+    at = F.coalesce(finite_part((v - F.col("__lo")).cast("double") / F.nullif(span, F.lit(0.0)), parts), F.lit(0))
+    rows = counts.join(ends, same).withColumn("__b", at).drop("__lo", "__hi")
+    keys = [f"__g{i}" for i in range(len(group))]
+    sizes = rows.groupBy(*keys, "__b").agg(F.sum("n").alias("__m"))
+    before = sizes.withColumn("__before", F.sum("__m").over(W.partitionBy(*keys).orderBy("__b")) - F.col("__m")).drop("__m")
+    renamed = before.select(*[F.col(k).alias(f"{k}_") for k in keys], F.col("__b").alias("__b_"), "__before")
+    match = F.col("__b") == F.col("__b_")
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"{k}_"))
+    within = F.sum("n").over(W.partitionBy(*keys, "__b").orderBy("__v")) - F.col("n")
+    out = rows.withColumn("__w", within).join(renamed, match)
+    return out.select(*group, v.alias(value), "n", (F.col("__before") + F.col("__w")).alias("start"), "total")
+
+
+def finite_part(share: Column, parts: int) -> Column:
+    """Range number of a share between 0 and 1; NaN sorts last."""
+    return F.when(F.isnan(share), parts).otherwise(F.least(F.floor(share * parts), F.lit(parts - 1))).cast("int")
+
+
 def trimmed_means(df: DataFrame, group: list[str], value: str, tie: list[str], trim: float) -> DataFrame:
     """Mean without the smallest and largest shares; groups under five count whole.
 
-    Ranks come from a window, so no group is gathered into an array.
+    Equal values are one entry with a count, so which of them are cut makes no difference and `tie` is not looked at.
     """
-    w = W.partitionBy(*group)
-    n, k = F.count(F.lit(1)).over(w), F.row_number().over(w.orderBy(value, *tie))
-    cut = F.when((F.col("__n") < 5) | F.lit(trim <= 0), 0).otherwise(F.floor(F.col("__n") * trim))
-    cut = F.when(2 * cut >= F.col("__n"), F.greatest(F.lit(0), F.floor((F.col("__n") - 1) / 2))).otherwise(cut)
-    rows = df.where(F.col(value).isNotNull()).withColumns({"__n": n, "__k": k}).withColumn("__cut", cut)
-    kept = rows.where((F.col("__k") > F.col("__cut")) & (F.col("__k") <= F.col("__n") - F.col("__cut")))
-    return kept.groupBy(*group).agg(F.avg(value).alias("anchor"), F.max("__n").alias("competitors"))
+    n = F.col("total")
+    cut = F.when((n < 5) | F.lit(trim <= 0), 0).otherwise(F.floor(n * trim))
+    cut = F.when(2 * cut >= n, F.greatest(F.lit(0), F.floor((n - 1) / 2))).otherwise(cut)
+    rows = ranked_values(df, group, value).withColumn("__cut", cut)
+    kept = F.greatest(F.lit(0), F.least(F.col("start") + F.col("n"), n - F.col("__cut")) - F.greatest(F.col("start"), F.col("__cut")))
+    rows = rows.withColumn("__k", kept).where("__k > 0")
+    return rows.groupBy(*group).agg((F.sum(F.col(value) * F.col("__k")) / F.sum("__k")).alias("anchor"), F.max("total").alias("competitors"))
+
+
+def medians(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """By group: the exact median (mean of the two middle values of an even number) and the number of values."""
+    rows = ranked_values(df, group, value)
+    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    here = lambda r: (F.col("start") <= r) & (r < F.col("start") + F.col("n"))
+    middle = rows.where(here(low) | here(high))
+    both = F.max(F.when(here(low), F.col(value))) + F.max(F.when(here(high), F.col(value)))
+    return middle.groupBy(*group).agg((both / 2).alias("median"), F.max("total").alias("values"))
 
 
 def common_value(column: Column) -> Column:
@@ -132,13 +174,14 @@ def filled_contracts(df: DataFrame, targets: DataFrame, group: str, month: str,
 def report_sections(df: DataFrame, group: str, cash: str, basis: str, at: str) -> DataFrame:
     """By crop: markets, median and spread of cash prices (no spread of one), average basis, latest capture."""
     priced = df.where(F.col(cash).isNotNull())
-    return priced.groupBy(group).agg(
+    sums = priced.groupBy(group).agg(
         F.count(F.lit(1)).alias("market_count"),
-        F.median(cash).alias("median_cash"),
         F.when(F.count(F.lit(1)) > 1, F.max(cash) - F.min(cash)).alias("cash_spread"),
         F.avg(basis).alias("average_basis"),
         F.max(at).alias("data_as_of"),
     )
+    middle = medians(priced, [group], cash).select(F.col(group).alias("__g"), F.col("median").alias("median_cash"))
+    return sums.join(middle, F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
 
 
 def top_bids(df: DataFrame, group: str, order: list[Column], n: int = 3) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from basisline.functions import keys, periods, prices, text
 from basisline.operators import alerts, canonical, diagnostics, health, history, identity, market, pricing, reshape
+from basisline.operators.sizes import by_distinct
 from basisline.sources import pages as web
 from basisline.sources.readers import payload_field
 
@@ -156,7 +157,8 @@ def period_recency(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(k == 0, full).when(k == 1, "Harvest crop").when(k == 2, F.lower(full)).otherwise(F.split_part(full, F.lit(" "), F.lit(1)))
     as_of = F.lit("1996-06-15").cast("date")
     df = table(spark, sf_dir, "orders").select("o_orderkey", label.alias("label"))
-    return df.where(periods.current(F.col("label"), as_of) & ~periods.expired(F.col("label"), F.lit(None).cast("string"), as_of))
+    shown = periods.current(F.col("label"), as_of) & ~periods.expired(F.col("label"), F.lit(None).cast("string"), as_of)
+    return by_distinct(df, ["label"], shown=shown).where("shown").drop("shown")
 
 
 @query(
@@ -296,7 +298,8 @@ def month_sort_key(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 4, F.concat_ws(" ", name, F.year(d).cast("string")))
         .otherwise(F.concat(code, yy))
     )
-    return table(spark, sf_dir, "orders").select("o_orderkey", periods.month_key(label).alias("month_key"))
+    labels = table(spark, sf_dir, "orders").select("o_orderkey", label.alias("label"))
+    return by_distinct(labels, ["label"], month_key=periods.month_key(F.col("label"))).drop("label")
 
 
 @query(
@@ -701,8 +704,10 @@ def board_display_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     year = F.year("o_orderdate")
     delivery = F.when(kind == 0, F.concat_ws(" ", periods.month_name(F.month("o_orderdate")), year.cast("string"))).when(kind == 1, F.concat_ws(" ", F.lit("Harvest"), F.lpad((year % 100).cast("string"), 2, "0")))
     o = o.select("o_orderkey", F.col("o_orderpriority").alias("location"), F.get(crops, (F.col("o_orderkey") % 7).cast("int")).alias("crop"), F.col("o_orderstatus").alias("company"), delivery.alias("delivery"))
-    order = market.display_order(commodity="crop", company="company", delivery="delivery", futures="delivery", tie=("o_orderkey",))
-    return o.select("o_orderkey", F.row_number().over(W.partitionBy("location").orderBy(*order)).cast("long").alias("place"))
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    leading = {"rank": market.crop_rank(F.col("crop")), "crop": low("crop"), "company": low("company"), "delivery": F.col("delivery_key")}
+    o = by_distinct(o, ["delivery"], delivery_key=periods.display_key(F.col("delivery")))
+    return market.placed(o, ["location"], leading, [F.col("o_orderkey")]).select("o_orderkey", "place")
 
 
 @query(

@@ -22,6 +22,10 @@ from basisline.functions import periods, prices, text
 BID_HEADERS = ("name", "delivery", "delivery end", "futures month", "futures price", "change", "basis", "cash price")
 CROP_WORDS = {"corn": "Corn", "soy": "Soybeans", "bean": "Soybeans", "wheat": "Wheat"}
 CROPS_BY_PLACE = ("Corn", "Soybeans", "White Wheat", "Soft Red Wheat")
+BID_KEYWORDS = ("basis", "cash", "price", "delivery", "futures", "bushel", "tonne")
+CELLS_BY_PLACE = ("Delivery", "Futures Month", "Futures Price", "Change", "Basis", "Bushel Cash Price", "MT Cash Price", "Basis / (Tonnes)")
+CASH_CELL = r"^\$?\s*\d"
+FUTURES_CELL = r"^[+-]?\d{1,4}-[0-7]$"
 # End of fixed values.
 
 BID_COLUMNS = ("Location", "Name", "Delivery", "Delivery End", "Futures Month", "Futures Price", "Change", "Basis", "Bushel Cash Price", "MT Cash Price", "Source")
@@ -109,6 +113,53 @@ def bid_tables(rows: DataFrame, key: str = "page_id", least: int = 3) -> DataFra
     return rows.join(best, [key, "table_no"]).where(F.col("row_no") > F.col("head_no")).drop("head_no")
 
 
+def keyword_tables(rows: DataFrame, key: str = "page_id", least_cells: int = 3) -> DataFrame:
+    """Rows under the first row of each page's most bid-like table, with `headers`: the table whose text holds most bid
+    words (the first among equals), if any row has `least_cells` cells. For pages whose headers name no wanted column."""
+    words = F.lower(F.concat_ws(" ", "cells"))
+    held = [F.max(words.contains(w).cast("int")) for w in BID_KEYWORDS]
+    scored = rows.groupBy(key, "table_no").agg(sum(held[1:], held[0]).alias("score"), F.max(F.size("cells")).alias("width"), F.min(F.struct("row_no", "cells")).alias("head")).where((F.col("width") >= least_cells) & (F.col("score") > 0))
+    best = scored.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("s"), "table_no", "head")).alias("b")).select(key, "b.table_no", F.col("b.head.row_no").alias("head_no"), F.col("b.head.cells").alias("headers"))
+    return rows.join(best, [key, "table_no"]).where(F.col("row_no") > F.col("head_no")).drop("head_no")
+
+
+def bid_or_keyword_tables(rows: DataFrame, key: str = "page_id") -> DataFrame:
+    """Tables by their header; pages without one by the bid words of their tables."""
+    found = bid_tables(rows, key)
+    rest = rows.join(found.select(key).distinct(), key, "left_anti")
+    return found.unionByName(keyword_tables(rest, key), allowMissingColumns=True)
+
+
+def merged_header_tables(rows: DataFrame, key: str = "page_id", least: int = 3) -> DataFrame:
+    """Rows under headers that run over several rows, with `headers`: the header cells at the table's top (else its first
+    two rows) are joined column by column, and the table whose joined header names most wanted columns is taken."""
+    table_of = [key, "table_no"]
+    first = rows.groupBy(*table_of).agg(F.min(F.when(~F.col("is_header"), F.col("row_no"))).alias("body"), F.min("row_no").alias("top"), F.max("row_no").alias("end"))
+    head_end = F.when(F.col("body") == F.col("top"), F.col("top") + 2).otherwise(F.coalesce("body", F.col("end") + 1))
+    rows = rows.join(first.select(*table_of, head_end.alias("head_end")), table_of)
+    stacked = rows.where(F.col("row_no") < F.col("head_end")).groupBy(*table_of).agg(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "cells"))), lambda x: x.cells).alias("stack"))  # a few header rows a table
+    width = F.array_max(F.transform("stack", lambda c: F.size(c)))
+    joined = F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.array_join(F.filter(F.transform("stack", lambda c: F.trim(F.coalesce(F.get(c, i), F.lit("")))), lambda x: x != ""), " "))
+    heads = stacked.select(*table_of, joined.alias("headers")).withColumn("score", header_score(F.col("headers"))).where(F.col("score") >= least)
+    best = heads.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("s"), "table_no", "headers")).alias("b")).select(key, "b.table_no", "b.headers")
+    return rows.join(best, table_of).where(F.col("row_no") >= F.col("head_end")).drop("head_end")
+
+
+def cells_by_place(rows: DataFrame, key: str = "page_id", least: int = 8) -> DataFrame:
+    """Rows of tables whose columns are known by place alone (CELLS_BY_PLACE): each table's first row is its header; rows
+    of fewer cells, and those without a cash price, tonne price and futures price, are no bids. The heading names the crop."""
+    first = rows.groupBy(key, "table_no").agg(F.min("row_no").alias("head_no"))
+    body = rows.join(first, [key, "table_no"]).where((F.col("row_no") > F.col("head_no")) & (F.size("cells") >= least))
+    named = body.select(key, "table_no", "row_no", F.coalesce(F.nullif("heading", F.lit("")), F.lit("LAC Cash Bid")).alias("Name"), *[F.trim(F.get("cells", F.lit(i))).alias(c) for i, c in enumerate(CELLS_BY_PLACE)])
+    return named.where(F.concat("Bushel Cash Price", "MT Cash Price", "Futures Price") != "")
+
+
+def without_spacers(df: DataFrame, name: str = "Name", cash: str = "Cash Price", futures: str = "Futures Price") -> DataFrame:
+    """Rows that repeat the header or hold no price leave: a name is needed, and a cash or futures price that looks like one."""
+    cell_of = lambda c: F.trim(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")))
+    return df.where((cell_of(name) != "") & (F.lower(cell_of(name)) != "name") & (cell_of(cash).rlike(CASH_CELL) | cell_of(futures).rlike(FUTURES_CELL)))
+
+
 def cell(names: Sequence[str], headers: str = "headers", cells: str = "cells") -> Column:
     """Cell under the first header that equals one of the names, else under the first that contains one; null for none."""
     low = F.transform(headers, lambda h: F.trim(F.rtrim(F.lower(h), F.lit("* "))))
@@ -142,6 +193,8 @@ class Adapter:
     required: Sequence[str] = ("Delivery",)
     crop: str = "name"  # "name": the Name cell; "heading": the heading above the table; "symbol": the futures code; "place": the table's place on the page
     transposed: bool = False  # one row a metric and one column a period
+    tables: str = "header"  # "header": the best header row; "merged": headers over several rows; "keywords": else the most bid-like table
+    last_literal: bool = False  # price cells hold several numbers, the last one counts
 
 
 _COMMON = {
@@ -171,11 +224,11 @@ _METRICS = {
 ADAPTERS: dict[str, Adapter] = {
     "agricharts": Adapter("Agricharts", _COMMON, ("Delivery", "Basis")),
     "andersons": Adapter("The Andersons", {}, ("Delivery",), "place", True),
-    "bunge": Adapter("Bunge", _COMMON, ("Delivery",), "heading"),
+    "bunge": Adapter("Bunge", _COMMON, ("Delivery",), "heading", tables="keywords"),
     "dg_global": Adapter("DG Global", _COMMON, ("Delivery",)),
-    "glg": Adapter("GLG", _COMMON, ("Futures Month",), "symbol"),
+    "glg": Adapter("GLG", _COMMON, ("Futures Month",), "symbol", tables="merged"),
     "hensall": Adapter("Hensall", _COMMON, ("Delivery", "Basis")),
-    "lac": Adapter("LAC", _COMMON, ("Delivery",), "symbol"),
+    "lac": Adapter("LAC", _COMMON, ("Delivery",), "symbol", last_literal=True),
     "snobelen": Adapter("Snobelen", {}, ("Delivery",), "heading", True),
     "wanstead": Adapter("Wanstead", _COMMON, ("Delivery", "Basis"), "heading"),
     "us_dtn": Adapter("US DTN", _COMMON, ("Delivery", "Basis")),
@@ -228,11 +281,13 @@ def page_bids(pages: DataFrame, name: str, key: str = "page_id", html: str = "ht
     if how.transposed:
         found = transposed_bids(tables(pages, key, html), how.crop == "place", key)
     else:
-        rows = bid_tables(tables(pages, key, html), key)
+        rows = {"header": bid_tables, "merged": merged_header_tables, "keywords": bid_or_keyword_tables}[how.tables](tables(pages, key, html), key)
         found = rows.select(key, "table_no", "row_no", "heading", *[F.nullif(F.trim(cell(names)), F.lit("")).alias(c) for c, names in how.columns.items()])
         own = text.canonical_commodity(F.col("Name"))
         crop = {"name": own, "heading": F.coalesce(crop_in(F.col("heading")), own), "symbol": crop_of_symbol(F.col("Futures Month"))}[how.crop]
         found = found.withColumn("Name", F.coalesce(crop, own))
+    if how.last_literal:
+        found = found.withColumns({c: F.coalesce(prices.last_number(F.col(c)), F.col(c)) for c in ("Futures Price", "Bushel Cash Price", "MT Cash Price", "Basis")})
     if place:
         found = found.join(pages.select(key, F.col(place).alias("__place")), key).withColumn("Location", F.coalesce("Location", "__place"))
     found = found.withColumn("Source", F.lit(how.source))
@@ -264,6 +319,18 @@ def script_bids(pages: DataFrame, quote_rows: DataFrame, key: str = "page_id", h
     dollars = got(r"(?i)(?:var\s+\w*basis\w*\s*=|addBasis\s*=|basis\s*[=:]|basisadj\s*=)\s*([+-]?\d+\.?\d*)").try_cast("double")
     rows = rows.select(key, "position", got(r"quotevar\w+\[['\"]([A-Z0-9]+)['\"]\]").alias("symbol"), periods.delivery_code(got(r"cashchart\.php\?c=\d+&(?:amp;)?l=\d+&(?:amp;)?d=([A-Z]\d{2})")).alias("delivery"), F.coalesce(cents, dollars).alias("basis"))
     rows = rows.join(quote_rows, "symbol")
+    return _priced(rows)
+
+
+def quotes_alone(pages: DataFrame, bids: DataFrame, quote_rows: DataFrame, key: str = "page_id") -> DataFrame:
+    """Rows of quotes without basis and cash, for pages whose script gave no bid: delivery and futures month are the
+    quote's. `quote_rows` carries the page's key."""
+    rest = pages.select(key).join(bids.select(key).distinct(), key, "left_anti")
+    month = periods.quoted_month(F.col("month"))
+    return quote_rows.join(rest, key, "left_semi").select(key, "symbol", F.initcap("name").alias("name"), month.alias("delivery"), month.alias("futures_month"), (prices.quoted_cents(F.col("last")) / 100).alias("futures_price"))
+
+
+def _priced(rows: DataFrame) -> DataFrame:
     futures = prices.quoted_cents(F.col("last")) / 100
     rows = rows.withColumns({"futures_price": futures, "futures_month": periods.quoted_month(F.col("month")), "cash_price_bu": F.bround(futures + F.col("basis"), 4)})
     return rows.withColumn("cash_price_mt", prices.adapter_per_tonne(F.col("name"), F.col("cash_price_bu")))

@@ -5,47 +5,61 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from basisline.operators import alerts
 
 CARRY_US = 24 * 3600 * 1_000_000
-_STATE = "value double, change double, changed_us long, seen boolean"
+_STATE = "value double, change double, changed_us long, at_us long"
 
 
 def carried_stream(rows: DataFrame, key: str, at_us: str, tie: str, value: str) -> DataFrame:
-    """Streaming `carried_change`: key, tie, at_us, value, change, changed_us of every row, appended.
+    """Streaming `carried_change`: key, tie, at_us, value, change, changed_us, late of every row, appended.
 
     Times are microseconds. State is one small tuple per key; rows of a key within a micro-batch are put in time order,
-    so it equals the batch form as long as batches themselves come in order.
+    so it equals the batch form as long as batches themselves come in order. A row older than what its key has seen in an
+    earlier batch comes out with `late` true and no change, and leaves the state as it is.
     """
     kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    output = f"{key} {kind[key]}, {tie} {kind[tie]}, {at_us} long, {value} double, change double, changed_us long"
+    output = f"{key} {kind[key]}, {tie} {kind[tie]}, {at_us} long, {value} double, change double, changed_us long, late boolean"
 
     def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, change, since, seen = state.get if state.exists else (None, None, None, False)
+        last, change, since, seen = state.get if state.exists else (None, None, None, None)
         pdf = pd.concat(list(frames)).sort_values([at_us, tie], ignore_index=True)
-        changes, changed = [], []
-        for now, v in zip(pdf[at_us].tolist(), pdf[value].astype(object).where(pdf[value].notna(), None).tolist(), strict=True):
-            by = v - last if seen and v is not None and last is not None else None
-            if by is not None and by != 0:
-                change, since = by, now
-            elif by is None or since is None or now - since > CARRY_US:
-                change, since = 0.0, None
-            last, seen = v, True
-            changes.append(change), changed.append(since)
-        state.update((last, change, since, seen))
-        yield pd.DataFrame({key: group[0], tie: pdf[tie], at_us: pdf[at_us], value: pdf[value], "change": changes, "changed_us": pd.array(changed, dtype="Int64")})
+        pdf["late"] = False if seen is None else pdf[at_us] < seen
+        on_time = pdf[~pdf["late"]]
+        if len(on_time):
+            # The state stands before the batch as a row of its own; marks are moves and resets, the last one holds.
+            before = on_time[value].shift(1, fill_value=float("nan") if last is None else last)
+            moved = on_time[value] - before
+            mark = moved.isna() | (moved != 0)
+            by = moved.where(mark).where(moved.notna(), 0.0).where(mark).ffill().fillna(0.0 if change is None else change)
+            marked_at = on_time[at_us].astype("Int64").where(mark & moved.notna()).where(~mark | moved.notna())
+            run = mark.cumsum()
+            marked_at = marked_at.groupby(run).transform("first")
+            if since is not None:
+                marked_at = marked_at.where(run > 0, since)
+            ok = (marked_at.notna() & (on_time[at_us] - marked_at <= CARRY_US)).fillna(False).astype(bool)
+            pdf.loc[on_time.index, "change"] = by.where(ok, 0.0)
+            pdf["changed_us"] = marked_at.where(ok).reindex(pdf.index)
+            end = on_time.index[-1]
+            now = on_time[value].iloc[-1]
+            state.update((None if pd.isna(now) else float(now), float(pdf.loc[end, "change"]), None if pd.isna(pdf.loc[end, "changed_us"]) else int(pdf.loc[end, "changed_us"]), int(on_time[at_us].iloc[-1])))
+        else:
+            pdf["change"], pdf["changed_us"] = float("nan"), pd.array([None] * len(pdf), dtype="Int64")
+        yield pd.DataFrame({key: group[0], tie: pdf[tie], at_us: pdf[at_us], value: pdf[value], "change": pdf["change"], "changed_us": pdf["changed_us"].astype("Int64"), "late": pdf["late"]})
 
     return rows.select(key, tie, at_us, value).groupBy(key).applyInPandasWithState(step, output, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def alert_sink(rules: DataFrame, alerts_path: str, make: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function: appends a batch's new alerts that no open one repeats.
+    """foreachBatch function: writes a batch's new alerts that no open one of other batches repeats.
 
-    `make` turns triggered rows into (rule_id, message, status, triggered_at). The batch number marks what it wrote, so a
-    batch that runs again after a failure adds nothing twice.
+    `make` turns triggered rows into (rule_id, message, status, triggered_at). A batch owns the partition of its number and
+    replaces it, so a batch that runs again after a failure adds nothing twice and leaves no half of its files behind.
     """
 
     def write(batch: DataFrame, number: int) -> None:
@@ -53,12 +67,12 @@ def alert_sink(rules: DataFrame, alerts_path: str, make: Callable[[DataFrame], D
         found = make(alerts.triggered(batch, rules)).dropDuplicates(["rule_id", "message"])
         try:
             known = spark.read.parquet(alerts_path)
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
+        except AnalysisException as e:  # the first batch finds no table
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
         else:
-            found = alerts.without_open(found, known)
-        found.write.mode("append").parquet(alerts_path)
+            found = alerts.without_open(found, known.where(F.col("batch") != number))
+        found.write.mode("overwrite").parquet(f"{alerts_path}/batch={number}")
 
     return write
 
