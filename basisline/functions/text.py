@@ -114,7 +114,8 @@ EASTERN_CUTS = (r"^LAC\s*-\s*", r"^Ingredion\s+", r"\s+\([^)]*\)\s*$", r"\s+(cor
 
 def lookup(table: Mapping[str, str], key: Column) -> Column:
     """Value of a small constant table, null where the key is missing."""
-    return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[key]
+    quoted = ", ".join("'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" for kv in table.items() for x in kv)
+    return F.expr(f"map({quoted})")[key]
 
 
 def normalize_text(value: Column) -> Column:

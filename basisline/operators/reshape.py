@@ -14,6 +14,12 @@ def union_aligned(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows, with every column computed once however often later expressions use it: the optimizer does not copy
+    expressions through the one-row explode in between, so chains of label readings don't multiply."""
+    return df.select(F.explode(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).alias("__row")).select("__row.*")
+
+
 def in_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     """Exactly these columns in this order; missing ones are empty text."""
     return df.select(*[F.col(f"`{c}`") if c in df.columns else F.lit("").alias(c) for c in columns])

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basisline.functions import keys, periods, prices, text
-from basisline.operators import diagnostics, reshape
+from basisline.operators import diagnostics, history, identity, reshape
 
 
 @dataclass(frozen=True)
@@ -37,10 +37,11 @@ def normalized(sheet: DataFrame, position: str, options: SheetOptions | None = N
     """
     o = options or SheetOptions()
     mapping = keys.map_headers([c for c in sheet.columns if c != position], o.mapping)
-    raw = lambda c: F.coalesce(F.col("`" + mapping[c].replace("`", "``") + "`").cast("string"), F.lit("")) if c in mapping else F.lit("")
+    cells = sheet.select(position, *[F.coalesce(F.col("`" + h.replace("`", "``") + "`").cast("string"), F.lit("")).alias(f"cell_{c}") for c, h in mapping.items()])
+    raw = lambda c: F.col(f"cell_{c}") if c in mapping else F.lit("")
     source = F.coalesce(text.canonical_source(raw("source_name")), F.lit(o.source_name))
     crop = F.coalesce(text.canonical_commodity(raw("commodity")), F.lit(o.commodity))
-    df = sheet.select(
+    df = reshape.settled(cells).select(
         F.col(position).alias("position"),
         F.coalesce(text.canonical_location(raw("location")), F.lit("")).alias("location"),
         crop.alias("commodity_name"),
@@ -55,19 +56,22 @@ def normalized(sheet: DataFrame, position: str, options: SheetOptions | None = N
         prices.tick_price(raw("cash_price_bu")).alias("cash_price_bu"),
         prices.tick_price(raw("cash_price_mt")).alias("cash_price_mt"),
     )
+    df = reshape.settled(df)
     df = df.withColumn("cash_price_mt", F.coalesce("cash_price_mt", prices.per_tonne(F.col("commodity_name"), F.col("cash_price_bu"))))
     month = _clean(F.coalesce(periods.futures_month(F.col("futures_text"), o.scan_letters), F.col("futures_text")))
     other = F.coalesce(F.nullif(F.col("delivery_label"), F.lit("")), F.col("delivery_end"))
     df = df.withColumn("futures_month", F.coalesce(F.nullif(month, F.lit("")), other))
+    df = reshape.settled(df)
     derived = periods.delivery_of_futures(F.col("futures_month"))
     derive = derived.isNotNull() & ~periods.looks_like_month(F.col("delivery_label")) & ~periods.looks_like_month(F.col("delivery_end"))
     df = df.withColumns({c: F.when(derive, derived).otherwise(F.col(c)) for c in ("delivery_end", "delivery_label")})
+    df = reshape.settled(df)
     df = df.withColumn("futures_price", F.coalesce("futures_price", prices.price_in_text(F.col("futures_text")), (F.col("cash_price_bu") - F.col("basis")).cast(prices.PRICE)))
     early = F.when(diagnostics.blank(F.col("location")), "missing_location").when(diagnostics.blank(F.col("commodity_name")), "missing_commodity_name")
     early = early.when(text.invalid_commodity(F.col("commodity_name"), F.col("source_name")), "invalid_commodity_name")
     df = df.withColumn("reasons", F.when(early.isNotNull(), F.array(early)).otherwise(diagnostics.reject_reasons()))
     key = keys.composite_key(*[F.col(c) for c in ("location", "commodity_name", "delivery_start", "delivery_end", "futures_month")])
-    return df.withColumn("composite_key", key)
+    return reshape.settled(df.withColumn("composite_key", key))
 
 
 def accepted(rows: DataFrame) -> DataFrame:
@@ -88,3 +92,37 @@ def run_counters(rows: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.size("reasons")), F.lit(0)).alias("missing_required_count"),
         F.when(raw > 0, good / raw).otherwise(0.0).alias("parse_success_rate"),
     )
+
+
+def observed(rows: DataFrame, snapshot: object, captured_at: Column) -> DataFrame:
+    """Price observations of a sheet's accepted rows, marked with their snapshot and capture time."""
+    return accepted(rows).withColumns({"snapshot_id": F.lit(snapshot), "captured_at": captured_at})
+
+
+def located(observations: DataFrame, places: DataFrame, source: str = "source_name") -> DataFrame:
+    """Observations with location_id and company: that of their source if it is a company, else of their place.
+
+    `places` has canonical_key, id and company (trusted or null). Places it lacks have no id; `new_places` lists them.
+    """
+    found = places.select("canonical_key", F.col("id").alias("location_id"), F.col("company").alias("__place_company"))
+    out = observations.join(found, text.canonical_key(F.col("location")) == F.col("canonical_key"), "left")
+    own = text.trusted_company(F.col(source))
+    return out.withColumn("company", identity.chosen_company(own, F.col(source), text.trusted_company(F.col("__place_company")))).drop("canonical_key", "__place_company")
+
+
+def new_places(observations: DataFrame, places: DataFrame) -> DataFrame:
+    """(canonical_key, name) of places that observations name and the dimension lacks."""
+    return identity.missing_members(observations, places, "location")
+
+
+def with_changes(observations: DataFrame) -> DataFrame:
+    """Observations of a whole history with the change against the run before and the carried change, by composite key."""
+    out = history.prior_run(observations, "composite_key", "captured_at", "position", "basis", "cash_price_bu", "cash_price_mt")
+    return history.carried_change(out, "composite_key", "captured_at", "position", "basis")
+
+
+def run_record(rows: DataFrame, snapshot: object, source: str, started_at: Column, completed_at: Column) -> DataFrame:
+    """The run's record: counters of the sheet, status and times. A sheet without an accepted row has failed."""
+    counted = run_counters(rows)
+    status = F.when(F.col("normalized_row_count") > 0, "completed").otherwise("failed")
+    return counted.withColumns({"snapshot_id": F.lit(snapshot), "source_name": F.lit(source), "status": status, "started_at": started_at, "completed_at": completed_at})

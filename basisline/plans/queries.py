@@ -378,12 +378,6 @@ def basis_carry_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.carried_change(observations(spark, sf_dir), "key", "ts", "id", "basis").select("id", "change", "changed_at")
 
 
-@query()
-def basis_carry_weekdays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The weekend rule of the carry policy; tests compare it with a row-by-row replay."""
-    return history.carried_change_on_weekdays(observations(spark, sf_dir), "key", "ts", "id", "basis").select("id", "change", "changed_at")
-
-
 # ---------------------------------------------------------------- canonical selection
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from basisline.operators import alerts
+from basisline.plans import ingest
 
 CARRY_US = 24 * 3600 * 1_000_000
 _STATE = "value double, change double, changed_us long, at_us long"
@@ -77,6 +78,24 @@ def alert_sink(rules: DataFrame, alerts_path: str, make: Callable[[DataFrame], D
     return write
 
 
+def ingest_sink(history_path: str, runs_path: str, source: str, position: str, at: str, options: ingest.SheetOptions | None = None) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function: a batch of sheet rows becomes observations and one run record.
+
+    `at` is the capture time column of the sheet. Both outputs have a partition of the batch's own, which a rerun replaces.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        captured = batch.agg(F.max(at)).first()[0]
+        if captured is None:  # nothing arrived
+            return
+        rows = ingest.normalized(batch.drop(at), position, options)
+        when = F.lit(captured)
+        ingest.observed(rows, number, when).write.mode("overwrite").parquet(f"{history_path}/batch={number}")
+        ingest.run_record(rows, number, source, when, when).write.mode("overwrite").parquet(f"{runs_path}/batch={number}")
+
+    return write
+
+
 def latest_first(rows: DataFrame, path: str, checkpoint: str, write: Callable[[DataFrame, int], None]) -> None:
     """Run what has arrived through a sink once and stop."""
     query = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -8,7 +8,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from basisline.plans.queries import ORACLE_SQL, QUERIES
+from basisline.plans.catalog import ORACLE_SQL, QUERIES
 
 
 @pytest.fixture(scope="module")
