@@ -14,6 +14,7 @@ are cut, never dropped; an empty table gives an empty result; extra columns are
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -29,66 +30,86 @@ from basisline.llm.ranks import ranked, with_row_ids
 
 CAPACITY = 2048
 END_ID = 0
-CACHED_WORDS = 400_000  # per Python worker
+CACHED_WORDS = 1_200_000  # per Python worker, some 250 MB
 
-#: Split pattern of the tokenizer file (fixed value).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A text without these decomposes at its single blanks and line ends: no token crosses them.
-UNEVEN_BLANKS = re.compile(r"\s(?:\s|\Z)|\A\s")
-
-
-class _Words(dict):
-    """Little-endian 32-bit ids of a word after a fixed prefix, remembered."""
-
-    def __init__(self, encode, prefix: str):
-        super().__init__()
-        self.encode, self.prefix = encode, prefix
+TEXTS_AT_ONCE = 512
+WORDS_AT_ONCE = 2000
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[word] = ids = np.asarray(self.encode(self.prefix + word), "<u4").tobytes()
-        return ids
+#: A text without these decomposes at its single blanks and line ends: no token of a byte-level BPE crosses them.
+UNEVEN_BLANKS = re.compile(r"\s(?:\s|\Z)|\A\s")
 
 
 class ByteBpe:
-    """Byte-level BPE of a tokenizers JSON file; its added tokens have their own ids wherever a text holds them."""
+    """Ids of a tokenizers JSON file, by the tokenizers library; ids of words that were seen are remembered.
+
+    Texts whose blanks all stand alone fall into words, each with the blank before it; only new words reach the library, many
+    at once. Other texts, texts that hold an added token, and all texts of files with another way to split go there whole.
+    """
 
     def __init__(self, path: str):
-        import tiktoken
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark spreads the work
+        from tokenizers import Tokenizer
 
+        self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
-        vocab = file["model"]["vocab"]
-        self.added = {t["content"]: np.asarray([t["id"]], "<u4").tobytes() for t in file.get("added_tokens") or []}
-        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in file.get("added_tokens") or []):
-            raise ValueError(f"added tokens that take in what is beside them: {path}")
-        self.split = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) or r"(?!)")
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
-        ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if all(c in byte_of for c in token) and token not in self.added}
-        self.encode = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.first, self.later = _Words(self.encode, ""), _Words(self.encode, " ")
-        self.newline = np.asarray(self.encode("\n"), "<u4").tobytes()
-
-    def id_bytes(self, text: str) -> bytes:
-        """All ids of the text as little-endian unsigned 32-bit integers."""
-        out, at = [], 0
-        for m in self.split.finditer(text):
-            out += [self.plain_bytes(text[at : m.start()]), self.added[m[0]]]
-            at = m.end()
-        return b"".join([*out, self.plain_bytes(text[at:])]) if out else self.plain_bytes(text)
-
-    def plain_bytes(self, text: str) -> bytes:
-        """The ids of a text without added tokens."""
-        if not text or UNEVEN_BLANKS.search(text):
-            return np.asarray(self.encode(text), "<u4").tobytes()
+        split = file.get("pre_tokenizer") or {}
+        self.by_word = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not file.get("normalizer") and file["model"]["type"] == "BPE"
+        self.added = re.compile("|".join(re.escape(t["content"]) for t in file.get("added_tokens") or []) or r"(?!)")
+        self.first: dict[str, bytes] = {}  # words at the start of a line
+        self.later: dict[str, bytes] = {}  # words after a blank
+        self.newline = self.whole("\n")
+        self.line_end = np.frombuffer(self.newline, "<u4")[0]
+        self.by_word = self.by_word and len(self.newline) == 4
+
+    def whole(self, text: str) -> bytes:
+        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def even(self, text: str) -> bool:
+        return self.by_word and not UNEVEN_BLANKS.search(text) and not self.added.search(text)
+
+    def joined(self, text: str) -> bytes:
+        """Ids of an even text from those of its words; KeyError for a word not seen yet."""
         out = []
         for line in text.split("\n"):
             words = line.split(" ")
             out.append(self.first[words[0]] + b"".join(map(self.later.__getitem__, words[1:])))
         return self.newline.join(out)
 
+    def learn(self, texts: list[str]) -> None:
+        """Remember the words of even texts that are not known."""
+        if len(self.first) + len(self.later) > CACHED_WORDS:
+            self.first.clear(), self.later.clear()
+        lines = [line.split(" ") for text in texts for line in text.split("\n")]
+        for known, blank, words in ((self.first, "", {x[0] for x in lines}), (self.later, " ", {w for x in lines for w in x[1:]})):
+            new = [w for w in words if w not in known]
+            # One call for many words, a line each: no token crosses a line end, and none but the line end is its id.
+            for at in range(0, len(new), WORDS_AT_ONCE):
+                part = new[at : at + WORDS_AT_ONCE]
+                found = self.library.encode_batch_fast(["\n".join(blank + w for w in part) + "\n"], add_special_tokens=False)
+                ids = np.asarray(found[0].ids, "<u4")
+                ends = np.flatnonzero(ids == self.line_end)
+                known.update(zip(part, (ids[a:b].tobytes() for a, b in zip([0, *(ends[:-1] + 1).tolist()], ends.tolist(), strict=True)), strict=True))
+
+    def id_bytes(self, texts: list[str]) -> list[bytes]:
+        """All ids of each text as little-endian unsigned 32-bit integers."""
+        out, later = [b""] * len(texts), []
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if not self.even(text):
+                out[i] = self.whole(text)
+                continue
+            try:
+                out[i] = self.joined(text)
+            except KeyError:
+                later.append(i)
+        if later:
+            self.learn([texts[i] for i in later])
+            for i in later:
+                out[i] = self.joined(texts[i])
+        return out
+
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> ByteBpe:
@@ -108,8 +129,9 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc
         bpe, end = tokenizer(path), np.asarray([END_ID], "<u4").tobytes()
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for i, t in enumerate(batch.column(1)):
-                ids = bpe.id_bytes(t.as_py() or "") + end
+            texts = (batch.column(1).slice(at, TEXTS_AT_ONCE).to_pylist() for at in range(0, batch.num_rows, TEXTS_AT_ONCE))
+            for i, ids in enumerate(x for part in texts for x in bpe.id_bytes([t or "" for t in part])):
+                ids += end
                 n = len(ids) // 4
                 first = n if n <= capacity else n % capacity or capacity
                 for k, a in enumerate([0, *range(first, n, capacity)]):
