@@ -73,7 +73,10 @@ def _sheets(data: bytes) -> Iterator[tuple[str, Iterator[list[str | None]]]]:
 
 
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """Rows path, sheet, position, headers, cells of every sheet of every workbook; its first row that has a cell heads a sheet."""
+    """Rows path, sheet, position, headers, cells of every sheet of every workbook; its first row that has a cell heads a sheet.
+
+    A workbook is read by one task as a whole (it is one archive), so it must fit a value of Spark (2 GB) and a worker's memory.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, names = pa.list_(pa.string()), ["path", "sheet", "position", "headers", "cells"]

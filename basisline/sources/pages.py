@@ -210,7 +210,8 @@ _COMMON = {
     "MT Cash Price": ("mt cash price", "cash price (tonne)", "price / (tonnes)", "tonne"),
 }
 
-#: Metrics of a transposed table by the words of their row labels; the first that a label contains.
+# Words of the row labels of a transposed table (the first that a label contains), and the texts by which
+# pages' scripts write quotes and bids.
 _METRICS = {
     "Futures Month": ("futures month",),
     "Change": ("futures change", "change"),
@@ -220,6 +221,19 @@ _METRICS = {
     "Futures Price": ("futures price", "futures"),
 }
 
+_CALL = (
+    r"writeBidRow\s*\(\s*'([^']+)'\s*,\s*([+-]?\d+(?:\.\d+)?)\s*,\s*(?:true|false)\s*,\s*(?:true|false)\s*,\s*(?:true|false)\s*,\s*[+-]?[\d.]*\s*,\s*'(\d{2}/\d{2}/\d{4})'\s*,\s*'(\d{2}/\d{2}/\d{4})'"
+    r"\s*,\s*'[^']*'\s*,\s*'[^']*'\s*,\s*'[^']*'\s*,\s*\d+\s*,\s*'[^']*'\s*,\s*'[^']*'\s*,\s*(?:quotes|quotevar\w+)\['([A-Z0-9]+)'\]"
+)
+QUOTE_BLOCK = r"(['\"][A-Z0-9]+['\"]\s*:\s*\{[^}]+\})"
+QUOTE_SYMBOL = r"['\"]([A-Z0-9]+)['\"]"
+BID_BLOCK = r"(quote\s*=\s*quotevar\w+\[['\"][A-Z0-9]+['\"]\](?:(?!quote\s*=\s*quotevar)[\s\S])*)"
+BID_SYMBOL = r"quotevar\w+\[['\"]([A-Z0-9]+)['\"]\]"
+BASIS_CENTS = r"rounded\s*=\s*price\s*\+\s*\(?([+-]?\d+(?:\.\d+)?)\b"
+BASIS_DOLLARS = r"(?i)(?:var\s+\w*basis\w*\s*=|addBasis\s*=|basis\s*[=:]|basisadj\s*=)\s*([+-]?\d+\.?\d*)"
+CHART_DELIVERY = r"cashchart\.php\?c=\d+&(?:amp;)?l=\d+&(?:amp;)?d=([A-Z]\d{2})"
+# End of fixed values.
+
 #: Adapters by key. Pages that differ only in wording share one reader.
 ADAPTERS: dict[str, Adapter] = {
     "agricharts": Adapter("Agricharts", _COMMON, ("Delivery", "Basis")),
@@ -301,9 +315,9 @@ def page_bids(pages: DataFrame, name: str, key: str = "page_id", html: str = "ht
 
 def quotes(script: Column) -> Column:
     """Array of (symbol, name, month, last) of a script's quote object: 'SYM': {name: '...', month: '...', last: '...'}."""
-    blocks = F.regexp_extract_all(script, F.lit(r"(['\"][A-Z0-9]+['\"]\s*:\s*\{[^}]+\})"), F.lit(1))
+    blocks = F.regexp_extract_all(script, F.lit(QUOTE_BLOCK), F.lit(1))
     get = lambda b, f: F.nullif(F.regexp_extract(b, rf"\b{f}\s*:\s*'([^']*)'", 1), F.lit(""))
-    return F.transform(blocks, lambda b: F.struct(F.regexp_extract(b, r"['\"]([A-Z0-9]+)['\"]", 1).alias("symbol"), get(b, "name").alias("name"), get(b, "month").alias("month"), get(b, "last").alias("last")))
+    return F.transform(blocks, lambda b: F.struct(F.regexp_extract(b, QUOTE_SYMBOL, 1).alias("symbol"), get(b, "name").alias("name"), get(b, "month").alias("month"), get(b, "last").alias("last")))
 
 
 def script_bids(pages: DataFrame, quote_rows: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
@@ -312,12 +326,11 @@ def script_bids(pages: DataFrame, quote_rows: DataFrame, key: str = "page_id", h
     Basis is the number added to the price (cents) or a basis variable (dollars); the delivery is a code in the chart
     link. Cash is futures plus basis.
     """
-    block = r"(quote\s*=\s*quotevar\w+\[['\"][A-Z0-9]+['\"]\](?:(?!quote\s*=\s*quotevar)[\s\S])*)"
-    rows = pages.select(key, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(block), F.lit(1))).alias("position", "block"))
+    rows = pages.select(key, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(BID_BLOCK), F.lit(1))).alias("position", "block"))
     got = lambda pattern, group=1: F.nullif(F.regexp_extract("block", pattern, group), F.lit(""))
-    cents = got(r"rounded\s*=\s*price\s*\+\s*\(?([+-]?\d+(?:\.\d+)?)\b").try_cast("double") / 100
-    dollars = got(r"(?i)(?:var\s+\w*basis\w*\s*=|addBasis\s*=|basis\s*[=:]|basisadj\s*=)\s*([+-]?\d+\.?\d*)").try_cast("double")
-    rows = rows.select(key, "position", got(r"quotevar\w+\[['\"]([A-Z0-9]+)['\"]\]").alias("symbol"), periods.delivery_code(got(r"cashchart\.php\?c=\d+&(?:amp;)?l=\d+&(?:amp;)?d=([A-Z]\d{2})")).alias("delivery"), F.coalesce(cents, dollars).alias("basis"))
+    cents = got(BASIS_CENTS).try_cast("double") / 100
+    dollars = got(BASIS_DOLLARS).try_cast("double")
+    rows = rows.select(key, "position", got(BID_SYMBOL).alias("symbol"), periods.delivery_code(got(CHART_DELIVERY)).alias("delivery"), F.coalesce(cents, dollars).alias("basis"))
     rows = rows.join(quote_rows, "symbol")
     return _priced(rows)
 
@@ -336,12 +349,6 @@ def _priced(rows: DataFrame) -> DataFrame:
     return rows.withColumn("cash_price_mt", prices.adapter_per_tonne(F.col("name"), F.col("cash_price_bu")))
 
 
-_CALL = (
-    r"writeBidRow\s*\(\s*'([^']+)'\s*,\s*([+-]?\d+(?:\.\d+)?)\s*,\s*(?:true|false)\s*,\s*(?:true|false)\s*,\s*(?:true|false)\s*,\s*[+-]?[\d.]*\s*,\s*'(\d{2}/\d{2}/\d{4})'\s*,\s*'(\d{2}/\d{2}/\d{4})'"
-    r"\s*,\s*'[^']*'\s*,\s*'[^']*'\s*,\s*'[^']*'\s*,\s*\d+\s*,\s*'[^']*'\s*,\s*'[^']*'\s*,\s*(?:quotes|quotevar\w+)\['([A-Z0-9]+)'\]"
-)
-
-
 def call_bids(pages: DataFrame, quote_rows: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """Bids that a page writes by calls of writeBidRow, each under the last heading before it, with its quote."""
     marks = F.regexp_extract_all(F.col(html), F.lit(rf"(?i)(<h4[^>]*>[^<]+</h4>|{_CALL})"), F.lit(1))

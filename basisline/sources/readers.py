@@ -40,7 +40,10 @@ def decoded(payload: bytes) -> str:
 
 
 def read_uploads(spark: SparkSession, path: str) -> DataFrame:
-    """CSV files of unknown encoding as rows (path, position, cells: map of header to text), one file at a time."""
+    """CSV files of unknown encoding as rows (path, position, cells: map of header to text), one file at a time.
+
+    A file is read by one task as a whole, so it must fit a value of Spark (2 GB) and a worker's memory: uploads are sheets.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.map_(pa.string(), pa.string())
