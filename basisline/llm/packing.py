@@ -30,9 +30,8 @@ from basisline.llm.ranks import ranked, with_row_ids
 
 CAPACITY = 2048
 END_ID = 0
-CACHED_WORDS = 1_200_000  # per Python worker, some 250 MB
+CACHED_WORDS = 600_000  # each of words at a line's start and of others, per Python worker: some 150 MB
 
-TEXTS_AT_ONCE = 512
 
 #: A text without these decomposes at its single blanks and line ends: no token of a byte-level BPE crosses them.
 UNEVEN_BLANKS = re.compile(r"\s(?:\s|\Z)|\A\s")
@@ -44,6 +43,20 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 PROBES = ("hello", " world", " don't", "don't", " 123abc", "na\u00efve", " \u6587\u5b57x", "!?...", " ***", "\u00e9\u00e9'll", "a\tb", " x\u00a0y", "\U0001f642", "\n", " Thththth", "0x1F")
 
 
+class _Words(dict):
+    """Little-endian 32-bit ids of a word after a fixed prefix, remembered."""
+
+    def __init__(self, encode, prefix: str):
+        super().__init__()
+        self.encode, self.prefix = encode, prefix
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        self[word] = ids = np.asarray(self.encode(self.prefix + word), "<u4").tobytes()
+        return ids
+
+
 class ByteBpe:
     """Ids of a tokenizers JSON file, as the tokenizers library gives them.
 
@@ -64,58 +77,28 @@ class ByteBpe:
         self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         split, model = file.get("pre_tokenizer") or {}, file["model"]
         self.by_word = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not file.get("normalizer") and model["type"] == "BPE"
-        self.first: dict[str, bytes] = {}  # words at the start of a line
-        self.later: dict[str, bytes] = {}  # words after a blank
         self.newline = self.whole("\n")
         if self.by_word:
             shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
             byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
             ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if token not in added and all(c in byte_of for c in token)}
-            self.encode = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-            self.by_word = all(np.asarray(self.encode(x), "<u4").tobytes() == self.whole(x) for x in PROBES)
+            encode = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self.first, self.later = _Words(encode, ""), _Words(encode, " ")  # words at the start of a line, after a blank
+            self.by_word = all(np.asarray(encode(x), "<u4").tobytes() == self.whole(x) for x in PROBES)
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def even(self, text: str) -> bool:
-        return self.by_word and not UNEVEN_BLANKS.search(text) and not self.added.search(text)
-
-    def joined(self, text: str) -> bytes:
-        """Ids of an even text from those of its words; KeyError for a word not seen yet."""
+    def id_bytes(self, text: str) -> bytes:
+        """All ids of the text as little-endian unsigned 32-bit integers."""
+        if not text or not self.by_word or UNEVEN_BLANKS.search(text) or self.added.search(text):
+            return self.whole(text) if text else b""
         out = []
         for line in text.split("\n"):
             words = line.split(" ")
             out.append(self.first[words[0]] + b"".join(map(self.later.__getitem__, words[1:])))
         return self.newline.join(out)
 
-    def learn(self, texts: list[str]) -> None:
-        """Remember the words of even texts that are not known."""
-        if len(self.first) + len(self.later) > CACHED_WORDS:
-            self.first.clear(), self.later.clear()
-        lines = [line.split(" ") for text in texts for line in text.split("\n")]
-        for known, blank, words in ((self.first, "", {x[0] for x in lines}), (self.later, " ", {w for x in lines for w in x[1:]})):
-            new = [w for w in words if w not in known]
-            known.update((w, np.asarray(self.encode(blank + w), "<u4").tobytes()) for w in new)
-
-    def id_bytes(self, texts: list[str]) -> list[bytes]:
-        """All ids of each text as little-endian unsigned 32-bit integers."""
-        out, later = [b""] * len(texts), []
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if not self.even(text):
-                out[i] = self.whole(text)
-                continue
-            try:
-                out[i] = self.joined(text)
-            except KeyError:
-                later.append(i)
-        if later:
-            self.learn([texts[i] for i in later])
-            for i in later:
-                out[i] = self.joined(texts[i])
-        return out
-
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> ByteBpe:
@@ -135,9 +118,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc
         bpe, end = tokenizer(path), np.asarray([END_ID], "<u4").tobytes()
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            texts = (batch.column(1).slice(at, TEXTS_AT_ONCE).to_pylist() for at in range(0, batch.num_rows, TEXTS_AT_ONCE))
-            for i, ids in enumerate(x for part in texts for x in bpe.id_bytes([t or "" for t in part])):
-                ids += end
+            for i, t in enumerate(batch.column(1)):
+                ids = bpe.id_bytes(t.as_py() or "") + end
                 n = len(ids) // 4
                 first = n if n <= capacity else n % capacity or capacity
                 for k, a in enumerate([0, *range(first, n, capacity)]):

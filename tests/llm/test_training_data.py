@@ -73,8 +73,8 @@ def test_packing_added_tokens():
     texts += ["".join(rng.choice(["a", " ", "\n", "b c", end, "<|", "|>", "\u00e9", "1", "\t"]) for _ in range(rng.randrange(12))) for _ in range(300)]
     texts += ["".join(rng.choice(["a", " ", "  ", "\n", "b's", "\u00a0", "\u2003", "\r\n", "don't", "12", "\u00e9", "!", "\x1c"]) for _ in range(rng.randrange(15))) for _ in range(600)]
     for _ in range(2):  # with new words, then with remembered ones
-        assert [np.frombuffer(x, "<u4").tolist() for x in bpe.id_bytes(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
-    assert np.frombuffer(bpe.id_bytes([f"a {end} b"])[0], "<u4").tolist() == [64, 220, 50256, 275]
+        assert [np.frombuffer(x, "<u4").tolist() for x in map(bpe.id_bytes, texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert np.frombuffer(bpe.id_bytes(f"a {end} b"), "<u4").tolist() == [64, 220, 50256, 275]
 
 
 def test_packing_plan_is_exact_and_full():
