@@ -202,7 +202,7 @@ _COMMON = {
     "Name": ("name", "commodity", "crop"),
     "Delivery": ("delivery", "delivery label", "delivery start"),
     "Delivery End": ("delivery end", "end"),
-    "Futures Month": ("futures month", "futures symbol", "symbol", "month"),
+    "Futures Month": ("futures month", "futures symbol", "symbol", "month", "futures mon"),
     "Futures Price": ("futures price", "futures", "cbot futures"),
     "Change": ("change", "chg"),
     "Basis": ("basis",),
