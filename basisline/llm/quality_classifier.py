@@ -7,7 +7,8 @@ One distributed pass sums them by fold over all rows that are not held out, so t
 for any corpus, and the ridge is chosen by cross-validation on the folds' moments: for each candidate the model of the other
 folds is judged by its risk on the fold left out. The class prior is estimated from score tails (negatives run out among the
 highest scores) and scores are turned into probabilities by Bayes' rule on bounded score histograms, made monotone; both
-use each row's score under the model fitted without its fold. Held-out rows have no part in any of this.
+use each row's score under the model fitted without its fold. Held-out rows have no part in the fit, the ridge or the
+calibration (README tells how the list of candidate ridges came about).
 
 Edge cases: null and empty texts get the features of an empty text and a score like any other; documents with several
 labels count once for each; without positives every score is the prior guess 0.5; repeated rows score alike; an empty table
