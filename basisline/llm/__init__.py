@@ -1 +1 @@
-"""Training-data operators: packing, quality, sharding, decontamination, extraction, dedup, language model, WARC."""
+"""Training-data operators: packing, quality, sharding, decontamination, extraction, dedup, language model, WARC, whitening, conversations."""

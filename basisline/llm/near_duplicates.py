@@ -155,8 +155,8 @@ def pruned_edges(buckets: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a binary, b binary").distinct()
 
 
-def exact_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """All linked pairs between two lists of set indexes, by exact intersection sizes (a product of incidence matrices)."""
+def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exact intersection and union sizes between two lists of set indexes (a product of incidence matrices)."""
     size = np.asarray([len(s) for s in sets])
     both = np.concatenate([left, right])
     flat = np.concatenate([sets[k] for k in both])
@@ -170,7 +170,12 @@ def exact_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, thr
         m = np.zeros((len(both), 4096), "float32")
         m[owner[a:b], place[a:b] - v] = 1
         common += m[: len(left)] @ m[len(left) :].T
-    union = size[left][:, None] + size[right][None, :] - common
+    return common, size[left][:, None] + size[right][None, :] - common
+
+
+def exact_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """All linked pairs between two lists of set indexes."""
+    common, union = common_counts(sets, left, right)
     i, j = np.nonzero(common >= threshold * union - 1e-9 * union)
     return left[i], right[j]
 

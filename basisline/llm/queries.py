@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
+from basisline.llm.circulant import op13_circulant_minhash
+from basisline.llm.conversations import op12_dial_conversation_repair
 from basisline.llm.decontamination import op4_benchmark_windows
 from basisline.llm.html_extraction import op5_composite_text_density
 from basisline.llm.language_model import op9_deleted_interpolation
@@ -18,6 +20,7 @@ from basisline.llm.quality_classifier import op2_nonnegative_pu
 from basisline.llm.quality_rules import op6_risk_controlled_rules
 from basisline.llm.sharding import op3_virtual_slot_sharding
 from basisline.llm.warc import op10_warc_derivatives
+from basisline.llm.whitening import op11_svd_merge_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minimum_bin_slack": op1_minimum_bin_slack,
@@ -30,6 +33,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_site_spread_lines": op8_site_spread_lines,
     "op9_deleted_interpolation": op9_deleted_interpolation,
     "op10_warc_derivatives": op10_warc_derivatives,
+    "op11_svd_merge_whitening": op11_svd_merge_whitening,
+    "op12_dial_conversation_repair": op12_dial_conversation_repair,
+    "op13_circulant_minhash": op13_circulant_minhash,
     "pipeline": corpus_pipeline.run,
 }
 

@@ -18,6 +18,8 @@ _LOWER = np.arange(256, dtype="uint8")
 _LOWER[65:91] += 32
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[48:58] = _IS_WORD[97:123] = _IS_WORD[128:] = True
+NOT_BLANK = np.ones(256, bool)  # words between the blanks 0x20 and 0x09 to 0x0D
+NOT_BLANK[[32, 9, 10, 11, 12, 13]] = False
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype="uint64") | np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _UNSTEP = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -77,11 +79,14 @@ def hash_runs(data: np.ndarray, inside: np.ndarray, bounds: np.ndarray) -> tuple
     return mix((total[b] - total[a]) * down[a] + (b - a).astype("uint64")), np.searchsorted(a, bounds)
 
 
-def shingle_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, sorted distinct shingle hashes): five consecutive lower-cased words; fewer words are one shingle together."""
+def shingle_sets(column: pa.Array, is_word: np.ndarray = _IS_WORD) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, sorted distinct shingle hashes): five consecutive lower-cased words; fewer words are one shingle together.
+
+    is_word marks the bytes that words are made of.
+    """
     for row, data, bounds in text_chunks(column):
         low = _LOWER[data]
-        words, first = hash_runs(low, _IS_WORD[low], bounds)
+        words, first = hash_runs(low, is_word[low], bounds)
         n = max(0, len(words) - SHINGLE + 1)
         grams = np.zeros(n, "uint64")
         for k in range(SHINGLE):

@@ -219,3 +219,83 @@ class Trigrams:
                     new[where][j] += share[j] / sum(share)
             w = {k: [x / sum(v) for x in v] for k, v in new.items()}
         return lambda level, size: w[level, size]
+
+
+def linked_components(docs, num=85, den=100):
+    """doc_id -> (set size, smallest doc_id reachable), for unique doc ids: five-word shingles of blank-separated words."""
+    sets = {}
+    for d, text in docs:
+        w = RUN.findall((text or "").translate(UPPER))
+        sets[d] = frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+    holders = defaultdict(list)
+    for d, s in sets.items():
+        for g in s:
+            holders[g].append(d)
+    common = Counter()
+    for ds in holders.values():
+        common.update(itertools.combinations(sorted(ds), 2))
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for (a, b), n in common.items():
+        if den * n >= num * (len(sets[a]) + len(sets[b]) - n):
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    return {d: (len(s), find(d)) for d, s in sets.items()}
+
+
+def conversation_repair(rows):
+    """rows: (conv_id, turn, role, text). conv_id -> the contract's columns, by a search over all cheapest edits in plain order."""
+    groups = defaultdict(list)
+    for c, turn, role, text in rows:
+        role, text = (" " if x is None else x for x in (role, text))
+        hit = zlib.crc32(f"{' ' if c is None else c}:{' ' if turn is None else turn}".encode()) % 20
+        groups[c]
+        if hit == 0:
+            continue
+        text = "" if hit == 1 else re.sub("[.!?]", "", text) if hit == 2 else text
+        groups[c] += [(turn, "user" if hit == 4 else role, text)] * (2 if hit == 3 else 1)
+    out = {}
+    for c, g in groups.items():
+        g.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), r[2].encode()))
+        kinds, seen = [], set()
+        for _, role, text in g:
+            solid = re.findall(r"[^\x20\x09-\x0D]", text)
+            kinds.append("b" if not solid else "d" if (role, text) in seen else "t" if solid[-1] not in ".!?" else "")
+            seen.add((role, text))
+        turns = {t for t, _, _ in g if t is not None}
+        pairs = [a[1][:1] + b[1][:1] for a, b in itertools.pairwise(g)]
+        # cheapest (cost, audit) to each grammar place of what was written, row by row; up to three inserts before each row and at the end
+        best = {"": (0, "", ())}
+
+        def follow(place, initial):
+            return {("", "s"): "s", ("", "u"): "u", ("s", "u"): "u", ("u", "a"): "a", ("a", "u"): "u"}.get((place, initial))
+
+        def offer(table, place, entry):
+            if place is not None and (place not in table or entry[:2] < table[place][:2]):
+                table[place] = entry
+
+        def inserted(table):
+            for _ in range(6):
+                for place, (cost, audit, text) in list(table.items()):
+                    for role in ("user", "assistant"):
+                        offer(table, follow(place, role[0]), (cost + 2, audit + "I", (*text, f"{role}:")))
+            return table
+
+        for (_, role, text), kind in zip(g, kinds, strict=True):
+            after = {}
+            for place, (cost, audit, done) in inserted(best).items():
+                offer(after, place, (cost + 3, audit + "D", done))
+                if kind not in ("b", "d"):
+                    more = kind == "t"
+                    offer(after, follow(place, role[:1]), (cost + more, audit + "K", (*done, f"{role}:{text}")))
+                    for new in ("user", "assistant"):
+                        offer(after, follow(place, new[0]), (cost + 2 + more, audit + "R", (*done, f"{new}:{text}")))
+            best = after
+        cost, audit, done = min((e for p, e in inserted(best).items() if p in ("", "a")), key=lambda e: e[:2])
+        out[c] = (max(turns) - min(turns) + 1 - len(turns) if turns else 0, kinds.count("b"), kinds.count("d"), kinds.count("t"), sum(p not in ("su", "ua", "au") for p in pairs), cost, audit, hashlib.sha256("\n".join(done).encode()).hexdigest())
+    return out
