@@ -34,11 +34,12 @@ from basisline.llm import shingles as sh
 from basisline.llm.common import checked_join, stored, table
 from basisline.llm.components import components
 from basisline.llm.grouped import runs
-from basisline.llm.near_duplicates import BLOCK, block_pairs, common_counts, forest, in_blocks
+from basisline.llm.near_duplicates import block_pairs, common_counts, forest, in_blocks
 
 LINK, OF = 85, 100  # texts are linked when OF * intersection >= LINK * union
 ROWS, BANDS = 5, 28  # a pair at 0.85 shares no band with probability (1 - 0.85**5)**28 = 7e-8
 VALUES = ROWS * BANDS
+PIVOT_BLOCK = 64  # nodes compared with one pivot in a group
 MISS = 1e-9  # chance that a linked pair fails the comparison of signatures
 
 _FIRST = np.uint64(0xD6E8FEB86659FD93)
@@ -145,7 +146,7 @@ def pivot_links(edges: DataFrame, sets: DataFrame) -> DataFrame:
                         b.append(nodes[k])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    counts = stored(edges.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("salts")), "pivots")
+    counts = stored(edges.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / PIVOT_BLOCK).cast("int").alias("salts")), "pivots")
     dealt = checked_join(edges.select("pivot", "node"), counts, ["pivot"], "inner").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
     nodes = dealt.select("pivot", "salt", "node").join(sets, "node").select("pivot", "salt", "node", "shingles")
     own = counts.join(sets, F.col("pivot") == F.col("node")).select("pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("binary").alias("node"), "shingles")
