@@ -1,13 +1,14 @@
 """Line dedup by distinct-site spread.
 
 Every line with a word is hashed; HyperLogLog sketches of the sites it stands on merge by aggregation. Lines whose
-estimate is within the sketch's error of the threshold get an exact distinct count. Lines on `min_sites` sites or more are
-cross-site boilerplate: they stay in one document (smallest key) and go everywhere else.
+estimate is within the sketch's error of the threshold get an exact distinct count. Lines on enough sites are cross-site
+boilerplate: they stay in one document (smallest key) and go everywhere else. Enough are `min_sites` for short lines, which
+pages repeat by chance, and `min_sites_long` for lines of `long_words` words or more, which they don't.
 
 Lines seen on one site only never reach a sketch: a cheap first aggregation (count, smallest and largest site hash)
 drops them. Hot lines are pre-aggregated to one row a site, or salted, before each shuffle by line.
 
-Edge cases: null texts have no lines and stay null; blank lines are never removed; null sites are one site of their own;
+Edge cases: a line of which every document has a null key is kept by all of them; null texts have no lines and stay null; blank lines are never removed; null sites are one site of their own;
 repeats of a line inside a document go with it (the keeping document keeps its own); an empty table gives an empty
 result; repeated rows are treated alike; extra columns are kept.
 """
@@ -22,6 +23,8 @@ from basisline.llm.common import checked_join, is_small, salted_join, stored, ta
 #: Relative standard error of an HLL sketch with 2**lg_k buckets is about 1.04 / sqrt(2**lg_k); the band is four of them.
 LG_K = 10
 MIN_SITES = 10
+MIN_SITES_LONG = 3
+LONG_WORDS = 20
 
 
 def has_word(line: Column) -> Column:
@@ -33,9 +36,14 @@ def line_hash(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(7), line).alias("b"))
 
 
-def site_rows(docs: DataFrame, key: str, text: str, site: str) -> DataFrame:
+def sites_needed(line: Column, min_sites: int, min_sites_long: int, long_words: int) -> Column:
+    """On how many sites a line has to stand: by its number of words."""
+    return F.when(F.regexp_count(line, F.lit(r"[^ \x09-\x0D]+")) >= long_words, min_sites_long).otherwise(min_sites)
+
+
+def site_rows(docs: DataFrame, key: str, text: str, site: str, need: tuple[int, int, int]) -> DataFrame:
     lines = docs.select(F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(site).cast("string"), F.lit(""))).alias("site"), F.explode(F.array_distinct(F.split(text, "\n"))).alias("line"))
-    return lines.where(has_word(F.col("line"))).select("k", "site", line_hash(F.col("line")).alias("l"))
+    return lines.where(has_word(F.col("line"))).select("k", "site", line_hash(F.col("line")).alias("l"), sites_needed(F.col("line"), *need).alias("need"))
 
 
 def sites_of(rows: DataFrame, lines: DataFrame) -> DataFrame:
@@ -45,21 +53,23 @@ def sites_of(rows: DataFrame, lines: DataFrame) -> DataFrame:
     return rows.select("a", "b", "site").distinct().join(lines, ["a", "b"])
 
 
-def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, key: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
+def boilerplate(
+    docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, key: str = "doc_id", text: str = "text", site: str = "source", min_sites_long: int = MIN_SITES_LONG, long_words: int = LONG_WORDS
+) -> DataFrame:
     """One row per boilerplate line: its hash `l` (a, b), `keeper` (the key that keeps it), and n_sites (estimated or exact)."""
-    rows = site_rows(docs, key, text, site).select(F.col("l.a").alias("a"), F.col("l.b").alias("b"), "k", "site")
-    wide = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("site").alias("lo"), F.max("site").alias("hi"), F.min("k").alias("keeper"))
-    wide = stored(wide.where((F.col("n") >= min_sites) & (F.col("lo") != F.col("hi"))).select("a", "b", "keeper"), "wide-lines")
+    rows = site_rows(docs, key, text, site, (min_sites, min_sites_long, long_words)).select(F.col("l.a").alias("a"), F.col("l.b").alias("b"), "k", "site", "need")
+    wide = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("site").alias("lo"), F.max("site").alias("hi"), F.min("k").alias("keeper"), F.min("need").alias("need"))
+    wide = stored(wide.where((F.col("n") >= F.col("need")) & (F.col("lo") != F.col("hi"))).select("a", "b", "keeper", "need"), "wide-lines")
+    rows = rows.drop("need")
     spread = sites_of(rows, wide)
-    sketched = spread.groupBy("a", "b", "keeper").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("est"))
+    sketched = spread.groupBy("a", "b", "keeper", "need").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("est"))
     sketched = stored(sketched, "line-sketches")
-    band = max(1.0, 4 * 1.04 / 2 ** (lg_k / 2) * min_sites)
-    near = (F.col("est") >= min_sites - band) & (F.col("est") <= min_sites + band)
-    sure = sketched.where((F.col("est") > min_sites + band)).select("a", "b", "keeper", F.col("est").alias("n_sites"))
-    unsure = stored(sketched.where(near).select("a", "b", "keeper"), "near-lines")
-    exact = sites_of(rows, unsure).select("a", "b", "keeper", "site").distinct()
-    exact = exact.groupBy("a", "b", "keeper").agg(F.count(F.lit(1)).alias("n_sites")).where(F.col("n_sites") >= min_sites)
-    return sure.unionByName(exact)
+    band = F.greatest(F.lit(1.0), F.lit(4 * 1.04 / 2 ** (lg_k / 2)) * F.col("need"))
+    sure = sketched.where(F.col("est") > F.col("need") + band).select("a", "b", "keeper", F.col("est").alias("n_sites"))
+    unsure = stored(sketched.where(F.col("est").between(F.col("need") - band, F.col("need") + band)).select("a", "b", "keeper", "need"), "near-lines")
+    exact = sites_of(rows, unsure).select("a", "b", "keeper", "need", "site").distinct()
+    exact = exact.groupBy("a", "b", "keeper", "need").agg(F.count(F.lit(1)).alias("n_sites")).where(F.col("n_sites") >= F.col("need"))
+    return sure.unionByName(exact.drop("need"))
 
 
 def removals(docs: DataFrame, lines: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -24,8 +24,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from basisline.llm import shingles as sh
 from basisline.llm.common import checked_join, stored, table
@@ -37,26 +38,31 @@ TOLERANCE = 1e-5  # a pair goes when its posterior chance of reaching the thresh
 STEP = 16  # MinHash values compared at a time
 BLOCK = 256  # nodes of a bucket or cluster in one block
 
-SKETCHED = "doc_id {kind}, h long, node binary, bands array<bigint>, sketch binary"
+SKETCHED = "doc_id {kind}, h long, r long, node binary, bands array<bigint>, sketch binary"
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """Hash of all of a row's columns (but maps): tells rows of one key and text apart."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, MapType)])
 
 
 def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows doc_id, h (text hash), node (identity of the shingle set, null if empty), bands, sketch (low bytes of MinHash values)."""
+    """Rows doc_id, h (text hash), r (row hash), node (identity of the shingle set, null if empty), bands, sketch (low bytes of MinHash values)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, bands, sketch = [], [], []
-            for _, s in sh.shingle_sets(batch.column(2)):
+            for _, s in sh.shingle_sets(batch.column(3)):
                 v = sh.minhash(s) if len(s) else None
                 node.append(sh.set_id(s) if len(s) else None)
                 bands.append(sh.band_keys(v) if len(s) else None)
                 sketch.append(v.astype("uint8").tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(node, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "h", "node", "bands", "sketch"]
+                [*batch.columns[:3], pa.array(node, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "h", "r", "node", "bands", "sketch"]
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.xxhash64(text), F.col(text)).mapInArrow(run, SKETCHED.format(kind=kind))
+    return docs.select(F.col(key), F.xxhash64(text), row_hash(docs), F.col(text)).mapInArrow(run, SKETCHED.format(kind=kind))
 
 
 @lru_cache(maxsize=8)
@@ -232,7 +238,8 @@ def with_shingles(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, h (text hash), class_id (smallest doc_id of its class), class_size, n_links (other
-    documents at the threshold or more, copies included) and n_text_links (other shingle sets)."""
+    documents at the threshold or more, copies included) and n_text_links (other shingle sets); r (row hash) and label (of
+    the class, null without shingles) tell rows and classes apart whatever their keys."""
     own = stored(sketches(docs, key, text), "sketches")
     nodes = own.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("docs"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = stored(nodes, "nodes")
@@ -249,26 +256,30 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     counts = links.groupBy(F.col("a").alias("node")).agg(F.sum("texts").alias("texts"), F.sum("docs").alias("linked"))
     named = nodes.select("node", "rep", "docs").join(classes, "node", "left").join(counts, "node", "left").withColumn("label", F.coalesce("label", "node"))
     by_class = named.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("docs").alias("class_size"))
-    named = stored(named.join(by_class, "label").select("node", "class_id", "class_size", "docs", "linked", "texts"), "classes")
-    out = checked_join(own.where("node is not null").select("doc_id", "h", "node"), named, ["node"], "inner")
+    named = stored(named.join(by_class, "label").select("node", "label", "class_id", "class_size", "docs", "linked", "texts"), "classes")
+    out = checked_join(own.where("node is not null").select("doc_id", "h", "r", "node"), named, ["node"], "inner")
     links = (F.col("docs") - 1 + F.coalesce("linked", F.lit(0))).cast("long").alias("n_links")
-    out = out.select("doc_id", "h", "class_id", F.col("class_size").cast("long").alias("class_size"), links, F.coalesce("texts", F.lit(0)).cast("long").alias("n_text_links"))
+    out = out.select("doc_id", "h", "r", "label", "class_id", F.col("class_size").cast("long").alias("class_size"), links, F.coalesce("texts", F.lit(0)).cast("long").alias("n_text_links"))
     none = F.lit(0).cast("long")
-    alone = own.where("node is null").select("doc_id", "h", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), none.alias("n_links"), none.alias("n_text_links"))
+    alone = own.where("node is null").select("doc_id", "h", "r", F.lit(None).cast("binary").alias("label"), F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), none.alias("n_links"), none.alias("n_text_links"))
     return out.unionByName(alone)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each class stays (that of the smallest doc_id), with all its columns."""
-    found = stored(similar(docs), "similar")
-    gone = stored(found.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("gk"), F.col("h").alias("gh")).distinct(), "dropped")
-    twice = stored(found.where(F.col("doc_id") == F.col("class_id")).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("gk")), "repeated")
-    tagged = docs.select(F.col("doc_id").alias("k"), F.xxhash64("text").alias("h"), F.struct("*").alias("__row"))
-    kept = checked_join(tagged, gone, F.col("k").eqNullSafe(F.col("gk")) & (F.col("h") == F.col("gh")), "left_anti")
+    """One row of each class stays, with all its columns: that of the smallest doc_id (null last), and of several of those
+    the smallest by hashes of text and row. Rows without shingles are like nothing and all stay."""
+    found = stored(similar(docs), "similar").where("class_size > 1").select("label", F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h", "r").alias("row"))
+    best = stored(found.groupBy("label").agg(F.min("row").alias("best")), "class-rows")
+    gone = checked_join(found, best, ["label"], "inner").where(~F.col("row").eqNullSafe(F.col("best")))
+    gone = stored(gone.select(F.col("row.doc_id").alias("gk"), F.col("row.h").alias("gh"), F.col("row.r").alias("gr")).distinct(), "dropped")
+    twice = stored(found.groupBy("row").count().where("count > 1").select(F.col("row.doc_id").alias("gk"), F.col("row.h").alias("gh"), F.col("row.r").alias("gr")), "repeated")
+    tagged = docs.select(F.col("doc_id").alias("k"), F.xxhash64("text").alias("h"), row_hash(docs).alias("r"), F.struct("*").alias("__row"))
+    same = F.col("k").eqNullSafe(F.col("gk")) & (F.col("h") == F.col("gh")) & (F.col("r") == F.col("gr"))
+    kept = checked_join(tagged, gone, same, "left_anti")
     if twice.isEmpty():
         return kept.select("__row.*")
-    once = checked_join(kept, twice, F.col("k") == F.col("gk"), "left_semi").dropDuplicates(["k", "h"])
-    rest = checked_join(kept, twice, F.col("k") == F.col("gk"), "left_anti")
+    once = checked_join(kept, twice, same, "left_semi").dropDuplicates(["k", "h", "r"])  # rows that are equal in everything
+    rest = checked_join(kept, twice, same, "left_anti")
     return rest.select("__row.*").unionByName(once.select("__row.*"))
 
 

@@ -5,7 +5,6 @@ Rows are told apart by a row number, so repeated keys are no special case. The S
 
 from __future__ import annotations
 
-from basisline.llm.line_dedup import MIN_SITES
 from basisline.llm.quality_rules import N_SETTINGS, RULES, RiskBudget
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -81,10 +80,10 @@ SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(class_size, 1) A
  CAST(coalesce(docs - 1, 0) + coalesce(linked, 0) AS BIGINT) AS n_links, coalesce(texts, 0) AS n_text_links
 FROM docs LEFT JOIN ids USING (rid) LEFT JOIN nodes n ON n.node = ids.node LEFT JOIN classes c ON c.node = ids.node LEFT JOIN linked k ON k.node = ids.node"""
 
-OP8 = rf"""
+OP8 = r"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS site, text, string_split(text, chr(10)) AS parts FROM documents),
 lines AS (SELECT DISTINCT rid, doc_id, site, line FROM (SELECT rid, doc_id, site, unnest(parts) AS line FROM docs) WHERE regexp_matches(line, '[^ \x09-\x0D]')),
-spread AS (SELECT line, min(doc_id) AS keeper FROM lines GROUP BY line HAVING count(DISTINCT site) >= {MIN_SITES}),
+spread AS (SELECT line, min(doc_id) AS keeper FROM lines GROUP BY line HAVING count(DISTINCT site) >= CASE WHEN len([w FOR w IN string_split_regex(line, '[ \x09-\x0D]+') IF w <> '']) >= 20 THEN 3 ELSE 10 END),
 cut AS (SELECT rid, list(line) AS gone FROM lines JOIN spread USING (line) WHERE doc_id IS DISTINCT FROM keeper GROUP BY rid),
 rest AS (SELECT rid, doc_id, text, parts, [x FOR x IN parts IF NOT list_contains(coalesce(gone, []), x)] AS kept FROM docs LEFT JOIN cut USING (rid))
 SELECT doc_id, CAST(coalesce(len(parts), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(parts) - len(kept), 0) AS BIGINT) AS n_removed,

@@ -5,9 +5,12 @@ assigns slots to shards. The first version deals the slots in turn; every run re
 moving slots from full shards to empty ones, and stores the edit as the next version. Records never rehash, so a record
 moves only if its slot does.
 
-Edge cases: null texts count no bytes (only the fixed overhead); null keys hash like any value and, like any key however
-often repeated, stay in one slot, whose rows are numbered over many tasks; repeated rows share a slot and get separate
-places; an empty table yields an empty result and leaves the map as it is; extra columns are ignored.
+A record's slot follows from its key and its text, so a key that many records share, or none has, spreads like others.
+Records that are equal in both spread by a number of their own; which of them stands where is all one.
+
+Edge cases: null texts count no bytes (only the fixed overhead); null keys hash like any value; repeated rows spread and get
+separate places; an empty table yields an empty result and leaves the map as it is; extra columns are ignored. A stored map of
+another number of slots is refused, as its records would rehash. One record larger than a shard's share stays whole.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basisline.llm.common import shared_dir, table
+from basisline.llm.common import checked_join, shared_dir, stored, table
 from basisline.llm.ranks import ranked, with_row_ids
 
 CLOSE = 1000  # loads that differ by less than this part of the mean are equal enough
@@ -63,8 +66,17 @@ class SlotMap:
         return F.split(F.lit(",".join(map(str, self.shards))), ",").cast("array<int>")[slot.cast("int")]
 
 
-def virtual_slot(key: Column, n_slots: int = N_SLOTS) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(n_slots)).cast("int")
+def virtual_slot(*parts: Column, n_slots: int = N_SLOTS) -> Column:
+    """Slot of a record from what tells it apart."""
+    return F.pmod(F.xxhash64(*parts), F.lit(n_slots)).cast("int")
+
+
+def slotted(rows: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
+    """Add virtual_slot to rows (key, text_hash, row): by key and text, and by row too where these repeat."""
+    repeated = stored(rows.groupBy("key", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("k"), F.col("text_hash").alias("h")), "repeated-records")
+    found = checked_join(rows, repeated.withColumn("twice", F.lit(True)), F.col("key").eqNullSafe(F.col("k")) & (F.col("text_hash") == F.col("h")), "left")
+    slot = F.when(F.col("twice"), virtual_slot(F.col("key"), F.col("text_hash"), F.col("row"), n_slots=n_slots)).otherwise(virtual_slot(F.col("key"), F.col("text_hash"), n_slots=n_slots))
+    return found.withColumn("virtual_slot", slot).drop("k", "h", "twice", "text_hash")
 
 
 def record_size(text: Column, overhead: int = 8) -> Column:
@@ -137,16 +149,19 @@ def shard_documents(docs: DataFrame, n_shards: int, key: str = "doc_id", text: s
             F.col(key).alias("key"),
             record_size(F.col(text)).alias("size"),
             F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
-            virtual_slot(F.col(key), n_slots).alias("virtual_slot"),
+            F.xxhash64(text).alias("text_hash"),
         ),
-        "shard-rows",
+        "shard-records",
     )
+    rows = stored(slotted(rows, n_slots), "shard-rows")
     sums = {r[0]: (r[1], r[2]) for r in bytes_per_slot(rows).collect()}  # at most n_slots rows
     path = map_path or f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
     old = SlotMap.load(spark, path)
     if old is None:
         old = SlotMap.dealt(n_shards, n_slots)
         old.save(spark, path)
+    if len(old.shards) != n_slots:
+        raise ValueError(f"the map at {path} has {len(old.shards)} slots, not {n_slots}; a dataset keeps its number of slots")
     slots = rebalanced(old, {s: b for s, (b, _) in sums.items()}, n_shards)
     if slots.shards != old.shards or slots.n_shards != old.n_shards:
         slots.save(spark, path)

@@ -24,19 +24,16 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basisline.llm.common import table
-from basisline.llm.dom import visible_text
+from basisline.llm.dom import read_page
 
 VERSION = b"WARC/1.1"
 SPACE = uuid.UUID("5f6c0f0e-8d0f-5b53-9b7e-0c3a5a1d2b11")
-HREF = re.compile(r"<a(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?<![^\s\"'/])href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*))", re.I)
-TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.I | re.S)
 CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 
 
@@ -168,11 +165,6 @@ def decoded(body: bytes, content_type: str) -> tuple[str, str]:
     return body.decode("utf-8", "replace"), f"charset {found[1]} not known" if found else ""
 
 
-def plain_text(html: str) -> str:
-    """All visible text of the page, one block a line."""
-    return "\n".join(visible_text(html))
-
-
 def derivatives(headers: dict[str, str], block: bytes) -> list[tuple[str, str, bytes, bytes]]:
     """(type, record id, block, whole record) of the metadata and the conversion record of a response."""
     status, http, body, note = split_http(block)
@@ -180,14 +172,14 @@ def derivatives(headers: dict[str, str], block: bytes) -> list[tuple[str, str, b
     html, charset_note = ("", "") if note.endswith("not read") else decoded(body, named.get("content-type", ""))
     source = headers.get("warc-record-id", "")
     shared = [(k, headers[k.lower()]) for k in ("WARC-Target-URI", "WARC-Date", "WARC-Payload-Digest") if k.lower() in headers]
-    title = TITLE.search(html)
+    lines, title, links = read_page(html)
     fields = [("http-status", status.partition(" ")[2].partition(" ")[0]), *((f"http-header-{k.lower()}", v) for k, v in http), ("payload-digest", digest(body)), ("payload-length", str(len(body)))]
     fields += [("source-block-digest", headers.get("warc-block-digest") or digest(block))]
     fields += [("payload-note", x) for x in (note, charset_note) if x]
-    fields += [("title", " ".join(unescape(title[1]).split()))] if title else []
-    fields += [("outlink", re.sub(r"[\t\r\n]", "", unescape(a or b or c))) for a, b, c in HREF.findall(html)]
+    fields += [("title", " ".join(title.split()))] if title is not None else []
+    fields += [("outlink", re.sub(r"[\t\r\n]", "", link)) for link in links]
     out = []
-    blocks_of = (("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in fields)), ("conversion", "text/plain; charset=utf-8", plain_text(html)))
+    blocks_of = (("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in fields)), ("conversion", "text/plain; charset=utf-8", "\n".join(lines)))
     ids = {kind: record_id(kind.encode(), source.encode(), text.encode("utf-8", "replace")) for kind, _, text in blocks_of}
     for kind, content, text in blocks_of:
         data = text.encode("utf-8", "replace")

@@ -91,20 +91,20 @@ def jaccard_classes(docs, threshold=0.8):
     return {d: (find(d), size[find(d)], n_links[d]) for d in sets}
 
 
-def spread_lines(docs, min_sites=10):
-    """docs: (doc_id, site, text). The line -> keeping doc_id of every line on at least min_sites sites."""
+def spread_lines(docs):
+    """docs: (doc_id, site, text). The line -> keeping doc_id of every line on 10 sites, or on 3 if it has 20 words."""
     sites, keeper = defaultdict(set), {}
     for d, site, text in docs:
         for line in set((text or "").split("\n")) if text is not None else ():
             if RUN.search(line):
                 sites[line].add(site or "")
                 keeper[line] = min(d, keeper.get(line, d))
-    return {x: keeper[x] for x, s in sites.items() if len(s) >= min_sites}
+    return {x: keeper[x] for x, s in sites.items() if len(s) >= (3 if len(RUN.findall(x)) >= 20 else 10)}
 
 
-def without_lines(docs, min_sites=10):
+def without_lines(docs):
     """doc_id -> text without boilerplate lines."""
-    gone = spread_lines(docs, min_sites)
+    gone = spread_lines(docs)
     return {d: None if text is None else "\n".join(x for x in text.split("\n") if gone.get(x, d) == d) for d, _, text in docs}
 
 

@@ -2,13 +2,15 @@
 
 import itertools
 import random
+import re
+import time
 
 import brute as B
 import numpy as np
 import pandas as pd
 import pytest
 
-from basisline.llm import circulant, conversations, whitening
+from basisline.llm import circulant, conversations, dom, line_dedup, near_duplicates, whitening
 from basisline.llm import shingles as sh
 from basisline.llm.queries import QUERIES
 
@@ -166,7 +168,8 @@ def varied(rng, base, edits):
 
 def test_circulant_components_of_near_copies(spark, monkeypatch):
     """Chains of versions, versions of one original, groups close to the threshold and copies, in blocks of eight nodes."""
-    monkeypatch.setattr(circulant, "BLOCK", 8)
+    monkeypatch.setattr(circulant, "PIVOT_BLOCK", 8)
+    monkeypatch.setattr(near_duplicates.in_blocks, "__defaults__", ("node", 8))
     rng, texts = random.Random(4), []
     for size in (60, 150, 400):
         base = [f"w{rng.randrange(3000)}" for _ in range(size)]
@@ -214,3 +217,68 @@ def test_least_matches_bound_the_loss():
     m = circulant.least_matches()
     tail = lambda k: sum(comb(circulant.VALUES, i) * 0.85**i * 0.15 ** (circulant.VALUES - i) for i in range(k))
     assert tail(m) <= circulant.MISS < tail(m + 1)
+
+
+def regex_tags(html):
+    """The tags of a page by one backtracking pattern, for short pages."""
+    token = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
+    return [(m.start(), m.end(), bool(m[1] or m[4]), (m[2] or m[5] or "").lower(), m[3] or m[6] or "") for m in token.finditer(html)]
+
+
+def test_tags_equal_a_pattern_on_broken_pages():
+    rng = random.Random(12)
+    parts = ["<a x=", "<a x=\"", "'", "\"", ">", "<b>", "</b>", "<!--", "-->", "<!d", "<?", "text", " ", "<", "</", "/", "<p class='c'>", "=", "<a<b", "\n"]
+    for _ in range(4000):
+        html = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 25)))
+        found, pos, tokens = [], 0, dom.Tokens(html)
+        while t := tokens.after(pos):
+            found.append(t)
+            pos = t[1]
+        assert found == regex_tags(html), html
+
+
+DAMAGED = ["<a ", '<a x="', "<title>", '<a x=">', "<b>", "<b><hr>", "<i></b>", "<p><td><b><hr>", "<!--", "<a href='", "<li><b>", "</p>", "<a <a '\" >", "<p>x"]
+
+
+@pytest.mark.parametrize("part", DAMAGED)
+def test_damaged_pages_take_linear_time(part):
+    """100, 200 and 400 kB of one damaged tag, with and without a closing end."""
+
+    def took(kb, tail):
+        html = part * (kb * 1000 // len(part)) + tail
+        start = time.process_time()
+        dom.read_page(html)
+        dom.parse(html)
+        return time.process_time() - start
+
+    for tail in ("", ">", "</b></i>'>", '">'):
+        times = [took(kb, tail) for kb in (100, 200, 400)]
+        assert times[2] < 3.0 and times[2] < 12 * max(times[0], 0.02), (tail, times)
+
+
+def test_lines_of_many_words_spread_over_fewer_sites(spark):
+    """Long passages count from 3 sites, short lines from 10; both are parameters."""
+    long, longer, short = (" ".join(f"{p}{i}" for i in range(n)) for p, n in (("a", 20), ("b", 60), ("c", 19)))
+    rows = [(s, f"own {s}\n{long if s < 3 else ''}\n{longer if s < 2 else ''}\n{short if s < 9 else ''}\nmenu" + (" x" if s == 10 else ""), f"site{s}") for s in range(11)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.row.doc_id: r.text for r in line_dedup.clean_lines(df).collect()}
+    assert got == B.without_lines([(d, s, t) for d, t, s in rows])
+    assert sum(long in t for t in got.values()) == 1 and sum(longer in t for t in got.values()) == 2 and sum(short in t for t in got.values()) == 9 and sum("menu" in t for t in got.values()) == 2
+    assert sum(longer in r.text for r in line_dedup.clean_lines(df).collect()) == 2
+    lines = line_dedup.boilerplate(df, min_sites=9, min_sites_long=2).collect()
+    assert sorted(r.n_sites for r in lines) == [2, 3, 9, 10]
+
+
+def test_one_row_of_each_class_stays(spark):
+    base = [f"w{i}" for i in range(60)]
+    a, b, c = " ".join(base), " ".join([*base[:-1], "z"]), "an entirely different text of nine words in all"
+    kind = "doc_id long, text string, source string"
+    kept = lambda rows: sorted(near_duplicates.one_of_each(spark.createDataFrame(rows, kind)).collect(), key=str)
+    assert len(kept([(1, a, "s"), (1, b, "s"), (2, a, "s")])) == 1
+    assert len(kept([(None, a, "s"), (None, a, "s")])) == 1
+    assert [r.doc_id for r in kept([(None, a, "s"), (5, b, "s"), (4, a, "s")])] == [4]
+    ties = [(3, a, "s1"), (3, a, "s2"), (3, a, "s3")]
+    assert len(kept(ties)) == 1 and kept(ties) == kept(ties[::-1])
+    assert len(kept([(1, a, "s"), (1, c, "s"), (2, c, "s")])) == 2  # one key, two classes
+    assert len(kept([(1, None, "s"), (1, "", "s"), (1, None, "s")])) == 3  # nothing to be like
+    assert kept([]) == []

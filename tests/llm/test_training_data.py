@@ -175,15 +175,18 @@ def test_non_negative_risk_prior():
     assert abs(quality_classifier.estimated_prior(p * 100, u * 100) - 0.5) < 0.1
 
 
-def slot_of(key):
-    return xxhash.xxh64(int(key).to_bytes(8, "little", signed=True), seed=42).intdigest() % sharding.N_SLOTS
+def slot_of(key, text):
+    """Hash of the key, then of the text's hash."""
+    words = xxhash.xxh64((text or "").encode(), seed=42).intdigest() if text is not None else 42
+    x = xxhash.xxh64(words.to_bytes(8, "little"), seed=xxhash.xxh64(int(key).to_bytes(8, "little", signed=True), seed=42).intdigest()).intdigest()
+    return x % sharding.N_SLOTS
 
 
 def test_sharding(spark, docs, sf):
     out = QUERIES["op3_virtual_slot_sharding"](spark, sf).toPandas().set_index("doc_id")
     for d, t in pairs(docs):
         raw = (t or "").encode()
-        assert (out.loc[d, "size"], out.loc[d, "text_crc32"], out.loc[d, "virtual_slot"]) == (len(raw) + 8, zlib.crc32(raw), slot_of(d))
+        assert (out.loc[d, "size"], out.loc[d, "text_crc32"], out.loc[d, "virtual_slot"]) == (len(raw) + 8, zlib.crc32(raw), slot_of(d, t))
     assert all(sorted(g.slot) == list(range(len(g))) for _, g in out.groupby("shard")) and out.shard.between(0, 23).all()
     assert (out.groupby("virtual_slot").shard.nunique() == 1).all()
     loads = out.groupby("shard")["size"].sum()
@@ -201,7 +204,7 @@ def test_slot_map_is_edited(spark, tmp_path):
     assert sharding.SlotMap.load(spark, path).version == 1 and dict(zip(again.key, again.shard, strict=True)) == dict(zip(first.key, first.shard, strict=True))
     grown = sharding.shard_documents(docs, 9, map_path=path).toPandas()
     latest = sharding.SlotMap.load(spark, path)
-    assert latest.version == 2 and all(latest.shards[slot_of(k)] == s for k, s in zip(grown.key, grown.shard, strict=True))
+    assert latest.version == 2 and all(latest.shards[slot_of(k, "x" * (1 + k * 7 % 90))] == s for k, s in zip(grown.key, grown.shard, strict=True))
     moved = {k for k, s in zip(grown.key, grown.shard, strict=True) if dict(zip(first.key, first.shard, strict=True))[k] != s}
     assert len(moved) <= 0.2 * len(docs.toPandas()) and grown.groupby("shard")["size"].sum().pipe(lambda x: x.max() <= 1.01 * x.min())
     with pytest.raises(Exception, match="(?i)exist"):
@@ -232,6 +235,20 @@ def test_sharding_odd_rows(spark, odd):
     same = frame(spark, [(None, "one", "en", "a")] * 5000 + [(1, "two", "en", "a")] * 3000).repartition(5)  # hot slots over several salts
     hot = sharding.shard_documents(same, 2).toPandas()
     assert len(hot) == 8000 and all(sorted(g.place) == list(range(len(g))) for _, g in hot.groupby("shard"))
+    loads = hot.groupby("shard")["size"].sum()
+    assert loads.max() - loads.min() <= 0.01 * loads.mean()  # two records, repeated, fill both shards alike
+
+
+def test_sharding_hot_keys_and_slot_counts(spark, tmp_path):
+    """A key on a third of all rows, or none on another third, leaves the bytes near equal; another slot count is refused."""
+    rows = [(7, f"text {i} " + "x" * (i % 50), "en", "a") for i in range(4000)] + [(None, f"none {i}", "en", "a") for i in range(4000)] + [(i + 10, "y" * 40, "en", "a") for i in range(4000)]
+    path = f"file://{tmp_path}/m"
+    out = sharding.shard_documents(frame(spark, rows), 4, map_path=path).toPandas()
+    loads = out.groupby("shard")["size"].sum()
+    assert loads.max() - loads.min() <= 0.01 * loads.mean() and len(out) == 12000
+    assert all(sorted(g.place) == list(range(len(g))) for _, g in out.groupby("shard"))
+    with pytest.raises(ValueError, match="8192 slots, not 1024"):
+        sharding.shard_documents(frame(spark, rows), 4, n_slots=1024, map_path=path)
 
 
 def test_decontamination(spark, sf, docs):
