@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from basisline.functions.text import lookup
+from basisline.functions.text import lookup, nonempty, using
 
 PRICE = "decimal(18,6)"
 
@@ -23,11 +23,16 @@ def tick_price(text: Column) -> Column:
 
     Letters after the last digit are dropped; null for what is no finite number. A negative price adds its eighths.
     """
-    t = F.regexp_replace(F.trim(text.cast("string")), r"(?<=\d)[A-Za-z]+$", "")
-    whole, part = F.regexp_extract(t, _TICK, 1), F.regexp_extract(t, _TICK, 2)
-    eighths = whole.try_cast(PRICE) + part.try_cast("int") / F.lit(8).cast("decimal(4,0)")
-    plain = F.regexp_replace(t, r"[,$]", "").try_cast(PRICE)
-    return F.when(part.rlike("^[0-7]$"), eighths).when(part != "", F.concat(whole, F.lit("."), part).try_cast(PRICE)).otherwise(plain).cast(PRICE)
+
+
+    def read(t: Column, whole: Column, part: Column) -> Column:
+        eighths = whole.try_cast(PRICE) + part.try_cast("int") / F.lit(8).cast("decimal(4,0)")
+        plain = F.regexp_replace(t, r"[,$]", "").try_cast(PRICE)
+        return F.when(part.rlike("^[0-7]$"), eighths).when(part != "", F.concat(whole, F.lit("."), part).try_cast(PRICE)).otherwise(plain).cast(PRICE)
+
+    parts = lambda t: F.struct(F.regexp_extract(t, _TICK, 1).alias("whole"), F.regexp_extract(t, _TICK, 2).alias("part"))
+    cell = F.regexp_replace(F.trim(text.cast("string")), r"(?<=\d)[A-Za-z]+$", "")
+    return using(cell, lambda t: using(parts(t), lambda p: read(t, p["whole"], p["part"])))
 
 
 def _last(text: Column, pattern: str, group: int = 0) -> Column:
@@ -37,14 +42,18 @@ def _last(text: Column, pattern: str, group: int = 0) -> Column:
 def price_in_text(text: Column) -> Column:
     """Price named in free text ('ZCN26 @ 6.34'): the last tick, else the last decimal, else the whole text if it is a
     number up to 1200, else the last number marked with @ or $."""
-    t = F.replace(F.trim(text.cast("string")), F.lit(","), F.lit(""))
-    alone = F.when(t.rlike(r"^-?\d+(?:\.\d+)?$"), t.try_cast(PRICE))
-    return F.coalesce(
-        tick_price(_last(t, r"-?\d+\s*['-]\s*\d+[A-Za-z]*")),
-        _last(t, r"-?\d+\.\d+").try_cast(PRICE),
-        F.when(F.abs(alone) <= 1200, alone),
-        _last(t, r"(?:@|\$)\s*(-?\d+(?:\.\d+)?)", 1).try_cast(PRICE),
-    )
+
+
+    def read(t: Column) -> Column:
+        alone = nonempty(F.regexp_extract(t, r"^-?\d+(?:\.\d+)?$", 0)).try_cast(PRICE)
+        return F.coalesce(
+            tick_price(_last(t, r"-?\d+\s*['-]\s*\d+[A-Za-z]*")),
+            _last(t, r"-?\d+\.\d+").try_cast(PRICE),
+            using(alone, lambda x: F.when(F.abs(x) <= 1200, x)),
+            _last(t, r"(?:@|\$)\s*(-?\d+(?:\.\d+)?)", 1).try_cast(PRICE),
+        )
+
+    return using(F.replace(F.trim(text.cast("string")), F.lit(","), F.lit("")), read)
 
 
 def lenient_number(text: Column) -> Column:
@@ -55,33 +64,30 @@ def lenient_number(text: Column) -> Column:
 def quoted_cents(text: Column) -> Column:
     """Exchange quote in cents: 425-4 is 425 and 4 eighths, with any number of digits after the hyphen."""
     pattern = r"^(\d+(?:\.\d+)?)(?:-(\d+))?$"
-    t = F.trim(text)
-    part = F.coalesce(F.nullif(F.regexp_extract(t, pattern, 2), F.lit("")).try_cast("double"), F.lit(0.0))
-    return F.when(t.rlike(pattern), F.regexp_extract(t, pattern, 1).try_cast("double") + part / 8)
+    part = lambda t: F.coalesce(nonempty(F.regexp_extract(t, pattern, 2)).try_cast("double"), F.lit(0.0))
+    return using(F.trim(text), lambda t: nonempty(F.regexp_extract(t, pattern, 1)).try_cast("double") + part(t) / 8)
 
 
 def dollars_per_bushel(text: Column) -> Column:
     """Futures price in dollars: quotes in whole cents or eighths are cents; decimals under 50 are dollars already."""
-    t = F.regexp_replace(F.trim(text), r"[$,]", "")
-    value = t.try_cast("double")
-    return F.when(t.rlike(r"^\d+(-\d+)?$"), quoted_cents(t) / 100).when(value < 50, value).otherwise(value / 100)
+    decimal = lambda v: F.when(v < 50, v).otherwise(v / 100)
+    read = lambda t: F.when(t.rlike(r"^\d+(-\d+)?$"), quoted_cents(t) / 100).otherwise(using(t.try_cast("double"), decimal))
+    return using(F.regexp_replace(F.trim(text), r"[$,]", ""), read)
 
 
 def basis_to_store(basis: Column) -> Column:
     """Basis in dollars: values of ten or more are cents, rounded half to even."""
-    return F.when(F.abs(basis) >= 10, F.bround(basis / 100, 2)).otherwise(basis).cast(PRICE)
+    return using(basis, lambda b: F.when(F.abs(b) >= 10, F.bround(b / 100, 2)).otherwise(b).cast(PRICE))
 
 
 def basis_to_show(basis: Column) -> Column:
     """Basis in dollars as it is read back: values of ten or more are cents; nothing is rounded."""
-    value = finite(basis.cast("double"))
-    return F.when(F.abs(value) >= 10, value / 100).otherwise(value)
+    return using(finite(basis.cast("double")), lambda b: F.when(F.abs(b) >= 10, b / 100).otherwise(b))
 
 
 def per_tonne(commodity: Column, price_bu: Column) -> Column:
     """Tonne price of a bushel price; unknown commodities count as corn."""
-    key = F.lower(F.trim(commodity))
-    factor = F.coalesce(lookup(BUSHELS_PER_TONNE, key), lookup(BUSHELS_PER_TONNE, F.rtrim(key, F.lit("s"))), F.lit(BUSHELS_PER_TONNE["corn"]))
+    factor = using(F.lower(F.trim(commodity)), lambda key: F.coalesce(lookup(BUSHELS_PER_TONNE, key), lookup(BUSHELS_PER_TONNE, F.rtrim(key, F.lit("s"))), F.lit(BUSHELS_PER_TONNE["corn"])))
     return F.bround(price_bu * factor.cast("decimal(9,4)"), 2).cast(PRICE)
 
 
@@ -95,7 +101,7 @@ def adapter_per_tonne(commodity: Column, price_bu: Column) -> Column:
 
 def finite(value: Column) -> Column:
     """Null instead of NaN and infinities."""
-    return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+    return using(value, lambda v: F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v))
 
 
 def last_number(text: Column) -> Column:

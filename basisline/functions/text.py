@@ -1,11 +1,12 @@
 """Label canonicalization as column expressions: text, sources, commodities, locations, companies.
 
-Every function maps columns to a column, so Catalyst sees through it; none calls Python per row.
+Every function maps columns to a column, so Catalyst sees through it; none calls Python per row. What a function uses more
+than once it binds once (`using`), so its expression stays small however functions are nested, and plans of many compile.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -118,10 +119,28 @@ def lookup(table: Mapping[str, str], key: Column) -> Column:
     return F.expr(f"map({quoted})")[key]
 
 
+def using(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once, however often `use` names it: a lambda variable is never expanded."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def nonempty(value: Column) -> Column:
+    """The text, null for the empty one; names its value once."""
+    return F.get(F.array_remove(F.array(value), ""), F.lit(0))
+
+
+_NO_TEXT = "(?i)^(?:" + "|".join(NULL_LIKE) + ")$"
+
+
 def normalize_text(value: Column) -> Column:
     """Trimmed text with inner white space (any Unicode blank) collapsed; null for empty and null-like words."""
     clean = F.trim(F.regexp_replace(value.cast("string"), r"(?U)\s+", " "))
-    return F.when((clean != "") & ~F.lower(clean).isin(*NULL_LIKE), clean)
+    return nonempty(F.regexp_replace(clean, _NO_TEXT, ""))
+
+
+def _known(clean: Column, names: Mapping[str, str]) -> Column:
+    """The name that a table gives a cleaned label, else the label."""
+    return using(clean, lambda c: F.coalesce(lookup(names, F.lower(c)), c))
 
 
 def canonical_key(value: Column) -> Column:
@@ -130,43 +149,42 @@ def canonical_key(value: Column) -> Column:
 
 
 def canonical_source(value: Column) -> Column:
-    clean = normalize_text(value)
-    return F.coalesce(lookup(SOURCE_ALIASES, F.lower(clean)), clean)
+    return _known(normalize_text(value), SOURCE_ALIASES)
 
 
 def canonical_commodity(value: Column) -> Column:
-    clean = normalize_text(value)
-    return F.coalesce(lookup(COMMODITY_ALIASES, F.lower(clean)), clean)
+    return _known(normalize_text(value), COMMODITY_ALIASES)
 
 
 def display_commodity(value: Column) -> Column:
     """Known commodity name, else the words capitalized."""
-    clean = normalize_text(value)
-    return F.coalesce(lookup(COMMODITY_ALIASES, F.lower(clean)), F.initcap(clean))
+    return using(normalize_text(value), lambda c: F.coalesce(lookup(COMMODITY_ALIASES, F.lower(c)), F.initcap(c)))
 
 
 def canonical_location(value: Column) -> Column:
     """One label for a market place: no commodity or company suffix, no 'Any ... Branch', known variants merged."""
     place = F.trim(F.regexp_replace(normalize_text(value), r"\s*/\s*", " / "))
-    bare = F.trim(F.regexp_replace(place, PLACE_CROP, ""))
-    place = F.when(place.rlike(PLACE_WET_CORN), place).otherwise(bare)
+    place = using(place, lambda p: F.when(p.rlike(PLACE_WET_CORN), p).otherwise(F.trim(F.regexp_replace(p, PLACE_CROP, ""))))
     place = F.trim(F.regexp_replace(place, PLACE_COMPANY, ""))
     place = normalize_text(F.regexp_replace(place, PLACE_ANY_BRANCH, "$1 Branch"))
-    return F.coalesce(lookup(LOCATION_ALIASES, F.lower(place)), place)
+    return _known(place, LOCATION_ALIASES)
 
 
 def source_scope(value: Column) -> Column:
     """struct(scope, label): a source that stands for a whole region, or a company."""
-    name = canonical_source(value)
-    region = lookup(REGION_OF_SOURCE, F.lower(name))
-    return F.when(region.isNotNull(), F.struct(F.lit("region").alias("scope"), region.alias("label"))).otherwise(F.struct(F.lit("company").alias("scope"), name.alias("label")))
+
+
+    def scoped(name: Column) -> Column:
+        region = lookup(REGION_OF_SOURCE, F.lower(name))
+        return F.struct(F.when(region.isNotNull(), "region").otherwise("company").alias("scope"), F.coalesce(region, name).alias("label"))
+
+    return using(canonical_source(value), scoped)
 
 
 def region_sources(region: Column) -> Column:
     """Names of the sources that stand for a region; empty if it is unknown."""
     by_region = {v.lower(): SOURCE_ALIASES[k] for k, v in REGION_OF_SOURCE.items()}
-    name = lookup(by_region, canonical_key(region))
-    return F.when(name.isNotNull(), F.array(name)).otherwise(F.array().cast("array<string>"))
+    return F.array_compact(F.array(lookup(by_region, canonical_key(region))))
 
 
 def is_aggregator(source: Column) -> Column:
@@ -175,13 +193,17 @@ def is_aggregator(source: Column) -> Column:
 
 def creates_company(source: Column) -> Column:
     """Does a row of this source name its own company? Not if it stands for a region or repeats others' bids."""
-    scope = source_scope(source)
-    return F.coalesce((scope.scope == "company") & scope.label.isNotNull() & ~is_aggregator(source), F.lit(False))
+    return using(canonical_source(source), _own_company)
+
+
+def _own_company(name: Column) -> Column:
+    """Does a canonical source name its own company?"""
+    return F.coalesce(lookup(REGION_OF_SOURCE, F.lower(name)).isNull() & ~F.lower(name).isin(*AGGREGATORS), F.lit(False))
 
 
 def trusted_company(name: Column) -> Column:
     """Canonical company name, null for regions and aggregators."""
-    return F.when(creates_company(name), canonical_source(name))
+    return using(canonical_source(name), lambda n: F.when(_own_company(n), n))
 
 
 def display_company(location: Column, row_company: Column, location_company: Column, source: Column) -> Column:
@@ -196,23 +218,27 @@ def display_company(location: Column, row_company: Column, location_company: Col
 
 def attribution(source: Column) -> Column:
     """The source named beside a bid whose company is another: regions and aggregators."""
-    return F.when(~creates_company(source), canonical_source(source))
+    return using(canonical_source(source), lambda n: F.when(~_own_company(n), n))
 
 
 def invalid_commodity(commodity: Column, source: Column) -> Column:
     """A label that names a file or its source instead of a crop."""
-    key = canonical_key(commodity)
-    words = F.lit(False)
-    for token in INVALID_COMMODITY_TOKENS:
-        words = words | key.contains(token)
-    return F.coalesce(key.isin(*INVALID_COMMODITIES) | words | F.coalesce(key == canonical_key(source), F.lit(False)), F.lit(False))
+
+
+    def invalid(key: Column) -> Column:
+        words = F.lit(False)
+        for token in INVALID_COMMODITY_TOKENS:
+            words = words | key.contains(token)
+        return F.coalesce(key.isin(*INVALID_COMMODITIES) | words | F.coalesce(key == canonical_key(source), F.lit(False)), F.lit(False))
+
+    return using(canonical_key(commodity), invalid)
 
 
 def distinct_list(text: Column, sep: str = ",") -> Column:
     """Trimmed, non-empty parts of a separated list, in order; the first spelling of each (ignoring case) stays."""
-    parts = F.filter(F.transform(F.split(text, sep), lambda x: F.trim(x)), lambda x: x != "")
-    lowered = F.transform(parts, lambda x: F.lower(x))
-    return F.filter(parts, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1)
+    found = F.filter(F.transform(F.split(text, sep), lambda x: F.trim(x)), lambda x: x != "")
+    first = lambda parts, lowered: F.filter(parts, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1)
+    return using(found, lambda parts: using(F.transform(parts, lambda x: F.lower(x)), lambda lowered: first(parts, lowered)))
 
 
 def strip_html(text: Column) -> Column:
@@ -245,26 +271,35 @@ def _any_of(words: Column, texts: tuple[str, ...]) -> Column:
 
 def operator_company(operator: Column, location: Column) -> Column:
     """Company that an operator's free text stands for, else the text itself."""
-    said, place = F.lower(plain_punctuation(operator)), F.lower(plain_punctuation(location))
-    out = plain_punctuation(operator)
-    for company, texts in reversed(OPERATOR_TEXTS.items()):
-        here = _any_of(said, texts)
-        if company == "Hensall Co-operative":
-            here = here & _any_of(said, HENSALL_TEXTS)
-        if company == "Oakwood-Sunderland Co-op":
-            here = here | (place.contains("oakwood") & place.contains("sunderland"))
-        out = F.when(here, company).otherwise(out)
-    return out
+
+
+    def read(plain: Column, said: Column, place: Column) -> Column:
+        out = plain
+        for company, texts in reversed(OPERATOR_TEXTS.items()):
+            here = _any_of(said, texts)
+            if company == "Hensall Co-operative":
+                here = here & _any_of(said, HENSALL_TEXTS)
+            if company == "Oakwood-Sunderland Co-op":
+                here = here | (place.contains("oakwood") & place.contains("sunderland"))
+            out = F.when(here, company).otherwise(out)
+        return out
+
+    both = F.struct(plain_punctuation(operator).alias("operator"), F.lower(plain_punctuation(location)).alias("place"))
+    return using(both, lambda x: using(F.lower(x["operator"]), lambda said: read(x["operator"], said, x["place"])))
 
 
 def parent_company(operator: Column, location: Column, evidence: Column) -> Column:
     """The one parent company that a tentative row points to; null where several operators or none are named."""
-    said = F.lower(F.concat_ws(" ", operator, location, F.coalesce(evidence, F.lit(""))))
-    named = F.array_compact(F.array(*[F.when(_any_of(said, texts), F.lit(company)) for company, texts in PARENT_CANDIDATES.items()]))
-    out = F.when(~_any_of(said, SEVERAL_TEXTS) & (F.size(named) == 1), F.get(named, F.lit(0)))
-    for company, texts in reversed(PARENT_TEXTS.items()):
-        out = F.when(_any_of(said, texts), company).otherwise(out)
-    return out
+
+
+    def read(said: Column) -> Column:
+        named = F.array_compact(F.array(*[F.when(_any_of(said, texts), F.lit(company)) for company, texts in PARENT_CANDIDATES.items()]))
+        out = using(named, lambda n: F.when(~_any_of(said, SEVERAL_TEXTS) & (F.size(n) == 1), F.get(n, F.lit(0))))
+        for company, texts in reversed(PARENT_TEXTS.items()):
+            out = F.when(_any_of(said, texts), company).otherwise(out)
+        return out
+
+    return using(F.lower(F.concat_ws(" ", operator, location, F.coalesce(evidence, F.lit("")))), read)
 
 
 def eastern_key(location: Column) -> Column:
@@ -281,10 +316,9 @@ def in_eastern_ontario(location: Column) -> Column:
 
 def spreadsheet_safe(text: Column) -> Column:
     """Cells that a spreadsheet would run as a formula get a leading apostrophe."""
-    return F.when(text.rlike(r"^[=+\-@]"), F.concat(F.lit("'"), text)).otherwise(text)
+    return F.regexp_replace(text, r"^(?=[=+\-@])", "'")
 
 
 def email(text: Column) -> Column:
     """Lower-cased address, null if it isn't one."""
-    clean = F.lower(F.trim(text))
-    return F.when(clean.rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$"), clean)
+    return nonempty(F.regexp_extract(F.lower(F.trim(text)), r"^[^@\s]+@[^@\s]+\.[^@\s]+$", 0))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basisline.storage import stored
+
 #: A side is broadcast only while its rows and its bytes (as JSON, which is wider than the rows) stay within both.
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
@@ -24,11 +26,13 @@ def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BRO
 def by_distinct(df: DataFrame, columns: list[str], **computed: Column) -> DataFrame:
     """Add columns computed from `columns` alone, once for each of their distinct values instead of once a row.
 
-    Labels are few and repeat: costly readings of them run on the distinct ones and come back by a join, which is a
-    broadcast when these are measured to be few. Null labels are values like others.
+    Labels are few and repeat: costly readings of them run on the distinct ones, are stored once and come back by a join,
+    which is a broadcast when they are measured to be few. Null labels are values like others. Give all columns in one call:
+    each call reads the labels and stores their readings as soon as it is made.
     """
     names = [f"__d{i}" for i in range(len(columns))]
-    found = df.select(*columns).distinct().select(*[F.col(c).alias(n) for c, n in zip(columns, names, strict=True)], *[c.alias(n) for n, c in computed.items()])
+    labels = df.select(*columns).distinct()
+    found = stored(labels.select(*[F.col(c).alias(n) for c, n in zip(columns, names, strict=True)], *[c.alias(n) for n, c in computed.items()]), "labels")
     same = F.lit(True)
     for c, n in zip(columns, names, strict=True):
         same = same & df[c].eqNullSafe(F.col(n))

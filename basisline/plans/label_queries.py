@@ -254,11 +254,13 @@ def period_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every reading of a period label: sort keys, display label, key of equal spellings, expiry, neighbouring months."""
     raw = F.col("raw")
     o = table(spark, sf_dir, "orders").select("o_orderkey", dealt(PERIODS, "o_orderkey").alias("raw"))
-    o = by_distinct(o, ["raw"], month_key=periods.month_key(raw), display_key=periods.display_key(raw), month_label=periods.month_label(raw))
-    o = by_distinct(o, ["raw"], period_key=periods.period_key(raw))
     return by_distinct(
         o,
         ["raw"],
+        month_key=periods.month_key(raw),
+        display_key=periods.display_key(raw),
+        month_label=periods.month_label(raw),
+        period_key=periods.period_key(raw),
         expired=periods.expired(raw, F.lit(None).cast("string"), F.lit("2026-06-15").cast("date")),
         before_month=periods.delivery_of_futures(raw),
         after_month=periods.next_month(raw),
