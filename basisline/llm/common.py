@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basisline.storage import _written, discard, scratch, shared_dir, stored
+
+__all__ = ["_written", "discard", "scratch", "shared_dir", "stored"]
+
 #: A side is broadcast only when its counted rows and then its measured bytes stay within these bounds; beyond them Spark
 #: joins by shuffle.
 BROADCAST_ROWS = 500_000
@@ -19,53 +18,6 @@ BROADCAST_BYTES = 64 << 20
 BLANKS = r"[ \x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it; a local folder of its own only in local mode."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the executors share")
-    path = "file://" + tempfile.mkdtemp(prefix="basisline-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-_written: list[str] = []  # folders of intermediates that have not been deleted
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` once to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    _written.remove(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a stored table that nothing reads any more."""
-    names = {file.rsplit("/", 2)[1] for file in df.inputFiles()}
-    for path in [p for p in _written if p.rsplit("/", 1)[1] in names]:
-        _delete(df.sparkSession, path)
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Intermediates that are stored inside are deleted at the end; write or collect the results before it."""
-    before = set(_written)
-    try:
-        yield
-    finally:
-        for path in [p for p in _written if p not in before]:
-            _delete(spark, path)
-
-
 def bind(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
     """Add columns that are computed exactly once, however often later expressions (lambdas too) use them."""
     packed = F.explode_outer(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("__b")
