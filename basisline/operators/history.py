@@ -15,7 +15,8 @@ def is_weekday(at: Column) -> Column:
     return F.weekday(at) < 5
 
 
-def _within(now: Column, then: Column) -> Column:
+def within_carry(now: Column, then: Column) -> Column:
+    """Is a change of `then` still carried at `now`?"""
     return (now >= then) & (now - then <= F.expr("INTERVAL '24' HOUR"))
 
 
@@ -36,7 +37,7 @@ def carried_change(df: DataFrame, key: str, at: str, tie: str, value: str) -> Da
     mark = F.when(moved.isNull() | (moved != 0), F.struct(F.col(at).alias("at"), moved.alias("by")))
     last = F.last("__mark", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
     out = df.withColumn("__mark", mark).withColumn("__last", last)
-    ok = F.col("__last.by").isNotNull() & _within(F.col(at), F.col("__last.at"))
+    ok = F.col("__last.by").isNotNull() & within_carry(F.col(at), F.col("__last.at"))
     zero = F.lit(0).cast(df.schema[value].dataType)
     out = out.withColumns({"change": F.when(ok, F.col("__last.by")).otherwise(zero), "changed_at": F.when(ok, F.col("__last.at"))})
     return out.drop("__mark", "__last")
@@ -64,7 +65,7 @@ def carried_change_on_weekdays(df: DataFrame, key: str, at: str, tie: str, value
     both = both.withColumn("__last", F.last("__mark", ignorenulls=True).over(day.rowsBetween(W.unboundedPreceding, W.currentRow)))
     own = F.when(F.col("__last").isNotNull(), F.col("__last")).otherwise(F.struct(F.col("__seed.at").alias("at"), F.col("__seed.change").alias("by")))
     both = both.withColumn("__own", own)
-    ok = F.col("__own.by").isNotNull() & F.coalesce(_within(F.col(at), F.col("__own.at")), F.lit(False))
+    ok = F.col("__own.by").isNotNull() & F.coalesce(within_carry(F.col(at), F.col("__own.at")), F.lit(False))
     return both.select(
         *df.columns,
         F.when(F.col("__weekday"), F.col("change")).when(ok, F.col("__own.by")).otherwise(F.lit(0).cast(kind)).alias("change"),

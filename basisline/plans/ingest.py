@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basisline.functions import keys, periods, prices, text
-from basisline.operators import diagnostics, history, identity, reshape
+from basisline.operators import diagnostics, history, identity, latest, reshape
+from basisline.sources import transactions
+from basisline.sources.bucketed import read_bucketed, write_bucketed
 
 
 @dataclass(frozen=True)
@@ -126,3 +128,29 @@ def run_record(rows: DataFrame, snapshot: object, source: str, started_at: Colum
     counted = run_counters(rows)
     status = F.when(F.col("normalized_row_count") > 0, "completed").otherwise("failed")
     return counted.withColumns({"snapshot_id": F.lit(snapshot), "source_name": F.lit(source), "status": status, "started_at": started_at, "completed_at": completed_at})
+
+
+PRICES = ("basis", "cash_price_bu", "cash_price_mt")
+
+
+def ingest_batch(rows: DataFrame, root: str, batch: int, source: str, captured_at: Column, buckets: int = 64) -> bool:
+    """One batch from normalized sheet rows to stored tables, all of them visible at once: `observations` (with their changes
+    and the carried change), `runs` and `state` (the latest row of each key, in buckets).
+
+    The changes come from the state of the batch before, never from the history. A batch that is committed already, or that
+    another attempt commits first, changes nothing (False); one that stops half-way leaves nothing to be seen.
+    """
+    spark = rows.sparkSession
+    if transactions.is_committed(spark, root, batch):
+        return False
+    write = transactions.Transaction(spark, root, batch)
+    before = transactions.latest(spark, root, "state")
+    state = read_bucketed(spark, before[1], "composite_key", buckets) if before else None
+    seen = observed(rows, batch, captured_at)
+    changes = latest.changed(seen, state, "composite_key", "captured_at", "position", PRICES, "basis", buckets)
+    path = write.stage("observations", changes)
+    changes = spark.read.schema(changes.schema).parquet(path).repartition(buckets, "composite_key")
+    write_bucketed(latest.next_state(changes, state, "composite_key", "captured_at", "position", PRICES), write.path("state"), "composite_key", buckets)
+    write.tables.append("state")
+    write.stage("runs", run_record(rows, batch, source, captured_at, captured_at))
+    return write.commit()

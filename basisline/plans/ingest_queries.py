@@ -5,6 +5,8 @@ The sheets carry feed headers and text cells: blanks, null-like words, ticks, sy
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from basisline.operators import market
 from basisline.plans import ingest
 from basisline.plans.label_queries import dealt, dealt_sql, in_sql, values_sql
 from basisline.plans.queries import query, table
+from basisline.sources import transactions
+from basisline.storage import shared_dir
 
 CROPS = ["Corn", "soybeans", "WHEAT", "Mixed Daily File", "Canola", "corn", "Milo", "", "Corn", "Soybean", "winter wheat"]
 BUYERS = ["GLG", "Hensall HDC", "Agricharts", "", "Some Co"]
@@ -20,14 +24,14 @@ OPTIONS = ingest.SheetOptions(source_name="Default Buyer")
 DAYS = ("1999-01-04 08:00:00", "1999-01-04 15:00:00")
 
 
-def sheet(spark: SparkSession, sf_dir: str, batch: int) -> DataFrame:
-    """The sheet of a batch: every second order as a line of text cells."""
+def sheet(spark: SparkSession, sf_dir: str, batch: int, of: int = 2) -> DataFrame:
+    """The sheet of a batch: every second (or n-th) order as a line of text cells."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     s = lambda x: x.cast("string")
     empty = lambda on, x: F.when(on, "").otherwise(x)
     month, year = F.month("o_orderdate"), F.year("o_orderdate")
     symbol = F.concat(F.lit("ZC"), F.substr(F.lit(periods.MONTH_CODES), month, F.lit(1)), F.lpad(s(year % 100), 2, "0"))
-    return table(spark, sf_dir, "orders").where(k % 2 == batch).select(
+    return table(spark, sf_dir, "orders").where(k % of == batch).select(
         k.alias("position"),
         empty(c % 41 == 0, F.concat(F.lit("Elevator "), s(c % 60))).alias("Location"),
         dealt(CROPS, "o_orderkey").alias("Crop"),
@@ -162,3 +166,44 @@ def visible_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("string")
     rows = o.withColumns({"futures_price": F.when(k % 5 > 0, F.col("futures_price")), "is_canonical": k % 3 == 0, "delivery_start": none, "delivery_end": none})
     return market.visible(rows, F.lit("1996-06-15").cast("date")).select("position")
+
+
+BATCH_TIMES = ("1999-01-04 08:00:00", "1999-01-04 15:00:00", "1999-01-05 12:00:00")
+
+
+def ingested(spark: SparkSession, sf_dir: str, root: str, buckets: int = 16) -> None:
+    """Three sheets, batch by batch, into the stored tables under `root`."""
+    for n, at in enumerate(BATCH_TIMES):
+        rows = ingest.normalized(sheet(spark, sf_dir, n, len(BATCH_TIMES)), "position", OPTIONS)
+        ingest.ingest_batch(rows, root, n, "feed", F.lit(at).cast("timestamp_ntz"), buckets)
+
+
+_BATCHES = _READ.replace("o_orderkey % 2 AS batch", "o_orderkey % 3 AS batch")
+
+
+@query(
+    f"""WITH {_BATCHES}, t AS (SELECT position, batch, composite_key, CAST(basis AS DOUBLE) AS basis, CAST(cash_price_bu AS DOUBLE) AS cash, ['{"', '".join(BATCH_TIMES)}'][batch + 1]::TIMESTAMP AS ts FROM kept),
+ h AS (SELECT *, lag(basis) OVER k AS prior_basis, lag(cash) OVER k AS prior_cash FROM t WINDOW k AS (PARTITION BY composite_key ORDER BY batch)),
+ m AS (SELECT *, last_value(CASE WHEN prior_basis IS NULL OR basis IS NULL OR basis <> prior_basis THEN {{'ts': ts, 'by': basis - prior_basis}} END IGNORE NULLS) OVER (PARTITION BY composite_key ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS mark FROM h)
+ SELECT position, batch, prior_basis, round(basis - prior_basis, 6) AS basis_delta, round(cash - prior_cash, 6) AS cash_delta, CASE WHEN mark.by IS NOT NULL AND ts - mark.ts <= INTERVAL 24 HOUR THEN round(mark.by, 6) ELSE 0 END AS change,
+ CASE WHEN mark.by IS NOT NULL AND ts - mark.ts <= INTERVAL 24 HOUR THEN mark.ts END AS changed_at FROM m"""
+)
+def ingest_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches through the latest state of each key: changes and carried changes as windows over all history give them."""
+    root = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    ingested(spark, sf_dir, root)
+    money = [F.round(F.col(c).cast("double"), 6).alias(n) for c, n in (("prior_basis", "prior_basis"), ("basis_delta", "basis_delta"), ("cash_price_bu_delta", "cash_delta"), ("change", "change"))]
+    return transactions.committed(spark, root, "observations").select("position", "batch", *money, "changed_at")
+
+
+@query(
+    f"""WITH {_BATCHES} SELECT batch, count(*) AS raw_row_count, count(DISTINCT CASE WHEN len(reasons) = 0 THEN composite_key END) AS normalized_row_count, (SELECT count(DISTINCT composite_key) FROM kept) AS keys_in_state FROM read GROUP BY batch"""
+)
+def committed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of three committed batches beside the number of keys in the latest state; a batch that broke off shows nothing."""
+    root = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    ingested(spark, sf_dir, root)
+    broken = transactions.Transaction(spark, root, len(BATCH_TIMES))
+    broken.stage("runs", transactions.committed(spark, root, "runs").drop("batch"))
+    state = spark.read.parquet(transactions.latest(spark, root, "state")[1]).agg(F.count(F.lit(1)).alias("keys_in_state"))
+    return transactions.committed(spark, root, "runs").select("batch", "raw_row_count", "normalized_row_count").join(F.broadcast(state), F.lit(True))  # one row

@@ -78,20 +78,17 @@ def alert_sink(rules: DataFrame, alerts_path: str, make: Callable[[DataFrame], D
     return write
 
 
-def ingest_sink(history_path: str, runs_path: str, source: str, position: str, at: str, options: ingest.SheetOptions | None = None) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function: a batch of sheet rows becomes observations and one run record.
+def ingest_sink(root: str, source: str, position: str, at: str, options: ingest.SheetOptions | None = None, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function: a batch of sheet rows becomes observations, one run record and the next latest state, visible
+    together under `root` (see `ingest.ingest_batch`). A batch that runs again after its commit changes nothing.
 
-    `at` is the capture time column of the sheet. Both outputs have a partition of the batch's own, which a rerun replaces.
+    `at` is the capture time column of the sheet.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         captured = batch.agg(F.max(at)).first()[0]
-        if captured is None:  # nothing arrived
-            return
-        rows = ingest.normalized(batch.drop(at), position, options)
-        when = F.lit(captured)
-        ingest.observed(rows, number, when).write.mode("overwrite").parquet(f"{history_path}/batch={number}")
-        ingest.run_record(rows, number, source, when, when).write.mode("overwrite").parquet(f"{runs_path}/batch={number}")
+        if captured is not None:  # something arrived
+            ingest.ingest_batch(ingest.normalized(batch.drop(at), position, options), root, number, source, F.lit(captured), buckets)
 
     return write
 

@@ -13,6 +13,7 @@ from basisline.operators import market, pricing, sizes
 from basisline.plans import ingest
 from basisline.sources import pages
 from basisline.streaming import incremental
+from basisline.sources import transactions
 
 
 def test_headers_are_ranked():
@@ -125,12 +126,12 @@ def test_ingest_sink_writes_observations_and_runs(spark, tmp_path):
     cells = [(1, "Dover", "Corn", "May 2026", "Jul 2026", "456'6", "-0.2", "5.10", "200", "GLG"), (2, "", "Corn", "May 2026", "Jul 2026", "456'6", "-0.2", "5.10", "200", "GLG")]
     batch = spark.createDataFrame(cells, "position int, Location string, Crop string, Delivery string, `Futures Month` string, Futures string, Basis string, `Cash Price` string, `MT Cash Price` string, Buyer string")
     batch = batch.withColumn("at", F.lit("2024-01-01 08:00:00").cast("timestamp_ntz"))
-    sink = incremental.ingest_sink(f"{tmp_path}/history", f"{tmp_path}/runs", "feed", "position", "at", ingest.SheetOptions())
+    sink = incremental.ingest_sink(str(tmp_path), "feed", "position", "at", ingest.SheetOptions(), 4)
     for _ in range(2):
         sink(batch, 4)
     sink(batch.limit(0), 5)
-    row = spark.read.parquet(f"{tmp_path}/history").collect()
+    row = transactions.committed(spark, str(tmp_path), "observations").collect()
     assert [(r.batch, r.location, r.source_name, float(r.futures_price), r.captured_at.hour) for r in row] == [(4, "Dover", "Great Lakes Grain", 456.75, 8)]
-    run = spark.read.parquet(f"{tmp_path}/runs").collect()
+    run = transactions.committed(spark, str(tmp_path), "runs").collect()
     assert [(r.batch, r.raw_row_count, r.rejected_row_count, r.status) for r in run] == [(4, 2, 1, "completed")]
 
