@@ -1,8 +1,8 @@
 """Alerts: rules matched against new rows, without repeats of what is still open.
 
-Rows are turned to one line per metric and meet the rules on it (an equi-join), the other conditions filter the pairs.
-Rules are few and are broadcast once their rows and bytes are measured; beyond the bounds both sides are dealt over salts,
-so no metric's rows and rules meet in one task.
+Rows are turned to one line per metric. The thresholds of a metric and direction are cut into slices at quantiles; a line
+takes every slice that its value passes as a whole and compares only within the one it falls in, so the pairs that are looked
+at are the hits and one slice of rules a line, not every rule of the metric. Rules of equality meet lines by their value.
 """
 
 from __future__ import annotations
@@ -10,13 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basisline.operators.sizes import is_small
+from basisline.functions.text import using
+from basisline.operators.sizes import small_or_shuffled
 
 METRICS = ("basis", "basis_change", "cash_price_bu", "cash_price_mt", "cash_price_bu_change", "cash_price_mt_change")
 STATUSES = ("new", "open", "pending", "acknowledged", "resolved")
 OPEN = ("new", "open", "pending")
-FEW_RULES = 20_000
-SALTS = 64
+FEW_RULES = 500_000  # rules that may be broadcast, if their bytes allow it too
+SLICE_RULES = 64  # rules of a slice
+SLICES = 4096  # slices of a metric and direction at most
+CHUNK = 32  # bounds of slices that one step of the search passes
 
 
 def compare(value: Column, operator: Column, threshold: Column) -> Column:
@@ -39,6 +42,31 @@ def in_months(months: Column, *fields: Column) -> Column:
     return (F.size(tokens) == 0) | ((F.trim(row) != "") & F.exists(tokens, lambda t: F.contains(row, t)))
 
 
+FILTER_TEXTS = {"location": "location", "commodity_name": "commodity_name", "source_name": "source_name", "region": "source_name"}  # of a search, and the column it reads
+FILTER_IDS = ("location_id", "company_id")
+
+
+def with_folded(rows: DataFrame) -> DataFrame:
+    """Rows with `folded`: the texts that saved searches read, trimmed and in lower case once a row instead of once a pair."""
+    return rows.withColumn("folded", F.struct(*[F.lower(F.trim(c)).alias(c) for c in dict.fromkeys(FILTER_TEXTS.values())]))
+
+
+def with_wanted(rules: DataFrame, filters: str = "filters") -> DataFrame:
+    """Rules with `wanted`: what their saved searches (maps) ask for, trimmed and in lower case, '' for nothing."""
+    get = lambda k: F.coalesce(F.trim(F.col(filters)[k]), F.lit(""))
+    return rules.withColumn("wanted", F.struct(*[F.lower(get(k)).alias(k) for k in FILTER_TEXTS], *[get(k).alias(k) for k in FILTER_IDS]))
+
+
+def wanted_here() -> Column:
+    """Does a row with `folded` fit a rule's `wanted`? Texts by part, ids by equality."""
+    out = F.lit(True)
+    for k, column in FILTER_TEXTS.items():
+        out = out & ((F.col(f"wanted.{k}") == "") | F.coalesce(F.contains(F.col(f"folded.{column}"), F.col(f"wanted.{k}")), F.lit(False)))
+    for k in FILTER_IDS:
+        out = out & ((F.col(f"wanted.{k}") == "") | F.coalesce(F.col(k) == F.col(f"wanted.{k}"), F.lit(False)))
+    return out
+
+
 def saved_filter(filters: Column, row: DataFrame) -> Column:
     """Row form of a saved search (map of filters): texts by part, ids by equality; a missing search fits everything."""
     get = lambda k: F.coalesce(F.trim(filters[k]), F.lit(""))
@@ -61,18 +89,52 @@ def by_metric(rows: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFrame:
     return rows.withColumn("__m", lines).select(*rows.columns, F.col("__m.metric").alias("metric"), F.col("__m.value").alias("value"))
 
 
+def _way(operator: Column) -> Column:
+    """Direction of a comparison: values above, below or equal to the threshold hit; null for unknown operators."""
+    op = F.trim(operator)
+    return F.when(op.isin(">", ">="), "up").when(op.isin("<", "<="), "down").when(op == "=", "same")
+
+
+def _slice_of(value: Column, bounds: Column, coarse: Column) -> Column:
+    """How many of the sorted bounds lie under the value: whole chunks first, then within one."""
+    under = lambda xs: F.size(F.filter(xs, lambda b: b < value))
+    return using(under(coarse), lambda n: n * CHUNK + under(F.slice(bounds, n * CHUNK + 1, F.lit(CHUNK))))
+
+
+def slices(rules: DataFrame) -> DataFrame:
+    """metric, way, bounds and coarse (every CHUNK-th bound) for the directed rules: cuts at quantiles of their thresholds."""
+    directed = rules.where("way in ('up', 'down')")
+    n = min(SLICES, -(-directed.count() // SLICE_RULES))
+    cuts = [i / n for i in range(1, n)]
+    bounds = F.array_distinct(F.percentile_approx("threshold", cuts, 10 * n)) if cuts else F.array().cast("array<double>")
+    found = directed.groupBy("metric", "way").agg(F.count(F.lit(1)).alias("n_rules"), bounds.alias("bounds"))
+    whole = F.filter("bounds", lambda b, i: i % CHUNK == CHUNK - 1)
+    return found.select("metric", "way", "bounds", whole.alias("coarse"))
+
+
+def sliced_pairs(lines: DataFrame, rules: DataFrame, few: int = FEW_RULES) -> DataFrame:
+    """Line and rule of every slice a line takes; `compared` marks those of the slice that its value falls in.
+
+    lines: metric and value; rules: metric, way and threshold (double), with a way each.
+    """
+    cuts = F.broadcast(slices(rules))  # a row for each metric and direction, of at most SLICES bounds
+    named = rules.join(cuts, ["metric", "way"]).withColumn("slice", _slice_of(F.col("threshold"), F.col("bounds"), F.col("coarse"))).drop("bounds", "coarse")
+    place = lines.join(cuts, "metric").withColumn("__p", _slice_of(F.col("value"), F.col("bounds"), F.col("coarse")))
+    taken = F.when(F.col("way") == "up", F.sequence(F.lit(0), F.col("__p"))).otherwise(F.sequence(F.col("__p"), F.size("bounds")))
+    taken = place.withColumn("slice", F.explode(taken)).withColumn("compared", F.col("slice") == F.col("__p")).drop("bounds", "coarse", "__p")
+    return taken.join(small_or_shuffled(named, few), ["metric", "way", "slice"])
+
+
 def triggered(rows: DataFrame, rules: DataFrame, condition: Column | None = None, few: int = FEW_RULES) -> DataFrame:
     """Rule and row of every hit. `rules` has rule_id, rule_type, comparison_operator and threshold; `condition` may use
-    columns of both sides."""
+    columns of both sides. Rules with an unknown operator or a threshold that is no number never hit."""
     lines = by_metric(rows)
-    named = rules.withColumn("metric", F.lower(F.trim("rule_type")))
-    if is_small(named, few):
-        pairs = lines.join(F.broadcast(named), "metric")
-    else:
-        dealt = named.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        pairs = lines.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).join(dealt, ["metric", "__salt"]).drop("__salt")
-    hit = compare(F.col("value"), F.col("comparison_operator"), F.col("threshold"))
-    return pairs.where(hit if condition is None else hit & condition)
+    named = rules.withColumns({"metric": F.lower(F.trim("rule_type")), "threshold": F.col("threshold").cast("double"), "way": _way(F.col("comparison_operator"))})
+    named = named.where(F.col("way").isNotNull() & F.col("threshold").isNotNull() & ~F.isnan("threshold"))
+    hits = sliced_pairs(lines, named, few).where(~F.col("compared") | compare(F.col("value"), F.col("comparison_operator"), F.col("threshold"))).drop("compared", "slice")
+    equal = named.where(F.col("way") == "same").withColumn("value", F.col("threshold"))
+    hits = hits.unionByName(lines.join(small_or_shuffled(equal, few), ["metric", "value"])).drop("way")
+    return hits if condition is None else hits.where(condition)
 
 
 def message(rule: str, kind: str, operator: str, threshold: str, value: str, *place: Column) -> Column:

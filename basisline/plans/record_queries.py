@@ -104,8 +104,29 @@ def alert_saved_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "location", F.col("commodity").alias("commodity_name"), F.col("company").alias("source_name"), (F.col("l_suppkey") % 9).cast("string").alias("location_id"), F.col("l_suppkey").cast("string").alias("company_id"),
         period.alias("delivery_label"), F.col("region").alias("futures_month"), "basis",
     )
-    fits = alerts.saved_filter(F.col("filters"), rows) & alerts.in_months(F.col("months"), F.col("delivery_label"), F.col("futures_month"))
-    return alerts.triggered(rows, rules, fits).groupBy("rule_id").agg(F.count(F.lit(1)).alias("hits"), F.sum("l_orderkey").alias("key_sum"))
+    fits = alerts.wanted_here() & alerts.in_months(F.col("months"), F.col("delivery_label"), F.col("futures_month"))
+    return alerts.triggered(alerts.with_folded(rows), alerts.with_wanted(rules), fits).groupBy("rule_id").agg(F.count(F.lit(1)).alias("hits"), F.sum("l_orderkey").alias("key_sum"))
+
+
+_MANY = """SELECT c_custkey AS rule_id, CASE WHEN c_custkey % 3 = 2 THEN 'cash_price_bu' ELSE 'basis' END AS metric, ['>', '<', '=', '>=', '<='][CAST(c_custkey % 5 AS INT) + 1] AS op, CASE WHEN c_custkey % 3 = 2 THEN CASE WHEN c_custkey % 5 IN (0, 3) THEN 990 + c_custkey % 10 WHEN c_custkey % 5 = 2 THEN c_custkey % 1000 ELSE c_custkey % 10 END
+ WHEN c_custkey % 5 IN (0, 3) THEN 400000 + (c_custkey * 37 % 100003) WHEN c_custkey % 5 = 2 THEN c_custkey ELSE 1000 + (c_custkey * 13 % 2003) END AS threshold FROM customer"""
+
+
+@query(
+    f"""WITH r AS ({_MANY}), o AS (SELECT o_orderkey, o_totalprice AS basis, CAST(o_custkey % 1000 AS DOUBLE) AS cash FROM orders)
+ SELECT rule_id, count(*) AS hits, CAST(sum(o_orderkey) AS BIGINT) AS key_sum FROM o JOIN r ON CASE op WHEN '>' THEN CASE metric WHEN 'basis' THEN basis ELSE cash END > threshold WHEN '<' THEN CASE metric WHEN 'basis' THEN basis ELSE cash END < threshold WHEN '>=' THEN CASE metric WHEN 'basis' THEN basis ELSE cash END >= threshold
+ WHEN '<=' THEN CASE metric WHEN 'basis' THEN basis ELSE cash END <= threshold ELSE CASE metric WHEN 'basis' THEN basis ELSE cash END = threshold END GROUP BY rule_id"""
+)
+def alert_many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule of every customer against every order, by slices of thresholds."""
+    c = F.col("c_custkey")
+    op = F.get(F.array(*map(F.lit, (">", "<", "=", ">=", "<="))), (c % 5).cast("int"))
+    above, same = (c % 5).isin(0, 3), c % 5 == 2
+    cash = F.when(above, 990 + c % 10).when(same, c % 1000).otherwise(c % 10)
+    basis = F.when(above, 400000 + c * 37 % 100003).when(same, c).otherwise(1000 + c * 13 % 2003)
+    rules = table(spark, sf_dir, "customer").select(c.alias("rule_id"), F.when(c % 3 == 2, "cash_price_bu").otherwise("basis").alias("rule_type"), op.alias("comparison_operator"), F.when(c % 3 == 2, cash).otherwise(basis).cast("double").alias("threshold"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("basis"), (F.col("o_custkey") % 1000).cast("double").alias("cash_price_bu"))
+    return alerts.triggered(rows, rules).groupBy("rule_id").agg(F.count(F.lit(1)).alias("hits"), F.sum("o_orderkey").cast("long").alias("key_sum"))
 
 
 _ALERTS = "SELECT event_id AS alert_id, CAST(user_id % 50 AS INT) AS rule_id, ['new', 'open', 'pending', 'acknowledged', 'resolved'][CAST(event_id % 5 AS INT) + 1] AS status, ts AS triggered_at FROM events"
