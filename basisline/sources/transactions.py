@@ -1,7 +1,7 @@
 """Batches that become visible as a whole: every table of a batch is staged, then one manifest row shows them all.
 
-A batch stages its tables under `table/batch=n/attempt=a`, each attempt under a name of its own, and commits by renaming one
-finished file to `_commits/batch=n.json`. Readers join the manifest, so a batch that stopped between two tables shows
+A batch stages its tables under `table/tx_batch=n/tx_attempt=a`, each attempt under a name of its own, and commits by renaming
+one finished file to `_commits/batch=n.json`. Readers join the manifest, so a batch that stopped between two tables shows
 nothing, a batch that ran twice shows its first commit only, and `vacuum` deletes what no commit names. Batch and attempt are
 partition columns: the join with the manifest prunes files.
 
@@ -44,11 +44,11 @@ class Transaction:
     spark: SparkSession
     root: str
     batch: int
-    attempt: str = field(default_factory=lambda: uuid.uuid4().hex)
+    attempt: str = field(default_factory=lambda: f"a{uuid.uuid4().hex}")
     tables: list[str] = field(default_factory=list)
 
     def path(self, table: str) -> str:
-        return f"{self.root}/{table}/batch={self.batch}/attempt={self.attempt}"
+        return f"{self.root}/{table}/tx_batch={self.batch}/tx_attempt={self.attempt}"
 
     def stage(self, table: str, df: DataFrame) -> str:
         """Write a table of the batch, which no reader sees yet; its path."""
@@ -88,20 +88,22 @@ def manifest(spark: SparkSession, root: str) -> DataFrame:
 
 
 def committed(spark: SparkSession, root: str, table: str, schema: str | None = None) -> DataFrame | None:
-    """The rows of a table's committed batches, with `batch`; None before the first commit."""
-    shown = manifest(spark, root).where(F.array_contains("tables", table)).select("batch", "attempt")
+    """The rows of a table's committed batches, with `batch` (unless the table has a column of that name); None before the
+    first commit."""
+    shown = manifest(spark, root).where(F.array_contains("tables", table)).select(F.col("batch").alias("tx_batch"), F.col("attempt").alias("tx_attempt"))
     if shown.isEmpty():
         return None
     reader = spark.read.option("basePath", f"{root}/{table}")
     rows = (reader.schema(schema) if schema else reader).parquet(f"{root}/{table}")
-    rows = rows.withColumns({"batch": F.col("batch").cast("long"), "attempt": F.col("attempt").cast("string")})
-    return rows.join(small_or_shuffled(shown), ["batch", "attempt"]).drop("attempt")
+    rows = rows.withColumns({"tx_batch": F.col("tx_batch").cast("long"), "tx_attempt": F.col("tx_attempt").cast("string")})
+    rows = rows.join(small_or_shuffled(shown), ["tx_batch", "tx_attempt"]).drop("tx_attempt")
+    return rows.drop("tx_batch") if "batch" in rows.columns else rows.withColumnRenamed("tx_batch", "batch")
 
 
 def latest(spark: SparkSession, root: str, table: str) -> tuple[int, str] | None:
     """Number and path of the last committed batch that has the table: for tables that each batch replaces."""
     last = manifest(spark, root).where(F.array_contains("tables", table)).agg(F.max_by(F.struct("batch", "attempt"), "batch").alias("m")).first()[0]
-    return None if last is None else (last["batch"], f"{root}/{table}/batch={last['batch']}/attempt={last['attempt']}")
+    return None if last is None else (last["batch"], f"{root}/{table}/tx_batch={last['batch']}/tx_attempt={last['attempt']}")
 
 
 def vacuum(spark: SparkSession, root: str) -> int:
@@ -113,7 +115,7 @@ def vacuum(spark: SparkSession, root: str) -> int:
             continue
         for b in _names(spark, f"{root}/{table}"):
             for a in _names(spark, f"{root}/{table}/{b}"):
-                if (int(b.removeprefix("batch=")), a.removeprefix("attempt=")) not in kept:
+                if (int(b.removeprefix("tx_batch=")), a.removeprefix("tx_attempt=")) not in kept:
                     delete(spark, f"{root}/{table}/{b}/{a}")
                     gone += 1
     return gone
