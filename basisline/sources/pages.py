@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -24,6 +25,8 @@ CROP_WORDS = {"corn": "Corn", "soy": "Soybeans", "bean": "Soybeans", "wheat": "W
 CROPS_BY_PLACE = ("Corn", "Soybeans", "White Wheat", "Soft Red Wheat")
 BID_KEYWORDS = ("basis", "cash", "price", "delivery", "futures", "bushel", "tonne")
 CELLS_BY_PLACE = ("Delivery", "Futures Month", "Futures Price", "Change", "Basis", "Bushel Cash Price", "MT Cash Price", "Basis / (Tonnes)")
+TITLE_STOPS = ("name", "delivery", "futures", "change", "basis", "cash", "settlement", "price")
+TITLED_CLASS = "homepage_quoteboard"
 CASH_CELL = r"^\$?\s*\d"
 FUTURES_CELL = r"^[+-]?\d{1,4}-[0-7]$"
 # End of fixed values.
@@ -37,6 +40,8 @@ class _Tables(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.tables: list[tuple[str, list[tuple[bool, list[str]]]]] = []
+        self.classes: list[str] = []
+        self.spanned: set[tuple[int, int]] = set()  # (table, row) whose first cell spans columns
         self.open: list[int] = []
         self.cell: list[str] | None = None
         self.title: list[str] | None = None
@@ -45,6 +50,7 @@ class _Tables(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "table":
             self.tables.append((self.heading, []))
+            self.classes.append(dict(attrs).get("class") or "")
             self.open.append(len(self.tables) - 1)
         elif tag == "tr" and self.open:
             self.tables[self.open[-1]][1].append((False, []))
@@ -53,6 +59,8 @@ class _Tables(HTMLParser):
             if not rows:
                 rows.append((False, []))
             rows[-1] = (rows[-1][0] or tag == "th", rows[-1][1])
+            if not rows[-1][1] and "colspan" in dict(attrs):
+                self.spanned.add((self.open[-1], len(rows) - 1))
             self.cell = []
         elif tag in ("h1", "h2", "h3", "h4", "h5", "caption"):
             self.title = []
@@ -76,25 +84,31 @@ class _Tables(HTMLParser):
             self.cell.append(data)
 
 
-def tables(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """Rows key, table_no, row_no, is_header, heading, cells: every table row of every page."""
+def tables(pages: DataFrame, key: str = "page_id", html: str = "html", part: str | None = None) -> DataFrame:
+    """Rows key, table_no, row_no, is_header, heading, cells, table_class, spanned (does the first cell span columns?): every
+    table row of every page. `part` names an int column that tells the documents of a page apart (its frames) and goes along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, no, row_no, header, heading, cells = [], [], [], [], [], []
-            for k, page in zip(*batch.columns, strict=True):
+            keys, parts, no, row_no, header, heading, cells, kinds, spanned = [], [], [], [], [], [], [], [], []
+            for k, page, p in zip(*batch.columns, strict=True):
                 parser = _Tables()
                 parser.feed(page.as_py() or "")
                 parser.close()
                 for t, (title, rows) in enumerate(parser.tables):
                     for r, (is_header, values) in enumerate(rows):
                         if values:
+                            parts.append(p.as_py()), kinds.append(parser.classes[t]), spanned.append((t, r) in parser.spanned)
                             keys.append(k.as_py()), no.append(t), row_no.append(r), header.append(is_header), heading.append(title), cells.append(values)
             out = [pa.array(keys, batch.schema.field(0).type), pa.array(no, pa.int32()), pa.array(row_no, pa.int32()), pa.array(header, pa.bool_()), pa.array(heading, pa.string()), pa.array(cells, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(out, names=[key, "table_no", "row_no", "is_header", "heading", "cells"])
+            out += [pa.array(kinds, pa.string()), pa.array(spanned, pa.bool_()), pa.array(parts, pa.int32())]
+            yield pa.RecordBatch.from_arrays(out, names=[key, "table_no", "row_no", "is_header", "heading", "cells", "table_class", "spanned", "__part"])
 
     kind = pages.schema[key].dataType.simpleString()
-    return pages.select(key, html).mapInArrow(run, f"{key} {kind}, table_no int, row_no int, is_header boolean, heading string, cells array<string>")
+    found = pages.select(key, html, (F.col(part) if part else F.lit(None)).cast("int").alias("__part")).mapInArrow(
+        run, f"{key} {kind}, table_no int, row_no int, is_header boolean, heading string, cells array<string>, table_class string, spanned boolean, __part int"
+    )
+    return found.withColumnRenamed("__part", part) if part else found.drop("__part")
 
 
 def header_score(cells: Column) -> Column:
@@ -113,6 +127,42 @@ def bid_tables(rows: DataFrame, key: str = "page_id", least: int = 3) -> DataFra
     return rows.join(best, [key, "table_no"]).where(F.col("row_no") > F.col("head_no")).drop("head_no")
 
 
+def titled_tables(rows: DataFrame, key: str = "page_id", part: str | None = None, table_class: str | None = None, least: int = 3) -> DataFrame:
+    """Rows under the header of every data table, with `headers` and `place`: the title in force, read in document order.
+
+    A table whose first row is one spanning cell without header words opens a section under that title; the section lasts
+    over the tables that follow, and a table that also holds header words is data of its own section. Data tables before
+    any title are places by their number. Tables without header words are neither. `table_class` keeps tables of that class.
+    """
+    doc = [key, part] if part else [key]
+    if table_class:
+        rows = rows.where(F.array_contains(F.split("table_class", r"\s+"), table_class))
+    names_header = lambda text: reduce(lambda a, b: a | b, [F.lower(text).contains(w) for w in TITLE_STOPS])
+    first = F.min_by(F.struct("row_no", "cells", "spanned"), "row_no").alias("first")
+    shape = rows.groupBy(*doc, "table_no").agg(first, F.max(names_header(F.concat_ws(" ", "cells"))).alias("is_data"))
+    text_ = F.get("first.cells", F.lit(0))
+    titled = (F.col("first.row_no") == 0) & (F.size("first.cells") == 1) & F.col("first.spanned") & (text_ != "") & ~names_header(text_)
+    order = W.partitionBy(*doc).orderBy("table_no")
+    place = F.last(F.when(titled, text_), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
+    named = shape.withColumn("place", F.coalesce(place, F.concat(F.lit("Location_"), F.row_number().over(order).cast("string")))).where("is_data").select(*doc, "table_no", "place")
+    heads = rows.withColumn("score", header_score(F.col("cells"))).where(F.col("score") >= least)
+    heads = heads.groupBy(*doc, "table_no").agg(F.min(F.struct((-F.col("score")).alias("s"), "row_no", "cells")).alias("b")).select(*doc, "table_no", F.col("b.row_no").alias("head_no"), F.col("b.cells").alias("headers"))
+    return rows.join(named, [*doc, "table_no"]).join(heads, [*doc, "table_no"]).where(F.col("row_no") > F.col("head_no")).drop("head_no")
+
+
+def titled_bids(pages: DataFrame, key: str = "page_id", html: str = "html", part: str | None = None, table_class: str | None = TITLED_CLASS, source: str = "Agricharts") -> DataFrame:
+    """Bids of pages whose tables stand in titled sections, in the wire columns: periods spelled in full, rows that are no bids
+    left out, and of rows alike in place, crop, periods and futures price the first of the page (its frames in order)."""
+    rows = titled_tables(tables(pages, key, html, part), key, part, table_class)
+    found = rows.select(*([key, part] if part else [key]), "table_no", "row_no", "place", *[F.nullif(F.trim(cell(names)), F.lit("")).alias(c) for c, names in _COMMON.items() if c != "Location"])
+    found = without_spacers(found, cash="Bushel Cash Price").withColumnRenamed("place", "Location")
+    found = found.withColumns({"Delivery": periods.short_month(F.col("Delivery")), "Delivery End": periods.short_month(F.col("Delivery End")), "Futures Month": periods.long_month(F.col("Futures Month")), "Source": F.lit(source)})
+    cash = prices.tick_price(F.col("Bushel Cash Price"))
+    found = found.withColumn("MT Cash Price", F.coalesce("MT Cash Price", prices.adapter_per_tonne(F.col("Name"), cash.cast("double")).cast("string")))
+    same = W.partitionBy(key, "Location", "Name", "Delivery", "Delivery End", "Futures Month", "Futures Price").orderBy(*([part] if part else []), "table_no", "row_no")
+    return found.withColumn("__n", F.row_number().over(same)).where("__n = 1").select(key, *BID_COLUMNS)
+
+
 def keyword_tables(rows: DataFrame, key: str = "page_id", least_cells: int = 3) -> DataFrame:
     """Rows under the first row of each page's most bid-like table, with `headers`: the table whose text holds most bid
     words (the first among equals), if any row has `least_cells` cells. For pages whose headers name no wanted column."""
