@@ -7,8 +7,8 @@ One distributed pass sums them by fold over all rows that are not held out, so t
 for any corpus, and the ridge is chosen by cross-validation on the folds' moments: for each candidate the model of the other
 folds is judged by its risk on the fold left out. The class prior is estimated from score tails (negatives run out among the
 highest scores) and scores are turned into probabilities by Bayes' rule on bounded score histograms, made monotone; both
-use each row's score under the model fitted without its fold. Held-out rows have no part in the fit, the ridge or the
-calibration (README tells how the list of candidate ridges came about).
+use each row's score under the model fitted without its fold. Candidate ridges rise by a fixed factor until larger ones have
+stopped helping on the folds. Held-out rows have no part in the fit, the ridge, its candidates or the calibration.
 
 Edge cases: null and empty texts get the features of an empty text and a score like any other; documents with several
 labels count once for each; without positives every score is the prior guess 0.5; repeated rows score alike; an empty table
@@ -38,10 +38,11 @@ SHARES = N_CLASSES + 7
 N_STYLE = SHARES + 3
 HASHED = 64  # signed sums of hashed words and word pairs
 N_BASE = N_STYLE + HASHED
-#: Ridges that cross-validation over the training rows chooses from, and its folds.
-RIDGES = (1e-3, 1e-2, 3e-2, 1e-1, 3e-1, 1.0, 3.0, 10.0, 30.0)
+#: Ridges rise from the first by the factor; cross-validation over the training rows stops after so many without a lower risk.
+FIRST_RIDGE, RIDGE_FACTOR, PATIENCE = 1e-3, 10**0.5, 4
 FOLDS = 4
 BINS = 400
+FAN_IN = 64  # vectors of a group and fold that one task adds up
 
 
 def _distinct(values: np.ndarray) -> int:
@@ -120,18 +121,33 @@ def summed(rows: DataFrame, stat: Callable[[np.ndarray, int], np.ndarray]) -> di
                 mine = np.asarray([k == g for k in keys])
                 part = np.append(float(mine.sum()), stat(x[mine], g[1]))
                 total[g] = total[g] + part if g in total else part
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([g for g, _ in total], pa.string()), pa.array([f for _, f in total], pa.int32()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], names=["grp", "fold", "v"]
-        )
+        yield _vectors(total)
 
-    parts = rows.select("grp", "fold", "x").mapInArrow(run, "grp string, fold int, v array<double>")
-    # Added up in a tree of fixed fan-in, so that no task and not the driver meets a vector of every input task.
-    parts = parts.select("grp", "fold", F.posexplode("v").alias("i", "v")).groupBy("grp", "fold", "i").agg(F.sum("v").alias("v"))
-    t = parts.toArrow().sort_by([("grp", "ascending"), ("fold", "ascending"), ("i", "ascending")])  # groups x folds x statistics, a fixed number
-    out: dict[tuple[str, int], list] = {}
-    for g, f, v in zip(*(t.column(c).to_pylist() for c in ("grp", "fold", "v")), strict=True):
-        out.setdefault((g, f), []).append(v)
-    return {k: np.asarray(v) for k, v in out.items()}
+    parts = rows.select("grp", "fold", "x").mapInArrow(run, _VECTORS)
+    n = rows.rdd.getNumPartitions()
+    while n > FAN_IN:  # a tree: no task and not the driver meets a vector of every input task
+        n = -(-n // FAN_IN)
+        parts = parts.repartition(n, F.spark_partition_id() % n).mapInArrow(_added, _VECTORS)
+    parts = parts.repartition("grp", "fold").mapInArrow(_added, _VECTORS)
+    t = parts.toArrow()  # a vector for each group and fold
+    return {(g, f): np.frombuffer(v, "float64") for g, f, v in zip(*(t.column(c).to_pylist() for c in ("grp", "fold", "v")), strict=True)}
+
+
+_VECTORS = "grp string, fold int, v binary"
+
+
+def _vectors(total: dict[tuple[str, int], np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([g for g, _ in total], pa.string()), pa.array([f for _, f in total], pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["grp", "fold", "v"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The vectors of each group and fold added up, one at a time."""
+    total: dict[tuple[str, int], np.ndarray] = {}
+    for b in batches:
+        for g, f, v in zip(*(b.column(c) for c in range(3)), strict=True):
+            part, k = np.frombuffer(v.as_py(), "float64"), (g.as_py(), f.as_py())
+            total[k] = total[k] + part if k in total else part
+    yield _vectors(total)
 
 
 def over_folds(sums: dict[tuple[str, int], np.ndarray], grp: str, but: int | None = None) -> np.ndarray | None:
@@ -188,15 +204,23 @@ def risk(w: np.ndarray, m_p: np.ndarray, s_p: np.ndarray, m_u: np.ndarray, s_u:
 def chosen_ridge(sums: dict[tuple[str, int], np.ndarray], prior: float) -> tuple[float, dict[int, np.ndarray]]:
     """The ridge of least mean risk on the folds left out, and for each fold the weights fitted without it.
 
-    Folds that lack a group are skipped; without any two of both groups the largest ridge is taken.
+    Candidates rise until PATIENCE of them in a row have not lowered the risk, so the range follows from the folds alone; as
+    a model shrinks to nothing its risk settles, so this ends. Folds that lack a group are skipped; without any two of both
+    groups nothing can be compared and a ridge of one is taken.
     """
     folds = [f for f in range(FOLDS) if all((g, f) in sums and over_folds(sums, g, f) is not None for g in "pu")]
+    if not folds:
+        return 1.0, {}
     best: tuple[float, float, dict[int, np.ndarray]] | None = None
-    for ridge in RIDGES:
+    ridge, worse = FIRST_RIDGE, 0
+    while worse < PATIENCE:
         fits = {f: non_negative_fit(*unpacked_moments(over_folds(sums, "p", f)), *unpacked_moments(over_folds(sums, "u", f)), prior, ridge, 200) for f in folds}
-        mean = sum(risk(w, *unpacked_moments(sums["p", f]), *unpacked_moments(sums["u", f]), prior) for f, w in fits.items()) / max(len(folds), 1)
-        if best is None or mean <= best[0]:
-            best = (mean, ridge, fits)
+        mean = sum(risk(w, *unpacked_moments(sums["p", f]), *unpacked_moments(sums["u", f]), prior) for f, w in fits.items()) / len(folds)
+        if best is None or mean < best[0] * (1 - 1e-9):
+            best, worse = (mean, ridge, fits), 0
+        else:
+            worse += 1
+        ridge *= RIDGE_FACTOR
     return best[1], best[2]
 
 
