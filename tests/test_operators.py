@@ -1,6 +1,7 @@
 """Operators, ingestion, pages and streaming on small tables with known results."""
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -190,6 +191,8 @@ def test_readers_and_sinks(spark, tmp_path):
     for day in ("2026-06-08", "2026-06-09", "2026-06-10"):
         (tmp_path / "d" / f"bids_{day}.csv").write_text("a\n")
     assert readers.previous_file(spark, f"{tmp_path}/d", "2026-06-10").endswith("bids_2026-06-09.csv")
+    os.utime(tmp_path / "d" / "bids_2026-06-08.csv", (4e9, 4e9))
+    assert readers.newest_file(spark, f"{tmp_path}/d").endswith("bids_2026-06-08.csv")
 
 
 TABLE = """<select><option value="1">Alliston</option><option>Corn</option></select><h3>Corn</h3><table><tr><td>x</td></tr></table>
