@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from basisline.llm.common import table
 from basisline.llm.dom import BLOCKS, RAW, Node, blocks, parse
 
-OTHER_TAGS = frozenset("head nav footer aside form button select datalist dialog menu object embed canvas svg math audio video map input label".split()) | frozenset(RAW)
+OTHER_TAGS = frozenset("head nav footer aside form button select datalist dialog menu object embed canvas svg audio video map input label".split()) | frozenset(RAW)
 #: Parts of a class, id or role that name something else than the article, as its first or its last part.
 OTHER_PARTS = frozenset(
     "ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login navbar navigation breadcrumb breadcrumbs pagination pager "

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from basisline.llm import circulant, conversations, dom, line_dedup, near_duplicates, whitening
+from basisline.llm import circulant, conversations, dom, html_extraction, line_dedup, near_duplicates, whitening
 from basisline.llm import shingles as sh
 from basisline.llm.queries import QUERIES
 
@@ -282,3 +282,10 @@ def test_one_row_of_each_class_stays(spark):
     assert len(kept([(1, a, "s"), (1, c, "s"), (2, c, "s")])) == 2  # one key, two classes
     assert len(kept([(1, None, "s"), (1, "", "s"), (1, None, "s")])) == 3  # nothing to be like
     assert kept([]) == []
+
+
+def test_formulas_figures_and_tables_of_an_article_stay():
+    body = "<p>" + "Long text of the article about things. " * 12 + "</p>"
+    html = f"<body><nav><a href=/x>Home</a></nav><article>{body}<p>If <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p><figure><img src=a><figcaption>A figure of it</figcaption></figure><table><tr><td>one</td><td>two</td></tr></table>{body}</article><form><label>Mail</label><button>Send</button></form></body>"
+    lines = html_extraction.main_text(html).split("\n")
+    assert "If x=2 holds." in lines and "A figure of it" in lines and "one" in lines and "two" in lines and not any("Send" in x or "Mail" in x or "Home" in x for x in lines)
