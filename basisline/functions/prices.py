@@ -32,7 +32,8 @@ def tick_price(text: Column) -> Column:
 
     parts = lambda t: F.struct(F.regexp_extract(t, _TICK, 1).alias("whole"), F.regexp_extract(t, _TICK, 2).alias("part"))
     cell = F.regexp_replace(F.trim(text.cast("string")), r"(?<=\d)[A-Za-z]+$", "")
-    return using(cell, lambda t: using(parts(t), lambda p: read(t, p["whole"], p["part"])))
+    ticks = using(cell, lambda t: using(parts(t), lambda p: read(t, p["whole"], p["part"])))
+    return F.coalesce(text.cast("string").try_cast(PRICE), ticks)  # most cells are plain numbers
 
 
 def _last(text: Column, pattern: str, group: int = 0) -> Column:

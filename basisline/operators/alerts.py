@@ -1,8 +1,8 @@
 """Alerts: rules matched against new rows, without repeats of what is still open.
 
 Rows are turned to one line per metric. The thresholds of a metric and direction are cut into slices at quantiles; a line
-takes every slice that its value passes as a whole and compares only within the one it falls in, so the pairs that are looked
-at are the hits and one slice of rules a line, not every rule of the metric. Rules of equality meet lines by their value.
+takes every slice that its value passes as a whole and compares only within the one it falls in (which is all it takes of the
+rules of equality), so the pairs that are looked at are the hits and a slice of rules a line, not every rule of the metric.
 """
 
 from __future__ import annotations
@@ -102,12 +102,11 @@ def _slice_of(value: Column, bounds: Column, coarse: Column) -> Column:
 
 
 def slices(rules: DataFrame) -> DataFrame:
-    """metric, way, bounds and coarse (every CHUNK-th bound) for the directed rules: cuts at quantiles of their thresholds."""
-    directed = rules.where("way in ('up', 'down')")
-    n = min(SLICES, -(-directed.count() // SLICE_RULES))
+    """metric, way, bounds and coarse (every CHUNK-th bound) for the rules: cuts at quantiles of their thresholds."""
+    n = min(SLICES, -(-rules.count() // SLICE_RULES))
     cuts = [i / n for i in range(1, n)]
     bounds = F.array_distinct(F.percentile_approx("threshold", cuts, 10 * n)) if cuts else F.array().cast("array<double>")
-    found = directed.groupBy("metric", "way").agg(F.count(F.lit(1)).alias("n_rules"), bounds.alias("bounds"))
+    found = rules.groupBy("metric", "way").agg(F.count(F.lit(1)).alias("n_rules"), bounds.alias("bounds"))
     whole = F.filter("bounds", lambda b, i: i % CHUNK == CHUNK - 1)
     return found.select("metric", "way", "bounds", whole.alias("coarse"))
 
@@ -120,7 +119,7 @@ def sliced_pairs(lines: DataFrame, rules: DataFrame, few: int = FEW_RULES) -> Da
     cuts = F.broadcast(slices(rules))  # a row for each metric and direction, of at most SLICES bounds
     named = rules.join(cuts, ["metric", "way"]).withColumn("slice", _slice_of(F.col("threshold"), F.col("bounds"), F.col("coarse"))).drop("bounds", "coarse")
     place = lines.join(cuts, "metric").withColumn("__p", _slice_of(F.col("value"), F.col("bounds"), F.col("coarse")))
-    taken = F.when(F.col("way") == "up", F.sequence(F.lit(0), F.col("__p"))).otherwise(F.sequence(F.col("__p"), F.size("bounds")))
+    taken = F.when(F.col("way") == "up", F.sequence(F.lit(0), F.col("__p"))).when(F.col("way") == "same", F.array("__p")).otherwise(F.sequence(F.col("__p"), F.size("bounds")))
     taken = place.withColumn("slice", F.explode(taken)).withColumn("compared", F.col("slice") == F.col("__p")).drop("bounds", "coarse", "__p")
     return taken.join(small_or_shuffled(named, few), ["metric", "way", "slice"])
 
@@ -131,9 +130,7 @@ def triggered(rows: DataFrame, rules: DataFrame, condition: Column | None = None
     lines = by_metric(rows)
     named = rules.withColumns({"metric": F.lower(F.trim("rule_type")), "threshold": F.col("threshold").cast("double"), "way": _way(F.col("comparison_operator"))})
     named = named.where(F.col("way").isNotNull() & F.col("threshold").isNotNull() & ~F.isnan("threshold"))
-    hits = sliced_pairs(lines, named, few).where(~F.col("compared") | compare(F.col("value"), F.col("comparison_operator"), F.col("threshold"))).drop("compared", "slice")
-    equal = named.where(F.col("way") == "same").withColumn("value", F.col("threshold"))
-    hits = hits.unionByName(lines.join(small_or_shuffled(equal, few), ["metric", "value"])).drop("way")
+    hits = sliced_pairs(lines, named, few).where(~F.col("compared") | compare(F.col("value"), F.col("comparison_operator"), F.col("threshold"))).drop("compared", "slice", "way")
     return hits if condition is None else hits.where(condition)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +39,20 @@ def by_distinct(df: DataFrame, columns: list[str], **computed: Column) -> DataFr
     for c, n in zip(columns, names, strict=True):
         same = same & df[c].eqNullSafe(F.col(n))
     return df.join(small_or_shuffled(found), same, "left").drop(*names)
+
+
+def by_labels(df: DataFrame, readings: Mapping[str, Mapping[str, Callable[[Column], Column]]]) -> DataFrame:
+    """Add columns that are read from one label column each: {label column: {new column: reading}}.
+
+    The distinct labels of all these columns are found in one pass and stored; each column's readings run on its own labels
+    and come back by a join, a broadcast when the labels are measured to be few. Null labels are values like others.
+    """
+    columns = list(readings)
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"`{c}`").cast("string").alias("v")) for i, c in enumerate(columns)]))
+    found = stored(df.select(pairs.alias("p")).select("p.c", "p.v").distinct(), "labels")
+    small = is_small(found)
+    for i, c in enumerate(columns):
+        label = F.col("__v")
+        own = found.where(F.col("c") == i).select(F.col("v").alias("__v")).select(label, *[read(label).alias(name) for name, read in readings[c].items()])
+        df = df.join(F.broadcast(own) if small else own, F.col(f"`{c}`").cast("string").eqNullSafe(label), "left").drop("__v")
+    return df

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from basisline.functions import keys, periods, prices, text
 from basisline.operators import diagnostics, history, identity, latest, reshape
+from basisline.operators.sizes import by_labels
 from basisline.sources import transactions
 from basisline.sources.bucketed import read_bucketed, write_bucketed
 
@@ -35,40 +36,44 @@ def normalized(sheet: DataFrame, position: str, options: SheetOptions | None = N
 
     Order matters: the tonne price is inferred first, a missing futures month comes from the delivery, a month label is
     derived only where neither delivery field has one, and the futures price at last from its text or from cash less
-    basis.
+    basis. Labels are read once each: a sheet's distinct labels are stored as soon as the function is called.
     """
     o = options or SheetOptions()
     mapping = keys.map_headers([c for c in sheet.columns if c != position], o.mapping)
     cells = sheet.select(position, *[F.coalesce(F.col("`" + h.replace("`", "``") + "`").cast("string"), F.lit("")).alias(f"cell_{c}") for c, h in mapping.items()])
-    raw = lambda c: F.col(f"cell_{c}") if c in mapping else F.lit("")
-    source = F.coalesce(text.canonical_source(raw("source_name")), F.lit(o.source_name))
-    crop = F.coalesce(text.canonical_commodity(raw("commodity")), F.lit(o.commodity))
-    df = reshape.settled(cells).select(
-        F.col(position).alias("position"),
-        F.coalesce(text.canonical_location(raw("location")), F.lit("")).alias("location"),
-        crop.alias("commodity_name"),
-        source.alias("source_name"),
-        _clean(raw("delivery_start")).alias("delivery_start"),
-        _clean(raw("delivery_end")).alias("delivery_end"),
-        _clean(raw("delivery_label")).alias("delivery_label"),
-        F.trim(raw("futures_month")).alias("futures_text"),
+    cells = cells.select("*", *[F.lit("").alias(f"cell_{c}") for c in keys.COLUMN_ALIASES if c not in mapping])
+    raw = lambda c: F.col(f"cell_{c}")
+    month = lambda x: _clean(F.coalesce(periods.futures_month(F.trim(x), o.scan_letters), F.trim(x)))
+    read = by_labels(
+        reshape.settled(cells),
+        {
+            "cell_location": {"location": lambda x: F.coalesce(text.canonical_location(x), F.lit(""))},
+            "cell_commodity": {"commodity_name": lambda x: F.coalesce(text.canonical_commodity(x), F.lit(o.commodity))},
+            "cell_source_name": {"source_name": lambda x: F.coalesce(text.canonical_source(x), F.lit(o.source_name))},
+            "cell_delivery_start": {"delivery_start": _clean},
+            "cell_delivery_end": {"delivery_end": _clean, "end_is_month": lambda x: periods.looks_like_month(_clean(x)), "before_end": lambda x: periods.delivery_of_futures(_clean(x))},
+            "cell_delivery_label": {"delivery_label": _clean, "label_is_month": lambda x: periods.looks_like_month(_clean(x)), "before_label": lambda x: periods.delivery_of_futures(_clean(x))},
+            "cell_futures_month": {"futures_text": lambda x: F.trim(x), "month": month, "before_month": lambda x: periods.delivery_of_futures(month(x)), "text_price": lambda x: prices.price_in_text(F.trim(x))},
+        },
+    )
+    df = reshape.settled(read).select(
+        F.col(position).alias("position"), "location", "commodity_name", "source_name", "delivery_start", "delivery_end", "delivery_label", "futures_text", "text_price", "month", "before_month", "before_label", "before_end", "label_is_month", "end_is_month",
         prices.tick_price(raw("futures_price")).alias("futures_price"),
         prices.tick_price(raw("futures_change")).alias("futures_change"),
         prices.basis_to_store(prices.tick_price(raw("basis"))).alias("basis"),
         prices.tick_price(raw("cash_price_bu")).alias("cash_price_bu"),
         prices.tick_price(raw("cash_price_mt")).alias("cash_price_mt"),
-    )
+    )
     df = reshape.settled(df)
     df = df.withColumn("cash_price_mt", F.coalesce("cash_price_mt", prices.per_tonne(F.col("commodity_name"), F.col("cash_price_bu"))))
-    month = _clean(F.coalesce(periods.futures_month(F.col("futures_text"), o.scan_letters), F.col("futures_text")))
-    other = F.coalesce(F.nullif(F.col("delivery_label"), F.lit("")), F.col("delivery_end"))
-    df = df.withColumn("futures_month", F.coalesce(F.nullif(month, F.lit("")), other))
-    df = reshape.settled(df)
-    derived = periods.delivery_of_futures(F.col("futures_month"))
-    derive = derived.isNotNull() & ~periods.looks_like_month(F.col("delivery_label")) & ~periods.looks_like_month(F.col("delivery_end"))
+    named, labelled = F.col("month") != "", F.col("delivery_label") != ""
+    derived = F.when(named, F.col("before_month")).when(labelled, F.col("before_label")).otherwise(F.col("before_end"))
+    derive = derived.isNotNull() & ~F.col("label_is_month") & ~F.col("end_is_month")
+    df = df.withColumn("futures_month", F.when(named, F.col("month")).when(labelled, F.col("delivery_label")).otherwise(F.col("delivery_end")))
     df = df.withColumns({c: F.when(derive, derived).otherwise(F.col(c)) for c in ("delivery_end", "delivery_label")})
     df = reshape.settled(df)
-    df = df.withColumn("futures_price", F.coalesce("futures_price", prices.price_in_text(F.col("futures_text")), (F.col("cash_price_bu") - F.col("basis")).cast(prices.PRICE)))
+    df = df.withColumn("futures_price", F.coalesce("futures_price", "text_price", (F.col("cash_price_bu") - F.col("basis")).cast(prices.PRICE)))
+    df = df.drop("text_price", "month", "before_month", "before_label", "before_end", "label_is_month", "end_is_month")
     early = F.when(diagnostics.blank(F.col("location")), "missing_location").when(diagnostics.blank(F.col("commodity_name")), "missing_commodity_name")
     early = early.when(text.invalid_commodity(F.col("commodity_name"), F.col("source_name")), "invalid_commodity_name")
     df = df.withColumn("reasons", F.when(early.isNotNull(), F.array(early)).otherwise(diagnostics.reject_reasons()))

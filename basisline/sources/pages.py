@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from basisline.functions import periods, prices, text
+from basisline.storage import stored
 
 # Headers of a bid table, and words that name a crop.
 BID_HEADERS = ("name", "delivery", "delivery end", "futures month", "futures price", "change", "basis", "cash price")
@@ -153,7 +154,7 @@ def titled_tables(rows: DataFrame, key: str = "page_id", part: str | None = None
 def titled_bids(pages: DataFrame, key: str = "page_id", html: str = "html", part: str | None = None, table_class: str | None = TITLED_CLASS, source: str = "Agricharts") -> DataFrame:
     """Bids of pages whose tables stand in titled sections, in the wire columns: periods spelled in full, rows that are no bids
     left out, and of rows alike in place, crop, periods and futures price the first of the page (its frames in order)."""
-    rows = titled_tables(tables(pages, key, html, part), key, part, table_class)
+    rows = titled_tables(stored(tables(pages, key, html, part), "page-tables"), key, part, table_class)
     found = rows.select(*([key, part] if part else [key]), "table_no", "row_no", "place", *[F.nullif(F.trim(cell(names)), F.lit("")).alias(c) for c, names in _COMMON.items() if c != "Location"])
     found = without_spacers(found, cash="Bushel Cash Price").withColumnRenamed("place", "Location")
     found = found.withColumns({"Delivery": periods.short_month(F.col("Delivery")), "Delivery End": periods.short_month(F.col("Delivery End")), "Futures Month": periods.long_month(F.col("Futures Month")), "Source": F.lit(source)})
@@ -342,10 +343,11 @@ def page_bids(pages: DataFrame, name: str, key: str = "page_id", html: str = "ht
     `place` names a column of the pages that stands in where a row names no location.
     """
     how = adapter(name)
+    cut = stored(tables(pages, key, html), "page-tables")  # read several times, cut once
     if how.transposed:
-        found = transposed_bids(tables(pages, key, html), how.crop == "place", key)
+        found = transposed_bids(cut, how.crop == "place", key)
     else:
-        rows = {"header": bid_tables, "merged": merged_header_tables, "keywords": bid_or_keyword_tables}[how.tables](tables(pages, key, html), key)
+        rows = {"header": bid_tables, "merged": merged_header_tables, "keywords": bid_or_keyword_tables}[how.tables](cut, key)
         found = rows.select(key, "table_no", "row_no", "heading", *[F.nullif(F.trim(cell(names)), F.lit("")).alias(c) for c, names in how.columns.items()])
         own = text.canonical_commodity(F.col("Name"))
         crop = {"name": own, "heading": F.coalesce(crop_in(F.col("heading")), own), "symbol": crop_of_symbol(F.col("Futures Month"))}[how.crop]
