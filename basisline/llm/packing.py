@@ -30,7 +30,7 @@ from basisline.llm.ranks import ranked, with_row_ids
 
 CAPACITY = 2048
 END_ID = 0
-CACHED_WORDS = 600_000  # each of words at a line's start and of others, per Python worker: some 150 MB
+CACHED_WORDS = 300_000  # each of words at a line's start and of others, per Python worker: some 100 MB
 
 
 #: A text without these decomposes at its single blanks and line ends: no token of a byte-level BPE crosses them.
