@@ -251,6 +251,46 @@ def preview_columns(df: DataFrame) -> DataFrame:
     )
 
 
+def iso_time(at: Column) -> Column:
+    """ISO text of a time without zone; microseconds only where there are any."""
+    whole = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.when(F.date_format(at, "SSSSSS") == "000000", whole).otherwise(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+
+
+def list_columns(df: DataFrame) -> DataFrame:
+    """The row projection of a listing: ids and times as text, canonical labels, periods by month, missing changes 0.0."""
+    company = text.display_company(F.col("location"), F.col("company_name"), F.col("location_company_name"), F.col("source_name"))
+    number = lambda c: prices.finite(F.col(c).cast("double"))
+    moved = lambda c: F.coalesce(number(c), F.lit(0.0)).alias(c)
+    month = lambda c: periods.month_label(text.normalize_text(F.col(c))).alias(c)
+    return df.select(
+        *[F.col(c).cast("string").alias(c) for c in ("id", "snapshot_id", "company_id", "location_id")],
+        iso_time(F.col("captured_at")).alias("captured_at"),
+        F.coalesce(text.canonical_location(F.col("location")), F.lit("-")).alias("location"),
+        company.alias("company_name"),
+        F.coalesce(text.canonical_commodity(F.col("commodity_name")), F.lit("-")).alias("commodity_name"),
+        text.canonical_source(F.col("source_name")).alias("source_name"),
+        text.attribution(F.col("source_name")).alias("source_attribution"),
+        text.normalize_text(F.col("delivery_start")).alias("delivery_start"),
+        text.normalize_text(F.col("delivery_end")).alias("delivery_end"),
+        month("delivery_label"),
+        month("futures_month"),
+        number("futures_price").alias("futures_price"),
+        moved("futures_change"),
+        prices.basis_to_show(F.col("basis")).alias("basis"),
+        number("cash_price_bu").alias("cash_price_bu"),
+        number("cash_price_mt").alias("cash_price_mt"),
+        F.coalesce(prices.basis_to_show(F.col("basis_change")), F.lit(0.0)).alias("basis_change"),
+        iso_time(F.col("basis_last_changed_at")).alias("basis_last_changed_at"),
+        moved("cash_price_bu_change"),
+        moved("cash_price_mt_change"),
+        "composite_key",
+        "is_canonical",
+        "canonical_rank",
+        "canonical_reason",
+    )
+
+
 def delivered(df: DataFrame, cash: str, trucking: float) -> DataFrame:
     """Quote lines: the cash price less trucking."""
     return df.withColumn("delivered_price", F.col(cash) - F.lit(trucking))

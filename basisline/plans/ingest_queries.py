@@ -207,3 +207,16 @@ def committed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     broken.stage("runs", transactions.committed(spark, root, "runs").drop("batch"))
     state = spark.read.parquet(transactions.latest(spark, root, "state")[1]).agg(F.count(F.lit(1)).alias("keys_in_state"))
     return transactions.committed(spark, root, "runs").select("batch", "raw_row_count", "normalized_row_count").join(F.broadcast(state), F.lit(True))  # one row
+
+
+@query(
+    f"""WITH {_READ} SELECT CAST(position AS VARCHAR) AS id, CAST(batch AS VARCHAR) AS snapshot_id, strftime(['{DAYS[0]}', '{DAYS[1]}'][batch + 1]::TIMESTAMP, '%Y-%m-%dT%H:%M:%S') AS captured_at, location, commodity_name, source_name, CASE WHEN source_name <> 'Agricharts' THEN source_name END AS company_name,
+ CASE WHEN source_name = 'Agricharts' THEN source_name END AS source_attribution, delivery_label, futures_month, CASE WHEN abs(basis) >= 10 THEN CAST(basis AS DOUBLE) / 100 ELSE CAST(basis AS DOUBLE) END AS basis, 0.0 AS basis_change, CASE WHEN position % 2 = 0 THEN strftime(TIMESTAMP '1999-01-03 00:00:00' + to_microseconds(position), '%Y-%m-%dT%H:%M:%S') || CASE WHEN position % 1000000 = 0 THEN '' ELSE '.' || lpad(CAST(position % 1000000 AS VARCHAR), 6, '0') END END AS basis_last_changed_at FROM kept"""
+)
+def listed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row projection of a listing over the observations."""
+    o, k = _observations(spark, sf_dir), F.col("position")
+    none = F.lit(None).cast("string")
+    moved = F.timestamp_micros(F.unix_micros(F.lit("1999-01-03 00:00:00").cast("timestamp")) + k.cast("long"))
+    more = {"id": k, "company_id": none, "location_id": none, "company_name": none, "location_company_name": none, "basis_change": F.lit(None).cast("double"), "cash_price_bu_change": F.lit(float("nan")), "cash_price_mt_change": F.lit(None).cast("double"), "basis_last_changed_at": F.when(k % 2 == 0, moved), "is_canonical": F.lit(True), "canonical_rank": F.lit(1), "canonical_reason": none}
+    return market.list_columns(o.withColumns(more)).select("id", "snapshot_id", "captured_at", "location", "commodity_name", "source_name", "company_name", "source_attribution", "delivery_label", "futures_month", "basis", "basis_change", "basis_last_changed_at")
