@@ -93,7 +93,7 @@ _QUOTES = ["424-0", "4.56", "n/a", "456", "$5.10", None]
 
 @query(
     f"""WITH o AS (SELECT *, {dealt_sql(_CROPS, 'o_orderkey')} AS crop, {dealt_sql(_QUOTES, 'o_custkey')} AS quote, {_MONTH_NAMES}[month(o_orderdate)] || ' ' || year(o_orderdate) AS delivery, CASE {dealt_sql(_QUOTES, 'o_custkey')} WHEN '424-0' THEN 4.24 WHEN '4.56' THEN 4.56 WHEN '456' THEN 4.56 WHEN '$5.10' THEN 5.1 END AS futures FROM orders)
- SELECT o_orderkey, round_even((o_totalprice % 10) - futures, 2) AS posted_basis, CASE WHEN crop = 'Corn' THEN 2026 * 12 + 12 WHEN crop = 'Old soybeans' THEN 2026 * 12 + 11 END AS new_crop, {_MONTH_NAMES}[month(o_orderdate) % 12 + 1] || ' ' || (year(o_orderdate) + month(o_orderdate) // 12) AS next_contract,
+ SELECT o_orderkey, round_even((o_totalprice % 10) - futures, 2) + 0.0 AS posted_basis, CASE WHEN crop = 'Corn' THEN 2026 * 12 + 12 WHEN crop = 'Old soybeans' THEN 2026 * 12 + 11 END AS new_crop, {_MONTH_NAMES}[month(o_orderdate) % 12 + 1] || ' ' || (year(o_orderdate) + month(o_orderdate) // 12) AS next_contract,
  round(((o_orderkey % 2 = 0)::INT + (o_orderkey % 3 = 0)::INT + (o_orderkey % 5 = 0)::INT) / 3, 9) AS quality, CASE WHEN o_orderkey % 4 > 0 THEN CAST(o_custkey - o_orderkey AS BIGINT) END AS delta FROM o"""
 )
 def posted_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +102,7 @@ def posted_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     delivery = F.concat_ws(" ", periods.month_name(F.month("o_orderdate")), F.year("o_orderdate").cast("string"))
     return o.select(
         "o_orderkey",
-        pricing.posted_basis(F.col("o_totalprice") % 10, dealt(_QUOTES, "o_custkey")).alias("posted_basis"),
+        (pricing.posted_basis(F.col("o_totalprice") % 10, dealt(_QUOTES, "o_custkey")) + 0.0).alias("posted_basis"),
         pricing.new_crop_key(dealt(_CROPS, "o_orderkey"), 2026).alias("new_crop"),
         pricing.next_contract(delivery).alias("next_contract"),
         F.round(canonical.quality_of(k % 2 == 0, k % 3 == 0, k % 5 == 0), 9).alias("quality"),
