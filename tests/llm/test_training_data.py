@@ -274,6 +274,20 @@ def test_decontamination_short_items_and_spans(spark, odd):
     assert shuffled == out
 
 
+def test_decontamination_of_items_of_all_lengths(spark):
+    """Items of 1 to 14 words over few words, so that windows of every length occur, overlap and end with the text."""
+    rng = random.Random(5)
+    say = lambda n, k: " ".join(f"v{rng.randrange(k)}" for _ in range(n))
+    items = [(f"i{n}-{r}", say(n, 3 if n > 3 else 40)) for n in range(1, 15) for r in range(3)]
+    texts = [(d, say(rng.randrange(0, 60), 3 if d % 2 else 40)) for d in range(80)]
+    texts += [(100 + d, f"{say(4, 3)} {items[d][1]}") for d in range(len(items))]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = decontamination.scan(frame(spark, [(d, t, "en", "a") for d, t in texts]), bench).collect()
+    want = B.contamination(texts, items)
+    assert {r.doc_id: (r.n_words, r.n_hit, len(r["items"])) for r in got} == {d: v[:3] for d, v in want.items()}
+    assert {len(t.split()) for _, t in items} == set(range(1, 15)) and all(want[100 + d][2] for d in range(len(items)))
+
+
 def test_decontamination_with_a_full_filter(spark, odd, monkeypatch):
     """A filter far too small for its windows lets more pass, and the result is the same."""
     bench = spark.createDataFrame([(i, " ".join(f"b{i}x{j}" for j in range(40))) for i in range(200)] + [(999, "brown fox jumps over the lazy dog while seven wizards mix")], "item_id long, text string")
