@@ -3,15 +3,18 @@
 Rows are turned to one line per metric. The thresholds of a metric and direction are cut into slices at quantiles; a line
 takes every slice that its value passes as a whole and compares only within the one it falls in (which is all it takes of the
 rules of equality), so the pairs that are looked at are the hits and a slice of rules a line, not every rule of the metric.
+Counts and sums of a rule's hits need no pairs at all: `hit_totals` reads them from running sums over the sorted values.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from basisline.functions.text import using
 from basisline.operators.sizes import small_or_shuffled
+from basisline.storage import stored
 
 METRICS = ("basis", "basis_change", "cash_price_bu", "cash_price_mt", "cash_price_bu_change", "cash_price_mt_change")
 STATUSES = ("new", "open", "pending", "acknowledged", "resolved")
@@ -20,6 +23,7 @@ FEW_RULES = 500_000  # rules that may be broadcast, if their bytes allow it too
 SLICE_RULES = 64  # rules of a slice
 SLICES = 4096  # slices of a metric and direction at most
 CHUNK = 32  # bounds of slices that one step of the search passes
+SLICE_POINTS = 20_000  # distinct values and thresholds of a slice of running sums
 
 
 def compare(value: Column, operator: Column, threshold: Column) -> Column:
@@ -124,16 +128,51 @@ def sliced_pairs(lines: DataFrame, rules: DataFrame, few: int = FEW_RULES) -> Da
     return taken.join(small_or_shuffled(named, few), ["metric", "way", "slice"])
 
 
+def _sound(rules: DataFrame) -> DataFrame:
+    """Rules that can hit, with their metric, threshold (double) and way."""
+    named = rules.withColumns({"metric": F.lower(F.trim("rule_type")), "threshold": F.col("threshold").cast("double"), "way": _way(F.col("comparison_operator"))})
+    return named.where(F.col("way").isNotNull() & F.col("threshold").isNotNull() & ~F.isnan("threshold"))
+
+
 def triggered(rows: DataFrame, rules: DataFrame, condition: Column | None = None, few: int = FEW_RULES) -> DataFrame:
     """Rule and row of every hit. `rules` has rule_id, rule_type, comparison_operator and threshold; `condition` may use
     columns of both sides. Rules with an unknown operator or a threshold that is no number never hit."""
-    lines = by_metric(rows)
-    named = rules.withColumns({"metric": F.lower(F.trim("rule_type")), "threshold": F.col("threshold").cast("double"), "way": _way(F.col("comparison_operator"))})
-    named = named.where(F.col("way").isNotNull() & F.col("threshold").isNotNull() & ~F.isnan("threshold"))
+    lines, named = by_metric(rows), _sound(rules)
     hits = sliced_pairs(lines, named, few).where(~F.col("compared") | compare(F.col("value"), F.col("comparison_operator"), F.col("threshold"))).drop("compared", "slice", "way")
     return hits if condition is None else hits.where(condition)
 
 
+def hit_totals(rows: DataFrame, rules: DataFrame, summed: str) -> DataFrame:
+    """Rules that hit, with `hits` and `total` (the hits' sum of the whole-number column `summed`), as grouping `triggered`
+    would give them, without its pairs.
+
+    Rows and thresholds become points: the distinct values of a metric, with the rows on them. Points are cut into slices at
+    quantiles; sums of the slices before and running sums within one give what lies below a threshold, and the metric's
+    total what lies above. The work follows rows and rules, not the hits.
+    """
+    lines = by_metric(rows.select(summed, *[m for m in METRICS if m in rows.columns])).select("metric", "value", F.lit(1).cast("long").alias("n"), F.coalesce(F.col(summed).cast("long"), F.lit(0)).alias("s"), F.col(summed).isNotNull().cast("long").alias("known"))
+    named, zero = _sound(rules), F.lit(0).cast("long")
+    sums = ("n", "s", "known")
+    marks = named.select("metric", F.col("threshold").alias("value"), *[zero.alias(c) for c in sums])
+    points = stored(lines.unionByName(marks).groupBy("metric", "value").agg(*[F.sum(c).alias(c) for c in sums]), "rule-points")
+    parts = max(1, min(SLICES, -(-points.count() // SLICE_POINTS)))
+    cuts = [i / parts for i in range(1, parts)]
+    bounds = F.array_distinct(F.percentile_approx("value", cuts, 10 * parts)) if cuts else F.array().cast("array<double>")
+    found = points.groupBy("metric").agg(bounds.alias("bounds"))
+    found = found.withColumn("coarse", F.filter("bounds", lambda b, i: i % CHUNK == CHUNK - 1))  # a row a metric
+    points = points.join(F.broadcast(found), "metric").withColumn("slice", _slice_of(F.col("value"), F.col("bounds"), F.col("coarse"))).drop("bounds", "coarse")
+    of_slice = points.groupBy("metric", "slice").agg(*[F.sum(c).alias(c) for c in sums])  # a row a slice
+    before = W.partitionBy("metric").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    of_slice = of_slice.select("metric", "slice", *[F.coalesce(F.sum(c).over(before), zero).alias(f"__before_{c}") for c in sums], *[F.sum(c).over(W.partitionBy("metric")).alias(f"__all_{c}") for c in sums])
+    here = W.partitionBy("metric", "slice").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
+    upto = points.withColumns({f"__upto_{c}": F.sum(c).over(here) for c in sums}).join(F.broadcast(of_slice), ["metric", "slice"])
+    upto = upto.select("metric", F.col("value").alias("threshold"), *[F.struct((F.col(f"__before_{c}") + F.col(f"__upto_{c}")).alias("upto"), F.col(c).alias("on"), F.col(f"__all_{c}").alias("all")).alias(c) for c in sums])
+    op = F.trim("comparison_operator")
+    of = lambda c: F.when(op == ">", c["all"] - c["upto"]).when(op == ">=", c["all"] - c["upto"] + c["on"]).when(op == "<", c["upto"] - c["on"]).when(op == "<=", c["upto"]).otherwise(c["on"])
+    out = named.join(upto, ["metric", "threshold"]).withColumns({"hits": of(F.col("n")), "total": of(F.col("s")), "__known": of(F.col("known"))})
+    return out.where("hits > 0").select(*rules.columns, "hits", F.when(F.col("__known") > 0, F.col("total")).alias("total"))
+
+
 def message(rule: str, kind: str, operator: str, threshold: str, value: str, *place: Column) -> Column:
     """Text of an alert; it holds the value, so a new value is a new alert."""
     words = [F.lit("Rule "), F.col(rule).cast("string"), F.lit(" triggered: "), F.col(kind), F.lit(" "), F.col(operator), F.lit(" "), F.col(threshold).cast("string"), F.lit(" (actual="), F.col(value).cast("string"), F.lit(") at ")]

@@ -49,3 +49,23 @@ def test_saved_searches_folded_once(spark):
     got = pairs.select("rule_id", "id", alerts.wanted_here().alias("fits"), alerts.saved_filter(F.col("filters"), pairs).alias("plain")).collect()
     assert all(r.fits == (r.plain is None or r.plain) for r in got)
     assert sorted((r.rule_id, r.id) for r in got if r.fits) == [(0, 1), (1, 1), (1, 2), (2, 2), (3, 1), (3, 2), (4, 1), (4, 2)]
+
+
+def test_totals_of_hits_without_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    rules = [(i, rng.choice(["basis", " Basis", "cash_price_bu", "unknown"]), rng.choice([*OPS, " > ", "!=", None]), rng.choice([float(rng.randrange(40)), -0.0, 7.0, 7.0, None, float("nan"), float("inf"), -1.0])) for i in range(600)]
+    rows = [(rng.choice([i, None]), rng.choice([float(rng.randrange(41)), 0.0, -0.0, 7.0, None, float("nan"), float("inf")]), rng.uniform(-1, 42)) for i in range(400)]
+    monkeypatch.setattr(alerts, "SLICE_POINTS", 9)
+    monkeypatch.setattr(alerts, "CHUNK", 4)
+    rows, rules = spark.createDataFrame(rows, "id int, basis double, cash_price_bu double"), spark.createDataFrame(rules, RULES)
+    want = alerts.triggered(rows, rules).groupBy("rule_id").agg(F.count(F.lit(1)).alias("hits"), F.sum("id").alias("total"))
+    got = alerts.hit_totals(rows, rules, "id").select("rule_id", "hits", "total")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) and got.count() > 100
+    assert alerts.hit_totals(rows, rules.limit(0), "id").isEmpty() and alerts.hit_totals(rows.limit(0), rules, "id").isEmpty()
+
+
+def test_many_rules_look_at_no_pairs(spark):
+    n = 200_000  # 4e10 hits, which no join can list
+    rules = spark.range(n).select(F.col("id").cast("int").alias("rule_id"), F.lit("basis").alias("rule_type"), F.lit(">=").alias("comparison_operator"), F.lit(-1.0).alias("threshold"))
+    rows = spark.range(n).select("id", (F.col("id") % 1000).cast("double").alias("basis"))
+    assert alerts.hit_totals(rows, rules, "id").agg(F.count(F.lit(1)), F.min("hits"), F.min("total"), F.max("total")).first() == (n, n, n * (n - 1) // 2, n * (n - 1) // 2)
