@@ -12,6 +12,7 @@ from basisline.storage import stored
 #: A side is broadcast only while its rows and its bytes (as JSON, which is wider than the rows) stay within both.
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
+ROWS_OF_PART = 100_000  # rows of a part that is dealt by its count
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
@@ -25,6 +26,12 @@ def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BRO
     return F.broadcast(df) if is_small(df, rows, size) else df
 
 
+def dealt_by(df: DataFrame, key: str, rows: int = ROWS_OF_PART) -> DataFrame:
+    """The rows dealt by key into parts of about `rows` rows. For work that the bytes of a shuffle understate: rows that compress
+    well, or that a parser reads, would otherwise meet in few parts that grow with the input. Counts the rows first."""
+    return df.repartition(max(1, -(-df.count() // rows)), key)
+
+
 def by_distinct(df: DataFrame, columns: list[str], **computed: Column) -> DataFrame:
     """Add columns computed from `columns` alone, once for each of their distinct values instead of once a row.
 

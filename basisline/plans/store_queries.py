@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from basisline.functions import periods
 from basisline.operators import facet_states
 from basisline.operators.label_index import LabelIndex
+from basisline.operators.sizes import dealt_by
 from basisline.plans.queries import query, table
 from basisline.sources import filetable, office
 from basisline.sources import pages as web
@@ -116,12 +117,13 @@ def _line(*cells: Column | str) -> Column:
 
 def _offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as offers of a page: about 32 a page, each with a section, crop, periods and prices in text."""
-    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    k = F.col("o_orderkey")
+    o = dealt_by(table(spark, sf_dir, "orders").select(k, "o_orderdate", F.floor(k / 128).cast("long").alias("page_id")), "page_id")
     s = lambda x: x.cast("string")
     month, year = F.month("o_orderdate"), F.year("o_orderdate")
     code = F.substr(F.lit(periods.MONTH_CODES), month, F.lit(1))
     return o.select(
-        F.floor(k / 128).cast("long").alias("page_id"), k.alias("k"), (k % 3).cast("int").alias("section"), F.when(k % 2 == 0, "Corn").otherwise("Soybeans").alias("crop"), F.concat(periods.month_name(month, True), F.lit("-"), F.lpad(s(year % 100), 2, "0")).alias("short"),
+        "page_id", k.alias("k"), (k % 3).cast("int").alias("section"), F.when(k % 2 == 0, "Corn").otherwise("Soybeans").alias("crop"), F.concat(periods.month_name(month, True), F.lit("-"), F.lpad(s(year % 100), 2, "0")).alias("short"),
         F.concat(F.lit("Z"), F.when(k % 2 == 0, "C").otherwise("S"), code, F.lpad(s(year % 100), 2, "0")).alias("symbol"), F.concat(s(400 + k % 100), F.lit("-"), s(k % 8)).alias("futures"), F.concat(F.lit("-0."), F.lpad(s(k % 90 + 10), 2, "0")).alias("basis"),
         F.concat(s(4 + k % 5), F.lit("."), F.lpad(s(k % 100), 2, "0")).alias("cash"), code.alias("code"), month.alias("month"), year.alias("year"),
     )
@@ -162,8 +164,7 @@ def titled_page_bids(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = lambda name: F.concat(F.lit('<tr><td colspan="8">'), F.lit(name), F.col("page_id").cast("string"), F.lit("</td></tr>"))
     noise = F.lit("<table><tr><td colspan=2>Cash basis of nobody</td></tr></table>")
     html = F.concat(noise, F.when(F.col("page_id") % 4 != 0, board(title("Elevator "))).otherwise(""), *[board(F.concat(F.lit(_HEADER), F.col(c))) for c in ("s0", "s1")], board(F.concat(title("Terminal "), F.lit(_HEADER), F.col("s2"))))
-    pages = page.select("page_id", html.alias("html"))
-    framed = pages.withColumn("frame", F.lit(0)).unionByName(pages.withColumn("frame", F.lit(1)))
+    framed = page.select("page_id", html.alias("html")).withColumn("frame", F.explode(F.array(F.lit(0), F.lit(1))))
     return _wire(web.titled_bids(framed, part="frame"))
 
 

@@ -7,9 +7,11 @@ matched by regular expressions inside Spark.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -18,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from basisline.functions import periods, prices, text
+from basisline.operators.sizes import dealt_by
 from basisline.storage import stored
 
 # Headers of a bid table, and words that name a crop.
@@ -32,9 +35,20 @@ CASH_CELL = r"^\$?\s*\d"
 FUTURES_CELL = r"^[+-]?\d{1,4}-[0-7]$"
 # End of fixed values.
 
+Columns = Mapping[str, Sequence[str]]  # names of each column
+
 BID_COLUMNS = ("Location", "Name", "Delivery", "Delivery End", "Futures Month", "Futures Price", "Change", "Basis", "Bushel Cash Price", "MT Cash Price", "Source")
 
 
+# Plain tags, with the words before each. Markup of any other kind (comments, scripts, stray brackets) goes to HTMLParser.
+_WS = r"[ \t\n\r\f]"
+_NAME = r"[a-z][a-z0-9]*"
+_RAW = re.compile("<(?:script|style|textarea|title|xmp|iframe|noembed|noframes|noscript|plaintext)", re.IGNORECASE)  # what they hold is no markup
+_TAG = re.compile(rf"""([^<]*)<(?:/({_NAME}){_WS}*|({_NAME})((?:{_WS}+[a-z][a-z0-9_:-]*(?:=(?:"[^"<>&]*"|'[^'<>&]*'|[^\s"'<>=`&/]+))?)*){_WS}*)>""", re.IGNORECASE | re.ASCII)
+_ATTRIBUTE = re.compile(r"""([a-z][a-z0-9_:-]*)(?:="([^"]*)"|='([^']*)'|=([^\s"']+))?""", re.IGNORECASE | re.ASCII)
+OUT_ROWS = 4096  # table rows of a batch that leaves the parser
+
+
 class _Tables(HTMLParser):
     """Cells of every table with the heading before it; nested tables are tables of their own."""
 
@@ -48,6 +62,20 @@ class _Tables(HTMLParser):
         self.title: list[str] | None = None
         self.heading = ""
 
+    def read(self, page: str) -> None:
+        """A whole page; plain markup in one regular expression, with the same results."""
+        found = [] if _RAW.search(page) else _TAG.findall(page)
+        if len(found) != page.count("<"):  # some bracket opens no plain tag
+            self.feed(page)
+            return self.close()
+        for words, ended, started, attrs in found:  # words after the last tag belong to no closed cell
+            if words:
+                self.handle_data(unescape(words) if "&" in words else words)
+            if ended:
+                self.handle_endtag(ended.lower())
+            else:
+                self.handle_starttag(started.lower(), [(n.lower(), a or b or c) for n, a, b, c in _ATTRIBUTE.findall(attrs)] if attrs else [])
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "table":
             self.tables.append((self.heading, []))
@@ -85,25 +113,35 @@ class _Tables(HTMLParser):
             self.cell.append(data)
 
 
+def _table_rows(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The table rows of batches of (key, page, part), in batches of OUT_ROWS: what a worker holds doesn't grow with its pages."""
+    types = [pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.list_(pa.string()), pa.string(), pa.bool_(), pa.int32()]
+    for batch in batches:
+        of = [batch.schema.field(0).type, *types]
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), of, strict=True)], names=names)  # noqa: B023, E731
+        out: list[tuple] = []
+        for k, page, p in zip(*batch.columns, strict=True):
+            parser, k, p = _Tables(), k.as_py(), p.as_py()
+            parser.read(page.as_py() or "")
+            for t, (title, rows) in enumerate(parser.tables):
+                for r, (is_header, values) in enumerate(rows):
+                    if values:
+                        out.append((k, t, r, is_header, title, values, parser.classes[t], (t, r) in parser.spanned, p))
+                        if len(out) == OUT_ROWS:
+                            yield made(out)
+                            out = []
+        if out:
+            yield made(out)
+
+
 def tables(pages: DataFrame, key: str = "page_id", html: str = "html", part: str | None = None) -> DataFrame:
     """Rows key, table_no, row_no, is_header, heading, cells, table_class, spanned (does the first cell span columns?): every
     table row of every page. `part` names an int column that tells the documents of a page apart (its frames) and goes along."""
 
+    names = [key, "table_no", "row_no", "is_header", "heading", "cells", "table_class", "spanned", "__part"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, parts, no, row_no, header, heading, cells, kinds, spanned = [], [], [], [], [], [], [], [], []
-            for k, page, p in zip(*batch.columns, strict=True):
-                parser = _Tables()
-                parser.feed(page.as_py() or "")
-                parser.close()
-                for t, (title, rows) in enumerate(parser.tables):
-                    for r, (is_header, values) in enumerate(rows):
-                        if values:
-                            parts.append(p.as_py()), kinds.append(parser.classes[t]), spanned.append((t, r) in parser.spanned)
-                            keys.append(k.as_py()), no.append(t), row_no.append(r), header.append(is_header), heading.append(title), cells.append(values)
-            out = [pa.array(keys, batch.schema.field(0).type), pa.array(no, pa.int32()), pa.array(row_no, pa.int32()), pa.array(header, pa.bool_()), pa.array(heading, pa.string()), pa.array(cells, pa.list_(pa.string()))]
-            out += [pa.array(kinds, pa.string()), pa.array(spanned, pa.bool_()), pa.array(parts, pa.int32())]
-            yield pa.RecordBatch.from_arrays(out, names=[key, "table_no", "row_no", "is_header", "heading", "cells", "table_class", "spanned", "__part"])
+        return _table_rows(batches, names)
 
     kind = pages.schema[key].dataType.simpleString()
     found = pages.select(key, html, (F.col(part) if part else F.lit(None)).cast("int").alias("__part")).mapInArrow(
@@ -114,21 +152,25 @@ def tables(pages: DataFrame, key: str = "page_id", html: str = "html", part: str
 
 def header_score(cells: Column) -> Column:
     """How many wanted headers a row of cells names."""
-    low = F.transform(cells, lambda c: F.lower(c))
-    named = lambda header: F.exists(low, lambda c: c.contains(header)).cast("int")
-    return sum((named(h) for h in BID_HEADERS), F.lit(0))
+    low = F.lower(F.concat_ws("\n", cells))  # no header holds the line break
+    return sum((low.contains(h).cast("int") for h in BID_HEADERS), F.lit(0))
+
 
+def _places(columns: Columns | None, headers: str) -> list[Column]:
+    """`at`: where each of the columns stands under a table's headers, found once a table instead of once a row."""
+    return [F.struct(*[place_in(names, headers).alias(c) for c, names in columns.items()]).alias("at")] if columns else []
 
-def bid_tables(rows: DataFrame, key: str = "page_id", least: int = 3) -> DataFrame:
+
+def bid_tables(rows: DataFrame, key: str = "page_id", least: int = 3, columns: Columns | None = None) -> DataFrame:
     """Rows under the best header of each page, with `headers`: the table whose header names most wanted columns (the
-    first among equals), if it names at least `least`."""
+    first among equals), if it names at least `least`. With `columns` also `at`, their places."""
     heads = rows.withColumn("score", header_score(F.col("cells"))).where(F.col("score") >= least)
     best = heads.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("s"), "table_no", F.col("row_no").alias("head_no"), F.col("cells").alias("headers"))).alias("b"))
-    best = best.select(key, "b.table_no", "b.head_no", "b.headers")
-    return rows.join(best, [key, "table_no"]).where(F.col("row_no") > F.col("head_no")).drop("head_no")
+    best = best.select(key, F.col("b.table_no").alias("__table"), "b.head_no", "b.headers", *_places(columns, "b.headers"))
+    return rows.join(best, key).where((F.col("table_no") == F.col("__table")) & (F.col("row_no") > F.col("head_no"))).drop("head_no", "__table")
 
 
-def titled_tables(rows: DataFrame, key: str = "page_id", part: str | None = None, table_class: str | None = None, least: int = 3) -> DataFrame:
+def titled_tables(rows: DataFrame, key: str = "page_id", part: str | None = None, table_class: str | None = None, least: int = 3, columns: Columns | None = None) -> DataFrame:
     """Rows under the header of every data table, with `headers` and `place`: the title in force, read in document order.
 
     A table whose first row is one spanning cell without header words opens a section under that title; the section lasts
@@ -139,23 +181,29 @@ def titled_tables(rows: DataFrame, key: str = "page_id", part: str | None = None
     if table_class:
         rows = rows.where(F.array_contains(F.split("table_class", r"\s+"), table_class))
     names_header = lambda text: reduce(lambda a, b: a | b, [F.lower(text).contains(w) for w in TITLE_STOPS])
-    first = F.min_by(F.struct("row_no", "cells", "spanned"), "row_no").alias("first")
-    shape = rows.groupBy(*doc, "table_no").agg(first, F.max(names_header(F.concat_ws(" ", "cells"))).alias("is_data"))
-    text_ = F.get("first.cells", F.lit(0))
-    titled = (F.col("first.row_no") == 0) & (F.size("first.cells") == 1) & F.col("first.spanned") & (text_ != "") & ~names_header(text_)
+    shape = rows.groupBy(*doc, "table_no").agg(F.max(names_header(F.concat_ws(" ", "cells"))).alias("is_data"))
+    text_ = F.get("cells", F.lit(0))
+    titled = (F.col("row_no") == 0) & (F.size("cells") == 1) & F.col("spanned") & (text_ != "") & ~names_header(text_)
+    titles = rows.where(titled).select(*doc, "table_no", text_.alias("title"))  # one row a titled table at most
     order = W.partitionBy(*doc).orderBy("table_no")
-    place = F.last(F.when(titled, text_), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
-    named = shape.withColumn("place", F.coalesce(place, F.concat(F.lit("Location_"), F.row_number().over(order).cast("string")))).where("is_data").select(*doc, "table_no", "place")
+    place = F.last("title", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
+    named = shape.join(titles, [*doc, "table_no"], "left").withColumn("place", F.coalesce(place, F.concat(F.lit("Location_"), F.row_number().over(order).cast("string")))).where("is_data").select(*doc, "table_no", "place")
     heads = rows.withColumn("score", header_score(F.col("cells"))).where(F.col("score") >= least)
-    heads = heads.groupBy(*doc, "table_no").agg(F.min(F.struct((-F.col("score")).alias("s"), "row_no", "cells")).alias("b")).select(*doc, "table_no", F.col("b.row_no").alias("head_no"), F.col("b.cells").alias("headers"))
-    return rows.join(named, [*doc, "table_no"]).join(heads, [*doc, "table_no"]).where(F.col("row_no") > F.col("head_no")).drop("head_no")
+    heads = heads.groupBy(*doc, "table_no").agg(F.min(F.struct((-F.col("score")).alias("s"), "row_no", "cells")).alias("b"))
+    heads = heads.select(*doc, "table_no", F.col("b.row_no").alias("head_no"), F.col("b.cells").alias("headers"), *_places(columns, "b.cells"))
+    data = named.join(heads, [*doc, "table_no"])
+    data = data.groupBy(key).agg(F.collect_list(F.struct(*[c for c in data.columns if c != key])).alias("__data"))  # the tables of a page
+    mine = lambda t: reduce(lambda a, b: a & b, [t[c] == F.col(c) for c in (*doc[1:], "table_no")])
+    rows = rows.join(data, key).select(*rows.columns, F.explode(F.filter("__data", mine)).alias("__t")).where(F.col("row_no") > F.col("__t.head_no"))
+    return rows.select("*", "__t.place", "__t.headers", *(["__t.at"] if columns else [])).drop("__t")
 
 
 def titled_bids(pages: DataFrame, key: str = "page_id", html: str = "html", part: str | None = None, table_class: str | None = TITLED_CLASS, source: str = "Agricharts") -> DataFrame:
     """Bids of pages whose tables stand in titled sections, in the wire columns: periods spelled in full, rows that are no bids
     left out, and of rows alike in place, crop, periods and futures price the first of the page (its frames in order)."""
-    rows = titled_tables(stored(tables(pages, key, html, part), "page-tables"), key, part, table_class)
-    found = rows.select(*([key, part] if part else [key]), "table_no", "row_no", "place", *[F.nullif(F.trim(cell(names)), F.lit("")).alias(c) for c, names in _COMMON.items() if c != "Location"])
+    wanted = {c: names for c, names in _COMMON.items() if c != "Location"}
+    rows = titled_tables(dealt_by(stored(tables(pages, key, html, part), "page-tables"), key), key, part, table_class, columns=wanted)
+    found = rows.select(*([key, part] if part else [key]), "table_no", "row_no", "place", *_cells(wanted))
     found = without_spacers(found, cash="Bushel Cash Price").withColumnRenamed("place", "Location")
     found = found.withColumns({"Delivery": periods.short_month(F.col("Delivery")), "Delivery End": periods.short_month(F.col("Delivery End")), "Futures Month": periods.long_month(F.col("Futures Month")), "Source": F.lit(source)})
     cash = prices.tick_price(F.col("Bushel Cash Price"))
@@ -164,36 +212,38 @@ def titled_bids(pages: DataFrame, key: str = "page_id", html: str = "html", part
     return found.withColumn("__n", F.row_number().over(same)).where("__n = 1").select(key, *BID_COLUMNS)
 
 
-def keyword_tables(rows: DataFrame, key: str = "page_id", least_cells: int = 3) -> DataFrame:
+def keyword_tables(rows: DataFrame, key: str = "page_id", least_cells: int = 3, columns: Columns | None = None) -> DataFrame:
     """Rows under the first row of each page's most bid-like table, with `headers`: the table whose text holds most bid
     words (the first among equals), if any row has `least_cells` cells. For pages whose headers name no wanted column."""
     words = F.lower(F.concat_ws(" ", "cells"))
     held = [F.max(words.contains(w).cast("int")) for w in BID_KEYWORDS]
     scored = rows.groupBy(key, "table_no").agg(sum(held[1:], held[0]).alias("score"), F.max(F.size("cells")).alias("width"), F.min(F.struct("row_no", "cells")).alias("head")).where((F.col("width") >= least_cells) & (F.col("score") > 0))
-    best = scored.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("s"), "table_no", "head")).alias("b")).select(key, "b.table_no", F.col("b.head.row_no").alias("head_no"), F.col("b.head.cells").alias("headers"))
-    return rows.join(best, [key, "table_no"]).where(F.col("row_no") > F.col("head_no")).drop("head_no")
+    best = scored.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("s"), "table_no", "head")).alias("b")).select(key, F.col("b.table_no").alias("__table"), F.col("b.head.row_no").alias("head_no"), F.col("b.head.cells").alias("headers"), *_places(columns, "b.head.cells"))
+    return rows.join(best, key).where((F.col("table_no") == F.col("__table")) & (F.col("row_no") > F.col("head_no"))).drop("head_no", "__table")
 
 
-def bid_or_keyword_tables(rows: DataFrame, key: str = "page_id") -> DataFrame:
+def bid_or_keyword_tables(rows: DataFrame, key: str = "page_id", columns: Columns | None = None) -> DataFrame:
     """Tables by their header; pages without one by the bid words of their tables."""
-    found = bid_tables(rows, key)
+    found = bid_tables(rows, key, columns=columns)
     rest = rows.join(found.select(key).distinct(), key, "left_anti")
-    return found.unionByName(keyword_tables(rest, key), allowMissingColumns=True)
+    return found.unionByName(keyword_tables(rest, key, columns=columns), allowMissingColumns=True)
 
 
-def merged_header_tables(rows: DataFrame, key: str = "page_id", least: int = 3) -> DataFrame:
+def merged_header_tables(rows: DataFrame, key: str = "page_id", least: int = 3, columns: Columns | None = None) -> DataFrame:
     """Rows under headers that run over several rows, with `headers`: the header cells at the table's top (else its first
     two rows) are joined column by column, and the table whose joined header names most wanted columns is taken."""
     table_of = [key, "table_no"]
     first = rows.groupBy(*table_of).agg(F.min(F.when(~F.col("is_header"), F.col("row_no"))).alias("body"), F.min("row_no").alias("top"), F.max("row_no").alias("end"))
     head_end = F.when(F.col("body") == F.col("top"), F.col("top") + 2).otherwise(F.coalesce("body", F.col("end") + 1))
-    rows = rows.join(first.select(*table_of, head_end.alias("head_end")), table_of)
-    stacked = rows.where(F.col("row_no") < F.col("head_end")).groupBy(*table_of).agg(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "cells"))), lambda x: x.cells).alias("stack"))  # a few header rows a table
+    ends = first.select(*table_of, head_end.alias("head_end"))
+    tops = rows.join(ends, table_of).where(F.col("row_no") < F.col("head_end"))
+    stacked = tops.groupBy(*table_of, "head_end").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "cells"))), lambda x: x.cells).alias("stack"))  # a few header rows a table
     width = F.array_max(F.transform("stack", lambda c: F.size(c)))
     joined = F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.array_join(F.filter(F.transform("stack", lambda c: F.trim(F.coalesce(F.get(c, i), F.lit("")))), lambda x: x != ""), " "))
-    heads = stacked.select(*table_of, joined.alias("headers")).withColumn("score", header_score(F.col("headers"))).where(F.col("score") >= least)
-    best = heads.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("s"), "table_no", "headers")).alias("b")).select(key, "b.table_no", "b.headers")
-    return rows.join(best, table_of).where(F.col("row_no") >= F.col("head_end")).drop("head_end")
+    heads = stacked.select(*table_of, "head_end", joined.alias("headers")).withColumn("score", header_score(F.col("headers"))).where(F.col("score") >= least)
+    best = heads.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("s"), "table_no", "head_end", "headers")).alias("b"))
+    best = best.select(key, F.col("b.table_no").alias("__table"), "b.head_end", "b.headers", *_places(columns, "b.headers"))
+    return rows.join(best, key).where((F.col("table_no") == F.col("__table")) & (F.col("row_no") >= F.col("head_end"))).drop("head_end", "__table")
 
 
 def cells_by_place(rows: DataFrame, key: str = "page_id", least: int = 8) -> DataFrame:
@@ -211,14 +261,23 @@ def without_spacers(df: DataFrame, name: str = "Name", cash: str = "Cash Price",
     return df.where((cell_of(name) != "") & (F.lower(cell_of(name)) != "name") & (cell_of(cash).rlike(CASH_CELL) | cell_of(futures).rlike(FUTURES_CELL)))
 
 
-def cell(names: Sequence[str], headers: str = "headers", cells: str = "cells") -> Column:
-    """Cell under the first header that equals one of the names, else under the first that contains one; null for none."""
+def place_in(names: Sequence[str], headers: str = "headers") -> Column:
+    """Place (from 0) of the first header that equals one of the names, else of the first that contains one; null for none."""
     low = F.transform(headers, lambda h: F.trim(F.rtrim(F.lower(h), F.lit("* "))))
     found = [F.nullif(F.array_position(low, n.lower()), F.lit(0)) for n in names]
     holding = lambda name: F.transform(low, lambda h: h.contains(name.lower()))
     partly = [F.nullif(F.array_position(holding(n), True), F.lit(0)) for n in names]
-    at = F.coalesce(*found, *partly)
-    return F.when(at.isNotNull(), F.get(cells, (at - 1).cast("int")))
+    return (F.coalesce(*found, *partly) - 1).cast("int")
+
+
+def cell(names: Sequence[str], headers: str = "headers", cells: str = "cells") -> Column:
+    """Cell under a column's place; null for none."""
+    return F.get(cells, place_in(names, headers))
+
+
+def _cells(columns: Columns) -> list[Column]:
+    """The columns' cells by `at`; null for blank ones."""
+    return [F.nullif(F.trim(F.get("cells", F.col(f"at.`{c}`"))), F.lit("")).alias(c) for c in columns]
 
 
 def crop_in(words: Column) -> Column:
@@ -320,21 +379,21 @@ def transposed_bids(rows: DataFrame, by_place: bool, key: str = "page_id") -> Da
         for w in words:
             metric = F.when(label.contains(w), name).otherwise(metric)
     table_of = [key, "table_no"]
-    head = rows.groupBy(table_of).agg(F.min("row_no").alias("head_no"), F.min_by("cells", "row_no").alias("periods"), F.max("heading").alias("heading"), F.max(label.contains("futures month")).alias("counts"))
-    head = head.where(F.col("counts") & (F.size("periods") > 1))
+    lines = F.array_sort(F.collect_list(F.struct("row_no", metric.alias("metric"), "cells", label.contains("futures month").alias("counts"))))  # the rows of a table, a line a metric
+    table = rows.groupBy(table_of).agg(F.max("heading").alias("heading"), lines.alias("lines"))
+    table = table.where(F.exists("lines", lambda x: x.counts)).withColumns({"periods": F.get("lines", F.lit(0)).cells, "lines": F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))}).where(F.size("periods") > 1)
     if by_place:
         place = F.row_number().over(W.partitionBy(key).orderBy("table_no"))
-        head = head.withColumn("crop", F.get(F.array(*map(F.lit, CROPS_BY_PLACE)), place - 1)).where("crop is not null")
+        table = table.withColumn("crop", F.get(F.array(*map(F.lit, CROPS_BY_PLACE)), place - 1)).where("crop is not null")
     else:
-        head = head.withColumn("crop", F.coalesce(crop_in(F.col("heading")), F.nullif("heading", F.lit(""))))
-    cells = rows.drop("heading").join(head, table_of).where(F.col("row_no") > F.col("head_no")).withColumn("metric", metric)
-    cells = cells.select(*table_of, "row_no", "periods", "crop", "metric", F.posexplode(F.slice("cells", 2, F.size("periods") - 1)).alias("at", "value"))
-    value = F.nullif(F.trim("value"), F.lit(""))
-    out = cells.groupBy(*table_of, "at").agg(
-        F.first("periods").alias("periods"), F.first("crop").alias("Name"), *[F.min_by(value, F.when(F.col("metric") == m, F.col("row_no"))).alias(m) for m in _METRICS]
-    )
-    delivery = F.nullif(F.trim(F.get("periods", F.col("at") + 1)), F.lit(""))
-    return out.select(*table_of, F.col("at").alias("row_no"), "Name", delivery.alias("Delivery"), F.lit(None).cast("string").alias("Location"), F.lit(None).cast("string").alias("Delivery End"), *_METRICS)
+        table = table.withColumn("crop", F.coalesce(crop_in(F.col("heading")), F.nullif("heading", F.lit(""))))
+    width = F.least(F.size("periods"), F.array_max(F.transform("lines", lambda x: F.size(x.cells))))  # null without lines
+    out = table.where(width > 1).select(*table_of, "periods", "crop", "lines", F.explode(F.sequence(F.lit(0), width - 2)).alias("at"))
+    at = F.col("at") + 1
+    first = lambda m: F.get(F.filter("lines", lambda x: (x.metric == m) & (F.size(x.cells) > at)), F.lit(0)).cells
+    value = lambda cells: F.nullif(F.trim(F.get(cells, at)), F.lit(""))
+    none = F.lit(None).cast("string")
+    return out.select(*table_of, F.col("at").alias("row_no"), F.col("crop").alias("Name"), value("periods").alias("Delivery"), none.alias("Location"), none.alias("Delivery End"), *[value(first(m)).alias(m) for m in _METRICS])
 
 
 def page_bids(pages: DataFrame, name: str, key: str = "page_id", html: str = "html", place: str | None = None) -> DataFrame:
@@ -343,12 +402,13 @@ def page_bids(pages: DataFrame, name: str, key: str = "page_id", html: str = "ht
     `place` names a column of the pages that stands in where a row names no location.
     """
     how = adapter(name)
-    cut = stored(tables(pages, key, html), "page-tables")  # read several times, cut once
+    cut = tables(pages, key, html)
     if how.transposed:
-        found = transposed_bids(cut, how.crop == "place", key)
+        found = transposed_bids(cut, how.crop == "place", key)  # reads the rows once
     else:
-        rows = {"header": bid_tables, "merged": merged_header_tables, "keywords": bid_or_keyword_tables}[how.tables](cut, key)
-        found = rows.select(key, "table_no", "row_no", "heading", *[F.nullif(F.trim(cell(names)), F.lit("")).alias(c) for c, names in how.columns.items()])
+        cut = dealt_by(stored(cut, "page-tables"), key)  # read several times, cut once
+        rows = {"header": bid_tables, "merged": merged_header_tables, "keywords": bid_or_keyword_tables}[how.tables](cut, key, columns=how.columns)
+        found = rows.select(key, "table_no", "row_no", "heading", *_cells(how.columns))
         own = text.canonical_commodity(F.col("Name"))
         crop = {"name": own, "heading": F.coalesce(crop_in(F.col("heading")), own), "symbol": crop_of_symbol(F.col("Futures Month"))}[how.crop]
         found = found.withColumn("Name", F.coalesce(crop, own))
