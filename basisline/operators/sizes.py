@@ -26,10 +26,15 @@ def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BRO
     return F.broadcast(df) if is_small(df, rows, size) else df
 
 
+def parts_of(df: DataFrame, rows: int = ROWS_OF_PART) -> int:
+    """How many parts of about `rows` rows a frame makes. Counts its rows."""
+    return max(1, -(-df.count() // rows))
+
+
 def dealt_by(df: DataFrame, key: str, rows: int = ROWS_OF_PART) -> DataFrame:
     """The rows dealt by key into parts of about `rows` rows. For work that the bytes of a shuffle understate: rows that compress
     well, or that a parser reads, would otherwise meet in few parts that grow with the input. Counts the rows first."""
-    return df.repartition(max(1, -(-df.count() // rows)), key)
+    return df.repartition(parts_of(df, rows), key)
 
 
 def by_distinct(df: DataFrame, columns: list[str], **computed: Column) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from basisline.functions import periods, prices, text
-from basisline.operators.sizes import dealt_by
+from basisline.operators.sizes import dealt_by, parts_of
 from basisline.storage import stored
 
 # Headers of a bid table, and words that name a crop.
@@ -152,8 +152,8 @@ def tables(pages: DataFrame, key: str = "page_id", html: str = "html", part: str
 
 def header_score(cells: Column) -> Column:
     """How many wanted headers a row of cells names."""
-    low = F.lower(F.concat_ws("\n", cells))  # no header holds the line break
-    return sum((low.contains(h).cast("int") for h in BID_HEADERS), F.lit(0))
+    named = lambda low: sum((low.contains(h).cast("int") for h in BID_HEADERS), F.lit(0))
+    return text.using(F.lower(F.concat_ws("\n", cells)), named)  # no header holds the line break
 
 
 def _places(columns: Columns | None, headers: str) -> list[Column]:
@@ -170,17 +170,18 @@ def bid_tables(rows: DataFrame, key: str = "page_id", least: int = 3, columns: C
     return rows.join(best, key).where((F.col("table_no") == F.col("__table")) & (F.col("row_no") > F.col("head_no"))).drop("head_no", "__table")
 
 
-def titled_tables(rows: DataFrame, key: str = "page_id", part: str | None = None, table_class: str | None = None, least: int = 3, columns: Columns | None = None) -> DataFrame:
+def titled_tables(rows: DataFrame, key: str = "page_id", part: str | None = None, table_class: str | None = None, least: int = 3, columns: Columns | None = None, parts: int | None = None) -> DataFrame:
     """Rows under the header of every data table, with `headers` and `place`: the title in force, read in document order.
 
     A table whose first row is one spanning cell without header words opens a section under that title; the section lasts
     over the tables that follow, and a table that also holds header words is data of its own section. Data tables before
     any title are places by their number. Tables without header words are neither. `table_class` keeps tables of that class.
+    With `parts` the rows meet their page's tables in so many parts, dealt by key.
     """
     doc = [key, part] if part else [key]
     if table_class:
         rows = rows.where(F.array_contains(F.split("table_class", r"\s+"), table_class))
-    names_header = lambda text: reduce(lambda a, b: a | b, [F.lower(text).contains(w) for w in TITLE_STOPS])
+    names_header = lambda words: F.lower(words).rlike("|".join(TITLE_STOPS))
     shape = rows.groupBy(*doc, "table_no").agg(F.max(names_header(F.concat_ws(" ", "cells"))).alias("is_data"))
     text_ = F.get("cells", F.lit(0))
     titled = (F.col("row_no") == 0) & (F.size("cells") == 1) & F.col("spanned") & (text_ != "") & ~names_header(text_)
@@ -192,6 +193,8 @@ def titled_tables(rows: DataFrame, key: str = "page_id", part: str | None = None
     heads = heads.groupBy(*doc, "table_no").agg(F.min(F.struct((-F.col("score")).alias("s"), "row_no", "cells")).alias("b"))
     heads = heads.select(*doc, "table_no", F.col("b.row_no").alias("head_no"), F.col("b.cells").alias("headers"), *_places(columns, "b.cells"))
     data = named.join(heads, [*doc, "table_no"])
+    if parts:
+        rows, data = rows.repartition(parts, key), data.repartition(parts, key)
     data = data.groupBy(key).agg(F.collect_list(F.struct(*[c for c in data.columns if c != key])).alias("__data"))  # the tables of a page
     mine = lambda t: reduce(lambda a, b: a & b, [t[c] == F.col(c) for c in (*doc[1:], "table_no")])
     rows = rows.join(data, key).select(*rows.columns, F.explode(F.filter("__data", mine)).alias("__t")).where(F.col("row_no") > F.col("__t.head_no"))
@@ -202,14 +205,15 @@ def titled_bids(pages: DataFrame, key: str = "page_id", html: str = "html", part
     """Bids of pages whose tables stand in titled sections, in the wire columns: periods spelled in full, rows that are no bids
     left out, and of rows alike in place, crop, periods and futures price the first of the page (its frames in order)."""
     wanted = {c: names for c, names in _COMMON.items() if c != "Location"}
-    rows = titled_tables(dealt_by(stored(tables(pages, key, html, part), "page-tables"), key), key, part, table_class, columns=wanted)
+    cut = stored(tables(pages, key, html, part), "page-tables")
+    rows = titled_tables(cut, key, part, table_class, columns=wanted, parts=parts_of(cut))
     found = rows.select(*([key, part] if part else [key]), "table_no", "row_no", "place", *_cells(wanted))
     found = without_spacers(found, cash="Bushel Cash Price").withColumnRenamed("place", "Location")
     found = found.withColumns({"Delivery": periods.short_month(F.col("Delivery")), "Delivery End": periods.short_month(F.col("Delivery End")), "Futures Month": periods.long_month(F.col("Futures Month")), "Source": F.lit(source)})
-    cash = prices.tick_price(F.col("Bushel Cash Price"))
-    found = found.withColumn("MT Cash Price", F.coalesce("MT Cash Price", prices.adapter_per_tonne(F.col("Name"), cash.cast("double")).cast("string")))
     same = W.partitionBy(key, "Location", "Name", "Delivery", "Delivery End", "Futures Month", "Futures Price").orderBy(*([part] if part else []), "table_no", "row_no")
-    return found.withColumn("__n", F.row_number().over(same)).where("__n = 1").select(key, *BID_COLUMNS)
+    found = found.withColumn("__n", F.row_number().over(same)).where("__n = 1")
+    cash = prices.tick_price(F.col("Bushel Cash Price"))
+    return found.withColumn("MT Cash Price", F.coalesce("MT Cash Price", prices.adapter_per_tonne(F.col("Name"), cash.cast("double")).cast("string"))).select(key, *BID_COLUMNS)
 
 
 def keyword_tables(rows: DataFrame, key: str = "page_id", least_cells: int = 3, columns: Columns | None = None) -> DataFrame:
