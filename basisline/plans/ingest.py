@@ -15,6 +15,7 @@ from basisline.operators import diagnostics, history, identity, latest, reshape
 from basisline.operators.sizes import by_labels
 from basisline.sources import transactions
 from basisline.sources.bucketed import read_bucketed, write_bucketed
+from basisline.storage import stored
 
 
 @dataclass(frozen=True)
@@ -149,6 +150,7 @@ def ingest_batch(rows: DataFrame, root: str, batch: int, source: str, captured_a
     if transactions.is_committed(spark, root, batch):
         return False
     write = transactions.Transaction(spark, root, batch)
+    rows = stored(rows, "sheet-rows")  # read for the observations and for the run's record, normalized once
     before = transactions.latest(spark, root, "state")
     state = read_bucketed(spark, before[1], "composite_key", buckets) if before else None
     seen = observed(rows, batch, captured_at)

@@ -130,3 +130,13 @@ def test_of_two_attempts_one_is_seen(spark, tmp_path):
     third = transactions.Transaction(spark, root, 8)
     third.stage("t", spark.range(0))
     assert third.commit() and sorted(r.batch for r in transactions.manifest(spark, root).collect()) == [7, 8]
+
+
+def test_a_batch_normalizes_its_sheet_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "stored", lambda df, name: kept.append(df) or df.limit(0), raising=False)
+    kept: list = []
+    rows = spark.createDataFrame([(1, ["missing_basis"], "k")], "position int, reasons array<string>, composite_key string")
+    rows = rows.selectExpr("*", "'x' as futures_text", *[f"cast(1 as double) as {c}" for c in ingest.PRICES])
+    assert ingest.ingest_batch(rows, f"file://{tmp_path}/r", 0, "feed", F.lit("1999-01-04").cast("timestamp_ntz"), 2)
+    assert kept == [rows]  # everything that follows reads the stored rows
+    assert transactions.committed(spark, f"file://{tmp_path}/r", "runs").first().raw_row_count == 0
